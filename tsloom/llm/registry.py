@@ -7,11 +7,14 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tsloom.llm import urlrules
+from tsloom.llm import decontam, ogg, urlrules
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op5_ogg": ogg.op5_ogg,
+    "op6_decontam": decontam.op6_decontam,
     "op7_url_rules": urlrules.op7_url_rules,
 }
 SQL: dict[str, str] = {
+    "op6_decontam": decontam.SQL,
     "op7_url_rules": urlrules.SQL,
 }
