@@ -1,0 +1,94 @@
+import hashlib
+import random
+import re
+
+import pytest
+
+from tsloom.llm import pii
+
+RULES = {
+    "email": r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+",
+    "ip": r"[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)",
+    "card": r"[0-9]([\x20-]?[0-9])+",
+    "phone": r"\+[0-9][\x20().0-9-]+[0-9]",
+}
+
+
+def plain_luhn(d):
+    total = 0
+    for i, c in enumerate(reversed(d)):
+        x = int(c) * (1 + i % 2)
+        total += x - 9 if x > 9 else x
+    return total % 10 == 0
+
+
+def brute(text):
+    out = []
+    for kind, rule in RULES.items():
+        for m in re.finditer(rule, text):
+            digits = re.sub("[^0-9]", "", m[0])
+            if kind == "ip" and any(int(p) > 255 for p in m[0].split(".")):
+                continue
+            if kind == "card" and not (16 <= len(digits) <= 19 and plain_luhn(digits)):
+                continue
+            if kind == "phone" and not 8 <= len(digits) <= 15:
+                continue
+            out.append((kind, *m.span()))
+    return out
+
+
+def test_base_spans_equal_the_plain_patterns_on_random_text():
+    rng = random.Random(1)
+    for _ in range(4000):
+        s = "".join(rng.choice(["a", "B", "@", ".", "-", "+", " ", "1", "25", "4111111111111111", "0", "é", "(", ")", "%", "\n", "x.y"]) for _ in range(rng.randint(0, 40)))
+        assert pii.base_spans(s) == brute(s), s
+
+
+def test_query_against_plain_patterns(spark, sf_dir):
+    texts = {r.doc_id: r.text or "" for r in spark.read.parquet(f"{sf_dir}/documents.parquet").collect()}
+    rows = pii.op10_pii(spark, sf_dir).collect()
+    assert len(rows) == len(texts)
+    for r in rows:
+        want = brute(texts[r.doc_id])
+        told = ",".join(f"{k}:{a}:{b}" for k, a, b in want)
+        assert r.base_sha256 == hashlib.sha256(told.encode()).hexdigest()
+        assert [r.n_email, r.n_ip, r.n_card, r.n_phone] == [sum(x[0] == k for x in want) for k in pii.KINDS]
+        spans = r.spans.split(",") if r.spans else []
+        assert set(told.split(",")) - {""} <= set(spans) and len(spans) == len(want) + r.n_extra
+
+
+def test_model_adds_obfuscated_addresses_and_leaves_clean_text(spark):
+    docs = spark.createDataFrame(
+        [(1, "please write to bob.smith.12 [at] mail7 [dot] example [dot] com soon"), (2, "nothing here at all"), (3, None), (4, ""), (5, "on 2024-01-02 version 1.2.3 of 300 pages"), (5, "on 2024-01-02 version 1.2.3 of 300 pages"), (None, "call +1 (538) 555-4734 now")],
+        "doc_id long, text string",
+    ).selectExpr("*", "doc_id AS Base", "text AS margin_note")
+    rows = pii.find_pii(docs).collect()
+    by = {r.doc_id: r for r in rows}
+    assert len(rows) == 7
+    assert [s.kind for s in by[1].extra] == ["email"]
+    assert all(not by[i].spans for i in (2, 3, 4, 5))
+    assert [s.kind for s in by[None].base] == ["phone"] and not by[None].extra
+
+
+def test_long_texts_take_linear_time():
+    pytest.importorskip("re")
+    assert pii.base_spans("a" * 400_000 + "@") == []
+    assert pii.base_spans("1" * 400_000) == []
+    assert pii.base_spans("1." * 200_000)[:1] == [("ip", 0, 7)]
+    assert isinstance(pii.candidates("1" * 200_000 + " a@" * 1000), list)
+
+
+def test_held_out_accuracy(spark):
+    model, least = pii.train(spark)
+    assert sum(v < 2 for v in least.values()) == 4
+    trees, weights = pii._trees(model)
+    right = n = 0
+    for kind, label, _, f in pii.training_rows(600, seed=99):
+        p = sum(w * pii._walk(t, f) for t, w in zip(trees, weights, strict=True)) > 0
+        right += p == (label > 0)
+        n += 1
+    assert n > 300 and right / n > 0.9
+
+
+def test_redact():
+    assert pii.redact("ab cd ef", [{"kind": "email", "start": 3, "end": 5}]) == "ab [EMAIL] ef"

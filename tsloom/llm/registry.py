@@ -7,12 +7,13 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tsloom.llm import decontam, ogg, urlrules
+from tsloom.llm import decontam, ogg, pii, urlrules
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op5_ogg": ogg.op5_ogg,
     "op6_decontam": decontam.op6_decontam,
     "op7_url_rules": urlrules.op7_url_rules,
+    "op10_pii": pii.op10_pii,
 }
 SQL: dict[str, str] = {
     "op6_decontam": decontam.SQL,
