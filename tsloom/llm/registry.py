@@ -7,13 +7,14 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tsloom.llm import decontam, mixing, ogg, pii, urlrules
+from tsloom.llm import decontam, mixing, neardup, ogg, pii, urlrules
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op4_mixing": mixing.op4_mixing,
     "op5_ogg": ogg.op5_ogg,
     "op6_decontam": decontam.op6_decontam,
     "op7_url_rules": urlrules.op7_url_rules,
+    "op8_near_duplicates": neardup.op8_near_duplicates,
     "op10_pii": pii.op10_pii,
 }
 SQL: dict[str, str] = {
