@@ -7,9 +7,10 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tsloom.llm import decontam, mixing, neardup, ogg, pii, urlrules
+from tsloom.llm import decontam, linededup, mixing, neardup, ogg, pii, urlrules
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op3_line_dedup": linededup.op3_line_dedup,
     "op4_mixing": mixing.op4_mixing,
     "op5_ogg": ogg.op5_ogg,
     "op6_decontam": decontam.op6_decontam,
