@@ -7,9 +7,11 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tsloom.llm import decontam, linededup, mixing, neardup, ogg, pii, urlrules
+from tsloom.llm import decontam, licenses, linededup, mixing, neardup, ogg, pii, quality, urlrules
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_quality": quality.op1_quality,
+    "op2_licenses": licenses.op2_licenses,
     "op3_line_dedup": linededup.op3_line_dedup,
     "op4_mixing": mixing.op4_mixing,
     "op5_ogg": ogg.op5_ogg,
