@@ -2,12 +2,19 @@
 
 from __future__ import annotations
 
-import importlib
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tsloom.llm import decontam, licenses, linededup, mixing, neardup, ogg, pii, quality, urlrules
+from tsloom.llm import decontam, licenses, linededup, lm, mixing, neardup, ogg, pii, quality, urlrules
+
+
+
+def _pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import corpus_pipeline
+
+    return corpus_pipeline.run(spark, sf_dir)
+
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_quality": quality.op1_quality,
@@ -18,7 +25,9 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op6_decontam": decontam.op6_decontam,
     "op7_url_rules": urlrules.op7_url_rules,
     "op8_near_duplicates": neardup.op8_near_duplicates,
+    "op9_lm_score": lm.op9_lm_score,
     "op10_pii": pii.op10_pii,
+    "pipeline": _pipeline,
 }
 SQL: dict[str, str] = {
     "op4_mixing": mixing.SQL,
