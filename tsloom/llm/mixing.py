@@ -23,7 +23,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.window import Window
 
-from tsloom.llm.common import stored
+from tsloom.llm.common import fresh, stored
 
 SEED = 17
 MAX_EPOCHS = 4
@@ -41,7 +41,7 @@ WEIGHTS = [
     ("web", "en", "src0", 2.0),
 ]
 LEAF = ["domain", "lang", "source"]
-_WEIGHTS = T.StructType([T.StructField(c, T.StringType()) for c in LEAF] + [T.StructField("weight", T.DoubleType())])
+WEIGHTS_SCHEMA = T.StructType([T.StructField(c, T.StringType()) for c in LEAF] + [T.StructField("weight", T.DoubleType())])
 
 
 def domain_of(source: Column) -> Column:
@@ -54,13 +54,6 @@ def n_tokens(text: Column) -> Column:
     return F.coalesce(F.regexp_count(text, F.lit(r"[^\x20\x09-\x0D]+")), F.lit(0)).cast("long")
 
 
-def _same(a: DataFrame, b: DataFrame, cols: list[str]) -> Column:
-    out = F.lit(True)
-    for c in cols:
-        out = out & a[c].eqNullSafe(b[c])
-    return out
-
-
 def _weighed(nodes: DataFrame, weights: DataFrame, depth: int) -> DataFrame:
     """nodes with w, the weight of the node that the first `depth` columns of LEAF name."""
     on = LEAF[:depth]
@@ -118,40 +111,39 @@ def mix(docs: DataFrame, domain: Column, weights: DataFrame, share: float = SHAR
     plan = stored(plan.select(*[F.col(c).alias(f"p_{c}") for c in LEAF], "whole", "rest"), "mixing-plan", 1)
     p_leaf = [f"p_{c}" for c in LEAF]
 
-    def at_leaf(df: DataFrame, of: DataFrame, how: str = "inner") -> DataFrame:
+    def matched(a: DataFrame, a_cols: list[str], b: DataFrame, b_cols: list[str]) -> Column:
         cond = F.lit(True)
-        for c in LEAF:
-            cond = cond & df[c].eqNullSafe(of[f"p_{c}"])
-        return df.join(of, cond, how)
+        for x, y in zip(a_cols, b_cols, strict=True):
+            cond = cond & a[x].eqNullSafe(b[y])
+        return cond
 
-    placed = at_leaf(small, plan.where("rest > 0")).withColumn("place", _place(F.col("whole") + 1, F.col("id"), seed)).withColumn("low", F.lit(0).cast("long")).withColumn("left", F.col("rest"))
+    open_ = plan.where("rest > 0")
+    placed = small.join(open_, matched(small, LEAF, open_, p_leaf)).withColumn("place", _place(F.col("whole") + 1, F.col("id"), seed)).withColumn("low", F.lit(0).cast("long")).withColumn("left", F.col("rest"))
     for bits in (52, 44):
         sums = placed.groupBy(*p_leaf, "left", F.shiftright("place", bits).alias("range")).agg(F.sum("n_tokens").alias("n"))
         line = Window.partitionBy(*p_leaf).orderBy("range")
         sums = sums.withColumn("upto", F.sum("n").over(line))
         split = sums.where(F.col("upto") > F.col("left")).groupBy(*p_leaf).agg(F.min(F.struct("range", (F.col("left") - F.col("upto") + F.col("n")).alias("left"))).alias("s"))
         split = split.select(*[F.col(c).alias(f"s_{c}") for c in p_leaf], F.col("s.range").alias("s_range"), F.col("s.left").alias("s_left"))
-        cond = F.shiftright(placed["place"], bits) == split["s_range"]
-        for c in p_leaf:
-            cond = cond & placed[c].eqNullSafe(split[f"s_{c}"])
+        cond = matched(placed, p_leaf, split, [f"s_{c}" for c in p_leaf]) & (F.shiftright(placed["place"], bits) == split["s_range"])
         placed = placed.join(split, cond).withColumn("left", F.col("s_left")).withColumn("low", F.shiftleft("s_range", bits)).select(*placed.columns)
     inside = placed.withColumn("upto", F.sum("n_tokens").over(Window.partitionBy(*p_leaf).orderBy("place", "id", "text_hash")))
     cuts = inside.groupBy(*p_leaf).agg(F.max("low").alias("low"), F.max(F.when(F.col("upto") <= F.col("left"), F.struct("place", "id", "text_hash"))).alias("cut"))
     cuts = cuts.withColumnsRenamed({c: f"c_{c}" for c in p_leaf})
-    cond = F.lit(True)
-    for c in p_leaf:
-        cond = cond & plan[c].eqNullSafe(cuts[f"c_{c}"])
-    plan = stored(plan.join(cuts, cond, "left").select(*p_leaf, "whole", "rest", "low", "cut"), "mixing-cuts", 1)
-    out = at_leaf(base, plan)
-    here = _place(F.col("whole") + 1, F.col(id_col), seed)
+    plan = plan.join(cuts, matched(plan, p_leaf, cuts, [f"c_{c}" for c in p_leaf]), "left").select(*p_leaf, "whole", "rest", "low", "cut")
+    names = fresh(base, *[f"mix_{c}" for c in plan.columns])
+    plan = stored(plan.toDF(*names), "mixing-cuts", 1)
+    out = base.join(plan, matched(base, LEAF, plan, names[:3]))
+    whole, rest, low, cut = (F.col(c) for c in names[3:])
+    here = _place(whole + 1, F.col(id_col), seed)
     key = F.struct(here.alias("place"), F.col(id_col).alias("id"), F.xxhash64(text_col).alias("text_hash"))
-    part = (F.col("rest") > 0) & ((here < F.col("low")) | F.coalesce(key <= F.col("cut"), F.lit(False)))
-    return out.withColumn("epochs", F.col("whole") + F.when(part, 1).otherwise(0)).drop(*p_leaf, "whole", "rest", "low", "cut")
+    part = (rest > 0) & ((here < low) | F.coalesce(key <= cut, F.lit(False)))
+    return out.withColumn("epochs", whole + F.when(part, 1).otherwise(0)).drop(*names)
 
 
 def op4_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text", "lang", "source")
-    return mix(docs, domain_of(F.col("source")), spark.createDataFrame(WEIGHTS, _WEIGHTS)).select("doc_id", "domain", "lang", "source", "n_tokens", "epochs")
+    return mix(docs, domain_of(F.col("source")), spark.createDataFrame(WEIGHTS, WEIGHTS_SCHEMA)).select("doc_id", "domain", "lang", "source", "n_tokens", "epochs")
 
 
 def _fill_sql(nodes: str, parent: str, key: str) -> str:
