@@ -13,10 +13,6 @@ from pyspark.sql import functions as F
 
 from tsloom.llm.common import stored
 
-#: Hubs that each list's members are first compared with.
-HUBS = 2
-
-
 def components(edges: DataFrame) -> DataFrame:
     """node, root (the smallest node of its component) for all nodes of edges (a, b: long).
 
@@ -39,26 +35,32 @@ def components(edges: DataFrame) -> DataFrame:
 
 
 def link_lists(members: DataFrame, verify: Callable[[DataFrame], DataFrame], possible: Callable | None = None) -> DataFrame:
-    """node, root for all nodes that have verified links. members: list (long), node (long), size (long), each row once.
+    """node, root for all nodes that have verified links. members: list (long), node (long), size (long) and most (long: more
+    than this the node shares with none), each row once.
 
-    verify takes pairs (a < b) and returns the rows that are links. possible(size of a, size of b) is a condition that every
-    link meets. First each list's members are compared with HUBS of its members: a group of thousands of near copies
-    falls into one component (or few) after as many comparisons as it has members. Then all pairs of a list are compared
-    whose members are in different components still. A pair within one component cannot change the components, so
-    the components are the same as if all pairs of all lists had been compared."""
-    possible = possible or (lambda a, b: F.lit(True))
+    verify takes pairs (a < b) and returns the rows that are links. possible(size of a, most of a, size of b, most of b) is
+    a condition that every link meets. First each list's members are compared with two hubs: the member that meets most others over all its lists, as the
+    original of a group of near copies does, and one chosen by a hash. A group of thousands falls into one component (or
+    few) after as many comparisons as it has members. Then all pairs of a list are compared whose members are in
+    different components still. A pair within one component cannot change the components, so they are the same as
+    if all pairs of all lists had been compared."""
+    possible = possible or (lambda *_: F.lit(True))
     members = stored(members, "members")
-    hubs = members.groupBy("list").agg(F.count("*").alias("n"), *[F.min(F.struct(F.xxhash64(F.lit(i), "node").alias("o"), "node", "size")).alias(f"h{i}") for i in range(HUBS)]).where("n > 1")
-    hubs = hubs.select("list", F.explode(F.array_distinct(F.array(*[F.struct(F.col(f"h{i}.node").alias("node"), F.col(f"h{i}.size").alias("size")) for i in range(HUBS)]))).alias("h"))
-    first = members.join(hubs.select("list", F.col("h.node").alias("hub"), F.col("h.size").alias("hub_size")), "list").where((F.col("node") != F.col("hub")) & possible(F.col("size"), F.col("hub_size")))
+    sizes = members.groupBy("list").agg(F.count("*").alias("n")).where("n > 1")
+    mass = members.join(sizes, "list").groupBy("node").agg(F.sum("n").alias("mass"))
+    members = stored(members.join(mass, "node"), "members")
+    heavy, drawn = (F.struct(o.alias("o"), "node", "size", "most") for o in (-F.col("mass"), F.xxhash64("node")))
+    hubs = members.groupBy("list").agg(F.min(heavy).alias("h0"), F.min(drawn).alias("h1"), F.count("*").alias("n")).where("n > 1")
+    hubs = hubs.select("list", F.explode(F.array_distinct(F.array(*[F.struct(F.col(f"h{i}.node").alias("node"), F.col(f"h{i}.size").alias("size"), F.col(f"h{i}.most").alias("most")) for i in range(2)]))).alias("h"))
+    first = members.join(hubs.select("list", F.col("h.node").alias("hub"), F.col("h.size").alias("hub_size"), F.col("h.most").alias("hub_most")), "list").where((F.col("node") != F.col("hub")) & possible(F.col("size"), F.col("most"), F.col("hub_size"), F.col("hub_most")))
     pairs = stored(first.select(F.least("node", "hub").alias("a"), F.greatest("node", "hub").alias("b")).distinct(), "pairs")
     links = stored(verify(pairs).select("a", "b"), "links")
     roots = stored(components(links), "roots")
-    placed = members.join(roots, "node", "left").select("list", "node", "size", F.coalesce("root", "node").alias("root"))
+    placed = members.join(roots, "node", "left").select("list", "node", "size", "most", F.coalesce("root", "node").alias("root"))
     mixed = placed.groupBy("list").agg(F.min("root").alias("r0"), F.max("root").alias("r1")).where("r0 <> r1").select("list")
     placed = stored(placed.join(mixed, "list"), "placed")
-    other = placed.select("list", F.col("node").alias("b"), F.col("size").alias("size_b"), F.col("root").alias("root_b"))
-    rest = placed.withColumnsRenamed({"node": "a", "size": "size_a", "root": "root_a"}).join(other, "list").where((F.col("a") < F.col("b")) & (F.col("root_a") != F.col("root_b")) & possible(F.col("size_a"), F.col("size_b")))
+    other = placed.select("list", F.col("node").alias("b"), F.col("size").alias("size_b"), F.col("most").alias("most_b"), F.col("root").alias("root_b"))
+    rest = placed.withColumnsRenamed({"node": "a", "size": "size_a", "most": "most_a", "root": "root_a"}).join(other, "list").where((F.col("a") < F.col("b")) & (F.col("root_a") != F.col("root_b")) & possible(F.col("size_a"), F.col("most_a"), F.col("size_b"), F.col("most_b")))
     rest = rest.select("a", "b").distinct().join(pairs, ["a", "b"], "left_anti")
     more = stored(verify(stored(rest, "pairs")).select("a", "b"), "links")
     # roots are stars, so they stand for the first links

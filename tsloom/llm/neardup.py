@@ -2,11 +2,12 @@
 
 A document's set is its distinct runs of five words (one hash function, 63 bits of a 64-bit mix). Its sketch is the K
 smallest values. Texts with the same set fall together first. Inverted lists of the retained values then give
-overlaps: in the order of rising frequency of values, two sketches that share half their values share one of their first
-|sketch| / 2 + 1 (the prefix principle), so only these are listed, and values of common passages hardly ever are.
-For each pair that meets in a list, the union of both sketches estimates the similarity; pairs of at least KEEP are
-confirmed by the exact similarity of their full sets. At similarity 0.85 the estimate of 64 values is below 0.5 with a
-probability under 1e-9. Components of the confirmed links are the groups.
+overlaps: in the order of rising frequency of values, two sketches that share a part KEEP of their values share one of
+their first (1 - KEEP) * |sketch| + 1 (the prefix principle), so only these are listed, and values of common passages hardly
+ever are. For each pair that meets in a list, the union of both sketches estimates the similarity; pairs of at least
+the least estimate are confirmed by the exact similarity of their full sets. Where the sketch is the whole set, of the document and of any
+that can be near it, KEEP is the threshold itself; else it lies SLACK below, 5.2 standard deviations of an estimate from 192 values
+at the threshold 0.85. Components of the confirmed links are the groups.
 
 Nulls and odd input: null, empty and wordless texts have an empty set, belong to no group and are kept; a text of one to
 four words is one run. A null id never is a component's id (unless all of the group's are null) and is not kept when its
@@ -28,9 +29,9 @@ from tsloom.llm import tokens
 from tsloom.llm.clusters import link_lists
 from tsloom.llm.common import stored
 
-K = 64
-#: Least estimated similarity of a pair that is verified.
-KEEP = 0.5
+K = 192
+#: How far the estimate of a pair may fall below the threshold.
+SLACK = 0.134
 WORDS = 5
 #: The query's threshold in percent, and the default of the pipeline's stage.
 PERCENT, STAGE_PERCENT = 85, 80
@@ -74,10 +75,10 @@ def full_sets(texts: DataFrame, words: int = WORDS) -> DataFrame:
     return texts.mapInArrow(run, "node long, values array<long>")
 
 
-def estimate(a, b, k: int = K):
+def estimate(a, b, n_a, n_b, k: int = K):
     """Share of common values among the k smallest of both sketches' union; exact where both sketches are whole sets."""
     both = F.array_sort(F.array_union(a, b))
-    low = F.when((F.size(a) < k) & (F.size(b) < k), both).otherwise(F.slice(both, 1, k))
+    low = F.when((n_a <= k) & (n_b <= k), both).otherwise(F.slice(both, 1, k))
     return F.size(F.array_intersect(low, F.array_intersect(a, b))) / F.size(low)
 
 
@@ -85,31 +86,41 @@ def near_duplicates(docs: DataFrame, percent: int = PERCENT, id_col: str = "doc_
     """docs with n_shingles, component_id and kept."""
     base = docs.drop(*[c for c in docs.columns if c.lower() in ("n_shingles", "component_id", "kept")])
     k = K
-    sig = stored(sketches(base, id_col, text_col, words, k), "sketches")
+    # sketches are made twice rather than stored: that takes less time than their bytes do
+    sig = stored(sketches(base, id_col, text_col, words, k).select("id", "n", "node"), "nodes")
     real = sig.where("n > 0")
-    reps = real.groupBy("node").agg(F.first("n").alias("n"), F.first("sketch").alias("sketch"))
-    reps = stored(reps, "representatives")
-    listed = reps.select("node", "n", F.explode("sketch").alias("value"))
+    reps = sketches(base, id_col, text_col, words, k).where("n > 0").groupBy("node").agg(F.first("n").alias("n"), F.first("sketch").alias("sketch"))
+    # dealt out once by value; the aggregate and the join below both read this exchange
+    listed = reps.select("node", "n", F.explode("sketch").alias("value")).repartition("value")
     shared = listed.groupBy("value").agg(F.count("*").alias("df")).where("df > 1")
     ranked = listed.join(shared, "value").groupBy("node", "n").agg(F.sort_array(F.collect_list(F.struct("df", "value"))).alias("by"))  # at most k values
     held = F.least(F.col("n"), F.lit(k))
-    prefix = held - F.greatest(F.lit(1), F.floor(held * KEEP)) + 1 - (held - F.size("by"))  # values of one document alone come first, and list nothing
-    members = ranked.where(prefix > 0).select(F.explode(F.slice("by", F.lit(1), prefix.cast("int"))).alias("v"), "node", "n").select(F.col("v.value").alias("list"), "node", F.col("n").alias("size"))
+    whole = F.col("n") * 100 <= percent * k  # then all that can be near it have at most k values
+    least = F.when(whole, F.ceil(held * percent / 100)).otherwise(F.greatest(F.lit(1), F.floor(held * (percent / 100 - SLACK))))
+    prefix = held - least + 1 - (held - F.size("by"))  # values of one document alone come first, and list nothing
+    members = ranked.where(prefix > 0).select(F.explode(F.slice("by", F.lit(1), prefix.cast("int"))).alias("v"), "node", "n", F.when(whole, F.size("by")).otherwise(F.col("n")).cast("long").alias("most")).select(F.col("v.value").alias("list"), "node", F.col("n").alias("size"), "most")
     source = base.select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text"))
 
+    members = stored(members, "listed")
+    first = sig.join(members.select("node").distinct(), "node").groupBy("node").agg(F.min("id").alias("id"), F.first("n").alias("n"))
+    sets = full_sets(source.join(first, "id").select("node", "text"), words).groupBy("node").agg(F.first("values").alias("values"))
+    sets = stored(sets, "listed-sets")
+    low = stored(sets.select("node", F.size("values").cast("long").alias("n"), F.slice("values", 1, k).alias("sketch")), "listed-sketches")
+
     def verify(pairs: DataFrame) -> DataFrame:
-        side = lambda s: reps.select(F.col("node").alias(s), F.col("sketch").alias(f"sketch_{s}"), F.col("n").alias(f"n_{s}"))
-        likely = pairs.join(side("a"), "a").join(side("b"), "b").where(estimate(F.col("sketch_a"), F.col("sketch_b"), k) >= KEEP)
+        side = lambda s: low.select(F.col("node").alias(s), F.col("sketch").alias(f"sketch_{s}"), F.col("n").alias(f"n_{s}"))
+        slack = F.when((F.col("n_a") <= k) & (F.col("n_b") <= k), 1e-9).otherwise(SLACK)
+        likely = pairs.join(side("a"), "a").join(side("b"), "b").where(estimate(F.col("sketch_a"), F.col("sketch_b"), F.col("n_a"), F.col("n_b"), k) >= percent / 100 - slack)
         likely = stored(likely.select("a", "b", "n_a", "n_b"), "likely")
-        asked = likely.select(F.explode(F.array("a", "b")).alias("node")).distinct()
-        first = asked.join(sig.select("node", "id"), "node").groupBy("node").agg(F.min("id").alias("id"))
-        texts = source.join(first, "id").select("node", "text")
-        sets = stored(full_sets(texts, words).groupBy("node").agg(F.first("values").alias("values")), "sets")
         both = likely.join(sets.select(F.col("node").alias("a"), F.col("values").alias("x")), "a").join(sets.select(F.col("node").alias("b"), F.col("values").alias("y")), "b")
         common = F.size(F.array_intersect("x", "y"))
         return both.withColumn("common", common).where(100 * F.col("common") >= percent * (F.col("n_a") + F.col("n_b") - F.col("common"))).select("a", "b")
 
-    roots = link_lists(members, verify, lambda x, y: (100 * x >= percent * y) & (100 * y >= percent * x))
+    def possible(n_a, most_a, n_b, most_b):
+        most = F.least(most_a, most_b)
+        return 100 * most >= percent * (n_a + n_b - most)
+
+    roots = link_lists(members, verify, possible)
     nodes = real.groupBy("node").agg(F.min("id").alias("id")).join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
     named = nodes.groupBy("root").agg(F.min("id").alias("component_id"))
     nodes = stored(nodes.join(named, "root").select("node", "component_id"), "named")
