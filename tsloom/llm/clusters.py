@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 
 from tsloom.llm.common import stored
 
+
 def components(edges: DataFrame) -> DataFrame:
     """node, root (the smallest node of its component) for all nodes of edges (a, b: long).
 
@@ -59,9 +60,12 @@ def link_lists(members: DataFrame, verify: Callable[[DataFrame], DataFrame], pos
     placed = members.join(roots, "node", "left").select("list", "node", "size", "most", F.coalesce("root", "node").alias("root"))
     mixed = placed.groupBy("list").agg(F.min("root").alias("r0"), F.max("root").alias("r1")).where("r0 <> r1").select("list")
     placed = stored(placed.join(mixed, "list"), "placed")
-    other = placed.select("list", F.col("node").alias("b"), F.col("size").alias("size_b"), F.col("most").alias("most_b"), F.col("root").alias("root_b"))
-    rest = placed.withColumnsRenamed({"node": "a", "size": "size_a", "most": "most_a", "root": "root_a"}).join(other, "list").where((F.col("a") < F.col("b")) & (F.col("root_a") != F.col("root_b")) & possible(F.col("size_a"), F.col("most_a"), F.col("size_b"), F.col("most_b")))
-    rest = rest.select("a", "b").distinct().join(pairs, ["a", "b"], "left_anti")
+    # a pair that meets in several lists comes out of the least of them alone; a node is in a bounded number of lists
+    placed = placed.join(placed.groupBy("node").agg(F.collect_list("list").alias("lists")), "node")
+    sided = lambda s: placed.withColumnsRenamed({c: f"{c}_{s}" for c in ("size", "most", "root", "lists")} | {"node": s})
+    met = F.array_min(F.array_intersect("lists_a", "lists_b")) == F.col("list")
+    rest = sided("a").join(sided("b"), "list").where((F.col("a") < F.col("b")) & (F.col("root_a") != F.col("root_b")) & possible(F.col("size_a"), F.col("most_a"), F.col("size_b"), F.col("most_b")) & met)
+    rest = rest.select("a", "b").join(pairs, ["a", "b"], "left_anti")
     more = stored(verify(stored(rest, "pairs")).select("a", "b"), "links")
     # roots are stars, so they stand for the first links
     stars = roots.where("node <> root").select(F.col("node").alias("a"), F.col("root").alias("b"))
