@@ -86,14 +86,16 @@ def near_duplicates(docs: DataFrame, percent: int = PERCENT, id_col: str = "doc_
     """docs with n_shingles, component_id and kept."""
     base = docs.drop(*[c for c in docs.columns if c.lower() in ("n_shingles", "component_id", "kept")])
     k = K
-    # sketches are made twice rather than stored: that takes less time than their bytes do
+    # sketches are made again for reps: that takes less time than storing those of all copies does
     sig = stored(sketches(base, id_col, text_col, words, k).select("id", "n", "node"), "nodes")
     real = sig.where("n > 0")
-    reps = sketches(base, id_col, text_col, words, k).where("n > 0").groupBy("node").agg(F.first("n").alias("n"), F.first("sketch").alias("sketch"))
-    # dealt out once by value; the aggregate and the join below both read this exchange
-    listed = reps.select("node", "n", F.explode("sketch").alias("value")).repartition("value")
-    shared = listed.groupBy("value").agg(F.count("*").alias("df")).where("df > 1")
-    ranked = listed.join(shared, "value").groupBy("node", "n").agg(F.sort_array(F.collect_list(F.struct("df", "value"))).alias("by"))  # at most k values
+    reps = sketches(base, id_col, text_col, words, k).where("n > 0").groupBy("node").agg(F.first("sketch").alias("sketch"))
+    reps = stored(reps, "sketches")
+    # dealt out once by value: the aggregate and the join below need the same columns of a table, so both read one exchange
+    listed = reps.select("node", F.explode("sketch").alias("value")).repartition("value")
+    shared = listed.groupBy("value").agg(F.count("*").alias("df"), F.min("node").alias("lo"), F.max("node").alias("hi")).where("lo <> hi").select("value", "df")
+    ranked = listed.join(shared, "value").groupBy("node").agg(F.sort_array(F.collect_list(F.struct("df", "value"))).alias("by"))  # at most k values
+    ranked = ranked.join(real.groupBy("node").agg(F.first("n").alias("n")), "node")
     held = F.least(F.col("n"), F.lit(k))
     whole = F.col("n") * 100 <= percent * k  # then all that can be near it have at most k values
     least = F.when(whole, F.ceil(held * percent / 100)).otherwise(F.greatest(F.lit(1), F.floor(held * (percent / 100 - SLACK))))
