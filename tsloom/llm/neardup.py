@@ -91,8 +91,8 @@ def near_duplicates(docs: DataFrame, percent: int = PERCENT, id_col: str = "doc_
     real = sig.where("n > 0")
     reps = sketches(base, id_col, text_col, words, k).where("n > 0").groupBy("node").agg(F.first("sketch").alias("sketch"))
     reps = stored(reps, "sketches")
-    # dealt out once by value: the aggregate and the join below need the same columns of a table, so both read one exchange
-    listed = reps.select("node", F.explode("sketch").alias("value")).repartition("value")
+    # dealt out once by value: the aggregate and the join below need the same columns and conditions, so both read one exchange
+    listed = reps.select("node", F.explode("sketch").alias("value")).where("node IS NOT NULL AND value IS NOT NULL").repartition("value")
     shared = listed.groupBy("value").agg(F.count("*").alias("df"), F.min("node").alias("lo"), F.max("node").alias("hi")).where("lo <> hi").select("value", "df")
     ranked = listed.join(shared, "value").groupBy("node").agg(F.sort_array(F.collect_list(F.struct("df", "value"))).alias("by"))  # at most k values
     ranked = ranked.join(real.groupBy("node").agg(F.first("n").alias("n")), "node")
