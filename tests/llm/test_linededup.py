@@ -69,3 +69,58 @@ def test_near_lines_ties_and_odd_rows(spark):
     got = sorted((r.doc_id is None, r.text) for r in linededup.dedup_lines(twice).collect())
     assert got[:2] == [(False, "p"), (False, "p")] and len(got) == 4 and sum("q" in t for _, t in got) == 1
     assert linededup.dedup_lines(df.limit(0)).count() == 0
+
+
+def brute_all(docs, percent=80, k=5):
+    """As brute, over the shingles at every character and all pairs."""
+    lines = {}
+    for i, t in docs:
+        for p, x in enumerate((t or "").split("\n")):
+            if norm(x):
+                lines.setdefault(norm(x), []).append((i, p))
+    names = list(lines)
+    sets = [{n[j : j + k] for j in range(max(1, len(n) - k + 1))} for n in names]
+    root = list(range(len(names)))
+
+    def find(i):
+        while root[i] != i:
+            i = root[i]
+        return i
+
+    for i, s in enumerate(sets):
+        for j in range(i):
+            n = len(s & sets[j])
+            if 100 * n >= percent * (len(s) + len(sets[j]) - n):
+                root[find(i)] = find(j)
+    stay = {}
+    for i, n in enumerate(names):
+        stay[find(i)] = min(stay.get(find(i), lines[n][0]), *lines[n])
+    kept = set(stay.values())
+    return {i: None if t is None else "\n".join(x for p, x in enumerate(t.split("\n")) if not norm(x) or (i, p) in kept) for i, t in docs}
+
+
+def test_every_character_counts(spark):
+    rng = random.Random(8)
+    urls = [f"https://www.site{rng.randint(0, 10**9)}.example/{rng.randint(0, 10**9)}" for _ in range(20)]
+    signs = [chr(c) for c in range(0x4E00, 0x4E80)] + [chr(0x20000 + c) for c in range(40)]
+    head = "".join(rng.choice(signs) for _ in range(12))
+    unspaced = [head + "".join(rng.choice(signs) for _ in range(80)) for _ in range(6)]
+    words = ["".join(rng.choice("abcdefghijklmnop") for _ in range(rng.randint(5, 8))) for _ in range(400)]
+    pairs = []
+    for _ in range(40):
+        line = " ".join(rng.choices(words, k=10))
+        at = rng.randrange(5, len(line) - 5)
+        pairs += [line, line[:at] + "#" + line[at + 1 :]]
+    near = unspaced[0][:40] + "x" + unspaced[0][41:]
+    docs = list(enumerate([*urls, *unspaced, near, *pairs, "ab", "abc", "abcde", "abcdef"]))
+    want = brute_all(docs)
+    got = {r.doc_id: r.text for r in linededup.dedup_lines(spark.createDataFrame(docs, "doc_id long, text string")).collect()}
+    assert got == want
+    assert all(got[i] == t for i, t in docs[:26]) and got[26] == "" and sum(got[i] == "" for i in range(27, 107)) >= 35
+
+
+def test_query_against_brute_force_over_every_character(spark, sf_dir):
+    docs = [(r.doc_id, r.text) for r in spark.read.parquet(f"{sf_dir}/documents.parquet").collect()]
+    want = brute_all(docs)
+    got = {r.doc_id: r.text for r in linededup.op3_line_dedup(spark, sf_dir).collect()}
+    assert got == want and any(want[i] != t for i, t in docs)

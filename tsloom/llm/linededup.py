@@ -1,11 +1,11 @@
 """Fuzzy line deduplication by MinHash, in DataFrame functions alone.
 
 A line's normal form is lower-cased, with runs of blanks as one space and none at the ends. Its shingles are the strings of
-SHINGLE characters that begin at its words (shorter at the end of the line). Equal lines fall together first, by a 64-bit
-hash. Of each distinct line, ROWS * BANDS minima are taken over its shingles' hashes, each under another XOR mask (a
-permutation of hash values); BANDS keys of ROWS minima list it. Lines that meet in a list are compared by the exact
-Jaccard similarity of their shingle sets; links of at least `percent` are joined into components by distributed
-union-find, and of each component the first line (by document id, then place in the document) stays. A pair at the
+SHINGLE characters that begin at each of its characters (a shorter line is one shingle). Equal lines fall together first, by a
+64-bit hash. Of each distinct line, ROWS * BANDS minima are taken over its shingles' hashes, each under another permutation of
+32-bit values; BANDS keys of ROWS minima list it. Lines that meet in a list, and whose sets are not too different in size, are
+compared by the exact Jaccard similarity of their shingle sets; links of at least `percent` are joined into components by
+distributed union-find, and of each component the first line (by document id, then place in the document) stays. A pair at the
 threshold of 0.8 meets in some list with probability 0.9998, one at 0.9 with more than 1 - 1e-6.
 
 Nulls and odd input: a null text has no lines and stays null; blank lines are never dropped. Null ids come before others.
@@ -16,16 +16,20 @@ lines share a hash with a probability of 3e-8.
 
 from __future__ import annotations
 
+import random
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tsloom.llm.clusters import link_lists
 from tsloom.llm.common import fresh, stored
 
-SHINGLE, ROWS, BANDS = 12, 3, 12
+SHINGLE, ROWS, BANDS = 5, 5, 22
 PERCENT = 80
-#: XOR masks: odd multiples of the golden ratio's 64 bits, as signed numbers.
-MASKS = [((2 * i + 1) * 0x9E3779B97F4A7C15 + (1 << 63)) % (1 << 64) - (1 << 63) for i in range(ROWS * BANDS)]
+_LOW = (1 << 32) - 1
+_draw = random.Random(3)
+#: Odd factors and summands of the permutations of 32-bit values; no product leaves 63 bits.
+PERMUTATIONS = [(_draw.randrange(1, 1 << 31, 2), _draw.randrange(1 << 31)) for _ in range(ROWS * BANDS)]
 
 
 def normal(line: Column) -> Column:
@@ -33,8 +37,10 @@ def normal(line: Column) -> Column:
 
 
 def shingles(norm: Column) -> Column:
-    """The array of a normal line's shingles, with repeats."""
-    return F.regexp_extract_all(norm, F.lit(rf"(?s)(?:^|(?<= ))(?=(.{{1,{SHINGLE}}}))"), F.lit(1))
+    """The array of a normal line's distinct shingles."""
+    # the match takes one character, the group looks ahead
+    every = F.array_distinct(F.regexp_extract_all(norm, F.lit(rf"(?s)(?=(.{{{SHINGLE}}}))."), F.lit(1)))
+    return F.when(F.length(norm) <= SHINGLE, F.array(norm)).otherwise(every)
 
 
 def occurrences(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
@@ -44,30 +50,35 @@ def occurrences(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
 
 
 def signatures(lines: DataFrame) -> DataFrame:
-    """list, node: the band keys of distinct lines (node, norm)."""
-    each = lines.select("node", F.explode(shingles(F.col("norm"))).alias("s")).select("node", F.xxhash64("s").alias("h"))
-    mins = each.groupBy("node").agg(*[F.min(F.col("h").bitwiseXOR(F.lit(m))).alias(f"m{i}") for i, m in enumerate(MASKS)])
+    """list, node, size (of the shingle set): the band keys of distinct lines (node, norm)."""
+    each = lines.select("node", F.explode(shingles(F.col("norm"))).alias("s")).select("node", F.xxhash64("s").bitwiseAND(F.lit(_LOW)).alias("h"))
+    mins = each.groupBy("node").agg(F.count("*").alias("size"), *[F.min((F.col("h") * F.lit(c).cast("long") + F.lit(d).cast("long")).bitwiseAND(F.lit(_LOW))).alias(f"m{i}") for i, (c, d) in enumerate(PERMUTATIONS)])
     bands = [F.xxhash64(F.lit(b), *[F.col(f"m{b * ROWS + r}") for r in range(ROWS)]) for b in range(BANDS)]
-    return mins.select("node", F.explode(F.array(*bands)).alias("list"))
+    return mins.select("node", "size", F.explode(F.array(*bands)).alias("list"))
 
 
 def line_components(occ: DataFrame, percent: int = PERCENT) -> DataFrame:
     """node, root of the distinct lines that are near some other one."""
     lines = occ.select("node", "norm").groupBy("node").agg(F.first("norm").alias("norm"))
-    # dealt out once by list; the aggregate and the join below both read this exchange
+    # dealt out once by list; the aggregate and the join below need the same columns, so both read this exchange
     listed = signatures(lines).repartition("list")
-    shared = listed.groupBy("list").agg(F.min("node").alias("lo"), F.max("node").alias("hi")).where("lo <> hi").select("list")
-    members = listed.join(shared, "list").select("list", "node", F.lit(0).cast("long").alias("size"), F.lit(0).cast("long").alias("most"))
+    shared = listed.groupBy("list").agg(F.min("node").alias("lo"), F.max("node").alias("hi"), F.min("size").alias("least")).where("lo <> hi AND least > 0").select("list")
+    members = listed.join(shared, "list").select("list", "node", "size", F.col("size").alias("most"))
 
     def verify(pairs: DataFrame) -> DataFrame:
         asked = pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct()
         norms = occ.select("node", "norm").join(asked, "node", "left_semi").groupBy("node").agg(F.first("norm").alias("norm"))
-        sets = stored(norms.select("node", F.array_distinct(F.transform(shingles(F.col("norm")), lambda s: F.xxhash64(s))).alias("s")), "line-sets")
-        both = pairs.join(sets.select(F.col("node").alias("a"), F.col("s").alias("x")), "a").join(sets.select(F.col("node").alias("b"), F.col("s").alias("y")), "b")
+        # lines, not their sets, go to the pairs: a set is many times as large
+        norms = stored(norms, "line-norms")
+        both = pairs.join(norms.select(F.col("node").alias("a"), F.col("norm").alias("x")), "a").join(norms.select(F.col("node").alias("b"), F.col("norm").alias("y")), "b")
+        both = both.select("a", "b", shingles(F.col("x")).alias("x"), shingles(F.col("y")).alias("y"))
         both = both.select("a", "b", F.size(F.array_intersect("x", "y")).alias("n"), (F.size("x") + F.size("y")).alias("total"))
         return both.where(100 * F.col("n") >= percent * (F.col("total") - F.col("n"))).select("a", "b")
 
-    return link_lists(members, verify)
+    def possible(n_a, _most_a, n_b, _most_b):
+        return 100 * F.least(n_a, n_b) >= percent * F.greatest(n_a, n_b)
+
+    return link_lists(members, verify, possible)
 
 
 def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", percent: int = PERCENT) -> DataFrame:
