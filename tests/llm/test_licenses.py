@@ -40,3 +40,13 @@ def test_odd_rows(spark):
     by = {r.doc_id: r for r in rows}
     assert [by[i].license for i in (1, 2, 3, 4, None, 5)] == [None, None, None, "mit", None, None]
     assert licenses.scan_licenses(df.limit(0)).count() == 0
+
+
+def test_two_licences_in_a_line_long_texts_and_wrapped_notices(spark):
+    mit, apache = "Licensed under the MIT license", "the Apache License, Version 2.0"
+    gpl = "This program is free software: you can redistribute it and/or modify\nit under the terms of the GNU General Public License as published by\nthe Free Software Foundation, either version 3 of the License, or\n(at your option) any later version."
+    filler = " nolo" * 300
+    texts = [f"{mit} or {apache}.", f"{mit}{filler} Licensed under {apache}{filler} Released under the ISC license", "head\n\n" + gpl, f"{mit}\nword\nLicensed under {apache}"]
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    got = {r.doc_id: [(x.paragraph, x.family) for x in r.licenses] for r in licenses.scan_licenses(df).collect()}
+    assert got == {0: [(0, "apache-2.0"), (0, "mit")], 1: [(0, "apache-2.0"), (0, "isc"), (0, "mit")], 2: [(1, "gpl-3.0")], 3: [(0, "mit"), (2, "apache-2.0")]}

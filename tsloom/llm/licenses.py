@@ -1,11 +1,13 @@
 """Licence scans: a trained paragraph classifier, confirmed against templates.
 
-Paragraphs are lines. Of each, stretches of at most WINDOW words around words of the classifier's vocabulary are classified: a
-multinomial logistic regression (Spark ML) over sparse one- and two-word n-grams, with a class for text that is no licence. It is
+Paragraphs are lines. Notices are looked for in the words of the whole text, as they are often wrapped over several lines. A
+stretch of at most WINDOW words in which at least CONFIRM of the two-word n-grams of a family's notice occur confirms the family. It
+counts where the classifier, asked about the stretch's words, names the same family with a probability of at least CONFIDENT:
+a multinomial logistic regression (Spark ML) over sparse one- and two-word n-grams, with a class for text that is no licence. It is
 trained here, on fragments of short licence notices, set among random words, and on harmless text in which the same words occur.
-A temperature, fitted on held-out fragments, calibrates its probabilities. A family counts where its probability is at
-least CONFIDENT and a template of the family confirms it: at least CONFIRM of the two-word n-grams of one of its notices occur
-in the stretch.
+A temperature, fitted on held-out fragments, calibrates its probabilities. Stretches with the most of a notice in the fewest words
+come first; the words that one has used up count for no other, so a text has every licence that it names, each with the line
+in which its stretch begins.
 
 Nulls and odd input: null, empty and wordless texts have no paragraphs and no licence. Rows are judged one by one, so
 repeated rows, ties and null ids need no rule. An empty table gives an empty result. Other input columns are kept;
@@ -116,28 +118,80 @@ class Scanner:
         self.weights, self.bias, self.heat, self.vocab = weights, bias, heat, vocabulary()
         self.notices = {f: [set(map(" ".join, zip(w, w[1:], strict=False))) for w in map(words_of, ns)] for f, ns in NOTICES.items()}
         self.pairs = set().union(*(s for ss in self.notices.values() for s in ss))
-        self.first = {p.split(" ")[0] for p in self.pairs}
-
-    def paragraph(self, text: str) -> tuple[str, float] | None:
-        """The surest confirmed family and its probability."""
-        ws = words_of(text)
-        at = [i for i in range(len(ws) - 1) if ws[i] in self.first and f"{ws[i]} {ws[i + 1]}" in self.pairs]
-        best, done = None, -1
-        for i in at:
-            if i < done:
+        self.holders = {}
+        for f, ss in self.notices.items():
+            for i, n in enumerate(ss):
+                for g in n:
+                    self.holders.setdefault(g, []).append((f, i))
+
+    def _stretches(self, places: list[tuple[int, str]], need: float) -> list[list[int]]:
+        """Of the places (position, n-gram) of a notice's n-grams, those of stretches that have at least need different ones."""
+
+        def grown(s: int) -> list[int]:
+            seen, out = set(), []
+            for i, g in places[s : s + WINDOW]:
+                if i - places[s][0] >= WINDOW:
+                    break
+                if g not in seen:
+                    seen.add(g)
+                    out.append(i)
+            return out
+
+        found, s = [], 0
+        while s < len(places):
+            best = grown(s)
+            if len(best) < need:
+                s += 1
                 continue
-            done = i + WINDOW // 2  # stretches overlap by half
-            grams = ngrams(ws[max(0, i - 4) : i + WINDOW])
-            p = _probabilities(self.weights, self.bias, [self.vocab[g] for g in grams if g in self.vocab], self.heat)
-            k = int(p.argmax())
-            if k < len(FAMILIES) and p[k] >= CONFIDENT and (best is None or p[k] > best[1]) and any(len(n & grams) >= CONFIRM * len(n) for n in self.notices[FAMILIES[k]]):
-                best = (FAMILIES[k], float(p[k]))
-        return best
+            t = s + 1
+            while t < len(places) and places[t][0] <= best[-1]:  # a later start may have more of the notice, or as much in fewer words
+                other = grown(t)
+                if (len(other), best[-1] - best[0]) > (len(best), other[-1] - other[0]):
+                    best = other
+                t += 1
+            found.append(best)
+            while s < len(places) and places[s][0] <= best[-1]:
+                s += 1
+        return found
+
+    def licences(self, ws: list[str]) -> list[tuple[int, str, float]]:
+        """(position of the first word, family, probability) of all confirmed stretches of a text's words."""
+        pairs = list(map(" ".join, zip(ws, ws[1:], strict=False)))
+        at = [i for i, g in enumerate(pairs) if g in self.pairs]
+        used, out, more = set(), [], True
+        while more:
+            more, places = False, {}
+            for i in at:
+                if i not in used:
+                    for h in self.holders[pairs[i]]:
+                        places.setdefault(h, []).append((i, pairs[i]))
+            likely = []
+            for (f, k), ps in places.items():
+                size = len(self.notices[f][k])
+                if len({g for _, g in ps}) >= CONFIRM * size:
+                    likely += [(len(x) / size * len(x) / (x[-1] - x[0] + 1), f, x, CONFIRM * size) for x in self._stretches(ps, CONFIRM * size)]
+            for _, f, x, need in sorted(likely, key=lambda c: (-c[0], c[2][0], c[1])):
+                x = [i for i in x if i not in used]
+                if len(x) < need:
+                    continue
+                inside = [i for i in range(x[0], x[-1] + 1) if i not in used]
+                found = {pairs[i] for i in inside} | {ws[i] for i in inside} | {ws[i + 1] for i in inside}
+                p = _probabilities(self.weights, self.bias, [self.vocab[g] for g in found if g in self.vocab], self.heat)
+                k = int(p.argmax())
+                if k < len(FAMILIES) and FAMILIES[k] == f and p[k] >= CONFIDENT:
+                    out.append((x[0], f, float(p[k])))
+                    used.update(x)
+                    more = True
+        return sorted(out)
 
     def text(self, text: str | None) -> tuple[int, list[tuple[int, str, float]]]:
-        """Paragraphs that are not blank, and (paragraph, family, probability) of licensed ones."""
-        lines = [x for x in (text or "").split("\n") if x.strip()]
-        return len(lines), [(i, *hit) for i, x in enumerate(lines) if (hit := self.paragraph(x))]
+        """Paragraphs that are not blank, and (paragraph, family, probability) of all licences, each once a paragraph."""
+        lines = [words_of(x) for x in (text or "").split("\n") if x.strip()]
+        line_of = [i for i, ws in enumerate(lines) for _ in ws]
+        best = {}
+        for at, f, p in self.licences([w for ws in lines for w in ws]):
+            best[line_of[at], f] = max(p, best.get((line_of[at], f), 0.0))
+        return len(lines), [(i, f, p) for (i, f), p in sorted(best.items())]
 
 
 _FOUND = T.ArrayType(T.StructType([T.StructField("paragraph", T.IntegerType()), T.StructField("family", T.StringType()), T.StructField("probability", T.DoubleType())]))
