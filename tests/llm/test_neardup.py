@@ -98,3 +98,16 @@ def test_sketch_is_bottom_of_set(spark):
     df = spark.createDataFrame([(1, " ".join(f"t{i}" for i in range(500)))], "doc_id long, text string")
     r = neardup.sketches(df).first()
     assert r.n == 496 and len(r.sketch) == neardup.K and r.sketch == sorted(r.sketch) and np.all(np.array(r.sketch) >= 0)
+
+
+def test_null_ids_and_one_id_with_two_texts(spark):
+    rng = random.Random(9)
+    some = lambda: [f"w{rng.randint(0, 9999)}" for _ in range(100)]
+    a, b, c, d = (" ".join(some()) for _ in range(4))
+    na, nb, nc = (" ".join([*t.split()[:-1], "other"]) for t in (a, b, c))
+    rows = [(1, a), (None, na), (None, d), (5, b), (7, nb), (7, c), (8, nc)]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    got = {(r.id, r.component_id, r.kept) for r in neardup.near_duplicates(df, 85).collect()}
+    assert got == {(1, 1, True), (None, 1, False), (None, None, True), (5, 5, True), (7, 5, False), (7, 7, True), (8, 7, False)}
+    left = {(r.doc_id, r.text) for r in neardup.drop_near_duplicates(df, 85).collect()}
+    assert left == {(1, a), (None, d), (5, b), (7, c)}

@@ -11,7 +11,8 @@ at the threshold 0.85. Components of the confirmed links are the groups.
 
 Nulls and odd input: null, empty and wordless texts have an empty set, belong to no group and are kept; a text of one to
 four words is one run. A null id never is a component's id (unless all of the group's are null) and is not kept when its
-group has another id. Rows that repeat an id are kept or dropped together. An empty table gives an empty result. Other
+group has another id. Rows that repeat id and text are kept or dropped together; where one
+id has several texts, each is judged by itself. An empty table gives an empty result. Other
 input columns are kept; result columns replace input columns of the same name. Two different sets share a 63-bit node
 key with a probability of 5e-8 among a million texts.
 """
@@ -27,7 +28,7 @@ from pyspark.sql import functions as F
 
 from tsloom.llm import tokens
 from tsloom.llm.clusters import link_lists
-from tsloom.llm.common import stored
+from tsloom.llm.common import fresh, stored
 
 K = 192
 #: How far the estimate of a pair may fall below the threshold.
@@ -46,8 +47,13 @@ def _unique(s: np.ndarray) -> np.ndarray:
     return s[np.concatenate([[True], s[1:] != s[:-1]])] if len(s) else s
 
 
+def _keyed(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    text = F.col(text_col).cast("string")
+    return docs.select(F.col(id_col).alias("id"), text.alias("text"), F.xxhash64(text).alias("key"))
+
+
 def sketches(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = WORDS, k: int = K) -> DataFrame:
-    """id, n (size of the set), node (63 bits of the set's digest), sketch (the k smallest values)."""
+    """id, key (a hash of the text), n (size of the set), node (63 bits of the set's digest), sketch (the k smallest values)."""
 
     def run(batches):
         for b in batches:
@@ -57,9 +63,9 @@ def sketches(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", wo
                 low = [s[:k] for s in sets]
                 ends = np.cumsum([0, *map(len, low)], dtype=np.int32)
                 values = pa.array(np.concatenate(low) if low else np.zeros(0, np.int64))
-                yield pa.RecordBatch.from_arrays([b.column(0).slice(i, j - i), pa.array([len(s) for s in sets], pa.int64()), pa.array(node, pa.int64()), pa.ListArray.from_arrays(pa.array(ends), values)], names=["id", "n", "node", "sketch"])
+                yield pa.RecordBatch.from_arrays([b.column(0).slice(i, j - i), b.column(2).slice(i, j - i), pa.array([len(s) for s in sets], pa.int64()), pa.array(node, pa.int64()), pa.ListArray.from_arrays(pa.array(ends), values)], names=["id", "key", "n", "node", "sketch"])
 
-    return docs.select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text")).mapInArrow(run, f"id {docs.schema[id_col].dataType.simpleString()}, n long, node long, sketch array<long>")
+    return _keyed(docs, id_col, text_col).mapInArrow(run, f"id {docs.schema[id_col].dataType.simpleString()}, key long, n long, node long, sketch array<long>")
 
 
 def full_sets(texts: DataFrame, words: int = WORDS) -> DataFrame:
@@ -82,12 +88,12 @@ def estimate(a, b, n_a, n_b, k: int = K):
     return F.size(F.array_intersect(low, F.array_intersect(a, b))) / F.size(low)
 
 
-def near_duplicates(docs: DataFrame, percent: int = PERCENT, id_col: str = "doc_id", text_col: str = "text", words: int = WORDS) -> DataFrame:
-    """docs with n_shingles, component_id and kept."""
+def judged(docs: DataFrame, percent: int = PERCENT, id_col: str = "doc_id", text_col: str = "text", words: int = WORDS) -> DataFrame:
+    """id, key (a hash of the text), n_shingles, component_id and kept of each row of docs."""
     base = docs.drop(*[c for c in docs.columns if c.lower() in ("n_shingles", "component_id", "kept")])
     k = K
     # sketches are made again for reps: that takes less time than storing those of all copies does
-    sig = stored(sketches(base, id_col, text_col, words, k).select("id", "n", "node"), "nodes")
+    sig = stored(sketches(base, id_col, text_col, words, k).select("id", "key", "n", "node"), "nodes")
     real = sig.where("n > 0")
     reps = sketches(base, id_col, text_col, words, k).where("n > 0").groupBy("node").agg(F.first("sketch").alias("sketch"))
     reps = stored(reps, "sketches")
@@ -101,11 +107,12 @@ def near_duplicates(docs: DataFrame, percent: int = PERCENT, id_col: str = "doc_
     least = F.when(whole, F.ceil(held * percent / 100)).otherwise(F.greatest(F.lit(1), F.floor(held * (percent / 100 - SLACK))))
     prefix = held - least + 1 - (held - F.size("by"))  # values of one document alone come first, and list nothing
     members = ranked.where(prefix > 0).select(F.explode(F.slice("by", F.lit(1), prefix.cast("int"))).alias("v"), "node", "n", F.when(whole, F.size("by")).otherwise(F.col("n")).cast("long").alias("most")).select(F.col("v.value").alias("list"), "node", F.col("n").alias("size"), "most")
-    source = base.select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text"))
+    source = _keyed(base, id_col, text_col)
 
     members = stored(members, "listed")
-    first = sig.join(members.select("node").distinct(), "node").groupBy("node").agg(F.min("id").alias("id"), F.first("n").alias("n"))
-    sets = full_sets(source.join(first, "id").select("node", "text"), words).groupBy("node").agg(F.first("values").alias("values"))
+    first = sig.join(members.select("node").distinct(), "node").groupBy("node").agg(F.min(F.struct("id", "key")).alias("row")).select("node", F.col("row.id").alias("row_id"), F.col("row.key").alias("row_key"))
+    # ids may be null, or stand for several texts
+    sets = full_sets(source.join(first, F.col("id").eqNullSafe(F.col("row_id")) & (F.col("key") == F.col("row_key"))).select("node", "text"), words).groupBy("node").agg(F.first("values").alias("values"))
     sets = stored(sets, "listed-sets")
     low = stored(sets.select("node", F.size("values").cast("long").alias("n"), F.slice("values", 1, k).alias("sketch")), "listed-sketches")
 
@@ -126,15 +133,21 @@ def near_duplicates(docs: DataFrame, percent: int = PERCENT, id_col: str = "doc_
     nodes = real.groupBy("node").agg(F.min("id").alias("id")).join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
     named = nodes.groupBy("root").agg(F.min("id").alias("component_id"))
     nodes = stored(nodes.join(named, "root").select("node", "component_id"), "named")
-    found = sig.select("id", "n", "node").join(nodes, "node", "left").select("id", F.col("n").alias("n_shingles"), F.when(F.col("n") > 0, F.col("component_id")).otherwise(F.col("id")).alias("component_id"))
+    found = sig.select("id", "key", "n", "node").join(nodes, "node", "left").select("id", "key", F.col("n").alias("n_shingles"), F.when(F.col("n") > 0, F.col("component_id")).otherwise(F.col("id")).alias("component_id"))
     kept = F.coalesce(F.col("id") == F.col("component_id"), F.col("component_id").isNull())
     return found.withColumn("kept", kept)
 
 
+def near_duplicates(docs: DataFrame, percent: int = PERCENT, id_col: str = "doc_id", text_col: str = "text", words: int = WORDS) -> DataFrame:
+    """id, n_shingles, component_id and kept of each row of docs."""
+    return judged(docs, percent, id_col, text_col, words).drop("key")
+
+
 def drop_near_duplicates(docs: DataFrame, percent: int = STAGE_PERCENT, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """docs without all but one document of each group."""
-    gone = near_duplicates(docs, percent, id_col, text_col).where("NOT kept").select(F.col("id").alias(id_col)).distinct()
-    return docs.join(gone, id_col, "left_anti")
+    g_id, g_key = fresh(docs, "gone_id", "gone_key")
+    gone = judged(docs, percent, id_col, text_col).where("NOT kept").select(F.col("id").alias(g_id), F.col("key").alias(g_key)).distinct()
+    return docs.join(gone, docs[id_col].eqNullSafe(gone[g_id]) & (F.xxhash64(docs[text_col].cast("string")) == gone[g_key]), "left_anti")
 
 
 def op8_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
