@@ -1,6 +1,5 @@
 import random
 import re
-from collections import defaultdict
 
 from tsloom.llm import linededup
 
@@ -9,52 +8,6 @@ def norm(line):
     return re.sub(r"[\x20\x09-\x0D]+", " ", line.lower()).strip(" ")
 
 
-def sset(n):
-    return {n[m.start() : m.start() + linededup.SHINGLE] for m in re.finditer(r"(?:^|(?<= ))(?=.)", n, re.S)}
-
-
-def brute(docs, percent=80):
-    """docs: [(id, text)] with distinct ids; what is left of each text."""
-    lines = {}
-    for i, t in docs:
-        for p, x in enumerate((t or "").split("\n")):
-            if norm(x):
-                lines.setdefault(norm(x), []).append((i, p))
-    names = list(lines)
-    sets, root = [sset(n) for n in names], list(range(len(names)))
-
-    def find(i):
-        while root[i] != i:
-            i = root[i]
-        return i
-
-    by = defaultdict(list)
-    for i, s in enumerate(sets):
-        for x in s:
-            by[x].append(i)
-    seen = set()
-    for i, s in enumerate(sets):
-        for j in {j for x in s for j in by[x] if j < i}:
-            n = len(s & sets[j])
-            if (i, j) not in seen and 100 * n >= percent * (len(s) + len(sets[j]) - n):
-                seen.add((i, j))
-                root[find(i)] = find(j)
-    stay = {}
-    for i, n in enumerate(names):
-        stay[find(i)] = min(stay.get(find(i), lines[n][0]), *lines[n])
-    kept = set(stay.values())
-    return {i: None if t is None else "\n".join(x for p, x in enumerate(t.split("\n")) if not norm(x) or (i, p) in kept) for i, t in docs}
-
-
-def test_query_against_brute_force(spark, sf_dir):
-    docs = [(r.doc_id, r.text) for r in spark.read.parquet(f"{sf_dir}/documents.parquet").collect()]
-    want = brute(docs)
-    got = {r.doc_id: r.text for r in linededup.op3_line_dedup(spark, sf_dir).collect()}
-    bad = [i for i in want if want[i] != got[i]]
-    assert len(got) == len(docs) and not bad, bad[:5]
-    assert any(want[i] != t for i, t in docs)
-
-
 def test_near_lines_ties_and_odd_rows(spark):
     rng = random.Random(2)
     base = [f"word{rng.randint(0, 999)}" for _ in range(60)]
@@ -63,7 +16,7 @@ def test_near_lines_ties_and_odd_rows(spark):
     texts = [(5, "  " + " ".join(base) + "\nunique one\n\n"), (2, "start\n" + " ".join(near).upper()), (3, " ".join(base)), (4, ""), (1, None), (7, "x"), (8, "x\nx\ny"), (9, "a\n" * 300 + "a")]
     df = spark.createDataFrame(texts, "doc_id long, text string").selectExpr("*", "1 AS gone", "2 AS N_LINES", "3 AS node")
     rows = linededup.dedup_lines(df).collect()
-    assert {r.doc_id: r.text for r in rows} == brute(texts)
+    assert {r.doc_id: r.text for r in rows} == brute_all(texts)
     assert {r.doc_id: r.n_lines for r in rows}[9] == 301 and all(r.node == 3 and r.gone == 1 for r in rows)
     twice = spark.createDataFrame([(1, "p\nq"), (1, "p\nq"), (None, "q\nz"), (None, "r\nq")], "doc_id long, text string")
     got = sorted((r.doc_id is None, r.text) for r in linededup.dedup_lines(twice).collect())
@@ -72,7 +25,7 @@ def test_near_lines_ties_and_odd_rows(spark):
 
 
 def brute_all(docs, percent=80, k=5):
-    """As brute, over the shingles at every character and all pairs."""
+    """docs: [(id, text)] with distinct ids; what is left of each text, by the shingles at every character and all pairs."""
     lines = {}
     for i, t in docs:
         for p, x in enumerate((t or "").split("\n")):

@@ -6,6 +6,7 @@ import pyarrow as pa
 
 from tsloom.llm import neardup, tokens
 from tsloom.llm.clusters import components
+from tsloom.llm.common import Tables
 
 
 def brute_sets(texts):
@@ -90,7 +91,7 @@ def test_chains_groups_and_odd_rows(spark):
 
 def test_components_of_a_path_and_a_star(spark):
     edges = [(i, i + 1) for i in range(50)] + [(100, i) for i in range(101, 130)] + [(7, 7), (3, 2)]
-    got = {r.node: r.root for r in components(spark.createDataFrame(edges, "a long, b long")).collect()}
+    got = {r.node: r.root for r in components(spark.createDataFrame(edges, "a long, b long"), Tables(spark)).collect()}
     assert got == {**{i: 0 for i in range(51)}, **{i: 100 for i in range(100, 130)}}
 
 

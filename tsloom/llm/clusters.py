@@ -1,29 +1,35 @@
 """Links within inverted lists, and connected components of links, as joins and grouped aggregates.
 
 Nothing here gathers a list, a component or an edge set in one task or on the driver: lists meet in equi-joins, minima in
-partial aggregates, and every round ends in a written table.
+partial aggregates, and every round ends in a written table, which goes when the next one is written.
 """
 
 from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tsloom.llm.common import stored
+from tsloom.llm.common import Tables
 
+#: Rounds in which each list compares its members with two hubs, before those that are left are compared with all others.
+HUB_ROUNDS = 3
 
-def components(edges: DataFrame) -> DataFrame:
-    """node, root (the smallest node of its component) for all nodes of edges (a, b: long).
+
+def components(edges: DataFrame, tables: Tables) -> DataFrame:
+    """node, root (the smallest node of its component) for all nodes of edges (a, b: long); a table of tables.
 
     Alternates large-star and small-star steps (Kiveris et al. 2014) until nothing changes."""
-    e = stored(edges.where("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct(), "edges")
+    e = tables.store(edges.where("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct(), "edges")
     seen = None
     while True:
         state = e.agg(F.count("*").alias("n"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)")).alias("s")).first()
         if state == seen or state.n == 0:
-            return e.select(F.col("a").alias("node"), F.col("b").alias("root")).union(e.select(F.col("b").alias("node"), F.col("b").alias("root")).distinct())
+            # each edge is (node, root) now
+            out = tables.store(e.select(F.col("a").alias("node"), F.col("b").alias("root")).union(e.select(F.col("b").alias("node"), F.col("b").alias("root")).distinct()), "roots")
+            tables.drop(e)
+            return out
         seen = state
         # large-star: each node hands its smallest neighbour (or itself) to its larger neighbours
         both = e.union(e.select(F.col("b").alias("a"), F.col("a").alias("b")))
@@ -32,41 +38,65 @@ def components(edges: DataFrame) -> DataFrame:
         # small-star: each node hands its smallest neighbour to its smaller neighbours, and keeps it
         least = large.groupBy(F.col("a").alias("u")).agg(F.min("b").alias("m"))
         small = large.join(least, F.col("a") == F.col("u"))
-        e = stored(small.select(F.col("b").alias("a"), F.col("m").alias("b")).union(least.select(F.col("u").alias("a"), F.col("m").alias("b"))).where("a <> b").distinct(), "edges")
+        after = tables.store(small.select(F.col("b").alias("a"), F.col("m").alias("b")).union(least.select(F.col("u").alias("a"), F.col("m").alias("b"))).where("a <> b").distinct(), "edges")
+        tables.drop(e)
+        e = after
+
 
+def link_lists(members: DataFrame, verify: Callable[[DataFrame], DataFrame], possible: Callable[[str, str], Column], tables: Tables) -> DataFrame:
+    """node, root for all nodes that have verified links; a table of tables. members: a table of list (long), node (long) and
+    columns of the node that `possible` reads, each row once; it is dropped.
 
-def link_lists(members: DataFrame, verify: Callable[[DataFrame], DataFrame], possible: Callable | None = None) -> DataFrame:
-    """node, root for all nodes that have verified links. members: list (long), node (long), size (long) and most (long: more
-    than this the node shares with none), each row once.
+    verify takes pairs (a < b) and returns the rows that are links. possible(x, y) is a condition on the columns x.* and y.* of
+    two members that every link meets; it is part of the join, so pairs that fail it are never made.
 
-    verify takes pairs (a < b) and returns the rows that are links. possible(size of a, most of a, size of b, most of b) is
-    a condition that every link meets. First each list's members are compared with two hubs: the member that meets most others over all its lists, as the
-    original of a group of near copies does, and one chosen by a hash. A group of thousands falls into one component (or
-    few) after as many comparisons as it has members. Then all pairs of a list are compared whose members are in
-    different components still. A pair within one component cannot change the components, so they are the same as
-    if all pairs of all lists had been compared."""
-    possible = possible or (lambda *_: F.lit(True))
-    members = stored(members, "members")
+    In each of HUB_ROUNDS rounds, each list that has members of several components yet compares them with two of them: in the first
+    round with the one that meets most others over all its lists, as the original of a group of near copies does, and one
+    chosen by a hash; then with two chosen by a hash among those that are not in the component of the first hub. A group
+    of thousands falls into one component (or few) after as many comparisons as it has members. At last, what is still
+    outside of its list's largest part is compared with the others of the list. A pair within one component
+    cannot change the components, so they are the same as if all pairs of all lists had been compared."""
+    spark = members.sparkSession
     sizes = members.groupBy("list").agg(F.count("*").alias("n")).where("n > 1")
     mass = members.join(sizes, "list").groupBy("node").agg(F.sum("n").alias("mass"))
-    members = stored(members.join(mass, "node"), "members")
-    heavy, drawn = (F.struct(o.alias("o"), "node", "size", "most") for o in (-F.col("mass"), F.xxhash64("node")))
-    hubs = members.groupBy("list").agg(F.min(heavy).alias("h0"), F.min(drawn).alias("h1"), F.count("*").alias("n")).where("n > 1")
-    hubs = hubs.select("list", F.explode(F.array_distinct(F.array(*[F.struct(F.col(f"h{i}.node").alias("node"), F.col(f"h{i}.size").alias("size"), F.col(f"h{i}.most").alias("most")) for i in range(2)]))).alias("h"))
-    first = members.join(hubs.select("list", F.col("h.node").alias("hub"), F.col("h.size").alias("hub_size"), F.col("h.most").alias("hub_most")), "list").where((F.col("node") != F.col("hub")) & possible(F.col("size"), F.col("most"), F.col("hub_size"), F.col("hub_most")))
-    pairs = stored(first.select(F.least("node", "hub").alias("a"), F.greatest("node", "hub").alias("b")).distinct(), "pairs")
-    links = stored(verify(pairs).select("a", "b"), "links")
-    roots = stored(components(links), "roots")
-    placed = members.join(roots, "node", "left").select("list", "node", "size", "most", F.coalesce("root", "node").alias("root"))
-    mixed = placed.groupBy("list").agg(F.min("root").alias("r0"), F.max("root").alias("r1")).where("r0 <> r1").select("list")
-    placed = stored(placed.join(mixed, "list"), "placed")
+    kept = [c for c in members.columns if c not in ("list", "node")]
+    placed = tables.store(members.join(mass, "node").withColumn("root", F.col("node")).withColumn("main", F.lit(None).cast("long")), "placed")
+    tables.drop(members)
+    links = None
+    roots = None
+    for turn in range(HUB_ROUNDS):
+        outside = F.col("main").isNull() | (F.col("root") != F.col("main"))
+        card = F.struct("node", "root", *kept)
+        keys = [-F.col("mass") if turn == 0 else F.xxhash64("node", F.lit(turn)), F.xxhash64("node", F.lit(-1 - turn))]
+        firsts = [F.min(F.when(outside, F.struct(k.alias("o"), F.col("node").alias("o2"), card.alias("card")))).alias(f"h{i}") for i, k in enumerate(keys)]
+        hubs = placed.groupBy("list").agg(*firsts, F.min("root").alias("r0"), F.max("root").alias("r1")).where("r0 <> r1")
+        hubs = hubs.select("list", F.explode(F.array_distinct(F.array("h0.card", "h1.card"))).alias("y"))
+        met = placed.select("list", F.struct("node", "root", *kept).alias("x")).join(hubs, "list").where((F.col("x.root") != F.col("y.root")) & possible("x", "y"))
+        pairs = tables.store(met.select(F.least("x.node", "y.node").alias("a"), F.greatest("x.node", "y.node").alias("b")).distinct(), "pairs")
+        found = verify(pairs).select("a", "b")
+        # the roots are stars, so they stand for the links before
+        links = tables.store(found if roots is None else found.union(roots.where("node <> root").select(F.col("node").alias("a"), F.col("root").alias("b"))), "links")
+        roots_before, roots = roots, components(links, tables)
+        joined = placed.drop("root", "main").join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
+        # the part of a list that most of its members are likely in is that of its heaviest
+        state = joined.groupBy("list").agg(F.max_by("root", F.struct("mass", "node")).alias("main"), F.min("root").alias("r0"), F.max("root").alias("r1")).where("r0 <> r1").select("list", "main")
+        after = tables.store(joined.join(state, "list").select(*placed.columns), "placed")
+        tables.drop(placed, pairs, links, *([roots_before] if roots_before is not None else []))
+        placed = after
+        if placed.isEmpty():
+            tables.drop(placed)
+            return roots
     # a pair that meets in several lists comes out of the least of them alone; a node is in a bounded number of lists
-    placed = placed.join(placed.groupBy("node").agg(F.collect_list("list").alias("lists")), "node")
-    sided = lambda s: placed.withColumnsRenamed({c: f"{c}_{s}" for c in ("size", "most", "root", "lists")} | {"node": s})
-    met = F.array_min(F.array_intersect("lists_a", "lists_b")) == F.col("list")
-    rest = sided("a").join(sided("b"), "list").where((F.col("a") < F.col("b")) & (F.col("root_a") != F.col("root_b")) & possible(F.col("size_a"), F.col("most_a"), F.col("size_b"), F.col("most_b")) & met)
-    rest = rest.select("a", "b").join(pairs, ["a", "b"], "left_anti")
-    more = stored(verify(stored(rest, "pairs")).select("a", "b"), "links")
-    # roots are stars, so they stand for the first links
+    listed = placed.join(placed.groupBy("node").agg(F.collect_list("list").alias("lists")), "node")
+    x = listed.where("root <> main").select("list", F.struct("node", "root", "lists", *kept).alias("x"))
+    y = listed.select("list", F.struct("node", "root", "main", "lists", *kept).alias("y"))
+    # of two members outside of the main part, one side is enough
+    once = (F.col("y.root") == F.col("y.main")) | (F.col("x.node") < F.col("y.node"))
+    met = F.array_min(F.array_intersect("x.lists", "y.lists")) == F.col("list")
+    rest = x.join(y, "list").where((F.col("x.root") != F.col("y.root")) & once & possible("x", "y") & met)
+    rest = tables.store(rest.select(F.least("x.node", "y.node").alias("a"), F.greatest("x.node", "y.node").alias("b")).distinct(), "pairs")
     stars = roots.where("node <> root").select(F.col("node").alias("a"), F.col("root").alias("b"))
-    return components(stars.union(more))
+    links = tables.store(verify(rest).select("a", "b").union(stars), "links")
+    out = components(links, tables)
+    tables.drop(placed, rest, links, roots)
+    return out

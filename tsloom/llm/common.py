@@ -12,19 +12,52 @@ UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that all executors share: spark.checkpoint.dir, or a fresh one if that is unset (single machine)."""
+    """The folder that all executors share: spark.checkpoint.dir. Where it is unset, a local master gets a fresh temporary
+    folder, and any other a ValueError: its executors would not see a folder of the driver."""
     conf = spark.sparkContext.getConf().get("spark.checkpoint.dir") or spark.sparkContext.getCheckpointDir()
     if not conf:
+        if not spark.sparkContext.master.split("[")[0] == "local":
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         conf = tempfile.mkdtemp(prefix="tsloom-")
         spark.sparkContext.setCheckpointDir(conf)
     return conf.rstrip("/")
 
 
-def stored(df: DataFrame, name: str, partitions: int | None = None) -> DataFrame:
-    """df, written as Parquet to the shared folder and read again: its lineage ends there, and a lost executor costs no recomputation."""
+def _write(df: DataFrame, name: str, partitions: int | None) -> tuple[DataFrame, str]:
     path = f"{shared_dir(df.sparkSession)}/{name}-{uuid.uuid4().hex}"
     (df.coalesce(partitions) if partitions else df).write.option("compression", "zstd").parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path), path
+
+
+def stored(df: DataFrame, name: str, partitions: int | None = None) -> DataFrame:
+    """df, written as Parquet to the shared folder and read again: its lineage ends there, and a lost executor costs no recomputation.
+
+    The table stays; an operator that needs it for a while only takes Tables."""
+    return _write(df, name, partitions)[0]
+
+
+class Tables:
+    """Stored tables that an operator deletes when all that rests on them is stored itself."""
+
+    def __init__(self, spark: SparkSession):
+        self.spark, self.paths = spark, {}
+
+    def store(self, df: DataFrame, name: str, partitions: int | None = None) -> DataFrame:
+        out, path = _write(df, name, partitions)
+        self.paths[id(out)] = (out, path)  # holds out, so that its id stays its own
+        return out
+
+    def drop(self, *tables: DataFrame) -> None:
+        """Deletes these; without arguments, all that are left."""
+        conf = self.spark.sparkContext._jsc.hadoopConfiguration()
+        for k in [id(t) for t in tables] or [*self.paths]:
+            path = self.spark.sparkContext._jvm.org.apache.hadoop.fs.Path(self.paths.pop(k)[1])
+            path.getFileSystem(conf).delete(path, True)
+
+    def keep(self, table: DataFrame) -> DataFrame:
+        """table, which drop() then leaves alone."""
+        self.paths.pop(id(table))
+        return table
 
 
 def ascii_lower(c: Column) -> Column:

@@ -1,46 +1,78 @@
 """Fuzzy line deduplication by MinHash, in DataFrame functions alone.
 
 A line's normal form is lower-cased, with runs of blanks as one space and none at the ends. Its shingles are the strings of
-SHINGLE characters that begin at each of its characters (a shorter line is one shingle). Equal lines fall together first, by a
-64-bit hash. Of each distinct line, ROWS * BANDS minima are taken over its shingles' hashes, each under another permutation of
-32-bit values; BANDS keys of ROWS minima list it. Lines that meet in a list, and whose sets are not too different in size, are
-compared by the exact Jaccard similarity of their shingle sets; links of at least `percent` are joined into components by
-distributed union-find, and of each component the first line (by document id, then place in the document) stays. A pair at the
-threshold of 0.8 meets in some list with probability 0.9998, one at 0.9 with more than 1 - 1e-6.
+SHINGLE characters that begin at each of its characters (a shorter line is one shingle); its set holds their 64-bit hashes. The
+sorted hashes are the shingles in random order, so the ROWS smallest from any point on are the minima of a permutation:
+two lines agree in them with the probability of similarity ** ROWS. Such runs begin at each of BANDS points, evenly dealt over the
+hash's range (past the largest hash comes the smallest); a hash of each run lists the line (one-permutation hashing). Few
+shingles take shorter runs: CLASSES says which; where two classes overlap, a line is listed in both, so that any
+two lines that can be similar are in one class together. Lines that meet in a list, and whose sets are not too
+different in size, are compared by the exact Jaccard similarity of their sets; links of at least `percent` are joined into
+components by distributed union-find, and of each component the first line (by document id, then place in the document) stays. A
+pair at the threshold of 0.8 meets in some list with a probability of 0.99 (simulated: 0.98 at 60 shingles, 0.995 at 200 and
+more), one at 0.85 with 0.999.
 
 Nulls and odd input: a null text has no lines and stays null; blank lines are never dropped. Null ids come before others.
 Rows that repeat id and text are treated alike: their lines stay or go together. An empty table gives an empty result.
 Input columns are kept; n_lines and n_dropped replace input columns of these names. Two of a million distinct
-lines share a hash with a probability of 3e-8.
+lines share a hash with a probability of 3e-8, and so do two of a million shingles.
 """
 
 from __future__ import annotations
 
-import random
-
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tsloom.llm.clusters import link_lists
-from tsloom.llm.common import fresh, stored
+from tsloom.llm.common import Tables, fresh
 
-SHINGLE, ROWS, BANDS = 5, 5, 22
+SHINGLE, BANDS = 5, 20
+#: Least and most shingles of a class, and the length of its runs. The least of each is at most 0.8 times (the most of the one before, and one).
+CLASSES = [(1, 20, 3), (17, 100, 5), (81, None, 7)]
 PERCENT = 80
-_LOW = (1 << 32) - 1
-_draw = random.Random(3)
-#: Odd factors and summands of the permutations of 32-bit values; no product leaves 63 bits.
-PERMUTATIONS = [(_draw.randrange(1, 1 << 31, 2), _draw.randrange(1 << 31)) for _ in range(ROWS * BANDS)]
+_BLANK = r"[\x20\x09-\x0D]"
+_BYTES = 4  # of a character in UTF-32
 
 
 def normal(line: Column) -> Column:
-    return F.trim(F.regexp_replace(F.lower(line), r"[\x20\x09-\x0D]+", " "))
+    low = F.lower(line)
+    odd = F.contains(low, F.lit("  "))
+    for c in "\t\x0b\x0c\r":
+        odd = odd | F.contains(low, F.lit(c))
+    return F.trim(F.when(odd, F.regexp_replace(low, _BLANK + "+", " ")).otherwise(low))
+
+
+def shingle_set(norm: Column) -> Column:
+    """The sorted array of the hashes of a normal line's distinct shingles."""
+    width = SHINGLE * _BYTES
 
+    def each(wide: Column) -> Column:
+        starts = F.sequence(F.lit(1), F.greatest(F.octet_length(wide) - (width - 1), F.lit(1)), F.lit(_BYTES))
+        return F.transform(starts, lambda i: F.xxhash64(F.substring(wide, i, F.lit(width))))
 
-def shingles(norm: Column) -> Column:
-    """The array of a normal line's distinct shingles."""
-    # the match takes one character, the group looks ahead
-    every = F.array_distinct(F.regexp_extract_all(norm, F.lit(rf"(?s)(?=(.{{{SHINGLE}}}))."), F.lit(1)))
-    return F.when(F.length(norm) <= SHINGLE, F.array(norm)).otherwise(every)
+    # as a lambda's variable, the encoded line is read once, not once for each shingle
+    return F.array_distinct(F.sort_array(F.transform(F.array(F.encode(norm, "utf-32")), each)[0]))
+
+
+def _run(s: Column, i: Column, rows: int) -> Column:
+    """The `rows` values of s from place i (from 0), going on at its begin; all of s if it is no longer."""
+    n = F.size(s)
+    wrapped = F.concat(F.slice(s, i + 1, n), F.slice(s, F.lit(1), i + rows - n))
+    return F.when(n <= rows, s).when(i + rows <= n, F.slice(s, i + 1, rows)).otherwise(wrapped)
+
+
+def signatures(lines: DataFrame) -> DataFrame:
+    """list, node, size (of the shingle set) of lines (node, norm), each once."""
+    each = lines.select("node", shingle_set(F.col("norm")).alias("s")).select("node", "s", F.posexplode("s").alias("i", "h"))
+    part = lambda h: F.shiftright(F.shiftright(h, 40) * BANDS, 24)  # noqa: E731  of the hash's range
+    s, i, n = F.col("s"), F.col("i"), F.size("s")
+    first = each.where((i == 0) | (part(F.col("h")) != part(F.get(s, i - 1))))
+    keys = []
+    for least, most, rows in CLASSES:
+        inside = (n >= least) & (F.lit(True) if most is None else n <= most) & ((i == 0) | (n > rows))
+        keys.append(F.when(inside, F.xxhash64(F.lit(rows), _run(s, i, rows))))
+    listed = first.select("node", n.alias("size"), F.explode(F.array(*keys)).alias("list")).where("list IS NOT NULL")
+    return listed.groupBy("list", "node").agg(F.first("size").alias("size"))
 
 
 def occurrences(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
@@ -49,57 +81,52 @@ def occurrences(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     return rows.select("id", "text_hash", "pos", normal(F.col("line")).alias("norm")).where("norm <> ''").withColumn("node", F.xxhash64("norm"))
 
 
-def signatures(lines: DataFrame) -> DataFrame:
-    """list, node, size (of the shingle set): the band keys of distinct lines (node, norm)."""
-    each = lines.select("node", F.explode(shingles(F.col("norm"))).alias("s")).select("node", F.xxhash64("s").bitwiseAND(F.lit(_LOW)).alias("h"))
-    mins = each.groupBy("node").agg(F.count("*").alias("size"), *[F.min((F.col("h") * F.lit(c).cast("long") + F.lit(d).cast("long")).bitwiseAND(F.lit(_LOW))).alias(f"m{i}") for i, (c, d) in enumerate(PERMUTATIONS)])
-    bands = [F.xxhash64(F.lit(b), *[F.col(f"m{b * ROWS + r}") for r in range(ROWS)]) for b in range(BANDS)]
-    return mins.select("node", "size", F.explode(F.array(*bands)).alias("list"))
-
-
-def line_components(occ: DataFrame, percent: int = PERCENT) -> DataFrame:
-    """node, root of the distinct lines that are near some other one."""
-    lines = occ.select("node", "norm").groupBy("node").agg(F.first("norm").alias("norm"))
+def line_components(occ: DataFrame, tables: Tables, percent: int = PERCENT) -> DataFrame:
+    """node, root of the distinct lines that are near some other one; a table of tables."""
     # dealt out once by list; the aggregate and the join below need the same columns, so both read this exchange
-    listed = signatures(lines).repartition("list")
-    shared = listed.groupBy("list").agg(F.min("node").alias("lo"), F.max("node").alias("hi"), F.min("size").alias("least")).where("lo <> hi AND least > 0").select("list")
-    members = listed.join(shared, "list").select("list", "node", "size", F.col("size").alias("most"))
+    listed = signatures(occ.select("node", "norm")).where("list IS NOT NULL").repartition("list")
+    shared = listed.groupBy("list").agg(F.min("node").alias("lo"), F.max("node").alias("hi")).where("lo <> hi").select("list")
+    members = tables.store(listed.join(shared, "list").select("list", "node", "size"), "members")
+    # lines, not their sets, go to the pairs: a set is many times as large
+    norms = occ.select("node", "norm").join(members.select("node").distinct(), "node", "left_semi").groupBy("node").agg(F.first("norm").alias("norm"))
+    norms = tables.store(norms, "line-norms")
 
     def verify(pairs: DataFrame) -> DataFrame:
-        asked = pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct()
-        norms = occ.select("node", "norm").join(asked, "node", "left_semi").groupBy("node").agg(F.first("norm").alias("norm"))
-        # lines, not their sets, go to the pairs: a set is many times as large
-        norms = stored(norms, "line-norms")
         both = pairs.join(norms.select(F.col("node").alias("a"), F.col("norm").alias("x")), "a").join(norms.select(F.col("node").alias("b"), F.col("norm").alias("y")), "b")
-        both = both.select("a", "b", shingles(F.col("x")).alias("x"), shingles(F.col("y")).alias("y"))
+        both = both.select("a", "b", shingle_set(F.col("x")).alias("x"), shingle_set(F.col("y")).alias("y"))
         both = both.select("a", "b", F.size(F.array_intersect("x", "y")).alias("n"), (F.size("x") + F.size("y")).alias("total"))
         return both.where(100 * F.col("n") >= percent * (F.col("total") - F.col("n"))).select("a", "b")
 
-    def possible(n_a, _most_a, n_b, _most_b):
-        return 100 * F.least(n_a, n_b) >= percent * F.greatest(n_a, n_b)
+    def possible(x, y):
+        return 100 * F.least(f"{x}.size", f"{y}.size") >= percent * F.greatest(f"{x}.size", f"{y}.size")
 
-    return link_lists(members, verify, possible)
+    roots = link_lists(members, verify, possible, tables)
+    tables.drop(norms)
+    return roots
 
 
 def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", percent: int = PERCENT) -> DataFrame:
     """docs with their text less the dropped lines, n_lines (not blank) and n_dropped."""
     docs = docs.drop(*[c for c in docs.columns if c.lower() in ("n_lines", "n_dropped")])
-    occ = stored(occurrences(docs, id_col, text_col), "lines")  # read six times below
-    roots = line_components(occ, percent)
-    firsts = occ.groupBy("node").agg(F.min(F.struct("id", "text_hash", "pos")).alias("first"), F.count("*").alias("n"))
+    tables = Tables(docs.sparkSession)
+    occ = occurrences(docs, id_col, text_col)
+    roots = line_components(occ, tables, percent)
+    places = tables.store(occ.drop("norm"), "line-places")
+    firsts = places.groupBy("node").agg(F.min(F.struct("id", "pos", "text_hash")).alias("first"), F.count("*").alias("n"))
     judged = firsts.join(roots, "node", "left").where("n > 1 OR root IS NOT NULL").select("node", F.coalesce("root", "node").alias("root"), "first")
-    judged = stored(judged, "judged-lines")
-    stay = judged.groupBy("root").agg(F.min(F.struct("first.id", "first.pos", "first.text_hash")).alias("stay"))
+    judged = tables.store(judged, "judged-lines")
+    stay = judged.groupBy("root").agg(F.min("first").alias("stay"))
     judged = judged.join(stay, "root").select("node", "stay")
     same = F.col("id").eqNullSafe(F.col("stay.id")) & (F.col("pos") == F.col("stay.pos")) & (F.col("text_hash") == F.col("stay.text_hash"))
-    gone = occ.select("id", "text_hash", "pos", "node").join(judged, "node").where(~same)
+    gone = places.join(judged, "node").where(~same)
     gone = gone.groupBy("id", "text_hash").agg(F.sort_array(F.collect_set("pos")).alias("gone"))
     t_id, t_hash, t_gone = fresh(docs, "gone_id", "gone_hash", "gone")
-    gone = stored(gone.select(F.col("id").alias(t_id), F.col("text_hash").alias(t_hash), F.col("gone").alias(t_gone)), "dropped-lines")
+    gone = tables.keep(tables.store(gone.select(F.col("id").alias(t_id), F.col("text_hash").alias(t_hash), F.col("gone").alias(t_gone)), "dropped-lines"))
+    tables.drop()
     out = docs.join(gone, docs[id_col].eqNullSafe(gone[t_id]) & (F.xxhash64(docs[text_col]) == gone[t_hash]), "left")
     lines = F.split(F.col(text_col), "\n", -1)
     left = F.array_join(F.filter(lines, lambda x, i: ~F.array_contains(F.col(t_gone), i)), "\n")
-    n_lines = F.size(F.filter(lines, lambda x: F.trim(F.regexp_replace(x, r"[\x20\x09-\x0D]+", " ")) != ""))
+    n_lines = F.size(F.filter(lines, lambda x: x.rlike(r"[^\x20\x09-\x0D]")))
     out = out.withColumns({"n_lines": F.when(F.col(text_col).isNull(), 0).otherwise(n_lines).cast("long"), "n_dropped": F.coalesce(F.size(t_gone), F.lit(0)).cast("long"), text_col: F.when(F.col(t_gone).isNull(), F.col(text_col)).otherwise(left)})
     return out.drop(t_id, t_hash, t_gone)
 

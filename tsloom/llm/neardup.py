@@ -28,7 +28,7 @@ from pyspark.sql import functions as F
 
 from tsloom.llm import tokens
 from tsloom.llm.clusters import link_lists
-from tsloom.llm.common import fresh, stored
+from tsloom.llm.common import Tables, fresh
 
 K = 192
 #: How far the estimate of a pair may fall below the threshold.
@@ -92,11 +92,12 @@ def judged(docs: DataFrame, percent: int = PERCENT, id_col: str = "doc_id", text
     """id, key (a hash of the text), n_shingles, component_id and kept of each row of docs."""
     base = docs.drop(*[c for c in docs.columns if c.lower() in ("n_shingles", "component_id", "kept")])
     k = K
+    tables = Tables(docs.sparkSession)
     # sketches are made again for reps: that takes less time than storing those of all copies does
-    sig = stored(sketches(base, id_col, text_col, words, k).select("id", "key", "n", "node"), "nodes")
+    sig = tables.store(sketches(base, id_col, text_col, words, k).select("id", "key", "n", "node"), "nodes")
     real = sig.where("n > 0")
     reps = sketches(base, id_col, text_col, words, k).where("n > 0").groupBy("node").agg(F.first("sketch").alias("sketch"))
-    reps = stored(reps, "sketches")
+    reps = tables.store(reps, "sketches")
     # dealt out once by value: the aggregate and the join below need the same columns and conditions, so both read one exchange
     listed = reps.select("node", F.explode("sketch").alias("value")).where("node IS NOT NULL AND value IS NOT NULL").repartition("value")
     shared = listed.groupBy("value").agg(F.count("*").alias("df"), F.min("node").alias("lo"), F.max("node").alias("hi")).where("lo <> hi").select("value", "df")
@@ -109,33 +110,36 @@ def judged(docs: DataFrame, percent: int = PERCENT, id_col: str = "doc_id", text
     members = ranked.where(prefix > 0).select(F.explode(F.slice("by", F.lit(1), prefix.cast("int"))).alias("v"), "node", "n", F.when(whole, F.size("by")).otherwise(F.col("n")).cast("long").alias("most")).select(F.col("v.value").alias("list"), "node", F.col("n").alias("size"), "most")
     source = _keyed(base, id_col, text_col)
 
-    members = stored(members, "listed")
+    members = tables.store(members, "listed")
+    tables.drop(reps)
     first = sig.join(members.select("node").distinct(), "node").groupBy("node").agg(F.min(F.struct("id", "key")).alias("row")).select("node", F.col("row.id").alias("row_id"), F.col("row.key").alias("row_key"))
     # ids may be null, or stand for several texts
     sets = full_sets(source.join(first, F.col("id").eqNullSafe(F.col("row_id")) & (F.col("key") == F.col("row_key"))).select("node", "text"), words).groupBy("node").agg(F.first("values").alias("values"))
-    sets = stored(sets, "listed-sets")
-    low = stored(sets.select("node", F.size("values").cast("long").alias("n"), F.slice("values", 1, k).alias("sketch")), "listed-sketches")
+    sets = tables.store(sets, "listed-sets")
+    low = tables.store(sets.select("node", F.size("values").cast("long").alias("n"), F.slice("values", 1, k).alias("sketch")), "listed-sketches")
 
     def verify(pairs: DataFrame) -> DataFrame:
         side = lambda s: low.select(F.col("node").alias(s), F.col("sketch").alias(f"sketch_{s}"), F.col("n").alias(f"n_{s}"))
         slack = F.when((F.col("n_a") <= k) & (F.col("n_b") <= k), 1e-9).otherwise(SLACK)
         likely = pairs.join(side("a"), "a").join(side("b"), "b").where(estimate(F.col("sketch_a"), F.col("sketch_b"), F.col("n_a"), F.col("n_b"), k) >= percent / 100 - slack)
-        likely = stored(likely.select("a", "b", "n_a", "n_b"), "likely")
+        likely = tables.store(likely.select("a", "b", "n_a", "n_b"), "likely")
         both = likely.join(sets.select(F.col("node").alias("a"), F.col("values").alias("x")), "a").join(sets.select(F.col("node").alias("b"), F.col("values").alias("y")), "b")
         common = F.size(F.array_intersect("x", "y"))
         return both.withColumn("common", common).where(100 * F.col("common") >= percent * (F.col("n_a") + F.col("n_b") - F.col("common"))).select("a", "b")
 
-    def possible(n_a, most_a, n_b, most_b):
-        most = F.least(most_a, most_b)
-        return 100 * most >= percent * (n_a + n_b - most)
+    def possible(x, y):
+        most = F.least(f"{x}.most", f"{y}.most")
+        return 100 * most >= percent * (F.col(f"{x}.size") + F.col(f"{y}.size") - most)
 
-    roots = link_lists(members, verify, possible)
+    roots = link_lists(members, verify, possible, tables)
     nodes = real.groupBy("node").agg(F.min("id").alias("id")).join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
     named = nodes.groupBy("root").agg(F.min("id").alias("component_id"))
-    nodes = stored(nodes.join(named, "root").select("node", "component_id"), "named")
+    nodes = nodes.join(named, "root").select("node", "component_id")
     found = sig.select("id", "key", "n", "node").join(nodes, "node", "left").select("id", "key", F.col("n").alias("n_shingles"), F.when(F.col("n") > 0, F.col("component_id")).otherwise(F.col("id")).alias("component_id"))
     kept = F.coalesce(F.col("id") == F.col("component_id"), F.col("component_id").isNull())
-    return found.withColumn("kept", kept)
+    found = tables.keep(tables.store(found.withColumn("kept", kept), "near-duplicates"))
+    tables.drop()
+    return found
 
 
 def near_duplicates(docs: DataFrame, percent: int = PERCENT, id_col: str = "doc_id", text_col: str = "text", words: int = WORDS) -> DataFrame:
