@@ -9,8 +9,8 @@ shingles take shorter runs: CLASSES says which; where two classes overlap, a lin
 two lines that can be similar are in one class together. Lines that meet in a list, and whose sets are not too
 different in size, are compared by the exact Jaccard similarity of their sets; links of at least `percent` are joined into
 components by distributed union-find, and of each component the first line (by document id, then place in the document) stays. A
-pair at the threshold of 0.8 meets in some list with a probability of 0.99 (simulated: 0.98 at 60 shingles, 0.995 at 200 and
-more), one at 0.85 with 0.999.
+pair at the threshold of 0.8 meets in some list with a probability of 0.97 (60 shingles) to 0.985 (200 and more), one at 0.85
+with 0.999, as simulated.
 
 Nulls and odd input: a null text has no lines and stays null; blank lines are never dropped. Null ids come before others.
 Rows that repeat id and text are treated alike: their lines stay or go together. An empty table gives an empty result.
@@ -26,10 +26,12 @@ from pyspark.sql import functions as F
 from tsloom.llm.clusters import link_lists
 from tsloom.llm.common import Tables, fresh
 
-SHINGLE, BANDS = 5, 20
+SHINGLE, BANDS = 5, 16
 #: Least and most shingles of a class, and the length of its runs. The least of each is at most 0.8 times (the most of the one before, and one).
 CLASSES = [(1, 20, 3), (17, 100, 5), (81, None, 7)]
 PERCENT = 80
+#: Bound of the lines that are broadcast as frequent ones.
+MAX_FREQUENT = 50_000
 _BLANK = r"[\x20\x09-\x0D]"
 _BYTES = 4  # of a character in UTF-32
 
@@ -54,25 +56,19 @@ def shingle_set(norm: Column) -> Column:
     return F.array_distinct(F.sort_array(F.transform(F.array(F.encode(norm, "utf-32")), each)[0]))
 
 
-def _run(s: Column, i: Column, rows: int) -> Column:
-    """The `rows` values of s from place i (from 0), going on at its begin; all of s if it is no longer."""
-    n = F.size(s)
-    wrapped = F.concat(F.slice(s, i + 1, n), F.slice(s, F.lit(1), i + rows - n))
-    return F.when(n <= rows, s).when(i + rows <= n, F.slice(s, i + 1, rows)).otherwise(wrapped)
-
-
 def signatures(lines: DataFrame) -> DataFrame:
-    """list, node, size (of the shingle set) of lines (node, norm), each once."""
-    each = lines.select("node", shingle_set(F.col("norm")).alias("s")).select("node", "s", F.posexplode("s").alias("i", "h"))
+    """list, node of lines (node, norm); a list and node may repeat."""
+    longest = max(rows for _, _, rows in CLASSES)
+    # no array here is empty; the outer forms keep the optimizer from adding a filter that makes each array twice
+    sets = lines.select("node", shingle_set(F.col("norm")).alias("s"))
+    each = sets.select("node", "s", F.concat("s", F.slice("s", 1, longest - 1)).alias("round")).select("node", "s", "round", F.posexplode_outer("s").alias("i", "h"))
     part = lambda h: F.shiftright(F.shiftright(h, 40) * BANDS, 24)  # noqa: E731  of the hash's range
-    s, i, n = F.col("s"), F.col("i"), F.size("s")
-    first = each.where((i == 0) | (part(F.col("h")) != part(F.get(s, i - 1))))
-    keys = []
-    for least, most, rows in CLASSES:
-        inside = (n >= least) & (F.lit(True) if most is None else n <= most) & ((i == 0) | (n > rows))
-        keys.append(F.when(inside, F.xxhash64(F.lit(rows), _run(s, i, rows))))
-    listed = first.select("node", n.alias("size"), F.explode(F.array(*keys)).alias("list")).where("list IS NOT NULL")
-    return listed.groupBy("list", "node").agg(F.first("size").alias("size"))
+    first = each.where((F.col("i") == 0) | (part(F.col("h")) != part(F.get("s", F.col("i") - 1))))
+    runs = first.select("node", F.size("s").alias("n"), F.slice("round", F.col("i") + 1, longest).alias("run"))
+    held = F.filter(F.array(*[F.when((F.col("n") >= least) & (F.lit(most is None) | (F.col("n") <= (most or 0))), rows) for least, most, rows in CLASSES]), lambda rows: rows.isNotNull())
+    # a run no longer than the set may begin anywhere; shorter sets are taken as a whole
+    keys = F.transform(held, lambda rows: F.xxhash64(rows, F.slice("run", F.lit(1), F.least(rows, F.col("n")))))
+    return runs.select("node", keys.alias("keys")).select(F.explode_outer("keys").alias("list"), "node")
 
 
 def occurrences(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
@@ -81,15 +77,23 @@ def occurrences(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     return rows.select("id", "text_hash", "pos", normal(F.col("line")).alias("norm")).where("norm <> ''").withColumn("node", F.xxhash64("norm"))
 
 
-def line_components(occ: DataFrame, tables: Tables, percent: int = PERCENT) -> DataFrame:
-    """node, root of the distinct lines that are near some other one; a table of tables."""
+def line_components(occ: DataFrame, firsts: DataFrame, tables: Tables, percent: int = PERCENT) -> DataFrame:
+    """node, root of the distinct lines that are near some other one; a table of tables. firsts: node, first, n of each distinct line."""
+    # of a line with more than 1 / MAX_FREQUENT of all occurrences, one occurrence is listed: there are at most MAX_FREQUENT such lines
+    total = firsts.agg(F.sum("n")).first()[0] or 0
+    frequent = F.broadcast(firsts.where(F.col("n") > total / MAX_FREQUENT).select(F.col("node").alias("of"), "first"))
+    same = F.col("id").eqNullSafe(F.col("first.id")) & (F.col("pos") == F.col("first.pos")) & (F.col("text_hash") == F.col("first.text_hash"))
+    lines = occ.join(frequent, F.col("node") == F.col("of"), "left").where(F.col("of").isNull() | same).select("node", "norm")
     # dealt out once by list; the aggregate and the join below need the same columns, so both read this exchange
-    listed = signatures(occ.select("node", "norm")).where("list IS NOT NULL").repartition("list")
-    shared = listed.groupBy("list").agg(F.min("node").alias("lo"), F.max("node").alias("hi")).where("lo <> hi").select("list")
-    members = tables.store(listed.join(shared, "list").select("list", "node", "size"), "members")
+    listed = signatures(lines).repartition("list")
+    shared = listed.where("list IS NOT NULL").groupBy("list").agg(F.min("node").alias("lo"), F.max("node").alias("hi")).where("lo <> hi").select("list")
+    members = listed.join(shared, "list").select("list", "node").distinct()
+    members = tables.store(members, "members")
     # lines, not their sets, go to the pairs: a set is many times as large
     norms = occ.select("node", "norm").join(members.select("node").distinct(), "node", "left_semi").groupBy("node").agg(F.first("norm").alias("norm"))
-    norms = tables.store(norms, "line-norms")
+    norms = tables.store(norms.withColumn("size", F.size(shingle_set(F.col("norm")))), "line-norms")
+    sized = tables.store(members.join(norms.select("node", "size"), "node").select("list", "node", "size"), "members")
+    tables.drop(members)
 
     def verify(pairs: DataFrame) -> DataFrame:
         both = pairs.join(norms.select(F.col("node").alias("a"), F.col("norm").alias("x")), "a").join(norms.select(F.col("node").alias("b"), F.col("norm").alias("y")), "b")
@@ -100,7 +104,7 @@ def line_components(occ: DataFrame, tables: Tables, percent: int = PERCENT) -> D
     def possible(x, y):
         return 100 * F.least(f"{x}.size", f"{y}.size") >= percent * F.greatest(f"{x}.size", f"{y}.size")
 
-    roots = link_lists(members, verify, possible, tables)
+    roots = link_lists(sized, verify, possible, tables)
     tables.drop(norms)
     return roots
 
@@ -110,9 +114,9 @@ def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     docs = docs.drop(*[c for c in docs.columns if c.lower() in ("n_lines", "n_dropped")])
     tables = Tables(docs.sparkSession)
     occ = occurrences(docs, id_col, text_col)
-    roots = line_components(occ, tables, percent)
     places = tables.store(occ.drop("norm"), "line-places")
-    firsts = places.groupBy("node").agg(F.min(F.struct("id", "pos", "text_hash")).alias("first"), F.count("*").alias("n"))
+    firsts = tables.store(places.groupBy("node").agg(F.min(F.struct("id", "pos", "text_hash")).alias("first"), F.count("*").alias("n")), "first-places")
+    roots = line_components(occ, firsts, tables, percent)
     judged = firsts.join(roots, "node", "left").where("n > 1 OR root IS NOT NULL").select("node", F.coalesce("root", "node").alias("root"), "first")
     judged = tables.store(judged, "judged-lines")
     stay = judged.groupBy("root").agg(F.min("first").alias("stay"))
