@@ -14,7 +14,26 @@ from pyspark.sql import functions as F
 from tsloom.llm.common import Tables
 
 #: Rounds in which each list compares its members with two hubs, before those that are left are compared with all others.
-HUB_ROUNDS = 3
+HUB_ROUNDS = 2
+#: Words of 64 bits of a set's parity.
+PARITY_WORDS = 16
+
+
+def parities(sets: DataFrame) -> DataFrame:
+    """node, bits (struct) of sets (node, values: array of distinct longs): the parity of the number of values in each of
+    64 * PARITY_WORDS classes of values. Two sets' parities differ in at most as many classes as there are values in one set alone."""
+    each = sets.select("node", F.explode_outer("values").alias("v"))
+    bit = F.expr("shiftleft(1L, cast(v & 63 AS int))")
+    words = [F.bit_xor(F.when(F.shiftright("v", 6).bitwiseAND(PARITY_WORDS - 1) == i, bit).otherwise(F.lit(0).cast("long"))).alias(f"w{i}") for i in range(PARITY_WORDS)]
+    return each.groupBy("node").agg(*words).select("node", F.struct(*[f"w{i}" for i in range(PARITY_WORDS)]).alias("bits"))
+
+
+def parity_distance(x: str, y: str) -> Column:
+    """Of the columns x.bits and y.bits: the classes in which they differ."""
+    total = F.lit(0)
+    for i in range(PARITY_WORDS):
+        total = total + F.bit_count(F.col(f"{x}.bits.w{i}").bitwiseXOR(F.col(f"{y}.bits.w{i}")))
+    return total
 
 
 def components(edges: DataFrame, tables: Tables) -> DataFrame:
@@ -43,20 +62,21 @@ def components(edges: DataFrame, tables: Tables) -> DataFrame:
         e = after
 
 
-def link_lists(members: DataFrame, verify: Callable[[DataFrame], DataFrame], possible: Callable[[str, str], Column], tables: Tables) -> DataFrame:
+def link_lists(members: DataFrame, verify: Callable[[DataFrame], DataFrame], possible: Callable[[str, str], Column], sets_of: Callable[[DataFrame], DataFrame], most_apart: Callable[[str, str], Column], tables: Tables) -> DataFrame:
     """node, root for all nodes that have verified links; a table of tables. members: a table of list (long), node (long) and
     columns of the node that `possible` reads, each row once; it is dropped.
 
     verify takes pairs (a < b) and returns the rows that are links. possible(x, y) is a condition on the columns x.* and y.* of
-    two members that every link meets; it is part of the join, so pairs that fail it are never made.
+    two members that every link meets; it is part of the join, so pairs that fail it are never made. sets_of(nodes) gives node
+    and values of some nodes' sets, and most_apart(x, y) how many values at most linked members x and y have in one set alone.
 
     In each of HUB_ROUNDS rounds, each list that has members of several components yet compares them with two of them: in the first
     round with the one that meets most others over all its lists, as the original of a group of near copies does, and one
     chosen by a hash; then with two chosen by a hash among those that are not in the component of the first hub. A group
     of thousands falls into one component (or few) after as many comparisons as it has members. At last, what is still
-    outside of its list's largest part is compared with the others of the list. A pair within one component
+    outside of its list's largest part is compared with the others of the list, unless the sets' parities tell them apart: the
+    bound on them is exact, and part of the join. A pair within one component
     cannot change the components, so they are the same as if all pairs of all lists had been compared."""
-    spark = members.sparkSession
     sizes = members.groupBy("list").agg(F.count("*").alias("n")).where("n > 1")
     mass = members.join(sizes, "list").groupBy("node").agg(F.sum("n").alias("mass"))
     kept = [c for c in members.columns if c not in ("list", "node")]
@@ -87,16 +107,18 @@ def link_lists(members: DataFrame, verify: Callable[[DataFrame], DataFrame], pos
             tables.drop(placed)
             return roots
     # a pair that meets in several lists comes out of the least of them alone; a node is in a bounded number of lists
-    listed = placed.join(placed.groupBy("node").agg(F.collect_list("list").alias("lists")), "node")
-    x = listed.where("root <> main").select("list", F.struct("node", "root", "lists", *kept).alias("x"))
-    y = listed.select("list", F.struct("node", "root", "main", "lists", *kept).alias("y"))
+    cards = placed.groupBy("node").agg(F.collect_list("list").alias("lists"))
+    cards = tables.store(cards.join(parities(sets_of(placed.select("node").distinct())), "node"), "cards")
+    listed = placed.join(cards, "node")
+    x = listed.where("root <> main").select("list", F.struct("node", "root", "lists", "bits", *kept).alias("x"))
+    y = listed.select("list", F.struct("node", "root", "main", "lists", "bits", *kept).alias("y"))
     # of two members outside of the main part, one side is enough
     once = (F.col("y.root") == F.col("y.main")) | (F.col("x.node") < F.col("y.node"))
     met = F.array_min(F.array_intersect("x.lists", "y.lists")) == F.col("list")
-    rest = x.join(y, "list").where((F.col("x.root") != F.col("y.root")) & once & possible("x", "y") & met)
+    rest = x.join(y, "list").where((F.col("x.root") != F.col("y.root")) & once & possible("x", "y") & (parity_distance("x", "y") <= most_apart("x", "y")) & met)
     rest = tables.store(rest.select(F.least("x.node", "y.node").alias("a"), F.greatest("x.node", "y.node").alias("b")).distinct(), "pairs")
     stars = roots.where("node <> root").select(F.col("node").alias("a"), F.col("root").alias("b"))
     links = tables.store(verify(rest).select("a", "b").union(stars), "links")
     out = components(links, tables)
-    tables.drop(placed, rest, links, roots)
+    tables.drop(placed, cards, rest, links, roots)
     return out

@@ -104,7 +104,13 @@ def line_components(occ: DataFrame, firsts: DataFrame, tables: Tables, percent:
     def possible(x, y):
         return 100 * F.least(f"{x}.size", f"{y}.size") >= percent * F.greatest(f"{x}.size", f"{y}.size")
 
-    roots = link_lists(sized, verify, possible, tables)
+    def sets_of(nodes: DataFrame) -> DataFrame:
+        return norms.join(nodes, "node", "left_semi").select("node", shingle_set(F.col("norm")).alias("values"))
+
+    def most_apart(x, y):
+        return (F.col(f"{x}.size") + F.col(f"{y}.size")) * (100 - percent) / (100 + percent)
+
+    roots = link_lists(sized, verify, possible, sets_of, most_apart, tables)
     tables.drop(norms)
     return roots
 

@@ -131,7 +131,18 @@ def judged(docs: DataFrame, percent: int = PERCENT, id_col: str = "doc_id", text
         most = F.least(f"{x}.most", f"{y}.most")
         return 100 * most >= percent * (F.col(f"{x}.size") + F.col(f"{y}.size") - most)
 
-    roots = link_lists(members, verify, possible, tables)
+    def sets_of(nodes: DataFrame) -> DataFrame:
+        return low.join(nodes, "node", "left_semi").select("node", F.col("sketch").alias("values"))
+
+    def most_apart(x, y):
+        # whole sets are apart as the threshold says; of sketches a link shares at least the part that the prefixes rest on
+        held = lambda s: F.least(f"{s}.size", F.lit(k))
+        common = F.floor(F.greatest(held(x), held(y)) * (percent / 100 - SLACK))
+        both = (F.col(f"{x}.size") <= k) & (F.col(f"{y}.size") <= k)
+        exact = (F.col(f"{x}.size") + F.col(f"{y}.size")) * (100 - percent) / (100 + percent)
+        return F.when(both, exact).otherwise(held(x) + held(y) - 2 * common)
+
+    roots = link_lists(members, verify, possible, sets_of, most_apart, tables)
     nodes = real.groupBy("node").agg(F.min("id").alias("id")).join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
     named = nodes.groupBy("root").agg(F.min("id").alias("component_id"))
     nodes = nodes.join(named, "root").select("node", "component_id")

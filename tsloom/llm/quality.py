@@ -20,7 +20,7 @@ from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tsloom.llm.common import fresh, stored
+from tsloom.llm.common import Tables, fresh, stored
 
 #: Bound of labelled rows that the classifier is fitted on, chosen by a hash of the id.
 MAX_LABELLED = 20_000
@@ -83,43 +83,66 @@ def _concentration(s: Column, n: Column, n2: Column, groups: Column, free: Colum
     return (1 - phi) / phi
 
 
-def classify(docs: DataFrame, labels: DataFrame, host: Column, path: Column, id_col: str = "doc_id", text_col: str = "text", threshold: float = THRESHOLD) -> DataFrame:
-    """docs with host, path, own (the classifier's probability), prior (of the path, without the document), posterior and keep."""
+def priors(paths: DataFrame) -> DataFrame:
+    """h, p, n, s, theta (of the host), mu, k_path of each path. paths: h, p (host and path, null or not), n, s (sum of own)."""
+    hosts = paths.groupBy("h").agg(F.sum("n").alias("hn"), F.sum("s").alias("hs"))
+    world = hosts.agg((F.sum("hs") / F.sum("hn")).alias("mu"))  # one row, as the other two aggregates below
+    spread = hosts.crossJoin(F.broadcast(world)).agg(F.first("mu").alias("mu"), F.sum(F.col("hn") * (F.col("hs") / F.col("hn") - F.col("mu")) ** 2 / (F.col("mu") * (1 - F.col("mu")))).alias("x"), F.sum("hn").alias("n"), F.sum(F.col("hn") ** 2).alias("n2"), F.count("*").alias("g"))
+    spread = spread.select("mu", F.col("g").alias("hosts"), _concentration(F.col("x"), F.col("n"), F.col("n2"), F.col("g"), F.col("g") - 1.0).alias("k_host"))
+    hosts = hosts.crossJoin(F.broadcast(spread)).withColumn("theta", (F.col("k_host") * F.col("mu") + F.col("hs")) / (F.col("k_host") + F.col("hn")))
+    placed = paths.join(hosts.select(F.col("h").alias("of"), "theta", "mu", "hn", "hosts"), F.col("h").eqNullSafe(F.col("of"))).drop("of")
+    inner = placed.agg(F.sum(F.col("n") * (F.col("s") / F.col("n") - F.col("theta")) ** 2 / (F.col("theta") * (1 - F.col("theta")))).alias("x"), F.sum("n").alias("n"), F.sum(F.col("n") ** 2 / F.col("hn")).alias("within"), F.count("*").alias("g"), F.first("hosts").alias("hosts"))
+    inner = inner.select(_concentration(F.col("x"), F.col("n"), F.col("within") * F.col("n"), F.col("g"), F.greatest(F.col("g") - F.col("hosts"), F.lit(0)).cast("double")).alias("k_path"))
+    return placed.crossJoin(F.broadcast(inner)).select("h", "p", "n", "s", "theta", "mu", "k_path")
+
+
+def classify(docs: DataFrame, labels: DataFrame, host: Column, path: Column, id_col: str = "doc_id", text_col: str = "text", threshold: float = THRESHOLD, keep_text: bool = True) -> DataFrame:
+    """docs with host, path, own (the classifier's probability), prior (of the path, without the document), posterior and keep.
+
+    Without keep_text, the text is left out, and each text is scored once: the other columns are stored between the two
+    passes. With it, texts are scored in both passes, as that takes no disk."""
     made = ["host", "path", "own", "prior", "posterior", "keep"]
     model = train(docs, labels, id_col, text_col)
-    base = docs.withColumns({"__host": host, "__path": path}).drop(*[c for c in docs.columns if c.lower() in made]).withColumnsRenamed({"__host": "host", "__path": "path"})
+    h, p, own = fresh(docs, "in_host", "in_path", "in_own")
+    base = docs.withColumns({h: host, p: path})
     if model is None:
-        scored = base.withColumn("own", F.lit(0.5))
+        scored = base.withColumn(own, F.lit(0.5))
     else:
         x, raw, prob, pred = fresh(base, "features", "raw_prediction", "class_probability", "class_prediction")
         model = model.setFeaturesCol(x).setRawPredictionCol(raw).setProbabilityCol(prob).setPredictionCol(pred)
-        scored = model.transform(featured(base, text_col, x)).withColumn("own", vector_to_array(prob)[1]).drop(x, raw, prob, pred)
-    scored = scored.withColumn("own", F.least(F.greatest("own", F.lit(_EDGE)), F.lit(1 - _EDGE)))
-    paths = stored(scored.groupBy("host", "path").agg(F.count("*").cast("double").alias("n"), F.sum("own").alias("s")), "quality-paths")
-    hosts = paths.groupBy("host").agg(F.sum("n").alias("hn"), F.sum("s").alias("hs"))
-    world = hosts.agg((F.sum("hs") / F.sum("hn")).alias("mu"))  # one row, as the other two aggregates below
-    spread = hosts.crossJoin(F.broadcast(world)).agg(F.first("mu").alias("mu"), F.sum(F.col("hn") * (F.col("hs") / F.col("hn") - F.col("mu")) ** 2 / (F.col("mu") * (1 - F.col("mu")))).alias("x"), F.sum("hn").alias("n"), F.sum(F.col("hn") ** 2).alias("n2"), F.count("*").alias("g"))
-    spread = spread.select("mu", _concentration(F.col("x"), F.col("n"), F.col("n2"), F.col("g"), F.col("g") - 1.0).alias("k_host"))
-    hosts = hosts.crossJoin(F.broadcast(spread)).withColumn("theta", (F.col("k_host") * F.col("mu") + F.col("hs")) / (F.col("k_host") + F.col("hn")))
-    placed = paths.join(hosts.select(F.col("host").alias("h"), "theta", "mu", "hn"), F.col("host").eqNullSafe(F.col("h"))).drop("h")
-    inner = placed.agg(F.sum(F.col("n") * (F.col("s") / F.col("n") - F.col("theta")) ** 2 / (F.col("theta") * (1 - F.col("theta")))).alias("x"), F.sum("n").alias("n"), F.sum(F.col("n") ** 2 / F.col("hn")).alias("within"), F.count("*").alias("g"), F.approx_count_distinct("host").alias("hosts"))
-    inner = inner.select(_concentration(F.col("x"), F.col("n"), F.col("within") * F.col("n"), F.col("g"), F.greatest(F.col("g") - F.col("hosts"), F.lit(0)).cast("double")).alias("k_path"))
-    sites = placed.crossJoin(F.broadcast(inner)).select(F.col("host").alias("s_host"), F.col("path").alias("s_path"), "n", "s", "theta", "mu", "k_path")
-    sites = stored(sites.withColumnsRenamed({c: f"s_{c}" for c in ("n", "s", "theta", "mu", "k_path")}), "quality-sites")
-    out = scored.join(sites, scored["host"].eqNullSafe(sites["s_host"]) & scored["path"].eqNullSafe(sites["s_path"]))
-    out = out.withColumn("prior", (F.col("s_k_path") * F.col("s_theta") + F.col("s_s") - F.col("own")) / (F.col("s_k_path") + F.col("s_n") - 1))
+        scored = model.transform(featured(base, text_col, x)).withColumn(own, vector_to_array(prob)[1]).drop(x, raw, prob, pred)
+    scored = scored.withColumn(own, F.least(F.greatest(own, F.lit(_EDGE)), F.lit(1 - _EDGE)))
+    scored = scored.drop(*[c for c in docs.columns if c.lower() in made])
+    if not keep_text:
+        scored = stored(scored.drop(text_col), "quality-scores")
+    tables = Tables(docs.sparkSession)
+    paths = scored.groupBy(F.col(h).alias("h"), F.col(p).alias("p")).agg(F.count("*").cast("double").alias("n"), F.sum(own).alias("s"))
+    paths = tables.store(paths, "quality-paths")
+    sites = priors(paths)
+    names = fresh(scored, *[f"site_{c}" for c in sites.columns])
+    sites = stored(sites.toDF(*names), "quality-sites")
+    tables.drop()
+    s_h, s_p, n, s, theta, mu, k_path = (sites[c] for c in names)
+    out = scored.join(sites, scored[h].eqNullSafe(s_h) & scored[p].eqNullSafe(s_p))
+    prior = (k_path * theta + s - F.col(own)) / (k_path + n - 1)
     logit = lambda c: F.log(c / (1 - c))
-    odds = logit(F.col("own")) + logit(F.least(F.greatest("prior", F.lit(_EDGE)), F.lit(1 - _EDGE))) - logit(F.least(F.greatest("s_mu", F.lit(_EDGE)), F.lit(1 - _EDGE)))
-    out = out.withColumn("posterior", 1 / (1 + F.exp(-odds))).withColumn("keep", F.col("posterior") >= threshold)
-    return out.drop(*[f"s_{c}" for c in ("host", "path", "n", "s", "theta", "mu", "k_path")])
+    inside = lambda c: F.least(F.greatest(c, F.lit(_EDGE)), F.lit(1 - _EDGE))
+    posterior = 1 / (1 + F.exp(-(logit(F.col(own)) + logit(inside(prior)) - logit(inside(mu)))))
+    out = out.withColumns({"prior": prior, "posterior": posterior}).withColumn("keep", F.col("posterior") >= threshold)
+    return out.drop(*names).withColumnsRenamed({h: "host", p: "path", own: "own"})
 
 
-def keep_good(docs: DataFrame, labels: DataFrame) -> DataFrame:
-    """docs that the classifier does not reject."""
-    return classify(docs, labels, F.col("source"), F.col("lang")).where("keep").select(*docs.columns)
+def keep_good(docs: DataFrame, labels: DataFrame, host: Column | None = None, path: Column | None = None) -> DataFrame:
+    """docs that the classifier does not reject. Documents without URLs have their source for a host and their language for a path."""
+    h, p = fresh(docs, "own_host", "own_path")
+    base = docs.withColumns({h: F.col("source") if host is None else host, p: F.col("lang") if path is None else path})
+    aside = dict(zip(docs.columns, fresh(base, *[f"kept_{c}" for c in docs.columns]), strict=True))  # classify has names of its own
+    good = classify(base.withColumnsRenamed(aside), labels.withColumnRenamed("doc_id", aside["doc_id"]), F.col(h), F.col(p), aside["doc_id"], aside["text"]).where("keep")
+    return good.select(*[F.col(a).alias(c) for c, a in aside.items()])
 
 
 def op1_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Source and language stand for host and path, as `documents` has no URL."""
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text", "lang", "source")
     labels = spark.read.parquet(f"{sf_dir}/labels.parquet")
-    return classify(docs, labels, F.col("source"), F.col("lang")).select("doc_id", "host", "path", "own", "prior", "posterior", "keep")
+    return classify(docs, labels, F.col("source"), F.col("lang"), keep_text=False).select("doc_id", "host", "path", "own", "prior", "posterior", "keep")
