@@ -52,3 +52,11 @@ def test_urls(spark):
     assert (by[13, urls[13]].host, by[13, urls[13]].path) == ("b:", "//org/") and by[None, urls[0]].rule == "org/"
     assert urlrules.judge_urls(df, urlrules.rules_frame(spark, [(None, "/", "block"), ("", "", "block")])).where("verdict <> 'allow'").count() == 0
     assert urlrules.judge_urls(df.limit(0), urlrules.rules_frame(spark)).count() == 0
+
+
+def test_urls_with_clashing_columns(spark):
+    names = ["rule_verdict", "best_host", "BEST_PATH", "n", "short", "digest", "expr", "rule_short", "host"]
+    urls = spark.createDataFrame([("http://a.example.org/es/x",), ("http://b.com/fr/",), (None,)], "url string").selectExpr("*", *[f"{i} AS `{n}`" for i, n in enumerate(names)])
+    rows = urlrules.judge_urls(urls, urlrules.rules_frame(spark)).collect()
+    assert all(r[n] == i for r in rows for i, n in enumerate(names[:-1]))
+    assert {(r.host, r.verdict) for r in rows} == {("a.example.org", "block"), ("b.com", "allow"), ("", "allow")}

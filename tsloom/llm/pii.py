@@ -106,7 +106,7 @@ def features(kind: str, text: str, a: int, b: int) -> list[float]:
 def candidates(text: str) -> list[tuple[str, int, int, list[float]]]:
     """Spans that some generator proposes, also overlapping ones, with their features."""
     kinds = KINDS[1:] if re.search("[0-9]", text) else []
-    if "@" in text or " dot " in text or re.search(r"[(\[{]at[)\]}]", text):
+    if "@" in text or " at " in text or re.search(r"[(\[{]at[)\]}]", text):  # one of these is in all that the generator takes
         kinds = ["email", *kinds]
     return [(k, *m.span(), features(k, text, *m.span())) for k in kinds for m in GENERATORS[k].finditer(text)]
 
@@ -205,7 +205,7 @@ def _joined(spans: Column) -> Column:
 def find_pii(docs: DataFrame, text_col: str = "text") -> DataFrame:
     """docs without the text, but with base, extra (arrays of spans: of the fixed patterns, of the model) and spans (both).
 
-    The model's trees run inside Spark's own predict expression over the few candidates, gathered per row."""
+    The model's trees run in a pandas UDF, as nested tuples, over the few candidates of each row that lie beside the base spans."""
     model, least = train(docs.sparkSession)
     out = propose(docs, text_col)
     free = lambda a, b: (a["end"] <= b["start"]) | (b["end"] <= a["start"])

@@ -66,7 +66,7 @@ def judge_urls(urls: DataFrame, rules: DataFrame, url_col: str = "url", default:
     out = out.withColumns({"host": host_of(F.col(url_col)), "path": path_of(F.col(url_col))})
     if not lengths:
         return out.withColumns({"rule": F.lit(None).cast("string"), "verdict": F.lit(default)})
-    n, short, digest = fresh(out, "n", "short", "digest")
+    n, short, digest, b_host, b_path, b_verdict = fresh(out, "n", "short", "digest", "best_host", "best_path", "rule_verdict")
     near = F.broadcast if fits(rules, MAX_BROADCAST_RULES) else (lambda x: x)
     asked = out.select("host", "path").distinct().where(F.col("host") != "")
     asked = asked.select("host", "path", F.explode(expressions(F.col("host"), F.col("path"), lengths)).alias("expr"))
@@ -76,10 +76,10 @@ def judge_urls(urls: DataFrame, rules: DataFrame, url_col: str = "url", default:
         hit.where((F.col(digest) == F.col("rule_digest")) & (F.col("expr") == F.col("rule")))
         .groupBy("host", "path")
         .agg(F.max(F.struct(F.length("rule").alias("n"), "rule", "verdict")).alias(n))
-        .select(F.col("host").alias("best_host"), F.col("path").alias("best_path"), F.col(f"{n}.rule").alias("rule"), F.col(f"{n}.verdict").alias("rule_verdict"))
+        .select(F.col("host").alias(b_host), F.col("path").alias(b_path), F.col(f"{n}.rule").alias("rule"), F.col(f"{n}.verdict").alias(b_verdict))
     )
-    joined = out.join(best, (out["host"] == best["best_host"]) & (out["path"] == best["best_path"]), "left")
-    return joined.withColumn("verdict", F.coalesce("rule_verdict", F.lit(default))).drop("best_host", "best_path", "rule_verdict")
+    joined = out.join(best, (out["host"] == best[b_host]) & (out["path"] == best[b_path]), "left")
+    return joined.withColumn("verdict", F.coalesce(b_verdict, F.lit(default))).drop(b_host, b_path, b_verdict)
 
 
 def op7_url_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
