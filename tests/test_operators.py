@@ -3,11 +3,13 @@ import json
 import numpy as np
 import pandas as pd
 import pytest
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from tsloom.functions import timefeat
 from tsloom.operators import decompose, embed, metrics, models, prepare, sample, schedule, windows
 from tsloom.plans.evaluate import Config, evaluate
+from tsloom.plans.registry import QUERIES
 from tsloom.sources import files, registry
 from tsloom.streaming.windows import count_windows
 
@@ -127,20 +129,44 @@ def test_spectrum_and_stft(spark):
     assert np.allclose(back, x)
 
 
-def test_gru_learns():
+def test_scores_tell_apart_and_predict(spark):
     rng = np.random.default_rng(0)
-    x = np.concatenate([rng.uniform(0, 0.4, (40, 6, 1)), rng.uniform(0.6, 1, (40, 6, 1))])
-    y = np.repeat([0.0, 1.0], 40)[:, None]
-    g = models.Gru(1, 4, 0, False)
-    for _ in range(300):
-        g.step(x, y, "log", 1e-2)
-    assert ((g.forward(x)[0] > 0.5) == (y > 0.5)).mean() > 0.95
-    numeric = models.Gru(1, 3, 1, True)
-    before = {k: v.copy() for k, v in numeric.p.items()}
-    loss = lambda: np.abs(numeric.forward(x[:5, :-1])[0] - x[:5, 1:, 0]).mean()
-    base = loss()
-    numeric.step(x[:5, :-1], x[:5, 1:, 0], "abs", 1e-4)
-    assert loss() < base and any((before[k] != numeric.p[k]).any() for k in before)
+    as_frame = lambda x: spark.createDataFrame([(i, t, float(v)) for i, r in enumerate(x) for t, v in enumerate(r)], "series_id long, t long, value double")
+    low, same, high = (as_frame(rng.uniform(a, a + 0.4, (60, 6))) for a in (0, 0, 0.6))
+    assert models.discriminative(low, high, repeats=2).first().disc_mean == 0.5
+    assert models.discriminative(low, same, repeats=2).first().disc_mean < 0.35
+    walk = as_frame([[0.9**t * (i + 1) for t in range(8)] for i in range(30)])
+    assert models.predictive(walk, walk, repeats=2).first().pred_mean < 1e-3
+    two = walk.withColumn("other", F.col("value") * 2).withColumn("target", F.lag("other", 1, 0.0).over(Window.partitionBy("series_id").orderBy("t")))
+    assert models.predictive(two, two, repeats=2, channels=["value", "other", "target"]).first().pred_mean < 1e-3
+    assert models.predictive(low, high, repeats=2).first().pred_mean > 0.2
+
+
+def test_koopman_and_components_of_the_tables(spark, sf_dir):
+    rows = spark.read.parquet(f"{sf_dir}/embeddings.parquet").orderBy("vec_id").collect()
+    x = np.array([r.embedding for r in rows], float)
+    want = np.linalg.lstsq(x[:-1], x[1:], rcond=None)[0]
+    got = np.zeros((64, 64))
+    for r in QUERIES["koopman_operator"](spark, sf_dir).collect():
+        got[r.i, r.j] = r.a
+    assert np.allclose(got, want, atol=2e-5)
+    side = np.array([r.vec_id % 2 for r in rows])
+    centred = x[side == 0] - x[side == 0].mean(0)
+    v = np.linalg.svd(centred, full_matrices=False)[2][:2]
+    v *= np.sign(v[np.arange(2), np.abs(v).argmax(1)])[:, None]
+    p = {r.vec_id: (r.pc1, r.pc2) for r in QUERIES["pca2"](spark, sf_dir).collect()}
+    assert np.allclose([p[r.vec_id] for r in rows], (x - x[side == 0].mean(0)) @ v.T, atol=2e-3)
+    c = [np.cov(x[side == s].T) for s in (0, 1)]
+    m = x[side == 0].mean(0) - x[side == 1].mean(0)
+    roots = np.sqrt(np.linalg.eigvals(c[0] @ c[1]).astype(complex)).real.sum()
+    assert QUERIES["fid_full"](spark, sf_dir).first().fid == pytest.approx(m @ m + np.trace(c[0]) + np.trace(c[1]) - 2 * roots, abs=1e-4)
+
+
+def test_names_of_sizes_and_durations(spark):
+    n = spark.createDataFrame([(x,) for x in (0, 1024, 1025, 1536, 2**20, 3 * 2**19, 2**30 + 1, 5 * 2**30)], "n long")
+    assert [r[0] for r in n.select(metrics.size_name(F.col("n"))).collect()] == ["0", "1024", "1.0K", "1.5K", "1024.0K", "1.5M", "1.0G", "5.0G"]
+    s = spark.createDataFrame([(x,) for x in (5.9, 65.0, 3723.0, 2 * 86400 + 3723.0)], "s double")
+    assert [r[0] for r in s.select(metrics.duration_name(F.col("s"))).collect()] == ["05s", "01m:05s", "01h:02m:03s", "2d:01h:02m:03s"]
 
 
 def test_samplers_keep_known_points(spark):

@@ -55,6 +55,11 @@ def spectrum(df: DataFrame, series: list[str], length: int, t: str = "t", value:
     return rows.groupBy(*series, "f").agg(F.sum(F.col(value) * F.cos(angle)).alias("re"), F.sum(-F.col(value) * F.sin(angle)).alias("im"))
 
 
+def top_count(length: int, factor: float = 1.0) -> int:
+    """How many frequencies stand for a length: the logarithm of the number of those that spectrum() gives."""
+    return int(factor * math.log((length - 1) // 2))
+
+
 def strongest(spec: DataFrame, series: list[str], k: int) -> DataFrame:
     """The k frequencies of greatest amplitude (rounded; ties: the lower one) of each series."""
     amp = F.round(F.sqrt(F.col("re") ** 2 + F.col("im") ** 2), 6)
@@ -63,8 +68,8 @@ def strongest(spec: DataFrame, series: list[str], k: int) -> DataFrame:
 
 
 def extrapolated(top: DataFrame, series: list[str], length: int, steps: int) -> DataFrame:
-    """The sum of the chosen cosines over steps points, also beyond the length."""
+    """The sum of the chosen frequencies and their conjugates over steps points, also beyond the length; amplitudes are not divided by the length."""
     phase = F.atan2("im", "re")
     rows = top.withColumn("t", F.explode(F.sequence(F.lit(0), F.lit(steps - 1))))
-    wave = 2.0 * F.col("amp") / length * F.cos(2.0 * math.pi * F.col("f") * F.col("t") / length + phase)
+    wave = 2.0 * F.col("amp") * F.cos(2.0 * math.pi * F.col("f") * F.col("t") / length + phase)
     return rows.groupBy(*series, "t").agg(F.sum(wave).alias("value"))

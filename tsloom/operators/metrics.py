@@ -113,13 +113,14 @@ def running_best(scores: DataFrame, by: list[str], epoch: str, value: str) -> Da
 
 
 def size_name(n: Column) -> Column:
-    """A count as 1.2K, 3.4M or 5.6G."""
-    short = lambda k, u: F.format_string(f"%.1f{u}", n / k)
-    return F.when(n >= 1e9, short(1e9, "G")).when(n >= 1e6, short(1e6, "M")).when(n >= 1e3, short(1e3, "K")).otherwise(n.cast("string"))
+    """A whole number as 1.2K, 3.45M or 5.6G of 1024: above one unit, in its multiples to two places (half to even)."""
+    short = lambda k, u: F.concat(F.bround(n / float(k), 2).cast("string"), F.lit(u))
+    return F.when(n > 2**30, short(2**30, "G")).when(n > 2**20, short(2**20, "M")).when(n > 2**10, short(2**10, "K")).otherwise(n.cast("string"))
 
 
 def duration_name(seconds: Column) -> Column:
-    """Seconds as 1h 02m 03s, 4m 05s or 6s."""
+    """Seconds as 06s, 04m:05s, 01h:02m:03s or 2d:01h:02m:03s."""
     s = F.floor(seconds).cast("long")
-    h, m, r = F.floor(s / 3600), F.floor(s / 60) % 60, s % 60
-    return F.when(h > 0, F.format_string("%dh %02dm %02ds", h, m, r)).when(s >= 60, F.format_string("%dm %02ds", m, r)).otherwise(F.format_string("%ds", r))
+    d, h, m, r = F.floor(s / 86400), F.floor(s / 3600) % 24, F.floor(s / 60) % 60, s % 60
+    hours = F.when(s >= 86400, F.format_string("%dd:%02dh:%02dm:%02ds", d, h, m, r)).when(s >= 3600, F.format_string("%02dh:%02dm:%02ds", h, m, r))
+    return hours.when(s >= 60, F.format_string("%02dm:%02ds", m, r)).otherwise(F.format_string("%02ds", r))

@@ -32,6 +32,16 @@ def exploded_windows(df: DataFrame, series: list[str], length: int, stride: int
     return out.withColumn("pos", F.col(t) - F.col("start")).drop("_n", "_lo", "_hi", "_k")
 
 
+def covering_windows(df: DataFrame, series: list[str], length: int, t: str = "t") -> DataFrame:
+    """series, start, pos and the other columns of windows that follow each other, and one more that ends with the series where
+    they miss its end: each row is in one window or two. Series shorter than the length have none."""
+    n = F.count("*").over(Window.partitionBy(*series))
+    starts = F.array_distinct(F.array(F.floor(F.col(t) / length) * length, F.col("_n") - length))
+    inside = F.filter(starts, lambda s: (s >= 0) & (s <= F.col(t)) & (F.col(t) < s + length) & (s + length <= F.col("_n")))
+    out = df.withColumn("_n", n).withColumn("start", F.explode(inside))
+    return out.withColumn("pos", F.col(t) - F.col("start")).drop("_n")
+
+
 def packed(df: DataFrame, series: list[str], t: str = "t", value: str = "value", name: str = "x") -> DataFrame:
     """One ordered array for each series."""
     return df.groupBy(*series).agg(F.transform(F.sort_array(F.collect_list(F.struct(t, value))), lambda s: s[value]).alias(name))

@@ -21,7 +21,7 @@ class Config:
     subset_n: int | None = None
     seed: int = 0
     repeats: int = 10
-    iterations: int = 2000
+    iterations: int = 50
     metrics: list[str] = field(default_factory=lambda: ["disc", "pred", "jsd"])
 
 
@@ -48,7 +48,7 @@ def evaluate(spark: SparkSession, datasets: dict[str, DataFrame], handler: model
         if "disc" in config.metrics:
             parts.append(models.discriminative(real, fake, config.repeats, config.iterations))
         if "pred" in config.metrics:
-            parts.append(models.predictive(real, fake, config.repeats, config.iterations))
+            parts.append(models.predictive(real, fake, config.repeats))
         if "jsd" in config.metrics:
             both = real.withColumn("side", F.lit("real")).unionByName(fake.withColumn("side", F.lit("fake")), allowMissingColumns=True)
             parts.append(metrics.jensen_shannon(metrics.histogram(both, "side"), "side", "real", "fake"))

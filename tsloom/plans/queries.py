@@ -6,7 +6,6 @@ are `embeddings`. Doubles are rounded on both sides.
 
 from __future__ import annotations
 
-import math
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, Window
@@ -23,6 +22,8 @@ KEY = ["series_id"]
 
 #: The indexed event series in DuckDB.
 _E = "e AS (SELECT user_id AS series_id, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) - 1 AS t, count(*) OVER (PARTITION BY user_id) AS n, ts, event_id, event_type, value FROM events)"
+#: Windows of 24 steps that cover each series in DuckDB; t counts within them.
+_W = _E + ", w AS (SELECT DISTINCT series_id, start, t - start AS t, value FROM (SELECT *, unnest([t // 24 * 24, n - 24]) AS start FROM e) WHERE start >= 0 AND start <= t AND t < start + 24 AND start + 24 <= n)"
 _U = "('0x' || substr(md5({}), 1, 13))::BIGINT::DOUBLE / pow(2, 52)"
 
 
@@ -47,6 +48,15 @@ def packs(spark: SparkSession, d: str, length: int | None = None) -> DataFrame:
     return windows.packed(s if length is None else s.where(F.col("t") < length), KEY)
 
 
+def cut(spark: SparkSession, d: str) -> DataFrame:
+    """series_id, start, t (within the window), value: windows of 24 steps that cover each series."""
+    s = windows.covering_windows(series(spark, d).select("series_id", "t", "value"), KEY, 24)
+    return s.select("series_id", "start", F.col("pos").alias("t"), "value")
+
+
+WINDOW = ["series_id", "start"]
+
+
 # --- splits and scalers
 
 
@@ -276,9 +286,9 @@ def crop_random_offset(spark, d):
     return windows.unpacked(x, KEY).select("series_id", F.col("t").cast("long").alias("pos"), digits(F.col("value")).alias("value"))
 
 
-@query(f"WITH {_E} SELECT series_id, t - 2 + 7 AS pos, round(value, 6) + 0.0 AS value FROM e WHERE t < 20 AND t >= 2")
+@query(f"WITH {_E} SELECT series_id, t - 2 + 7 AS pos, round(value, 6) + 0.0 AS value FROM e WHERE t >= 2")
 def centre_by_rotation(spark, d):
-    x = packs(spark, d, 20).withColumn("x", F.transform("x", lambda v, i: F.when(i >= 2, v))).withColumn("x", windows.nan_padded("x", 0, 12)).withColumn("x", windows.centred("x"))
+    x = packs(spark, d).withColumn("x", F.transform("x", lambda v, i: F.when(i >= 2, v))).withColumn("x", windows.nan_padded("x", 0, 12)).withColumn("x", windows.centred("x"))
     return windows.unpacked(x, KEY).where("value IS NOT NULL").select("series_id", F.col("t").cast("long").alias("pos"), digits(F.col("value")).alias("value"))
 
 
@@ -415,30 +425,30 @@ _PLACES = ", ".join(f"({c}, {a}, {n})" for c, (a, n) in enumerate(_COLS))
 
 
 def _cells(spark, d):
-    return embed.delay_embedded(series(spark, d).where("t < 24").select("series_id", "t", "value"), 24, 8, 5)
+    return embed.delay_embedded(cut(spark, d), 24, 8, 5)
 
 
-@query(f"WITH {_E}, p(c, a, m) AS (VALUES {_PLACES}) SELECT series_id, c, (t - a)::INT AS r, round(value, 6) + 0.0 AS value FROM e JOIN p ON t >= a AND t < a + m WHERE t < 24")
+@query(f"WITH {_W}, p(c, a, m) AS (VALUES {_PLACES}) SELECT series_id, start, c, (t - a)::INT AS r, round(value, 6) + 0.0 AS value FROM w JOIN p ON t >= a AND t < a + m")
 def delay_embed(spark, d):
-    return _cells(spark, d).select("series_id", "c", "r", digits(F.col("value")).alias("value"))
+    return _cells(spark, d).select("series_id", "start", "c", "r", digits(F.col("value")).alias("value"))
 
 
-@query(f"WITH {_E} SELECT series_id, t, round(value, 6) + 0.0 AS value FROM e WHERE t < 24")
+@query(f"WITH {_W} SELECT series_id, start, t, round(value, 6) + 0.0 AS value FROM w")
 def delay_inverse(spark, d):
-    return embed.delay_inverse(_cells(spark, d), KEY, 5).select("series_id", "t", digits(F.col("value")).alias("value"))
+    return embed.delay_inverse(_cells(spark, d), WINDOW, 5).select("series_id", "start", "t", digits(F.col("value")).alias("value"))
 
 
-@query(f"""WITH {_E}, p(c, a, m) AS (VALUES {_PLACES}), x AS (SELECT series_id, c, (t - a)::INT AS r, value FROM e JOIN p ON t >= a AND t < a + m WHERE t < 24),
-g AS (SELECT series_id, r::INT AS r, c::INT AS c FROM (SELECT DISTINCT series_id FROM e), (SELECT unnest(range(0, 8)) AS r), (SELECT unnest(range(0, 8)) AS c))
-SELECT series_id, r, c, round(coalesce(value, 0), 6) + 0.0 AS value, CAST(c > {len(_COLS) - 1} AS INT) AS mask FROM g LEFT JOIN x USING (series_id, r, c)""")
+@query(f"""WITH {_W}, p(c, a, m) AS (VALUES {_PLACES}), x AS (SELECT series_id, start, c, (t - a)::INT AS r, value FROM w JOIN p ON t >= a AND t < a + m),
+g AS (SELECT series_id, start, r::INT AS r, c::INT AS c FROM (SELECT DISTINCT series_id, start FROM w), (SELECT unnest(range(0, 8)) AS r), (SELECT unnest(range(0, 8)) AS c))
+SELECT series_id, start, r, c, round(coalesce(value, 0), 6) + 0.0 AS value, CAST(c > {len(_COLS) - 1} AS INT) AS mask FROM g LEFT JOIN x USING (series_id, start, r, c)""")
 def square_pad_mask(spark, d):
-    return windows.square_padded(_cells(spark, d), 8, KEY).select("series_id", "r", "c", digits(F.col("value")).alias("value"), "mask")
+    return windows.square_padded(_cells(spark, d), 8, WINDOW).select("series_id", "start", "r", "c", digits(F.col("value")).alias("value"), "mask")
 
 
-@query(f"WITH {_E} SELECT series_id, t, CAST(t < 12 AS INT) AS half, CAST({_U.format("series_id || ':' || t || ':4'")} >= 0.3 AS INT) AS random, CAST(NOT (t BETWEEN 5 AND 9) AS INT) AS run FROM e WHERE t < 24")
+@query(f"WITH {_W} SELECT series_id, start, t, CAST(t < 12 AS INT) AS half, CAST({_U.format("series_id || ':' || t || ':4'")} >= 0.3 AS INT) AS random, CAST(NOT (t BETWEEN 5 AND 9) AS INT) AS run FROM w")
 def masks(spark, d):
-    s = series(spark, d).where("t < 24")
-    return s.select("series_id", "t", embed.half_mask(F.col("t"), 24).alias("half"), embed.random_mask(0.3, F.col("series_id"), F.col("t"), 4).alias("random"), embed.run_mask(F.col("t"), F.lit(5), 5).alias("run"))
+    s = cut(spark, d)
+    return s.select("series_id", "start", "t", embed.half_mask(F.col("t"), 24).alias("half"), embed.random_mask(0.3, F.col("series_id"), F.col("t"), 4).alias("random"), embed.run_mask(F.col("t"), F.lit(5), 5).alias("run"))
 
 
 @query("SELECT id, i::INT AS i, round(CASE WHEN i < 8 THEN sin(id * exp(-ln(10000) * i / 7)) ELSE cos(id * exp(-ln(10000) * (i - 8) / 7)) END, 6) + 0.0 AS value FROM (SELECT unnest(range(0, 50)) AS id), (SELECT unnest(range(0, 16)) AS i)")
@@ -461,22 +471,22 @@ def trend_residual(spark, d):
     return decompose.decomposed(series(spark, d), KEY, 4).select("series_id", "t", digits(F.col("trend")).alias("trend"), digits(F.col("season")).alias("season"))
 
 
-_DFT = f"""WITH {_E}, s AS (SELECT series_id, f, sum(value * cos(2 * pi() * f * t / 24)) AS re, sum(-value * sin(2 * pi() * f * t / 24)) AS im FROM e, (SELECT unnest(range(1, 12)) AS f) WHERE t < 24 GROUP BY 1, 2),
-a AS (SELECT *, round(sqrt(re * re + im * im), 6) AS amp FROM s), k AS (SELECT *, row_number() OVER (PARTITION BY series_id ORDER BY amp DESC, f) AS rk FROM a)"""
+_DFT = f"""WITH {_W}, s AS (SELECT series_id, start, f, sum(value * cos(2 * pi() * f * t / 24)) AS re, sum(-value * sin(2 * pi() * f * t / 24)) AS im FROM w, (SELECT unnest(range(1, 12)) AS f) GROUP BY 1, 2, 3),
+a AS (SELECT *, round(sqrt(re * re + im * im), 6) AS amp FROM s), k AS (SELECT *, row_number() OVER (PARTITION BY series_id, start ORDER BY amp DESC, f) AS rk FROM a)"""
 
 
 def _top(spark, d):
-    return decompose.strongest(decompose.spectrum(series(spark, d), KEY, 24), KEY, int(math.log(24)))
+    return decompose.strongest(decompose.spectrum(cut(spark, d), WINDOW, 24), WINDOW, decompose.top_count(24))
 
 
-@query(f"{_DFT} SELECT series_id, rk, f::INT AS f, round(amp, 4) + 0.0 AS amp FROM k WHERE rk <= 3")
+@query(f"{_DFT} SELECT series_id, start, rk, f::INT AS f, round(amp, 4) + 0.0 AS amp FROM k WHERE rk <= 2")
 def dft_topk(spark, d):
-    return _top(spark, d).select("series_id", F.col("rk").cast("long").alias("rk"), "f", digits(F.col("amp"), 4).alias("amp"))
+    return _top(spark, d).select("series_id", "start", F.col("rk").cast("long").alias("rk"), "f", digits(F.col("amp"), 4).alias("amp"))
 
 
-@query(f"{_DFT} SELECT series_id, t::INT AS t, round(sum(2 * amp / 24 * cos(2 * pi() * f * t / 24 + atan2(im, re))), 4) + 0.0 AS value FROM k, (SELECT unnest(range(0, 32)) AS t) WHERE rk <= 3 GROUP BY 1, 2")
+@query(f"{_DFT} SELECT series_id, start, t::INT AS t, round(sum(2 * amp * cos(2 * pi() * f * t / 24 + atan2(im, re))), 3) + 0.0 AS value FROM k, (SELECT unnest(range(0, 32)) AS t) WHERE rk <= 2 GROUP BY 1, 2, 3")
 def dft_extrapolate(spark, d):
-    return decompose.extrapolated(_top(spark, d), KEY, 24, 32).select("series_id", "t", digits(F.col("value"), 4).alias("value"))
+    return decompose.extrapolated(_top(spark, d), WINDOW, 24, 32).select("series_id", "start", "t", digits(F.col("value"), 3).alias("value"))
 
 
 @query("SELECT channel::INT AS channel, t, round(CASE WHEN channel < 4 THEN cos(2 * pi() * channel * t / 24) ELSE sin(2 * pi() * (channel - 4) * t / 24) END, 9) + 0.0 AS value FROM (SELECT unnest(range(0, 24)) AS t), (SELECT unnest(range(0, 8)) AS channel)")
@@ -574,12 +584,11 @@ def sine_source(spark, d):
     return sines(spark, 200, 24, 3).select("sample_id", "t", "channel", digits(F.col("value")).alias("value"))
 
 
-@query(f"WITH {_E}, r AS (SELECT series_id, t, value, row_number() OVER (PARTITION BY series_id ORDER BY md5(series_id || ':' || t || ':2'), t) AS k FROM e WHERE t < 24) SELECT series_id, t, CASE WHEN k > 7 THEN round(value, 6) + 0.0 END AS value FROM r")
+@query(f"WITH {_W}, r AS (SELECT series_id, start, t, value, row_number() OVER (PARTITION BY series_id, start ORDER BY md5(series_id || ':' || start || ':' || t || ':2'), t) AS k FROM w) SELECT series_id, start, t, CASE WHEN k > 7 THEN round(value, 6) + 0.0 END AS value FROM r")
 def drop_out_points(spark, d):
     from tsloom.sources.synthetic import dropped_out
 
-    s = series(spark, d).where("t < 24").select("series_id", "t", "value")
-    return dropped_out(s, KEY, 0.3, 24, 2).select("series_id", "t", digits(F.col("value")).alias("value"))
+    return dropped_out(cut(spark, d), WINDOW, 0.3, 24, 2).select("series_id", "start", "t", digits(F.col("value")).alias("value"))
 
 
 # --- evaluation
@@ -668,9 +677,9 @@ def cross_dataset_mean(spark, d):
     return e.groupBy("epoch").agg(digits(F.avg("value")).alias("value"))
 
 
-@query(f"WITH {_E} SELECT series_id, t AS epoch, CAST(coalesce(value < min(value) OVER (PARTITION BY series_id ORDER BY t ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), true) AS INT) AS is_best FROM e WHERE t % 5 = 0")
+@query(f"WITH {_E} SELECT series_id, t AS epoch, CAST(coalesce(value < min(value) OVER (PARTITION BY series_id ORDER BY t ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), true) AS INT) AS is_best FROM e")
 def running_best(spark, d):
-    s = series(spark, d).where("pmod(t, 5) = 0").withColumnRenamed("t", "epoch")
+    s = series(spark, d).withColumnRenamed("t", "epoch")
     return metrics.running_best(s, KEY, "epoch", "value").select("series_id", "epoch", "is_best")
 
 
@@ -682,42 +691,44 @@ def koopman_1d(spark, d):
 
 @query()
 def koopman_operator(spark, d):
-    e = table(spark, d, "embeddings").select(F.lit(0).alias("series_id"), F.col("vec_id").alias("t"), F.slice("embedding", 1, 8).alias("x"))
-    return models.koopman(e, KEY, "t", "x", 8).select("series_id", "i", "j", digits(F.col("a"), 5).alias("a"))
+    e = table(spark, d, "embeddings").select(F.lit(0).alias("series_id"), F.col("vec_id").alias("t"), F.col("embedding").alias("x"))
+    return models.koopman(e, KEY, "t", "x", 64).select("series_id", "i", "j", digits(F.col("a"), 5).alias("a"))
 
 
 @query()
 def generate_ar1(spark, d):
-    real = series(spark, d).where("t < 24").select("series_id", "t", "value")
+    real = series(spark, d).select("series_id", "t", "value")
     return models.AutoRegression().fit(real).sample(spark, 50, 24, seed=5)
 
 
 @query()
 def disc_score(spark, d):
-    return models.discriminative(*models.real_and_generated(spark, d), repeats=2, iterations=60)
+    return models.discriminative(*models.real_and_generated(spark, d))
 
 
 @query()
 def pred_score(spark, d):
-    return models.predictive(*models.real_and_generated(spark, d), repeats=2, iterations=60)
+    return models.predictive(*models.real_and_generated(spark, d))
 
 
 @query()
 def tsne2(spark, d):
-    return models.tsne(table(spark, d, "embeddings"), "vec_id", "embedding", sample=200, iterations=120)
+    return models.tsne(table(spark, d, "embeddings"), "vec_id", "embedding")
 
 
-@query()
+@query(f"""WITH {_W}, x AS (SELECT series_id, start, frame, k, abs(frame * 4 + k - 4) AS p FROM (SELECT DISTINCT series_id, start FROM w), (SELECT unnest(range(0, 7)) AS frame), (SELECT unnest(range(0, 8)) AS k)),
+v AS (SELECT x.series_id, x.start, frame, k, value * (0.5 - 0.5 * cos(2 * pi() * k / 8)) AS v FROM x JOIN w ON w.series_id = x.series_id AND w.start = x.start AND w.t = least(p, 46 - p))
+SELECT series_id, start, frame::INT AS frame, f::INT AS f, round(sum(v * cos(2 * pi() * f * k / 8)), 5) + 0.0 AS re, round(sum(-v * sin(2 * pi() * f * k / 8)), 5) + 0.0 AS im FROM v, (SELECT unnest(range(0, 5)) AS f) GROUP BY 1, 2, 3, 4""")
 def stft_cells(spark, d):
-    x = packs(spark, d, 24)
-    return x.select("series_id", F.explode(embed.stft(F.col("x"), 8, 4)).alias("s")).select("series_id", "s.frame", "s.f", digits(F.col("s.re")).alias("re"), digits(F.col("s.im")).alias("im"))
+    x = windows.packed(cut(spark, d), WINDOW)
+    return x.select(*WINDOW, F.explode(embed.stft(F.col("x"), 8, 4)).alias("s")).select(*WINDOW, "s.frame", "s.f", digits(F.col("s.re"), 5).alias("re"), digits(F.col("s.im"), 5).alias("im"))
 
 
-@query("SELECT o_orderkey, CASE WHEN o_totalprice >= 1e6 THEN printf('%.1fM', o_totalprice / 1e6) WHEN o_totalprice >= 1e3 THEN printf('%.1fK', o_totalprice / 1e3) ELSE o_totalprice::BIGINT::VARCHAR END AS short FROM orders WHERE o_totalprice >= 1000")
+@query("SELECT o_orderkey, CASE WHEN n > 1073741824 THEN round_even(n / 1073741824.0::DOUBLE, 2)::VARCHAR || 'G' WHEN n > 1048576 THEN round_even(n / 1048576.0::DOUBLE, 2)::VARCHAR || 'M' WHEN n > 1024 THEN round_even(n / 1024.0::DOUBLE, 2)::VARCHAR || 'K' ELSE n::VARCHAR END AS short FROM (SELECT o_orderkey, floor(o_totalprice * 50)::BIGINT AS n FROM orders)")
 def size_names(spark, d):
-    return table(spark, d, "orders").where("o_totalprice >= 1000").select("o_orderkey", metrics.size_name(F.col("o_totalprice")).alias("short"))
+    return table(spark, d, "orders").select("o_orderkey", metrics.size_name(F.floor(F.col("o_totalprice") * 50).cast("long")).alias("short"))
 
 
-@query("SELECT event_id, CASE WHEN s >= 3600 THEN printf('%dh %02dm %02ds', s // 3600, s // 60 % 60, s % 60) WHEN s >= 60 THEN printf('%dm %02ds', s // 60, s % 60) ELSE printf('%ds', s) END AS duration FROM (SELECT event_id, floor(value * value / 10)::BIGINT AS s FROM events)")
+@query("SELECT event_id, CASE WHEN s >= 86400 THEN printf('%dd:%02dh:%02dm:%02ds', s // 86400, s // 3600 % 24, s // 60 % 60, s % 60) WHEN s >= 3600 THEN printf('%02dh:%02dm:%02ds', s // 3600, s // 60 % 60, s % 60) WHEN s >= 60 THEN printf('%02dm:%02ds', s // 60, s % 60) ELSE printf('%02ds', s) END AS duration FROM (SELECT event_id, floor(value * value * 2)::BIGINT AS s FROM events)")
 def duration_names(spark, d):
-    return table(spark, d, "events").select("event_id", metrics.duration_name(F.col("value") * F.col("value") / 10).alias("duration"))
+    return table(spark, d, "events").select("event_id", metrics.duration_name(F.col("value") * F.col("value") * 2).alias("duration"))
