@@ -16,6 +16,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from tsloom.functions.hashing import digits, normal, order, uniform
+from tsloom.operators.sample import globally_ranked
 from tsloom.operators.windows import covering_windows
 from tsloom.session import table
 
@@ -72,7 +73,7 @@ class BlockBootstrap:
 
     def fit(self, real: DataFrame) -> BlockBootstrap:
         names = real.select("series_id").distinct()
-        self.names = names.withColumn("slot", F.row_number().over(Window.orderBy("series_id")) - 1)
+        self.names = globally_ranked(names, 0, F.col("series_id"), "slot")
         self.count, self.real = self.names.count(), real
         return self
 

@@ -122,8 +122,17 @@ def interpolated(df: DataFrame, series: list[str], t: str = "t", value: str = "v
 
 
 def zero_filled(x: Column) -> Column:
-    """NaN and null to 0."""
-    return F.coalesce(F.nanvl(x, F.lit(0.0)), F.lit(0.0))
+    """NaN and null to 0, infinities to the largest finite values."""
+    most = 1.7976931348623157e308
+    plain = F.coalesce(F.nanvl(x, F.lit(0.0)), F.lit(0.0))
+    return F.greatest(F.least(plain, F.lit(most)), F.lit(-most))
+
+
+def missing_edges(df: DataFrame, series: list[str], t: str = "t", value: str = "value") -> DataFrame:
+    """series, leading and trailing: how many values are missing before the first and after the last that is there (all: both)."""
+    there = F.when(F.col(value).isNotNull(), F.col(t))
+    each = df.groupBy(*series).agg(F.min(t).alias("_a"), F.max(t).alias("_b"), F.min(there).alias("_f"), F.max(there).alias("_l"), F.count("*").alias("_n"))
+    return each.select(*series, F.coalesce(F.col("_f") - F.col("_a"), F.col("_n")).cast("long").alias("leading"), F.coalesce(F.col("_b") - F.col("_l"), F.col("_n")).cast("long").alias("trailing"))
 
 
 def decimated(packed: DataFrame, longest: int = 256, arrays: str = "x") -> DataFrame:

@@ -14,16 +14,42 @@ def ranked(df: DataFrame, seed: int, ids: Column, within: list[str], name: str =
     return df.withColumn(name, F.row_number().over(line).cast("long") - 1)
 
 
-def globally_ranked(df: DataFrame, seed: int, ids: Column, name: str = "rank") -> DataFrame:
-    """Rank over all rows: counts of hash ranges give each range's offset, so that no task sorts all rows."""
-    df = df.withColumn("_h", order(ids, seed)).withColumn("_r", F.substring("_h", 1, 3))
+def _placed(df: DataFrame, h: Column, ties: list[Column], name: str) -> DataFrame:
+    """Rank over all rows by a hexadecimal hash, then ties: counts of hash ranges give each range's offset, so that no task sorts all rows."""
+    df = df.withColumn("_h", h).withColumn("_r", F.substring("_h", 1, 3))
     sizes = df.groupBy("_r").agg(F.count("*").alias("_c"))
     offsets = sizes.select("_r", (F.sum("_c").over(Window.orderBy("_r")) - F.col("_c")).alias("_o"))  # at most 4096 rows
-    inner = F.row_number().over(Window.partitionBy("_r").orderBy("_h", ids))
+    inner = F.row_number().over(Window.partitionBy("_r").orderBy("_h", *ties))
     out = df.join(F.broadcast(offsets), "_r")
     return out.withColumn(name, (F.col("_o") + inner - 1).cast("long")).drop("_h", "_r", "_o")
 
 
+def globally_ranked(df: DataFrame, seed: int, ids: Column, name: str = "rank") -> DataFrame:
+    """Rank over all rows in a seeded order."""
+    return _placed(df, order(ids, seed), [ids], name)
+
+
+def shared_prefix(sides: DataFrame, side: str, ids: Column, seed: int, most: int = 1000) -> DataFrame:
+    """Of each side the rows at the same min(most, rows of the smaller side) drawn places of its order by ids, numbered by draw.
+
+    Places are ranks in a hash order of the place, so both sides share one index. Rows of a side: row_number within the side."""
+    n = sides.groupBy(side).agg(F.count("*").alias("_n")).agg(F.min("_n").alias("_least"))  # one row
+    at = F.row_number().over(Window.partitionBy(side).orderBy(ids)).cast("long") - 1
+    out = sides.withColumn("place", at).crossJoin(F.broadcast(n)).where(F.col("place") < F.col("_least"))
+    draw = F.row_number().over(Window.partitionBy(side).orderBy(order(F.col("place"), seed), "place")).cast("long") - 1
+    return out.withColumn("draw", draw).where(F.col("draw") < F.least(F.lit(most), F.col("_least"))).drop("_least")
+
+
+def repeated(df: DataFrame, epochs: int, seed: int, ids: Column) -> DataFrame:
+    """Every row once in each epoch, with its rank in the epoch's own order: a bounded form of an endless iterator."""
+    out = df.withColumn("epoch", F.explode(F.sequence(F.lit(0), F.lit(epochs - 1))))
+    line = Window.partitionBy("epoch", "_r").orderBy("_h", ids)
+    out = out.withColumn("_h", order(ids, F.col("epoch"), seed)).withColumn("_r", F.substring("_h", 1, 3))
+    sizes = out.groupBy("epoch", "_r").agg(F.count("*").alias("_c"))
+    offsets = sizes.select("epoch", "_r", (F.sum("_c").over(Window.partitionBy("epoch").orderBy("_r")) - F.col("_c")).alias("_o"))  # at most 4096 rows an epoch
+    return out.join(F.broadcast(offsets), ["epoch", "_r"]).withColumn("rank", (F.col("_o") + F.row_number().over(line) - 1).cast("long")).drop("_h", "_r", "_o")
+
+
 def subset(ranks: DataFrame, n: Column, rank: str = "rank") -> DataFrame:
     """The first n in the order; n beyond the size repeats rows, with copy counting the repeats."""
     size = ranks.agg(F.count("*").alias("_n"))
@@ -47,7 +73,7 @@ def interleaved(batches: DataFrame, dataset: str, batch: str, seed: int) -> Data
     The k-th smallest key of a dataset goes to its k-th batch; slots follow the keys. A row for each batch only."""
     keyed = batches.withColumn("_key", order(F.col(dataset), F.col(batch), seed))
     kth = keyed.select(dataset, (F.row_number().over(Window.partitionBy(dataset).orderBy("_key")).cast("long") - 1).alias(batch), "_key")
-    return kth.withColumn("slot", F.row_number().over(Window.orderBy("_key")).cast("long") - 1).drop("_key")
+    return _placed(kth, F.col("_key"), [F.col(dataset), F.col(batch)], "slot").drop("_key")
 
 
 def sharded(df: DataFrame, ranks: int, rank: str = "rank") -> DataFrame:

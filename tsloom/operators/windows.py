@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import random
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -99,6 +101,21 @@ def cropped(x: str, offset: Column, length: int) -> Column:
     return F.slice(F.col(x), offset + 1, length)
 
 
+def crop_pair(length: int, seed: int, least: int = 2) -> tuple[int, int, int, int]:
+    """(outer left, left, right, outer right) of two views that overlap in [left, right), drawn from a seed."""
+    draw = random.Random(seed)
+    width = draw.randint(least, length)
+    left = draw.randint(0, length - width)
+    return draw.randint(0, left), left, left + width, draw.randint(left + width, length)
+
+
+def crop_views(x: str, length: int, pair: tuple[int, int, int, int], u: Column) -> tuple[Column, Column]:
+    """Both views of an array, moved by an offset that u, a uniform of the row, draws from those that keep them inside."""
+    outer_left, left, right, outer_right = pair
+    offset = F.floor(u * (length - outer_right + outer_left + 1)).cast("int") - outer_left
+    return cropped(x, offset + outer_left, right - outer_left), cropped(x, offset + left, outer_right - left)
+
+
 def centred(x: str) -> Column:
     """Values between leading and trailing nulls moved to the middle by rotation."""
     c = F.col(x)

@@ -120,10 +120,19 @@ def interp_linear_both(spark, d):
     return prepare.interpolated(s, KEY).select("series_id", "t", digits(F.col("value")).alias("value"))
 
 
-@query("SELECT event_id, CASE WHEN event_id % 7 = 0 OR event_id % 5 = 0 THEN 0.0 ELSE round(value, 6) + 0.0 END AS value FROM events")
+@query("SELECT event_id, CASE WHEN event_id % 7 = 0 OR event_id % 5 = 0 THEN 0.0 WHEN event_id % 11 = 0 THEN 1.7976931348623157e308 WHEN event_id % 13 = 0 THEN -1.7976931348623157e308 ELSE round(value, 6) + 0.0 END AS value FROM events")
 def nan_to_zero(spark, d):
-    v = F.when(F.col("event_id") % 7 == 0, F.lit(None).cast("double")).when(F.col("event_id") % 5 == 0, F.lit(float("nan"))).otherwise(F.col("value"))
-    return table(spark, d, "events").select("event_id", digits(prepare.zero_filled(v)).alias("value"))
+    odd = lambda k, x: F.when(F.col("event_id") % k == 0, F.lit(x).cast("double"))
+    v = F.coalesce(F.when(F.col("event_id") % 7 == 0, F.lit("none")), F.lit("")) == "none"
+    v = F.when(v, F.lit(None).cast("double")).otherwise(F.coalesce(odd(5, "nan"), odd(11, "inf"), odd(13, "-inf"), digits(F.col("value"))))
+    return table(spark, d, "events").select("event_id", prepare.zero_filled(v).alias("value"))
+
+
+@query(f"""WITH {_E}, m AS (SELECT series_id, t, CASE WHEN event_id % 3 <> 0 THEN value END AS v FROM e), s AS (SELECT series_id, count(*) AS n, min(t) AS a, max(t) AS b, min(t) FILTER (v IS NOT NULL) AS f, max(t) FILTER (v IS NOT NULL) AS l FROM m GROUP BY 1)
+SELECT series_id, coalesce(f - a, n) AS leading, coalesce(b - l, n) AS trailing FROM s""")
+def missing_edges(spark, d):
+    s = series(spark, d).withColumn("value", F.when(F.col("event_id") % 3 != 0, F.col("value")))
+    return prepare.missing_edges(s, KEY)
 
 
 def _split_rows(parts: dict[str, DataFrame], by: list[str]) -> DataFrame:
@@ -304,9 +313,35 @@ def max_pool(spark, d):
     return windows.pooled(series(spark, d), KEY, 5).select("series_id", "t", digits(F.col("pooled")).alias("pooled"))
 
 
+_PAIR = windows.crop_pair(24, 6)
+_OFF = f"(CAST(floor({_U.format("series_id || ':' || start || ':6'")} * {24 - _PAIR[3] + _PAIR[0] + 1}) AS BIGINT) - {_PAIR[0]})"
+
+
+@query(f"""WITH {_W}, o AS (SELECT *, {_OFF} AS off FROM w), v(view, lo, hi) AS (VALUES (1, {_PAIR[0]}, {_PAIR[2]}), (2, {_PAIR[1]}, {_PAIR[3]}))
+SELECT series_id, start, view, t - off - lo AS pos, round(value, 6) + 0.0 AS value FROM o JOIN v ON t >= off + lo AND t < off + hi""")
+def crop_pairs(spark, d):
+    x = windows.packed(cut(spark, d), WINDOW)
+    views = windows.crop_views("x", 24, _PAIR, uniform(F.col("series_id"), F.col("start"), 6))
+    out = x.select(*WINDOW, F.posexplode(F.array(*views)).alias("k", "v")).select(*WINDOW, (F.col("k") + 1).alias("view"), F.posexplode("v").alias("pos", "value"))
+    return out.select(*WINDOW, "view", F.col("pos").cast("long").alias("pos"), digits(F.col("value")).alias("value"))
+
+
 # --- sampling
 
 
+@query("""WITH s AS (SELECT event_id % 2 AS side, event_id, row_number() OVER (PARTITION BY event_id % 2 ORDER BY event_id) - 1 AS place FROM events), n AS (SELECT min(c) AS n FROM (SELECT count(*) AS c FROM s GROUP BY side)),
+r AS (SELECT s.*, n, row_number() OVER (PARTITION BY side ORDER BY md5(place || ':9'), place) - 1 AS draw FROM s, n WHERE place < n)
+SELECT side, event_id, place, draw FROM r WHERE draw < least(1000, n)""")
+def shared_prefix(spark, d):
+    e = table(spark, d, "events").select((F.col("event_id") % 2).alias("side"), "event_id")
+    return sample.shared_prefix(e, "side", F.col("event_id"), 9)
+
+
+@query("SELECT epoch::INT AS epoch, event_id, row_number() OVER (PARTITION BY epoch ORDER BY md5(event_id || ':' || epoch || ':3'), event_id) - 1 AS rank FROM events, (SELECT unnest(range(0, 3)) AS epoch)")
+def repeated_epochs(spark, d):
+    return sample.repeated(table(spark, d, "events").select("event_id"), 3, 3, F.col("event_id")).select("epoch", "event_id", "rank")
+
+
 @query("SELECT event_id, row_number() OVER (ORDER BY md5(event_id || ':0'), event_id) - 1 AS rank FROM events")
 def perm_hash(spark, d):
     return sample.globally_ranked(table(spark, d, "events").select("event_id"), 0, F.col("event_id"))
