@@ -73,3 +73,11 @@ def extrapolated(top: DataFrame, series: list[str], length: int, steps: int) ->
     rows = top.withColumn("t", F.explode(F.sequence(F.lit(0), F.lit(steps - 1))))
     wave = 2.0 * F.col("amp") * F.cos(2.0 * math.pi * F.col("f") * F.col("t") / length + phase)
     return rows.groupBy(*series, "t").agg(F.sum(wave).alias("value"))
+
+
+def fourier_loss(df: DataFrame, series: list[str], length: int, a: str, b: str, t: str = "t") -> DataFrame:
+    """loss: the mean absolute difference of the real parts, plus that of the imaginary parts, of two columns' full spectra (divided by the length)."""
+    rows = df.withColumn("f", F.explode(F.sequence(F.lit(0), F.lit(length - 1)))).withColumn("_gap", F.col(a) - F.col(b))
+    angle = 2.0 * math.pi * F.col("f") * F.col(t) / length
+    each = rows.groupBy(*series, "f").agg(F.sum(F.col("_gap") * F.cos(angle)).alias("re"), F.sum(-F.col("_gap") * F.sin(angle)).alias("im"))
+    return each.groupBy(*series).agg(((F.avg(F.abs("re")) + F.avg(F.abs("im"))) / length).alias("loss"))

@@ -524,6 +524,13 @@ def dft_extrapolate(spark, d):
     return decompose.extrapolated(_top(spark, d), WINDOW, 24, 32).select("series_id", "start", "t", digits(F.col("value"), 3).alias("value"))
 
 
+@query(f"""WITH {_W}, s AS (SELECT series_id, start, f, sum(g * cos(2 * pi() * f * t / 24)) AS re, sum(-g * sin(2 * pi() * f * t / 24)) AS im FROM (SELECT *, value - 250 AS g FROM w), (SELECT unnest(range(0, 24)) AS f) GROUP BY 1, 2, 3)
+SELECT series_id, start, round((avg(abs(re)) + avg(abs(im))) / 24, 4) + 0.0 AS loss FROM s GROUP BY 1, 2""")
+def fourier_loss(spark, d):
+    pairs = cut(spark, d).withColumn("guess", F.lit(250.0))
+    return decompose.fourier_loss(pairs, WINDOW, 24, "value", "guess").select("series_id", "start", digits(F.col("loss"), 4).alias("loss"))
+
+
 @query("SELECT channel::INT AS channel, t, round(CASE WHEN channel < 4 THEN cos(2 * pi() * channel * t / 24) ELSE sin(2 * pi() * (channel - 4) * t / 24) END, 9) + 0.0 AS value FROM (SELECT unnest(range(0, 24)) AS t), (SELECT unnest(range(0, 8)) AS channel)")
 def season_basis(spark, d):
     return decompose.season_basis(spark, 24, 8).select("channel", "t", digits(F.col("value"), 9).alias("value"))
@@ -595,7 +602,10 @@ def cosine_lr(spark, d):
     return schedule.cosine_rates(spark, 100, 10, 0.001, 0.00001).select("step", digits(F.col("lr"), 9).alias("lr"))
 
 
-@query()
+@query(f"""WITH RECURSIVE {_E}, r(series_id, t, best, bad, lr) AS (SELECT series_id, t, value, 0, 0.001::DOUBLE FROM e WHERE t = 0 UNION ALL
+SELECT series_id, t, CASE WHEN better THEN value ELSE best END, CASE WHEN better OR bad + 1 > 3 THEN 0 ELSE bad + 1 END, CASE WHEN NOT better AND bad + 1 > 3 THEN lr * 0.5 ELSE lr END
+FROM (SELECT e.series_id, e.t, e.value, r.best, r.bad, r.lr, e.value < r.best * (1 - 0.0001::DOUBLE) AS better FROM r JOIN e ON e.series_id = r.series_id AND e.t = r.t + 1))
+SELECT r.series_id, round(lr, 9) + 0.0 AS lr FROM r JOIN e ON r.series_id = e.series_id AND r.t = e.t WHERE r.t = n - 1""")
 def plateau_lr(spark, d):
     return schedule.plateau_rates(packs(spark, d), 0.001, 0.5, 3).select("series_id", digits(F.col("lr"), 9).alias("lr"))
 
@@ -730,7 +740,13 @@ def koopman_operator(spark, d):
     return models.koopman(e, KEY, "t", "x", 64).select("series_id", "i", "j", digits(F.col("a"), 5).alias("a"))
 
 
-@query()
+_Z = f"sqrt(-2 * ln(1 - {_U.format("{0} || ':' || {1} || ':5:r'")})) * cos(2 * pi() * {_U.format("{0} || ':' || {1} || ':5:a'")})"
+
+
+@query(f"""WITH RECURSIVE {_E}, p AS (SELECT value AS x, lead(value) OVER (PARTITION BY series_id ORDER BY t) AS y FROM e),
+g AS (SELECT regr_slope(y, x) AS b, regr_intercept(y, x) AS a, stddev_pop(y) * sqrt(greatest(0, 1 - pow(corr(y, x), 2))) AS noise, avg(x) AS m FROM p WHERE y IS NOT NULL),
+r(series_id, t, v) AS (SELECT id, 0::BIGINT, a + b * m + noise * {_Z.format("id", "0")} FROM g, (SELECT unnest(range(0, 50)) AS id) UNION ALL SELECT series_id, t + 1, a + b * v + noise * {_Z.format("series_id", "(t + 1)")} FROM r, g WHERE t < 23)
+SELECT series_id, t, round(v, 6) + 0.0 AS value FROM r""")
 def generate_ar1(spark, d):
     real = series(spark, d).select("series_id", "t", "value")
     return models.AutoRegression().fit(real).sample(spark, 50, 24, seed=5)
