@@ -13,8 +13,9 @@ from pyspark.sql import functions as F
 
 from tsloom.llm.common import Tables
 
-#: Rounds in which each list compares its members with two hubs, before those that are left are compared with all others.
-HUB_ROUNDS = 2
+#: Rounds in which each list compares its members with two hubs, before those that are left are compared with all others. Each costs the
+#: driver the plans of one more search for components.
+HUB_ROUNDS = 1
 #: Words of 64 bits of a set's parity.
 PARITY_WORDS = 16
 
