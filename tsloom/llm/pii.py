@@ -2,8 +2,9 @@
 
 Two kinds of spans come out. Base spans follow four fixed patterns and always stay. The method's own spans start as
 candidates of looser generators (obfuscated addresses, spaced or dotted numbers, local telephone forms), which may
-overlap each other and the base spans. Each candidate gets format features (digits, separators, groups, Luhn) and
-context features (cue words nearby); Spark ML's gradient-boosted trees, trained here on candidates from generated
+overlap each other and the base spans. A fifth kind, secret, has candidates only: values assigned to names such as token or
+password, long runs of letters and digits, private keys in armour and passwords in URLs. Each candidate gets format features
+(digits, separators, groups, Luhn, entropy) and context features (cue words nearby, an assignment before it); Spark ML's gradient-boosted trees, trained here on candidates from generated
 sentences, give a margin; a per-kind threshold, set on held-out generated candidates for a precision of PRECISION,
 selects; of overlapping selected candidates the one with the highest probability stays, and one that overlaps a base
 span is dropped, since that span stays anyway.
@@ -14,6 +15,8 @@ code points, ends are exclusive. Empty tables give empty results. Every pattern
 
 from __future__ import annotations
 
+import collections
+import math
 import random
 import re
 
@@ -25,8 +28,10 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 KINDS = ["email", "ip", "card", "phone"]
+#: All kinds: those of the base patterns, then what only the method finds.
+ALL_KINDS = [*KINDS, "secret"]
 #: Sentences generated for training, and the share held out to set thresholds.
-TRAIN_SENTENCES, HELD_OUT = 4000, 0.3
+TRAIN_SENTENCES, HELD_OUT = 8000, 0.3
 PRECISION = 0.98
 SEED = 7
 #: Characters of context on either side that features see.
@@ -35,6 +40,7 @@ CONTEXT = 24
 _LOCAL = frozenset("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789._%+-")
 _DOMAIN = re.compile(r"@[A-Za-z0-9-]++(?:\.[A-Za-z0-9-]+)+")
 _IP = re.compile(r"(?<![0-9])[0-9]++\.[0-9]++\.[0-9]++\.[0-9]++")
+_HEX = frozenset("0123456789abcdefABCDEF")
 _CARD = re.compile(r"[0-9](?:[ -]?[0-9])+")
 _PHONE = re.compile(r"\+[0-9][ ().0-9-]+[0-9]")
 
@@ -78,28 +84,41 @@ GENERATORS = {
     "card": re.compile(r"(?<![0-9])[0-9]{3,6}(?:[ ._/-]{0,2}[0-9]{2,6}){2,5}(?![0-9])"),
     "phone": re.compile(r"(?<![\w.])(?:\+|00|\()?[0-9][0-9() ./-]{5,20}[0-9](?![\w])", re.A),
 }
+_NAMES = r"(?:pass(?:word|wd|phrase|code)?|pwd|secret|token|credentials?|auth|api[_-]?key|(?:access|private|secret|session)[_-]?key|bearer)"
+#: Secrets; where there is a group, it is the secret.
+SECRETS = [
+    re.compile(_NAMES + r"[A-Za-z0-9_-]{0,20}[\"']?\s{0,3}(?:[:=]|:=|=>|\bis\b)\s{0,3}[\"']?([^\s\"'<>,;]{6,})", re.I | re.A),
+    re.compile(r"(?<![A-Za-z0-9_+/=-])[A-Za-z0-9_+/-]{16,}+=*+(?![A-Za-z0-9_+/=-])"),
+    re.compile(r"-----BEGIN [A-Z ]{0,32}PRIVATE KEY-----.*?(?:-----END [A-Z ]{0,32}PRIVATE KEY-----|\Z)", re.S),
+    re.compile(r"://[^\s/:@]{1,64}:([^\s/@]{3,64})@"),
+]
+_ASSIGNED = re.compile(_NAMES + r"[A-Za-z0-9_-]{0,20}[\"']?\s{0,3}(?:[:=]|:=|=>|\bis\b)\s{0,3}[\"']?$", re.I | re.A)
+_PREFIXED = re.compile(r"(?:AKIA|ASIA|gh[pousr]_|glpat-|xox[abprs]-|sk[-_]|pk_live|AIza|eyJ|-----BEGIN)")
 #: Words near a span that speak for its kind, or against all kinds.
 CUES = {
     "email": ("mail", "contact", "write", "reach", "address"),
     "ip": ("ip", "host", "server", "address", "login", "client"),
     "card": ("card", "visa", "credit", "payment", "pay"),
     "phone": ("phone", "call", "tel", "fax", "mobile", "dial"),
-    "": ("version", "isbn", "order", "price", "page", "total", "date", "section", "id"),
+    "secret": ("secret", "token", "key", "password", "credential", "login", "auth"),
+    "": ("version", "isbn", "order", "price", "page", "total", "date", "section", "id", "commit", "checksum", "sha", "digest", "hash", "uuid", "file"),
 }
-FEATURES = ["kind", "length", "digits", "letters", "separators", "spaces", "groups", "longest_group", "shortest_group", "luhn", "octets", "plus", "parens", "at_sign", "obfuscated", "leading", "cue", "counter_cue", "word_before", "word_after"]
+FEATURES = ["kind", "length", "digits", "letters", "separators", "spaces", "groups", "longest_group", "shortest_group", "luhn", "octets", "plus", "parens", "at_sign", "obfuscated", "leading", "cue", "counter_cue", "word_before", "word_after", "entropy", "assigned", "prefixed", "hex"]
 
 
 def features(kind: str, text: str, a: int, b: int) -> list[float]:
     s, near = text[a:b], text[max(0, a - CONTEXT) : a].lower()
+    entropy = -sum(n / len(s) * math.log2(n / len(s)) for n in collections.Counter(s).values())
     around = near + " " + text[b : b + CONTEXT].lower()
     digits = re.sub("[^0-9]", "", s)
     groups = [len(g) for g in re.findall("[0-9]+", s)] or [0]
     cue = lambda k: float(any(re.search(rf"\b{w}", around) for w in CUES[k]))
     return [
-        float(KINDS.index(kind)), float(b - a), float(len(digits)), float(sum(c.isalpha() for c in s)), float(sum(not c.isalnum() and not c.isspace() for c in s)), float(sum(c.isspace() for c in s)),
+        float(ALL_KINDS.index(kind)), float(b - a), float(len(digits)), float(sum(c.isalpha() for c in s)), float(sum(not c.isalnum() and not c.isspace() for c in s)), float(sum(c.isspace() for c in s)),
         float(len(groups)), float(max(groups)), float(min(groups)), float(len(digits) > 11 and luhn(digits)), float(len(groups) == 4 and all(int(g) < 256 for g in re.findall("[0-9]+", s) if len(g) < 4) and max(groups) < 4),
         float(s[0] == "+" or s[:2] == "00"), float("(" in s), float("@" in s), float(bool(re.search(r"[\[({]?\b(at|dot)\b|\[\.\]", s))), float(int(s[0]) if s[0].isdigit() and s[0].isascii() else -1), cue(kind), cue(""),
         float(a > 0 and text[a - 1].isalnum()), float(b < len(text) and text[b].isalnum()),
+        entropy, float(bool(_ASSIGNED.search(text[max(0, a - 2 * CONTEXT) : a]))), float(bool(_PREFIXED.match(s))), float(not set(s) - _HEX),
     ]
 
 
@@ -108,7 +127,10 @@ def candidates(text: str) -> list[tuple[str, int, int, list[float]]]:
     kinds = KINDS[1:] if re.search("[0-9]", text) else []
     if "@" in text or " at " in text or re.search(r"[(\[{]at[)\]}]", text):  # one of these is in all that the generator takes
         kinds = ["email", *kinds]
-    return [(k, *m.span(), features(k, text, *m.span())) for k in kinds for m in GENERATORS[k].finditer(text)]
+    found = [(k, *m.span()) for k in kinds for m in GENERATORS[k].finditer(text)]
+    # a run counts only with letters and digits
+    secrets = {m.span(m.lastindex or 0) for g in SECRETS for m in g.finditer(text) if g is not SECRETS[1] or (re.search("[0-9]", m[0]) and re.search("[A-Za-z]", m[0]))}
+    return [(k, a, b, features(k, text, a, b)) for k, a, b in [*found, *(("secret", *x) for x in sorted(secrets))]]
 
 
 def training_rows(n: int = TRAIN_SENTENCES, seed: int = SEED) -> list[tuple[str, float, bool, list[float]]]:
@@ -134,7 +156,29 @@ def training_rows(n: int = TRAIN_SENTENCES, seed: int = SEED) -> list[tuple[str,
         a, b, c = num(3), num(3), num(4)
         return rng.choice([f"+{rng.randint(1, 99)} ({a}) {b}-{c}", f"({a}) {b}-{c}", f"00{rng.randint(1, 99)} {a} {b} {c}", f"0{a[:2]}/{b}{c}", f"{a}-{b}-{c}"])
 
+    mixed = lambda k, letters: "".join(rng.choice(letters) for _ in range(k))
+    alnum = "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789"
+    names = ("token", "password", "passwd", "api_key", "apikey", "secret", "client_secret", "access_key", "auth_token", "private_key", "SECRET_KEY", "DB_PASSWORD", "Bearer")
+
+    def secret() -> tuple[str, str]:
+        """What stands before the secret, and the secret."""
+        form = rng.randrange(6)
+        value = rng.choice([mixed(rng.choice([32, 40, 64]), "0123456789abcdef"), mixed(rng.randint(20, 44), alnum), mixed(rng.randint(24, 64), alnum + "+/"), mixed(rng.randint(8, 16), alnum + "!#%&*"), word() + num(3)])
+        if form == 0:
+            return "", rng.choice(["AKIA", "ghp_", "xoxb-", "sk_live_", "AIza", "glpat-", "eyJ"]) + mixed(rng.randint(16, 40), alnum)
+        if form == 1:
+            head = rng.choice(["", "RSA ", "EC ", "OPENSSH "]) + "PRIVATE KEY-----"
+            return "", f"-----BEGIN {head}\n" + "\n".join(mixed(64, alnum + "+/") for _ in range(rng.randint(1, 6))) + f"\n-----END {head}"
+        if form == 2:
+            return f"https://{word()}:", value if len(value) < 40 else value[:20]
+        return rng.choice(names) + rng.choice([" = ", "=", ": ", " = \"", "=\"", "\": \"", ": '", " is "]), value
+
     def harmless() -> str:
+        if rng.random() < 0.5:  # what looks like a secret
+            return rng.choice([
+                f"commit {mixed(40, '0123456789abcdef')}", f"sha256 {mixed(64, '0123456789abcdef')}", f"uuid {mixed(8, '0123456789abcdef')}-{mixed(4, '0123456789abcdef')}-4{mixed(3, '0123456789abcdef')}-a{mixed(3, '0123456789abcdef')}-{mixed(12, '0123456789abcdef')}",
+                f"{word()}_{word()}_{word()}_{num(2)}_{word()}", f"{word()}-{word()}-{word()}-{num(4)}", f"/{word()}/{word()}/{word()}{num(1)}/{word()}", *[rng.choice(names) + rng.choice([": ", " is ", " = ", "="]) + word() + rng.choice(["", word(), "()", "." + word()]) for _ in range(4)],
+            ])
         return rng.choice([
             f"{rng.randint(1900, 2030)}-{rng.randint(1, 12):02d}-{rng.randint(1, 28):02d}", f"{rng.randint(1, 9)}.{rng.randint(0, 99)}.{rng.randint(0, 99)}.{rng.randint(256, 9999)}", f"{num(3)}.{num(3)}.{num(3)}", num(rng.choice([6, 8, 9, 11, 13, 16])),
             f"{num(4)} {num(4)} {num(4)} {num(4)}", f"978-{num(1)}-{num(4)}-{num(4)}-{num(1)}", f"{num(3)} {num(3)} {num(3)}", f"{num(2)}/{num(2)}/{num(4)} {num(2)}", f"{word()} at {word()} dot {word()}", f"meet at {num(2)}.{num(2)}", f"{num(4)}-{num(4)}",
@@ -143,11 +187,11 @@ def training_rows(n: int = TRAIN_SENTENCES, seed: int = SEED) -> list[tuple[str,
     makers = {"email": email, "ip": ip, "card": card, "phone": phone}
     rows = []
     for i in range(n):
-        kind = rng.choice([*KINDS, "", "", "", ""])
-        told = makers[kind]() if kind else harmless()
+        kind = rng.choice([*ALL_KINDS, "", "", "", ""])
+        lead, told = secret() if kind == "secret" else ("", makers[kind]() if kind else harmless())
         cue = rng.choice([*CUES[kind], *[word()] * 5])
-        before = " ".join(word() for _ in range(rng.randint(1, 6))) + f" {cue} "
-        text = before + told + " " + " ".join(word() for _ in range(rng.randint(1, 6)))
+        before = " ".join(word() for _ in range(rng.randint(1, 6))) + f" {cue} " + lead
+        text = before + told + ('"' if lead.endswith('"') else f"@{word()}/" if lead.endswith(":") else "") + " " + " ".join(word() for _ in range(rng.randint(1, 6)))
         a, b = len(before), len(before) + len(told)
         held = rng.random() < HELD_OUT
         for k, x, y, f in candidates(text):
@@ -158,11 +202,11 @@ def training_rows(n: int = TRAIN_SENTENCES, seed: int = SEED) -> list[tuple[str,
 def train(spark: SparkSession) -> tuple[GBTClassificationModel, dict[str, float]]:
     """Boosted trees, and for each kind the least probability at which held-out precision is PRECISION (2: never)."""
     df = spark.createDataFrame(training_rows(), "kind string, label double, held boolean, f array<double>").withColumn("features", array_to_vector("f"))
-    gbt = GBTClassifier(maxIter=8, maxDepth=4, stepSize=0.3, seed=SEED, checkpointInterval=-1)
+    gbt = GBTClassifier(maxIter=12, maxDepth=5, stepSize=0.3, seed=SEED, checkpointInterval=-1)
     model = gbt.fit(df.where(~F.col("held")).coalesce(1))
     least = {}
     scored = model.transform(df.where("held")).select("kind", "label", vector_to_array("probability")[1].alias("p")).collect()
-    for k in KINDS:
+    for k in ALL_KINDS:
         hits = n = 0
         least[k] = 2.0
         for r in sorted((r for r in scored if r.kind == k), key=lambda r: (-r.p, r.label)):
@@ -198,7 +242,7 @@ def propose(docs: DataFrame, text_col: str = "text") -> DataFrame:
 
 def _joined(spans: Column) -> Column:
     """Spans by kind as listed, then start, as kind:start:end, comma-joined."""
-    rank = lambda s: F.struct(F.array_position(F.array(*map(F.lit, KINDS)), s["kind"]).alias("k"), s["start"].alias("start"), s["end"].alias("end"), s["kind"].alias("kind"))
+    rank = lambda s: F.struct(F.array_position(F.array(*map(F.lit, ALL_KINDS)), s["kind"]).alias("k"), s["start"].alias("start"), s["end"].alias("end"), s["kind"].alias("kind"))
     return F.array_join(F.transform(F.array_sort(F.transform(spans, rank)), lambda s: F.concat_ws(":", s["kind"], s["start"], s["end"])), ",")
 
 
@@ -221,7 +265,7 @@ def find_pii(docs: DataFrame, text_col: str = "text") -> DataFrame:
         return pd.Series([[sum(w * _walk(t, c["f"]) for t, w in zip(trees, weights, strict=True)) for c in row] for row in found])
 
     scored = out.withColumn("margin", F.when(F.size("proposed") > 0, margin("proposed")).otherwise(F.array().cast("array<double>")))
-    bound = F.create_map(*[x for k in KINDS for x in (F.lit(k), F.lit(least[k]))])
+    bound = F.create_map(*[x for k in ALL_KINDS for x in (F.lit(k), F.lit(least[k]))])
     rows = F.zip_with("proposed", "margin", lambda c, m: F.struct((-1.0 / (1.0 + F.exp(-2.0 * m))).alias("p"), c["start"].alias("start"), c["end"].alias("end"), c["kind"].alias("kind")))
     good = F.array_sort(F.filter(rows, lambda c: -c["p"] >= bound[c["kind"]]))  # the most probable first
     none = F.array().cast(T.ArrayType(_SPAN))
@@ -266,4 +310,6 @@ def op10_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.sha2(_joined(F.col("base")), 256).alias("base_sha256"),
         _joined(F.col("spans")).alias("spans"),
         F.size("extra").cast("long").alias("n_extra"),
+        F.size(F.filter("extra", lambda s: s["kind"] == "secret")).cast("long").alias("n_secret"),
+        F.size("spans").cast("long").alias("n_spans"),
     )
