@@ -69,13 +69,28 @@ def start_from_noise(df: DataFrame) -> DataFrame:
     return df.withColumn("x0", F.sqrt(1 / a) * F.col("noised") - F.sqrt(1 / a - 1) * F.col("noise"))
 
 
+def posterior_mean(df: DataFrame, coefficients: DataFrame, step: str) -> DataFrame:
+    """mean and variance of the step before, from x0 and noised at each row's step; coefficients is what posterior() gives."""
+    table = F.broadcast(coefficients.select(F.col("step").alias(step), "coef_x0", "coef_xt", "variance"))  # as many rows as steps
+    return df.join(table, step).withColumn("mean", F.col("coef_x0") * F.col("x0") + F.col("coef_xt") * F.col("noised"))
+
+
+#: Fixed values of the variance-preserving form: slope and start of its beta, number of its noise levels.
+VP_SLOPE, VP_START, VP_LEVELS = 19.9, 0.1, 1000
+
+
+def vp_time(sigma: Column) -> Column:
+    """The time in [0, 1] at which the variance-preserving form has noise sigma."""
+    return (F.sqrt(VP_START**2 + 2 * VP_SLOPE * F.log1p(sigma * sigma)) - VP_START) / VP_SLOPE
+
+
 def preconditioning(sigma: Column, data: float = 0.5, kind: str = "edm") -> dict[str, Column]:
     """c_skip, c_out, c_in, c_noise and the loss weight."""
     s2, d2 = sigma * sigma, data * data
     if kind == "ve":
         return {"c_skip": F.lit(1.0), "c_out": sigma, "c_in": F.lit(1.0), "c_noise": F.log(0.5 * sigma), "weight": 1 / s2}
     if kind == "vp":
-        return {"c_skip": F.lit(1.0), "c_out": -sigma, "c_in": 1 / F.sqrt(s2 + 1), "c_noise": sigma, "weight": 1 / s2}
+        return {"c_skip": F.lit(1.0), "c_out": -sigma, "c_in": 1 / F.sqrt(s2 + 1), "c_noise": (VP_LEVELS - 1) * vp_time(sigma), "weight": 1 / s2}
     return {"c_skip": d2 / (s2 + d2), "c_out": sigma * data / F.sqrt(s2 + d2), "c_in": 1 / F.sqrt(s2 + d2), "c_noise": F.log(sigma) / 4, "weight": (s2 + d2) / ((sigma * data) * (sigma * data))}
 
 

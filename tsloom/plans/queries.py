@@ -581,6 +581,18 @@ def edm_precond(spark, d):
     return table(spark, d, "events").select("event_id", *[digits(c).alias(n) for n, c in schedule.preconditioning(F.col("value") / 10.0).items()])
 
 
+@query("SELECT event_id, 1.0::DOUBLE AS c_skip, round(-v, 6) + 0.0 AS c_out, round(1 / sqrt(v * v + 1), 6) + 0.0 AS c_in, round(999 * (sqrt(0.01 + 39.8 * ln(1 + v * v)) - 0.1) / 19.9, 6) + 0.0 AS c_noise FROM (SELECT event_id, value / 10 AS v FROM events)")
+def vp_precond(spark, d):
+    c = schedule.preconditioning(F.col("value") / 10.0, kind="vp")
+    return table(spark, d, "events").select("event_id", *[digits(c[n]).alias(n) for n in ("c_skip", "c_out", "c_in", "c_noise")])
+
+
+@query("SELECT event_id, 1.0::DOUBLE AS c_skip, round(v, 6) + 0.0 AS c_out, 1.0::DOUBLE AS c_in, round(ln(0.5 * v), 6) + 0.0 AS c_noise FROM (SELECT event_id, value / 10 AS v FROM events)")
+def ve_precond(spark, d):
+    c = schedule.preconditioning(F.col("value") / 10.0, kind="ve")
+    return table(spark, d, "events").select("event_id", *[digits(c[n]).alias(n) for n in ("c_skip", "c_out", "c_in", "c_noise")])
+
+
 _NORM = f"sqrt(-2 * ln(1 - {_U.format("event_id || ':1:r'")})) * cos(2 * pi() * {_U.format("event_id || ':1:a'")})"
 
 
@@ -591,6 +603,15 @@ def q_sample(spark, d):
     return n.select("event_id", digits(F.col("noised")).alias("noised"), digits(F.col("x0")).alias("x0"))
 
 
+@query(f"{_LIN}, q AS (SELECT event_id, event_id % 100 AS step, value / 100 AS v, {_NORM} AS z FROM events) SELECT event_id, round(beta * sqrt(pv) / (1 - ab) * v + (1 - pv) * sqrt(1 - beta) / (1 - ab) * (sqrt(ab) * v + sqrt(1 - ab) * z), 6) + 0.0 AS mean, round(beta * (1 - pv) / (1 - ab), 6) + 0.0 AS variance FROM q JOIN p USING (step)")
+def posterior_mean(spark, d):
+    alphas = schedule.alpha_bars(schedule.linear_betas(spark, 100))
+    e = table(spark, d, "events").select("event_id", (F.col("value") / 100.0).alias("value"), (F.col("event_id") % 100).alias("step"))
+    n = schedule.start_from_noise(schedule.noised(e, alphas, "step", 1, F.col("event_id")))
+    m = schedule.posterior_mean(n, schedule.posterior(alphas), "step")
+    return m.select("event_id", digits(F.col("mean")).alias("mean"), digits(F.col("variance")).alias("variance"))
+
+
 @query(f"""WITH RECURSIVE {_E}, r(series_id, t, m) AS (SELECT series_id, t, value FROM e WHERE t = 0 UNION ALL SELECT e.series_id, e.t, r.m * least(0.99, (1.0::DOUBLE + e.t) / (10 + e.t)) + e.value * (1 - least(0.99, (1.0::DOUBLE + e.t) / (10 + e.t))) FROM r JOIN e ON e.series_id = r.series_id AND e.t = r.t + 1)
 SELECT r.series_id, round(m, 6) + 0.0 AS ema FROM r JOIN e ON r.series_id = e.series_id AND r.t = e.t WHERE r.t = n - 1""")
 def ema_fold(spark, d):
