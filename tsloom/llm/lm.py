@@ -1,21 +1,25 @@
 """Language-model scores from an Elias-Fano n-gram trie (Pibiri and Venturini 2017), sharded over the cluster.
 
 Tokens are words [^\\x20\\x09-\\x0D]+ with A-Z lower-cased, and one end per document. Documents whose crc32(id as text) mod
-FOLDS is not HELD_FOLD are counted. The base model is p1(w) = (c + 0.5) / (N + 0.5 (V + 1)). The model is a bigram with a
-Dirichlet prior (MacKay and Peto 1995): p(w | v) = (c(v w) + MU p1(w)) / (c(v) + MU), v the word before or the start.
+FOLDS is not HELD_FOLD are counted. The base model is p1(w) = (c + 0.5) / (N + 0.5 (V + 1)). The model is a trigram with
+Dirichlet priors (MacKay and Peto 1995), each order the prior of the next:
+p2(w | v) = (c(v w) + MU[0] p1(w)) / (c(v) + MU[0]), v the word before or the start;
+p3(w | u v) = (c(u v w) + MU[1] p2(w | v)) / (c(u v) + MU[1]), u the word before v or the start. A document's first token has p2.
 
 The work goes in blocks of whole documents and shards of keys, packed in arrays, so that Spark moves few large rows:
-1. blocks: documents gathered to about BLOCK_BYTES of text, stored;
-2. each block sends its distinct words with their training counts to shards by hash; a shard adds up, and returns the counts;
-3. each block, joined with its counts, scores the base model and unseen pairs, and sends its distinct pairs (with training count,
-   a count code of the word and the places where they occur) to shards by context; contexts that hold
-   more than a quarter of an average shard are dealt out by pair;
+1. blocks: documents gathered to about BLOCK_BYTES of text, split into words, stored;
+2. each block sends its distinct words with their training counts to shards by hash; a shard adds up, numbers the words that
+   occur in training, and returns counts and numbers;
+3. each block, joined with these, sends its distinct pairs and triples with their training counts to shards by context; pairs whose context,
+   and triples both of whose context's words, hold more than a quarter of an average shard are dealt out by pair or triple;
 4. each shard builds its part of the trie: contexts and successors as Elias-Fano sequences, monotone pointers between the
-   levels, probabilities quantised to 8 bits, all in one memory-mapped buffer; queries find the context, then its
-   successor within the context's range; what seen pairs gain over unseen ones is summed by document;
-5. sums meet by block.
-No count is capped and all texts are used whole. A pair's contexts and successors are 32-bit hashes, so about one in a
-thousand of five million contexts shares its counts with another one; word counts use 64 bits.
+   levels, shares c(v w) / (c(v) + MU[0]) and c(u v w) / (c(u v) + MU[1]) quantised to 8 bits, all in one memory-mapped buffer;
+   queries find the context, then its successor within the context's range. Of triples dealt out it holds c(u v w), as the
+   context's count is known to none of their shards. What it found goes back, with the counts of pairs;
+5. each block adds the shares and what the priors weigh, and sums up by document.
+There are as many shards of each kind as hold SHARD_TOKENS tokens on average, so a task's memory does not grow with the corpus. No count is
+capped and all texts are used whole. Pairs and triples are told apart by the words' numbers, which are exact: more than 2^32 - 2
+distinct training words raise a ValueError. Two of a million words share a 64-bit hash with a probability of 3e-8.
 
 Nulls and odd input: a null text has no words, only the end; a null id counts as "" in the fold. Rows that repeat an id
 are documents of their own. With no training documents all counts are 0. An empty table gives an empty result.
@@ -36,9 +40,15 @@ from tsloom.llm import tokens
 from tsloom.llm.common import stored
 
 FOLDS, HELD_FOLD = 5, 1
-BLOCK_BYTES = 16_000_000
-MU = 2000.0
-END, START = np.uint64(0x5EED0E4D), np.uint64(0x57A27)
+BLOCK_BYTES = 8_000_000
+SHARD_TOKENS = 2_000_000
+#: Weights of the priors of pairs and triples.
+MU = (2000.0, 50.0)
+END = np.uint64(0x5EED0E4D)
+#: The number of the start.
+START = 2**32 - 1
+_LOW = np.uint64(0xFFFFFFFF)
+_HALF = np.uint64(32)
 
 
 class EliasFano:
@@ -53,16 +63,18 @@ class EliasFano:
         top = int(values[-1]) + 1 if n else 1
         bits = max(0, (top // max(n, 1)).bit_length() - 1)
         at = (values >> np.uint64(bits)).astype(np.int64) + np.arange(n)
-        high = np.zeros((int(at[-1]) >> 6) + 1 if n else 1, np.uint64)
-        np.bitwise_or.at(high, at >> 6, np.uint64(1) << (at & 63).astype(np.uint64))
+        ones = np.zeros(((int(at[-1]) >> 6) + 1) * 64 if n else 64, np.uint8)
+        ones[at] = 1
+        high = np.packbits(ones, bitorder="little").view(np.uint64)
         low = np.zeros((n * bits >> 6) + 2, np.uint64)
         if bits:
             part = values & np.uint64((1 << bits) - 1)
             pos = np.arange(n, dtype=np.uint64) * np.uint64(bits)
             word, shift = (pos >> np.uint64(6)).astype(np.int64), pos & np.uint64(63)
-            np.bitwise_or.at(low, word, part << shift)
-            over = (shift + np.uint64(bits)) > 64
-            np.bitwise_or.at(low, word[over] + 1, part[over] >> (np.uint64(64) - shift[over]))
+            starts = np.flatnonzero(np.diff(word, prepend=-1))  # words come in order
+            low[word[starts]] = np.bitwise_or.reduceat(part << shift, starts)
+            over = (shift + np.uint64(bits)) > 64  # at most one value reaches over into each word
+            low[word[over] + 1] |= part[over] >> (np.uint64(64) - shift[over])
         ranks = np.concatenate([[0], np.cumsum(np.bitwise_count(high).astype(np.int64))]).astype(np.uint64)
         return {"low": low, "high": high, "ranks": ranks, "meta": np.array([n, bits], np.uint64)}
 
@@ -106,7 +118,7 @@ class EliasFano:
 
 
 class Trie:
-    """Two levels over 32-bit keys: contexts, and successors whose values rise through all contexts, context after context."""
+    """Two levels: contexts (64 bits), and successors (32 bits) whose values rise through all contexts, context after context."""
 
     PARTS = ("low", "high", "ranks", "meta")
 
@@ -129,8 +141,8 @@ class Trie:
         seqs = [EliasFano.encode(x) for x in (contexts.astype(np.uint64), np.concatenate([[0], np.cumsum(counts)]).astype(np.uint64), level)]
         arrays = [s[p] for s in seqs for p in cls.PARTS]
         least = float(log_p.min()) if len(log_p) else 0.0
-        step = (float(log_p.max()) - least) / 255 or 1.0 if len(log_p) else 1.0
-        codes = np.round((log_p - least) / step).astype(np.uint8)
+        step = (float(log_p.max()) - least) / 254 or 1.0 if len(log_p) else 1.0
+        codes = np.round((log_p - least) / step).astype(np.uint8) + np.uint8(1)
         head = np.array([len(a) for a in arrays] + [len(codes), 0], np.uint64)
         return b"".join([head.tobytes(), *(a.tobytes() for a in arrays), np.array([least, step]).tobytes(), codes.tobytes()])
 
@@ -145,17 +157,25 @@ class Trie:
         with open(path, "rb") as f:
             return cls(mmap.mmap(f.fileno(), 0, access=mmap.ACCESS_READ))
 
+    def find(self, context: np.ndarray, word: np.ndarray) -> np.ndarray:
+        """Codes of log10 shares, 1 to 255; 0 where the successor is not seen. A context is searched once for a run of its words."""
+        first = np.flatnonzero(np.concatenate([[True], context[1:] != context[:-1]])) if len(context) else np.zeros(0, np.int64)
+        c, known = self.contexts.successor(np.zeros(len(first), np.int64), np.full(len(first), self.contexts.n, np.int64), context[first].astype(np.uint64))
+        run = np.repeat(np.arange(len(first)), np.diff(np.append(first, len(context))))
+        live = np.flatnonzero(known)
+        lo, hi = np.zeros(len(first), np.int64), np.zeros(len(first), np.int64)
+        lo[live], hi[live] = (self.pointers.access(c[live] + i).astype(np.int64) for i in (0, 1))
+        at = np.flatnonzero(known[run])
+        c, lo, hi = (x[run[at]] for x in (c, lo, hi))
+        i, hit = self.successors.successor(lo, hi, word[at].astype(np.uint64) + (c.astype(np.uint64) << _HALF))
+        codes = np.zeros(len(context), np.uint8)
+        codes[at[hit]] = self.codes[i[hit]]
+        return codes
+
     def query(self, context: np.ndarray, word: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """log10 p of seen pairs (0 of others), and whether they are seen."""
-        n = np.full(len(context), self.contexts.n, np.int64)
-        c, known = self.contexts.successor(np.zeros(len(context), np.int64), n, context.astype(np.uint64))
-        at = np.flatnonzero(known)
-        lo, hi = (self.pointers.access(c[at] + i).astype(np.int64) for i in (0, 1))
-        i, hit = self.successors.successor(lo, hi, word[at].astype(np.uint64) + (c[at].astype(np.uint64) << np.uint64(32)))
-        seen, log_p = np.zeros(len(context), bool), np.zeros(len(context))
-        seen[at[hit]] = True
-        log_p[at[hit]] = self.least + self.step * self.codes[i[hit]]
-        return log_p, seen
+        """log10 shares of seen successors (0 of others), and whether they are seen."""
+        codes = self.find(context, word)
+        return np.where(codes > 0, self.least + self.step * (codes.astype(float) - 1), 0.0), codes > 0
 
 
 def _send(*arrays: np.ndarray) -> bytes:
@@ -187,8 +207,23 @@ def _block_tokens(texts: bytes, ends: np.ndarray) -> tuple[np.ndarray, np.ndarra
     return np.concatenate(found) if found else np.zeros(0, np.uint64), np.concatenate([[0], *[np.cumsum(np.concatenate(sizes))]]).astype(np.int64) if sizes else np.zeros(1, np.int64)
 
 
+def _distinct(x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The distinct values in order, and each element's place among them."""
+    order = np.argsort(x)
+    inorder = x[order]
+    new = np.concatenate([[True], inorder[1:] != inorder[:-1]]) if len(x) else np.zeros(0, bool)
+    place = np.empty(len(x), np.int64)
+    place[order] = np.cumsum(new) - 1
+    return inorder[new], place
+
+
+def _held(k) -> bool:
+    return zlib.crc32(("" if k is None else str(k)).encode()) % FOLDS == HELD_FOLD
+
+
 def blocks_of(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    """block, ids (array), data: the documents of about BLOCK_BYTES of text each."""
+    """block, n_tokens, ids (array), data: the documents of about BLOCK_BYTES of text each, as offsets, training marks, distinct
+    word hashes in order, and each token's place among these."""
     from pyspark import TaskContext
 
     kind = docs.schema[id_col].dataType
@@ -211,12 +246,12 @@ def blocks_of(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
             yield out(part, turn, ids, texts, id_type)
 
     def out(part, turn, ids, texts, id_type):
-        ends = np.cumsum([0, *map(len, texts)]).astype(np.int64)
-        train = np.array([zlib.crc32(("" if k is None else str(k)).encode()) % FOLDS != HELD_FOLD for k in ids], np.uint8)
-        data = _send(ends, train, np.frombuffer(b"".join(texts), np.uint8))
-        return pa.RecordBatch.from_arrays([pa.array([(part << 32) + turn], pa.int64()), pa.array([ids], pa.list_(id_type)), pa.array([data], pa.binary())], names=["block", "ids", "data"])
+        h, at = _block_tokens(b"".join(texts), np.cumsum([0, *map(len, texts)]).astype(np.int64))
+        keys, place = _distinct(h)
+        data = _send(at, np.array([not _held(k) for k in ids], np.uint8), keys, place.astype(np.uint32))
+        return pa.RecordBatch.from_arrays([pa.array([(part << 32) + turn], pa.int64()), pa.array([len(h)], pa.int64()), pa.array([ids], pa.list_(id_type)), pa.array([data], pa.binary())], names=["block", "n_tokens", "ids", "data"])
 
-    return docs.select(id_col, F.col(text_col).cast("string")).mapInArrow(run, f"block long, ids array<{kind.simpleString()}>, data binary")
+    return docs.select(id_col, F.col(text_col).cast("string")).mapInArrow(run, f"block long, n_tokens long, ids array<{kind.simpleString()}>, data binary")
 
 
 _ROW = "shard int, block long, data binary"
@@ -242,173 +277,186 @@ def _word_shard(h: np.ndarray, shards: int) -> np.ndarray:
     return (h % np.uint64(shards)).astype(np.int64)
 
 
-def _split(order_by: np.ndarray, shards: int):
+def _split(shard: np.ndarray, shards: int):
     """(shard, indices in order) of each shard that occurs."""
-    order = np.argsort(order_by, kind="stable")
-    cuts = np.searchsorted(order_by[order], np.arange(shards + 1))
+    order = np.argsort(shard.astype(np.uint16) if shards <= 65536 else shard, kind="stable")
+    cuts = np.searchsorted(shard[order], np.arange(shards + 1)) if shards <= len(shard) else None
+    if cuts is None:
+        for s in np.unique(shard).tolist():
+            yield s, np.flatnonzero(shard == s)
+        return
     for s in range(shards):
         if cuts[s] < cuts[s + 1]:
             yield s, order[cuts[s] : cuts[s + 1]]
 
 
 def count_words(blocks: DataFrame, shards: int) -> DataFrame:
-    """shard, block, data: the training counts of a block's words in a shard, in order of hash; block -1: the shard's N, V and count of ends."""
+    """shard, block, data: the training counts and numbers of a block's words in a shard, in order of hash; block -1: the shard's N, V and count of ends."""
 
     def send(batches):
         for b in batches:
             for block, data in zip(b.column("block").to_pylist(), b.column("data"), strict=True):
-                ends, train, texts = _got(data.as_py())
-                h, at = _block_tokens(texts.tobytes(), ends)
-                keys, place = np.unique(h, return_inverse=True)
-                counted = np.repeat(train.astype(bool), np.diff(at))
-                counts = np.bincount(place[counted], minlength=len(keys)).astype(np.uint32)
-                rows = [(s, block, _send(keys[i], counts[i])) for s, i in _split(_word_shard(keys, shards), shards)]
-                if rows:
-                    yield _rows(rows)
+                at, train, keys, place = _got(data.as_py())
+                counts = np.bincount(place[np.repeat(train.astype(bool), np.diff(at))], minlength=len(keys)).astype(np.uint32)
+                yield _rows([(s, block, _send(keys[i], counts[i])) for s, i in _split(_word_shard(keys, shards), shards)])
 
     def add(key, batches):
         rows = [(block, *_got(data)) for b in batches for block, data in zip(b.column("block").to_pylist(), b.column("data").to_pylist(), strict=True)]
-        every = np.concatenate([k for _, k, _ in rows])
-        keys, place = np.unique(every, return_inverse=True)
+        keys, place = _distinct(np.concatenate([k for _, k, _ in rows]))
         total = np.bincount(place, weights=np.concatenate([c for *_, c in rows])).astype(np.int64)
         shard, at = key[0].as_py(), 0
+        # numbers of different shards never meet; words that training lacks have none
+        number = (np.cumsum(total > 0) - 1) * shards + shard
+        if len(number) and number[-1] >= START:
+            raise ValueError("more than 2^32 - 2 distinct training words")
+        number = np.where(total > 0, number, 0).astype(np.uint32)
         for block, k, _ in rows:
-            yield _rows([(shard, block, _send(total[place[at : at + len(k)]]))])
+            mine = place[at : at + len(k)]
+            yield _rows([(shard, block, _send(total[mine], number[mine]))])
             at += len(k)
-        ends = total[keys == END]
-        yield _rows([(shard, -1, _send(np.array([total.sum(), np.count_nonzero(total), ends.sum()], np.int64)))])
+        yield _rows([(shard, -1, _send(np.array([total.sum(), np.count_nonzero(total), total[keys == END].sum()], np.int64)))])
 
     return blocks.select("block", "data").mapInArrow(send, _ROW).groupBy("shard").applyInArrow(_per_group(add), _ROW)
 
 
-_CODE = 8.0  # count codes: eighths of a power of two
-
-
-def send_pairs(blocks: DataFrame, counts: DataFrame, shards: int, total: int, distinct: int, starts: int) -> DataFrame:
-    """shard, block, data: requests to the pair shards; shard -1 - x passes a block's own sums through shard x."""
-    below = total + 0.5 * (distinct + 1)
+class Grams:
+    """A block's distinct pairs and triples of words that occur in training, and their shards: pairs below `shards`, triples below twice
+    that, triples dealt out one by one below three times that. Made alike for asking and for adding up."""
+
+    def __init__(self, data: bytes, told: dict[int, bytes], shards: int, total: int, starts: int):
+        self.at, train, keys, self.word = _got(data)
+        count, number = np.zeros(len(keys) + 1, np.int64), np.zeros(len(keys) + 1, np.uint32)
+        for s, i in _split(_word_shard(keys, shards), shards):
+            count[i], number[i] = _got(told[s])
+        count[-1], number[-1] = starts, START
+        n, first = len(self.word), self.at[:-1]
+        before = np.concatenate([[len(keys)], self.word[:-1]]).astype(np.uint64)
+        before[first] = len(keys)
+        self.c, self.c_before = count[self.word], count[before.astype(np.int64)]
+        word = self.word.astype(np.uint64)
+        self.has_pair = np.flatnonzero((self.c > 0) & (self.c_before > 0))
+        pairs, self.pair = _distinct(before[self.has_pair] << _HALF | word[self.has_pair])
+        pair_at = np.full(n, -1, np.int64)
+        pair_at[self.has_pair] = self.pair
+        last = np.concatenate([[-1], pair_at[:-1]])
+        last[first] = -1
+        self.has_triple = np.flatnonzero((pair_at >= 0) & (last >= 0))
+        self.context = last[self.has_triple]
+        triples, self.triple = _distinct(self.context.astype(np.uint64) << _HALF | word[self.has_triple])
+        self.n_pairs = len(pairs)
+        training = np.repeat(train.astype(bool), np.diff(self.at))
+        self.seen = np.concatenate([np.bincount(which[training[has]], minlength=m) for which, has, m in ((self.pair, self.has_pair, len(pairs)), (self.triple, self.has_triple, len(triples)))]).astype(np.uint32)
+        v, w = (pairs >> _HALF).astype(np.int64), (pairs & _LOW).astype(np.int64)
+        of, w3 = (triples >> _HALF).astype(np.int64), (triples & _LOW).astype(np.int64)
+        frequent = count.astype(float) * 4 * shards > total
+        pair_key = number[v].astype(np.uint64) << _HALF | number[w]
+        by_pair = (tokens.mix(np.where(frequent[v], pair_key, number[v].astype(np.uint64))) % np.uint64(shards)).astype(np.int64)
+        dealt = frequent[v[of]] & frequent[w[of]]
+        key = tokens.mix(pair_key)[of]
+        key = np.where(dealt, tokens.mix(key ^ number[w3].astype(np.uint64)), key)
+        by_triple = (key % np.uint64(shards)).astype(np.int64) + np.where(dealt, 2 * shards, shards)
+        self.shard = np.concatenate([by_pair, by_triple])
+        # of each pair and triple: the context's words (of a pair: one), its training count where it is known, the word
+        self.a = np.concatenate([number[v], number[v[of]]])
+        self.b = np.concatenate([np.zeros(len(v), np.uint32), number[w[of]]])
+        self.known = np.concatenate([count[v], np.zeros(len(of), np.int64)])
+        self.w = np.concatenate([number[w], number[w3]])
+
+
+def _told(rows: list[dict]) -> dict[int, bytes]:
+    return {r["shard"]: r["data"] for r in rows}
+
+
+def ask(blocks: DataFrame, counts: DataFrame, shards: int, total: int, starts: int) -> DataFrame:
+    """shard, block, data: the blocks' pairs and triples in each shard."""
 
     def run(key, left, right):
-        left, right = [r for b in left for r in b.to_pylist()], [r for b in right for r in b.to_pylist()]
-        for row in left:
-            ends, train, texts = _got(row["data"])
-            h, at = _block_tokens(texts.tobytes(), ends)
-            keys, place = np.unique(h, return_inverse=True)
-            count = np.zeros(len(keys), np.int64)
-            by = _word_shard(keys, shards)
-            told = {r["shard"]: _got(r["data"])[0] for r in right}
-            for s, i in _split(by, shards):
-                count[i] = told[s]
-            c = count[place]
-            doc = np.repeat(np.arange(len(train)), np.diff(at))
-            base = np.log10((c + 0.5) / below)
-            first = np.zeros(len(h), bool)
-            first[at[:-1]] = True
-            before = np.concatenate([[START], h[:-1]])
-            before[first] = START
-            c1 = np.concatenate([[0], c[:-1]])
-            c1[first] = starts
-            unseen = base + np.log10(MU / (c1 + MU))
-            sums = [np.add.reduceat(x, at[:-1]) for x in (np.ones(len(h)), (c > 0).astype(float), base, unseen)]
-            yield _rows([(int(row["block"] % shards), row["block"], _send(np.array([1], np.int8), *sums))])
-            # distinct pairs that can be seen: both words occur in training
-            live = np.flatnonzero((c > 0) & (c1 > 0))
-            v, w = (before[live] >> np.uint64(32)).astype(np.uint32), (h[live] >> np.uint64(32)).astype(np.uint32)
-            pair = (v.astype(np.uint64) << np.uint64(32)) | w
-            pairs, index, where = np.unique(pair, return_index=True, return_inverse=True)
-            hot = c1[live][index].astype(float) * 4 * shards > total
-            spread = tokens.mix(np.where(hot, pairs, pairs >> np.uint64(32)))
-            seen = np.bincount(where[train[doc[live]].astype(bool)], minlength=len(pairs)).astype(np.uint32)
-            code = np.round(_CODE * np.log2(c[live][index] + 1.0)).astype(np.uint8)
-            # occurrences by pair, then document, equal ones together
-            occ, times = np.unique(where.astype(np.uint64) << np.uint64(32) | doc[live].astype(np.uint64), return_counts=True)
-            occ_pair, occ_doc = (occ >> np.uint64(32)).astype(np.int64), (occ & np.uint64(0xFFFFFFFF)).astype(np.uint32)
-            bounds = np.searchsorted(occ_pair, np.arange(len(pairs) + 1))
-            small = len(train) <= 65536
-            for s, i in _split(_word_shard(spread, shards), shards):
-                n = (bounds[i + 1] - bounds[i]).astype(np.int64)
-                j = np.repeat(bounds[i] - np.concatenate([[0], np.cumsum(n)[:-1]]), n) + np.arange(n.sum())
-                contexts, start = np.unique((pairs[i] >> np.uint64(32)).astype(np.uint32), return_index=True)
+        told = _told([r for b in right for r in b.to_pylist()])
+        for row in [r for b in left for r in b.to_pylist()]:
+            g = Grams(row["data"], told, shards, total, starts)
+            for s, i in _split(g.shard, 3 * shards):
+                a, b = g.a[i], g.b[i]
+                start = np.flatnonzero(np.concatenate([[True], (a[1:] != a[:-1]) | (b[1:] != b[:-1])]))
                 width = np.diff(np.append(start, len(i))).astype(np.uint32)
-                data = _send(np.array([0], np.int8), contexts, width, c1[live][index][i][start].astype(np.int64), (pairs[i] & np.uint64(0xFFFFFFFF)).astype(np.uint32), seen[i], code[i], n.astype(np.uint32), occ_doc[j].astype(np.uint16 if small else np.uint32), times[j].astype(np.uint32))
-                yield _rows([(s, row["block"], data)])
+                yield _rows([(s, row["block"], _send(a[start], b[start], width, g.known[i][start], g.w[i], g.seen[i]))])
 
-    mine = counts.where("block >= 0")
-    return blocks.select("block", "data").groupBy("block").cogroup(mine.groupBy("block")).applyInArrow(_per_pair(run), _ROW)
+    return blocks.select("block", "data").groupBy("block").cogroup(counts.groupBy("block")).applyInArrow(_per_pair(run), _ROW)
 
 
-def score_pairs(requests: DataFrame, total: int, distinct: int) -> DataFrame:
-    """shard, block, data: for each block and shard the gains of documents over unseen pairs, or the block's own sums."""
-    below = total + 0.5 * (distinct + 1)
+def answer(asked: DataFrame, shards: int) -> DataFrame:
+    """shard (raised by `shards`), block, data: the codes that each shard's part of the trie has for what was asked, what they mean, and the counts of pairs."""
 
     def run(key, batches):
-        asked = []
-        for b in batches:
-            for block, data in zip(b.column("block").to_pylist(), b.column("data").to_pylist(), strict=True):
-                parts = _got(data)
-                if parts[0][0]:
-                    yield _rows([(key[0].as_py(), block, data)])
-                else:
-                    asked.append((block, *parts[1:]))
-        if not asked:
-            return
-        pair = [np.repeat(a[1], a[2]).astype(np.uint64) << np.uint64(32) | a[4] for a in asked]
-        c1 = [np.repeat(a[3], a[2]) for a in asked]
-        keys, index, place = np.unique(np.concatenate(pair), return_index=True, return_inverse=True)
-        count = np.bincount(place, weights=np.concatenate([a[5] for a in asked]))
-        p1 = (np.exp2(np.concatenate([a[6] for a in asked])[index] / _CODE) - 0.5) / below
-        context_count = np.concatenate(c1)[index]
+        shard = key[0].as_py()
+        kind = shard // shards
+        got = [(block, *_got(data)) for b in batches for block, data in zip(b.column("block").to_pylist(), b.column("data").to_pylist(), strict=True)]
+        contexts, which = _distinct(np.concatenate([g[1].astype(np.uint64) << _HALF | g[2] for g in got]))
+        width = np.concatenate([g[3] for g in got])
+        keys, place = _distinct(np.repeat(which, width).astype(np.uint64) << _HALF | np.concatenate([g[5] for g in got]))
+        count = np.bincount(place, weights=np.concatenate([g[6] for g in got]))
+        of, word = (keys >> _HALF).astype(np.int64), (keys & _LOW).astype(np.uint32)
+        if kind == 0:
+            below = np.empty(len(contexts))
+            below[which] = np.concatenate([g[4] for g in got])
+            below += MU[0]
+        else:
+            below = np.bincount(of, weights=count) + MU[1] if kind == 1 else np.ones(len(contexts))
         kept = np.flatnonzero(count > 0)
-        contexts, width = np.unique(keys[kept] >> np.uint64(32), return_counts=True)
-        log_p = np.log10((count[kept] + MU * p1[kept]) / (context_count[kept] + MU))
-        trie = Trie.mapped(Trie.pack(contexts, width, keys[kept] & np.uint64(0xFFFFFFFF), log_p))
-        found, seen = trie.query((keys >> np.uint64(32)).astype(np.uint32), (keys & np.uint64(0xFFFFFFFF)).astype(np.uint32))
-        gain = np.where(seen, found - np.log10(MU * p1 / (context_count + MU)), 0.0)
-        at = 0
-        for (block, *_, n, docs, times), p in zip(asked, pair, strict=True):
-            each = np.repeat(gain[place[at : at + len(p)]], n) * times
-            at += len(p)
-            who, where = np.unique(docs, return_inverse=True)
-            yield _rows([(key[0].as_py(), block, _send(np.array([0], np.int8), who, np.bincount(where, weights=each)))])
+        widths = np.bincount(of[kept], minlength=len(contexts))
+        some = np.flatnonzero(widths)
+        trie = Trie.mapped(Trie.pack(contexts[some], widths[some], word[kept], np.log10(count[kept] / below[of[kept]])))
+        codes = trie.find(contexts[of], word)
+        scale, count, at = np.array([trie.least, trie.step]), count.astype(np.int64), 0
+        for block, *_, w, _ in got:
+            mine = place[at : at + len(w)]
+            at += len(w)
+            yield _rows([(shard + shards, block, _send(scale, codes[mine], *([count[mine]] if kind == 0 else [])))])
 
-    return requests.groupBy("shard").applyInArrow(_per_group(run), _ROW)
+    return asked.groupBy("shard").applyInArrow(_per_group(run), _ROW)
 
 
 def score(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """id, held_out, n_tokens, n_known, train_tokens, base_score, score."""
-    spark = docs.sparkSession
+    from pyspark.sql.pandas.types import to_arrow_type
+
     kind = docs.schema[id_col].dataType.simpleString()
-    shards = max(2, int(spark.conf.get("spark.sql.shuffle.partitions")))
     blocks = stored(blocks_of(docs, id_col, text_col), "lm-blocks")
+    shards = max(2, -(-(blocks.agg(F.sum("n_tokens")).first()[0] or 0) // SHARD_TOKENS))
     counts = stored(count_words(blocks, shards), "lm-counts")
     total = distinct = starts = 0
     for r in counts.where("block = -1").select("data").toLocalIterator():  # three numbers a shard
         n, v, e = _got(bytes(r.data))[0].tolist()
         total, distinct, starts = total + n, distinct + v, starts + e
-    requests = send_pairs(blocks, counts, shards, total, distinct, starts)
-    sums = score_pairs(requests, total, distinct)
+    counts = counts.where("block >= 0")
+    answers = answer(ask(blocks, counts, shards, total, starts), shards)
+    below = total + 0.5 * (distinct + 1)
 
     def gather(key, left, right):
+        told = _told([r for b in right for r in b.to_pylist()])
         for row in [r for b in left for r in b.to_pylist()]:
-            gain, own = np.zeros(len(row["ids"])), None
-            for b in right:
-                for data in b.column("data").to_pylist():
-                    parts = _got(data)
-                    if parts[0][0]:
-                        own = parts[1:]
-                    else:
-                        gain[parts[1]] += parts[2]
-            n, known, base, unseen = own
-            held = [zlib.crc32(("" if k is None else str(k)).encode()) % FOLDS == HELD_FOLD for k in row["ids"]]
-            cols = [pa.array(held), pa.array(n.astype(np.int64)), pa.array(known.astype(np.int64)), pa.array(np.full(len(n), total, np.int64)), pa.array(base), pa.array(unseen + gain)]
+            g = Grams(row["data"], told, shards, total, starts)
+            share, exact = np.zeros(len(g.seen)), np.zeros(g.n_pairs, np.int64)
+            for s, i in _split(g.shard, 3 * shards):
+                (least, step), codes, *rest = _got(told[s + shards])
+                share[i] = np.where(codes > 0, 10.0 ** (least + step * (codes.astype(float) - 1)), 0.0)
+                if rest:
+                    exact[i] = rest[0]
+            base = (g.c + 0.5) / below
+            p = base * MU[0] / (g.c_before + MU[0])
+            p[g.has_pair] += share[g.pair]
+            above = exact[g.context] + MU[1]  # what a triple's context weighs, with its prior
+            extra = share[g.n_pairs :][g.triple]
+            extra = np.where(g.shard[g.n_pairs :][g.triple] >= 2 * shards, extra / above, extra)
+            p[g.has_triple] = extra + p[g.has_triple] * MU[1] / above
+            n, known, base, own = (np.add.reduceat(x, g.at[:-1]) for x in (np.ones(len(p)), (g.c > 0).astype(float), np.log10(base), np.log10(p)))
+            cols = [pa.array([_held(k) for k in row["ids"]]), pa.array(n.astype(np.int64)), pa.array(known.astype(np.int64)), pa.array(np.full(len(n), total, np.int64)), pa.array(base), pa.array(own)]
             yield pa.RecordBatch.from_arrays([pa.array(row["ids"], id_type), *cols], names=["id", "held_out", "n_tokens", "n_known", "train_tokens", "base_score", "score"])
 
-    from pyspark.sql.pandas.types import to_arrow_type
-
     id_type = to_arrow_type(docs.schema[id_col].dataType)
     schema = pa.schema([("id", id_type), ("held_out", pa.bool_()), ("n_tokens", pa.int64()), ("n_known", pa.int64()), ("train_tokens", pa.int64()), ("base_score", pa.float64()), ("score", pa.float64())])
     out = f"id {kind}, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double"
-    return blocks.select("block", "ids").groupBy("block").cogroup(sums.groupBy("block")).applyInArrow(_per_pair(gather, schema), out)
+    every = counts.union(answers)
+    return blocks.select("block", "ids", "data").groupBy("block").cogroup(every.groupBy("block")).applyInArrow(_per_pair(gather, schema), out)
 
 
 def op9_lm_score(spark: SparkSession, sf_dir: str) -> DataFrame:
