@@ -179,8 +179,10 @@ class Trie:
 
 
 def _send(*arrays: np.ndarray) -> bytes:
+    """The arrays, compressed; numbers of several bytes byte by byte, all their first ones before all second ones."""
     head = np.array([len(arrays)] + [x for a in arrays for x in (ord(a.dtype.char), len(a))], np.int64)
-    return zstandard.ZstdCompressor(level=1).compress(head.tobytes() + b"".join(a.tobytes() for a in arrays))
+    planes = [np.ascontiguousarray(a).view(np.uint8).reshape(len(a), a.itemsize).T.tobytes() for a in arrays]
+    return zstandard.ZstdCompressor(level=1).compress(head.tobytes() + b"".join(planes))
 
 
 def _got(data: bytes) -> list[np.ndarray]:
@@ -188,9 +190,10 @@ def _got(data: bytes) -> list[np.ndarray]:
     k = int(np.frombuffer(raw, np.int64, 1)[0])
     head, at, out = np.frombuffer(raw, np.int64, 2 * k, 8), 8 + 16 * k, []
     for i in range(k):
-        kind = np.dtype(chr(head[2 * i]))
-        out.append(np.frombuffer(raw, kind, int(head[2 * i + 1]), at))
-        at += kind.itemsize * int(head[2 * i + 1])
+        kind, n = np.dtype(chr(head[2 * i])), int(head[2 * i + 1])
+        planes = np.frombuffer(raw, np.uint8, kind.itemsize * n, at).reshape(kind.itemsize, n)
+        out.append(np.ascontiguousarray(planes.T).view(kind).reshape(n))
+        at += kind.itemsize * n
     return out
 
 
@@ -305,16 +308,18 @@ def count_words(blocks: DataFrame, shards: int) -> DataFrame:
         keys, place = _distinct(np.concatenate([k for _, k, _ in rows]))
         total = np.bincount(place, weights=np.concatenate([c for *_, c in rows])).astype(np.int64)
         shard, at = key[0].as_py(), 0
-        # numbers of different shards never meet; words that training lacks have none
-        number = (np.cumsum(total > 0) - 1) * shards + shard
-        if len(number) and number[-1] >= START:
+        # numbers of different shards never meet; frequent words have small ones, words that training lacks have none
+        number = np.empty(len(keys), np.int64)
+        number[np.argsort(-total, kind="stable")] = np.arange(len(keys)) * shards + shard
+        if number[total > 0].max(initial=0) >= START:
             raise ValueError("more than 2^32 - 2 distinct training words")
         number = np.where(total > 0, number, 0).astype(np.uint32)
+        out = [(shard, -1, _send(np.array([total.sum(), np.count_nonzero(total), total[keys == END].sum()], np.int64)))]
         for block, k, _ in rows:
             mine = place[at : at + len(k)]
-            yield _rows([(shard, block, _send(total[mine], number[mine]))])
+            out.append((shard, block, _send(total[mine], number[mine])))
             at += len(k)
-        yield _rows([(shard, -1, _send(np.array([total.sum(), np.count_nonzero(total), total[keys == END].sum()], np.int64)))])
+        yield _rows(out)
 
     return blocks.select("block", "data").mapInArrow(send, _ROW).groupBy("shard").applyInArrow(_per_group(add), _ROW)
 
@@ -324,16 +329,20 @@ class Grams:
     that, triples dealt out one by one below three times that. Made alike for asking and for adding up."""
 
     def __init__(self, data: bytes, told: dict[int, bytes], shards: int, total: int, starts: int):
-        self.at, train, keys, self.word = _got(data)
+        self.at, train, keys, place = _got(data)
         count, number = np.zeros(len(keys) + 1, np.int64), np.zeros(len(keys) + 1, np.uint32)
         for s, i in _split(_word_shard(keys, shards), shards):
             count[i], number[i] = _got(told[s])
         count[-1], number[-1] = starts, START
-        n, first = len(self.word), self.at[:-1]
-        before = np.concatenate([[len(keys)], self.word[:-1]]).astype(np.uint64)
-        before[first] = len(keys)
-        self.c, self.c_before = count[self.word], count[before.astype(np.int64)]
-        word = self.word.astype(np.uint64)
+        # the block's words in the order of their numbers, the start as the last
+        order = np.argsort(number, kind="stable")
+        rank = np.empty(len(order), np.uint64)
+        rank[order] = np.arange(len(order), dtype=np.uint64)
+        count, number, word = count[order], number[order], rank[place]
+        n, first = len(word), self.at[:-1]
+        before = np.concatenate([rank[-1:], word[:-1]])
+        before[first] = rank[-1]
+        self.c, self.c_before = count[word.astype(np.int64)], count[before.astype(np.int64)]
         self.has_pair = np.flatnonzero((self.c > 0) & (self.c_before > 0))
         pairs, self.pair = _distinct(before[self.has_pair] << _HALF | word[self.has_pair])
         pair_at = np.full(n, -1, np.int64)
@@ -374,13 +383,17 @@ def ask(blocks: DataFrame, counts: DataFrame, shards: int, total: int, starts: i
         told = _told([r for b in right for r in b.to_pylist()])
         for row in [r for b in left for r in b.to_pylist()]:
             g = Grams(row["data"], told, shards, total, starts)
+            out = []
             for s, i in _split(g.shard, 3 * shards):
                 a, b = g.a[i], g.b[i]
                 start = np.flatnonzero(np.concatenate([[True], (a[1:] != a[:-1]) | (b[1:] != b[:-1])]))
                 width = np.diff(np.append(start, len(i))).astype(np.uint32)
-                yield _rows([(s, row["block"], _send(a[start], b[start], width, g.known[i][start], g.w[i], g.seen[i]))])
+                out.append((s, row["block"], _send(a[start], b[start], width, g.known[i][start], g.w[i], g.seen[i])))
+            if out:
+                yield _rows(out)
 
-    return blocks.select("block", "data").groupBy("block").cogroup(counts.groupBy("block")).applyInArrow(_per_pair(run), _ROW)
+    # all columns, as in score(): both read one exchange of the blocks
+    return blocks.groupBy("block").cogroup(counts.groupBy("block")).applyInArrow(_per_pair(run), _ROW)
 
 
 def answer(asked: DataFrame, shards: int) -> DataFrame:
@@ -407,10 +420,12 @@ def answer(asked: DataFrame, shards: int) -> DataFrame:
         trie = Trie.mapped(Trie.pack(contexts[some], widths[some], word[kept], np.log10(count[kept] / below[of[kept]])))
         codes = trie.find(contexts[of], word)
         scale, count, at = np.array([trie.least, trie.step]), count.astype(np.int64), 0
+        out = []
         for block, *_, w, _ in got:
             mine = place[at : at + len(w)]
             at += len(w)
-            yield _rows([(shard + shards, block, _send(scale, codes[mine], *([count[mine]] if kind == 0 else [])))])
+            out.append((shard + shards, block, _send(scale, codes[mine], *([count[mine]] if kind == 0 else []))))
+        yield _rows(out)
 
     return asked.groupBy("shard").applyInArrow(_per_group(run), _ROW)
 
@@ -456,7 +471,7 @@ def score(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Da
     schema = pa.schema([("id", id_type), ("held_out", pa.bool_()), ("n_tokens", pa.int64()), ("n_known", pa.int64()), ("train_tokens", pa.int64()), ("base_score", pa.float64()), ("score", pa.float64())])
     out = f"id {kind}, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double"
     every = counts.union(answers)
-    return blocks.select("block", "ids", "data").groupBy("block").cogroup(every.groupBy("block")).applyInArrow(_per_pair(gather, schema), out)
+    return blocks.groupBy("block").cogroup(every.groupBy("block")).applyInArrow(_per_pair(gather, schema), out)
 
 
 def op9_lm_score(spark: SparkSession, sf_dir: str) -> DataFrame:
