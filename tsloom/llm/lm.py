@@ -40,7 +40,7 @@ from tsloom.llm import tokens
 from tsloom.llm.common import stored
 
 FOLDS, HELD_FOLD = 5, 1
-BLOCK_BYTES = 8_000_000
+BLOCK_BYTES = 10_000_000
 SHARD_TOKENS = 2_000_000
 #: Weights of the priors of pairs and triples; of those tried, the likeliest on held-out documents at sf0.1.
 MU = (2000.0, 10.0)
@@ -182,7 +182,7 @@ def _send(*arrays: np.ndarray) -> bytes:
     """The arrays, compressed; numbers of several bytes byte by byte, all their first ones before all second ones."""
     head = np.array([len(arrays)] + [x for a in arrays for x in (ord(a.dtype.char), len(a))], np.int64)
     planes = [np.ascontiguousarray(a).view(np.uint8).reshape(len(a), a.itemsize).T.tobytes() for a in arrays]
-    return zstandard.ZstdCompressor(level=1).compress(head.tobytes() + b"".join(planes))
+    return zstandard.ZstdCompressor(level=3).compress(head.tobytes() + b"".join(planes))
 
 
 def _got(data: bytes) -> list[np.ndarray]:
@@ -329,9 +329,9 @@ class Grams:
     that, triples dealt out one by one below three times that. Made alike for asking and for adding up."""
 
     def __init__(self, data: bytes, told: dict[int, bytes], shards: int, total: int, starts: int):
-        self.at, train, keys, place = _got(data)
-        count, number = np.zeros(len(keys) + 1, np.int64), np.zeros(len(keys) + 1, np.uint32)
-        for s, i in _split(_word_shard(keys, shards), shards):
+        self.at, train, by, place = _got(data)
+        count, number = np.zeros(len(by) + 1, np.int64), np.zeros(len(by) + 1, np.uint32)
+        for s, i in _split(by, shards):
             count[i], number[i] = _got(told[s])
         count[-1], number[-1] = starts, START
         # the block's words in the order of their numbers, the start as the last
@@ -372,6 +372,21 @@ class Grams:
         self.w = np.concatenate([number[w], number[w3]])
 
 
+def sharded(blocks: DataFrame, shards: int) -> DataFrame:
+    """blocks, with the shard of each distinct word in place of its hash, which takes fewer bytes; all that is asked after the words are numbered."""
+    small = np.uint16 if shards <= 65536 else np.uint32
+
+    def run(batches):
+        for b in batches:
+            data = []
+            for x in b.column("data"):
+                at, train, keys, place = _got(x.as_py())
+                data.append(_send(at, train, _word_shard(keys, shards).astype(small), place))
+            yield pa.RecordBatch.from_arrays([b.column("block"), b.column("ids"), pa.array(data, pa.binary())], names=["block", "ids", "data"])
+
+    return blocks.select("block", "ids", "data").mapInArrow(run, blocks.select("block", "ids", "data").schema)
+
+
 def _told(rows: list[dict]) -> dict[int, bytes]:
     return {r["shard"]: r["data"] for r in rows}
 
@@ -388,7 +403,7 @@ def ask(blocks: DataFrame, counts: DataFrame, shards: int, total: int, starts: i
                 a, b = g.a[i], g.b[i]
                 start = np.flatnonzero(np.concatenate([[True], (a[1:] != a[:-1]) | (b[1:] != b[:-1])]))
                 width = np.diff(np.append(start, len(i))).astype(np.uint32)
-                out.append((s, row["block"], _send(a[start], b[start], width, g.known[i][start], g.w[i], g.seen[i])))
+                out.append((s, row["block"], _send(np.diff(a[start], prepend=np.uint32(0)), b[start], width, g.known[i][start], g.w[i], g.seen[i])))
             if out:
                 yield _rows(out)
 
@@ -403,7 +418,8 @@ def answer(asked: DataFrame, shards: int) -> DataFrame:
         shard = key[0].as_py()
         kind = shard // shards
         got = [(block, *_got(data)) for b in batches for block, data in zip(b.column("block").to_pylist(), b.column("data").to_pylist(), strict=True)]
-        contexts, which = _distinct(np.concatenate([g[1].astype(np.uint64) << _HALF | g[2] for g in got]))
+        # first words come as differences
+        contexts, which = _distinct(np.concatenate([np.cumsum(g[1], dtype=np.uint64) << _HALF | g[2] for g in got]))
         width = np.concatenate([g[3] for g in got])
         keys, place = _distinct(np.repeat(which, width).astype(np.uint64) << _HALF | np.concatenate([g[5] for g in got]))
         count = np.bincount(place, weights=np.concatenate([g[6] for g in got]))
@@ -443,6 +459,7 @@ def score(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Da
         n, v, e = _got(bytes(r.data))[0].tolist()
         total, distinct, starts = total + n, distinct + v, starts + e
     counts = counts.where("block >= 0")
+    blocks = sharded(blocks, shards)
     answers = answer(ask(blocks, counts, shards, total, starts), shards)
     below = total + 0.5 * (distinct + 1)
 
