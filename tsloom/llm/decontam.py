@@ -6,7 +6,7 @@ taken in several such blocks, one pass each, and the passes add up. Training wor
 state gives the longest match that ends there. A match of `window` words or more is an occurrence of a window; an item of
 fewer words counts where the whole item ends.
 
-Nulls and odd input: null texts have no words; null and wordless items have no windows; an item whose id is null marks
+Nulls and odd input: null texts have no words, and stay null where texts are cut; null and wordless items have no windows; an item whose id is null marks
 words, but is not listed. Repeated items count once by id, repeated documents are judged row by row, empty tables give empty
 results or no hits. Other input columns are kept; result columns replace input columns of the same name.
 """
@@ -21,6 +21,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from tsloom.llm.common import fresh, stored
+
 WINDOW = 10
 #: Bound of what one pass broadcasts: words of items (about 300 bytes each in the automaton).
 BLOCK_WORDS = 200_000
@@ -175,48 +177,84 @@ def cut(text: str, spans: list[int]) -> str:
     return b"\n".join(out).decode()
 
 
-def _blocks(benchmark: DataFrame, id_col: str, text_col: str) -> Iterable[list[tuple[str | None, list[bytes]]]]:
-    """Items in blocks of at most BLOCK_WORDS words (or one longer item), fetched one partition at a time."""
+def _pieces(ws: list[bytes], window: int) -> Iterable[list[bytes]]:
+    """An item in pieces of at most BLOCK_WORDS words, which overlap by window - 1: each window is in one of them."""
+    size = max(BLOCK_WORDS, window)
+    return [ws[a : a + size] for a in range(0, max(1, len(ws) - window + 1), size - window + 1)]
+
+
+def _blocks(benchmark: DataFrame, id_col: str, text_col: str, window: int) -> Iterable[list[tuple[str | None, list[bytes]]]]:
+    """Items in blocks of at most BLOCK_WORDS words, fetched one partition at a time."""
     block, held = [], 0
     for r in benchmark.select(F.col(id_col).cast("string").alias("i"), F.col(text_col).alias("t")).distinct().toLocalIterator():
-        ws = words_of(r.t)
-        if held and held + len(ws) > BLOCK_WORDS:
-            yield block
-            block, held = [], 0
-        if ws:
-            block.append((r.i, ws))
-            held += len(ws)
+        for ws in _pieces(words_of(r.t), window):
+            if held and held + len(ws) > BLOCK_WORDS:
+                yield block
+                block, held = [], 0
+            if ws:
+                block.append((r.i, ws))
+                held += len(ws)
     yield block
 
 
-def find_items(docs: DataFrame, benchmark: DataFrame, text_col: str = "text", id_col: str = "item_id", item_text_col: str = "text", window: int = WINDOW) -> DataFrame:
-    """docs with n_words, hit_spans (array of word positions: start, end, start, ...) and item_ids (array of strings)."""
-    made = {"n_words": (T.LongType(), pa.int64()), "hit_spans": (T.ArrayType(T.IntegerType()), pa.list_(pa.int32())), "item_ids": (T.ArrayType(T.StringType()), pa.list_(pa.string()))}
-    out = docs.drop(*[c for c in docs.columns if c.lower() in made])
-    names = out.columns
-    for turn, block in enumerate(_blocks(benchmark, id_col, item_text_col)):
+_MADE = {"n_words": (T.LongType(), pa.int64()), "hit_spans": (T.ArrayType(T.IntegerType()), pa.list_(pa.int32())), "item_ids": (T.ArrayType(T.StringType()), pa.list_(pa.string()))}
+
+
+def _passes(docs: DataFrame, benchmark: DataFrame, text_col: str, id_col: str, item_text_col: str, window: int, max_coverage: float | None) -> DataFrame:
+    """docs with the columns of _MADE. With max_coverage, docs alone: cut, and without what is hit in a larger part of its words.
+
+    One pass for each block of items. The last one cuts as well, while it holds the texts; those before it are stored, so that no
+    task holds more than one automaton."""
+    names = docs.columns
+    schema = T.StructType([docs.schema[n] for n in names] + [T.StructField(k, t) for k, (t, _) in _MADE.items()])
+    out, turn = docs, 0
+    blocks = iter(_blocks(benchmark, id_col, item_text_col, window))
+    block = next(blocks)
+    while block is not None:
+        after = next(blocks, None)
         sent = docs.sparkSession.sparkContext.broadcast(Automaton(block, window))
+        cutting = after is None and max_coverage is not None
 
-        def run(batches, sent=sent, turn=turn):
+        def run(batches, sent=sent, turn=turn, cutting=cutting):
             auto = sent.value
             for b in batches:
-                before = [b.column(b.schema.get_field_index(c)).to_pylist() for c in ("hit_spans", "item_ids")] if turn else None
+                at = b.schema.names.index(text_col)
+                before = [b.column(len(names) + k).to_pylist() for k in (1, 2)] if turn else None
                 new: list[list] = [[], [], []]
-                for i, t in enumerate(b.column(b.schema.get_field_index(text_col))):
-                    ws = words_of(t.as_py())
+                kept, texts = [], []
+                for i, t in enumerate(b.column(at)):
+                    t = t.as_py()
+                    ws = words_of(t)
                     spans, ids = auto.scan(ws)
                     if before:
                         spans, ids = _merged(before[0][i], spans), ids | set(before[1][i])
+                    if cutting:
+                        if sum(spans[1::2]) - sum(spans[::2]) <= max_coverage * len(ws):
+                            kept.append(i)
+                            texts.append(cut(t, spans) if spans else t)
+                        continue
                     for c, v in zip(new, (len(ws), spans, sorted(x for x in ids if x is not None)), strict=True):
                         c.append(v)
-                kept = [b.column(b.schema.get_field_index(n)) for n in names]
-                yield pa.RecordBatch.from_arrays(kept + [pa.array(c, t) for c, (_, t) in zip(new, made.values(), strict=True)], names=[*names, *made])
-
-        schema = T.StructType([docs.schema[n] for n in names] + [T.StructField(k, t) for k, (t, _) in made.items()])
-        out = out.mapInArrow(run, schema)
+                columns = [b.column(k) for k in range(len(names))]
+                if cutting:
+                    columns = [c.take(pa.array(kept, pa.int64())) for c in columns]
+                    columns[at] = pa.array(texts, columns[at].type)
+                    yield pa.RecordBatch.from_arrays(columns, names=names)
+                else:
+                    yield pa.RecordBatch.from_arrays(columns + [pa.array(c, t) for c, (_, t) in zip(new, _MADE.values(), strict=True)], names=[*names, *_MADE])
+
+        out = out.mapInArrow(run, docs.schema if cutting else schema)
+        if after is not None:
+            out = stored(out, "decontam-pass")
+        block, turn = after, turn + 1
     return out
 
 
+def find_items(docs: DataFrame, benchmark: DataFrame, text_col: str = "text", id_col: str = "item_id", item_text_col: str = "text", window: int = WINDOW) -> DataFrame:
+    """docs with n_words, hit_spans (array of word positions: start, end, start, ...) and item_ids (array of strings)."""
+    return _passes(docs.drop(*[c for c in docs.columns if c.lower() in _MADE]), benchmark, text_col, id_col, item_text_col, window, None)
+
+
 def n_hit(spans="hit_spans"):
     """Words in the spans: the sum of ends less the sum of starts."""
     return F.aggregate(F.transform(F.col(spans), lambda x, i: F.when(i % 2 == 1, x).otherwise(-x)), F.lit(0), lambda a, x: a + x).cast("long")
@@ -224,11 +262,10 @@ def n_hit(spans="hit_spans"):
 
 def decontaminate(docs: DataFrame, benchmark: DataFrame, text_col: str = "text", window: int = WINDOW, max_coverage: float = MAX_COVERAGE) -> DataFrame:
     """docs, with their own columns alone: hit spans cut from the texts, documents hit in more than max_coverage of their words dropped."""
-    cut_udf = F.udf(cut, "string")  # runs on hit documents alone, a small part
-    found = find_items(docs, benchmark, text_col, window=window)
-    found = found.where((F.size("hit_spans") == 0) | (n_hit() <= max_coverage * F.col("n_words")))
-    clean = F.when(F.size("hit_spans") > 0, cut_udf(F.col(text_col), F.col("hit_spans"))).otherwise(F.col(text_col))
-    return found.withColumn(text_col, clean).select(*docs.columns)
+    clash = [c for c in docs.columns if c.lower() in _MADE]
+    apart = dict(zip(clash, fresh(docs, *[f"_{c}" for c in clash]), strict=True))
+    found = _passes(docs.withColumnsRenamed(apart), benchmark, apart.get(text_col, text_col), "item_id", "text", window, max_coverage)
+    return found.withColumnsRenamed({v: k for k, v in apart.items()})
 
 
 def op6_decontam(spark: SparkSession, sf_dir: str) -> DataFrame:
