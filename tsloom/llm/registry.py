@@ -6,8 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tsloom.llm import decontam, licenses, linededup, lm, mixing, neardup, ogg, pii, quality, urlrules
-
+from tsloom.llm import decontam, licenses, linededup, lm, mixing, neardup, ogg, pii, quality, repair, urlrules
 
 
 def _pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -27,10 +26,12 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_near_duplicates": neardup.op8_near_duplicates,
     "op9_lm_score": lm.op9_lm_score,
     "op10_pii": pii.op10_pii,
+    "op12_conversation_repair": repair.op12_conversation_repair,
     "pipeline": _pipeline,
 }
 SQL: dict[str, str] = {
     "op4_mixing": mixing.SQL,
     "op6_decontam": decontam.SQL,
     "op7_url_rules": urlrules.SQL,
+    "op12_conversation_repair": repair.SQL,
 }
