@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tsloom.llm import decontam, licenses, linededup, lm, mixing, neardup, ogg, pii, quality, repair, urlrules
+from tsloom.llm import decontam, extract, licenses, linededup, lm, mixing, neardup, ogg, pii, quality, repair, urlrules
 
 
 def _pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -27,6 +27,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op9_lm_score": lm.op9_lm_score,
     "op10_pii": pii.op10_pii,
     "op12_conversation_repair": repair.op12_conversation_repair,
+    "op13_html_extraction": extract.op13_html_extraction,
     "pipeline": _pipeline,
 }
 SQL: dict[str, str] = {
