@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tsloom.llm import decontam, extract, licenses, linededup, lm, mixing, neardup, ogg, pii, quality, repair, urlrules
+from tsloom.llm import audit, decontam, extract, licenses, linededup, lm, mixing, neardup, ogg, pii, quality, repair, urlrules
 
 
 def _pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -26,6 +26,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_near_duplicates": neardup.op8_near_duplicates,
     "op9_lm_score": lm.op9_lm_score,
     "op10_pii": pii.op10_pii,
+    "op11_filter_audit": audit.op11_filter_audit,
     "op12_conversation_repair": repair.op12_conversation_repair,
     "op13_html_extraction": extract.op13_html_extraction,
     "pipeline": _pipeline,
@@ -34,5 +35,6 @@ SQL: dict[str, str] = {
     "op4_mixing": mixing.SQL,
     "op6_decontam": decontam.SQL,
     "op7_url_rules": urlrules.SQL,
+    "op11_filter_audit": audit.SQL,
     "op12_conversation_repair": repair.SQL,
 }
