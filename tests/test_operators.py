@@ -125,7 +125,7 @@ def test_spectrum_and_stft(spark):
     rows = decompose.spectrum(f, ["series_id"], 24).orderBy("f").collect()
     assert np.allclose([complex(r.re, r.im) for r in rows], want)
     p = windows.packed(f, ["series_id"])
-    back = p.select(embed.istft(embed.stft(F.col("x"), 8, 4), 8, 4, 24).alias("y")).first().y
+    back = embed.istft(embed.stft(p, ["series_id"], 8, 4), ["series_id"], 8, 4, 24).first().x
     assert np.allclose(back, x)
 
 

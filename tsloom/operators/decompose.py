@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import math
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 
@@ -33,19 +33,30 @@ def block_kernel(length: int) -> int:
     return int(max(min(length / 4, 24), 4))
 
 
-def trend_basis(spark: SparkSession, length: int, powers: int = 3) -> DataFrame:
-    """t, p, value: (t + 1) / (length + 1) to the p-th, p from 1."""
-    base = (F.col("t") + 1) / (length + 1.0)
-    return spark.range(length).select(F.col("id").alias("t")).withColumn("p", F.explode(F.sequence(F.lit(1), F.lit(powers)))).withColumn("value", F.pow(base, F.col("p")))
+def trend_projection(df: DataFrame, series: list[str], length: int, powers: int = 3, t: str = "t", value: str = "value") -> DataFrame:
+    """series, p, value: inner products with ((t + 1) / (length + 1)) to the p-th, p from 1. Each row meets the short basis in a generator."""
+    rows = df.withColumn("p", F.explode(F.sequence(F.lit(1), F.lit(powers))))
+    return rows.groupBy(*series, "p").agg(F.sum(F.col(value) * F.pow((F.col(t) + 1) / (length + 1.0), F.col("p"))).alias("value"))
 
 
-def season_basis(spark: SparkSession, length: int, channels: int) -> DataFrame:
-    """channel, t, value: cosines for the first half of the channels, sines for the rest; channel i has i (from 0) turns."""
+def season_count(length: int, factor: int = 1) -> int:
+    """How many channels the season's basis has for a length."""
+    return factor * min(32, length // 2)
+
+
+def season_wave(channel: Column, t: Column, length: int, channels: int) -> Column:
+    """Cosines of 1, 2, ... turns for the first half of the channels (rounded down), then sines of 1, 2, ... turns."""
     half = channels // 2
-    turns = F.when(F.col("channel") < half, F.col("channel")).otherwise(F.col("channel") - half)
-    angle = 2.0 * math.pi * turns * F.col("t") / length
-    rows = spark.range(length).select(F.col("id").alias("t")).withColumn("channel", F.explode(F.sequence(F.lit(0), F.lit(channels - 1))))
-    return rows.withColumn("value", F.when(F.col("channel") < half, F.cos(angle)).otherwise(F.sin(angle)))
+    turns = F.when(channel < half, channel + 1).otherwise(channel - half + 1)
+    angle = 2.0 * math.pi * turns * t / length
+    return F.when(channel < half, F.cos(angle)).otherwise(F.sin(angle))
+
+
+def season_projection(df: DataFrame, series: list[str], length: int, channels: int | None = None, t: str = "t", value: str = "value") -> DataFrame:
+    """series, channel, value: inner products with the season's basis."""
+    channels = channels or season_count(length)
+    rows = df.withColumn("channel", F.explode(F.sequence(F.lit(0), F.lit(channels - 1))))
+    return rows.groupBy(*series, "channel").agg(F.sum(F.col(value) * season_wave(F.col("channel"), F.col(t), length, channels)).alias("value"))
 
 
 def spectrum(df: DataFrame, series: list[str], length: int, t: str = "t", value: str = "value") -> DataFrame:
@@ -81,3 +92,21 @@ def fourier_loss(df: DataFrame, series: list[str], length: int, a: str, b: str,
     angle = 2.0 * math.pi * F.col("f") * F.col(t) / length
     each = rows.groupBy(*series, "f").agg(F.sum(F.col("_gap") * F.cos(angle)).alias("re"), F.sum(-F.col("_gap") * F.sin(angle)).alias("im"))
     return each.groupBy(*series).agg(((F.avg(F.abs("re")) + F.avg(F.abs("im"))) / length).alias("loss"))
+
+
+def image_spectral_loss(cells: DataFrame, keys: list[str], side: int, a: str, b: str) -> DataFrame:
+    """keys, loss: the mean over side x side image cells of the squared difference of two columns plus that of their two-dimensional
+    spectra (divided by side^2), whose real and imaginary parts count apart.
+
+    The transform is separable: rows first, columns then. Each pass is a grouped sum over `side` terms, combined before its
+    exchange; cells that are not there count as 0."""
+    gap = (F.col(a) - F.col(b)).cast("double")
+    frequencies = F.sequence(F.lit(0), F.lit(side - 1))
+    angle = lambda f, x: 2.0 * math.pi * F.col(f) * F.col(x) / side
+    rows = cells.select(*keys, "r", "c", gap.alias("_g")).withColumn("_fc", F.explode(frequencies))
+    rows = rows.groupBy(*keys, "r", "_fc").agg(F.sum(F.col("_g") * F.cos(angle("_fc", "c"))).alias("_re"), F.sum(-F.col("_g") * F.sin(angle("_fc", "c"))).alias("_im"), F.sum(F.when(F.col("_fc") == 0, F.col("_g") * F.col("_g")).otherwise(0.0)).alias("_t"))
+    both = rows.withColumn("_fr", F.explode(frequencies))
+    cos, sin = F.cos(angle("_fr", "r")), F.sin(angle("_fr", "r"))
+    spec = both.groupBy(*keys, "_fr", "_fc").agg(F.sum(F.col("_re") * cos + F.col("_im") * sin).alias("_re"), F.sum(F.col("_im") * cos - F.col("_re") * sin).alias("_im"), F.sum(F.when(F.col("_fr") == 0, F.col("_t")).otherwise(0.0)).alias("_t"))
+    n = float(side * side)
+    return spec.groupBy(*keys).agg(((F.sum(F.col("_re") ** 2 + F.col("_im") ** 2) / (n * n) + F.sum("_t")) / n).alias("loss"))

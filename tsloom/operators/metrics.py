@@ -16,11 +16,12 @@ def channel_means(df: DataFrame, keys: list[str], value: str = "value") -> DataF
 
 
 def histogram(df: DataFrame, side: str, bins: int = 200, value: str = "value") -> DataFrame:
-    """side, bin, p: equal bins over each side's own range, the last one closed."""
+    """side, bin, p: equal bins over each side's own range, the last one closed. Nulls and NaN are left out."""
+    df = df.where(F.col(value).isNotNull() & ~F.isnan(F.col(value).cast("double")))
     ranges = df.groupBy(side).agg(F.min(value).alias("_lo"), F.max(value).alias("_hi"), F.count(value).alias("_n"))
     width = (F.col("_hi") - F.col("_lo")) / bins
     place = F.when(F.col("_hi") > F.col("_lo"), F.least(F.floor((F.col(value) - F.col("_lo")) / width), F.lit(bins - 1))).otherwise(0)
-    rows = df.where(F.col(value).isNotNull()).join(F.broadcast(ranges), side)  # two sides
+    rows = df.join(F.broadcast(ranges), side)  # two sides
     return rows.groupBy(side, place.cast("int").alias("bin")).agg((F.count("*") / F.first("_n")).alias("p"))
 
 

@@ -49,8 +49,14 @@ class AutoRegression:
         return spark.range(n).withColumnRenamed("id", "series_id").select("series_id", F.posexplode(F.slice(fold, 2, length)).alias("t", "v")).select("series_id", F.col("t").cast("long").alias("t"), digits(F.col("v")).alias("value"))
 
 
+def _as_windows(real: DataFrame, length: int) -> DataFrame:
+    """series_id (series and first step), t, value of windows that cover each series; shorter series have none."""
+    cut = covering_windows(real.select("series_id", "t", "value"), ["series_id"], length)
+    return cut.select(F.concat_ws(":", "series_id", "start").alias("series_id"), F.col("pos").alias("t"), "value")
+
+
 class Jitter:
-    """Real series with normal noise of a share of the overall deviation."""
+    """Real windows with normal noise of a share of the overall deviation."""
 
     def __init__(self, share: float = 0.1):
         self.share = share
@@ -60,27 +66,28 @@ class Jitter:
         return self
 
     def sample(self, spark: SparkSession, n: int, length: int, seed: int, class_id: int | None = None) -> DataFrame:
-        names = self.real.select("series_id").distinct().orderBy(order(F.col("series_id"), seed)).limit(n)
-        rows = self.real.where(F.col("t") < length).join(names, "series_id", "left_semi")
+        cut = _as_windows(self.real, length)
+        names = globally_ranked(cut.select("series_id").distinct(), seed, F.col("series_id")).where(F.col("rank") < n)
+        rows = cut.join(names, "series_id", "left_semi")
         return rows.select("series_id", "t", (F.col("value") + self.share * self.sd * normal(F.col("series_id"), F.col("t"), seed)).alias("value"))
 
 
 class BlockBootstrap:
-    """Blocks of consecutive steps, each from a drawn series."""
+    """Blocks of consecutive steps, each from a drawn window of the real series, at the place it has there."""
 
     def __init__(self, block: int = 6):
         self.block = block
 
     def fit(self, real: DataFrame) -> BlockBootstrap:
-        names = real.select("series_id").distinct()
-        self.names = globally_ranked(names, 0, F.col("series_id"), "slot")
-        self.count, self.real = self.names.count(), real
+        self.real = real
         return self
 
     def sample(self, spark: SparkSession, n: int, length: int, seed: int, class_id: int | None = None) -> DataFrame:
+        cut = _as_windows(self.real, length)
+        names = globally_ranked(cut.select("series_id").distinct(), 0, F.col("series_id"), "slot")
         want = spark.range(n).select(F.col("id").alias("sample_id"), F.explode(F.sequence(F.lit(0), F.lit((length - 1) // self.block))).alias("block"))
-        want = want.withColumn("slot", F.floor(uniform(F.col("sample_id"), F.col("block"), seed) * self.count))
-        rows = self.real.where(F.col("t") < length).withColumn("block", F.floor(F.col("t") / self.block)).join(self.names, "series_id")
+        want = want.withColumn("slot", F.floor(uniform(F.col("sample_id"), F.col("block"), seed) * names.count()))
+        rows = cut.withColumn("block", F.floor(F.col("t") / self.block)).join(names, "series_id")
         return want.join(rows, ["slot", "block"]).select(F.col("sample_id").alias("series_id"), "t", "value")
 
 
@@ -95,19 +102,20 @@ def real_and_generated(spark: SparkSession, d: str, length: int = 24) -> tuple[D
 
 
 def _packs(df: DataFrame, side: int) -> DataFrame:
-    """side, key, x of the longest series."""
+    """side, key, x, one ordered array for each series."""
     each = df.groupBy("series_id").agg(F.transform(F.sort_array(F.collect_list(F.struct("t", "value"))), lambda s: s["value"]).alias("x"))
-    longest = each.agg(F.max(F.size("x")).alias("_n"))  # one row
-    return each.join(F.broadcast(longest), F.size("x") == F.col("_n")).select(F.lit(side).alias("side"), F.col("series_id").cast("string").alias("key"), "x")
+    return each.select(F.lit(side).alias("side"), F.col("series_id").cast("string").alias("key"), "x")
 
 
 def discriminative(real: DataFrame, generated: DataFrame, repeats: int = 10, iterations: int = 50) -> DataFrame:
     """mean and std over repeats of |0.5 - accuracy| of a classifier that tells real from generated series.
 
     A logistic regression on values, squares and products of neighbours, fitted by distributed aggregation on 80 % of the
-    series, drawn by a hash for each repeat, and judged on the rest. Nulls count as 0."""
-    x = F.transform("x", lambda v: F.coalesce(v.cast("double"), F.lit(0.0)))
-    both = _packs(real, 1).union(_packs(generated, 0)).withColumn("x", x)
+    series, drawn by a hash for each repeat, and judged on the rest. Nulls count as 0, as do the missing steps of shorter series."""
+    both = _packs(real, 1).union(_packs(generated, 0))
+    longest = both.agg(F.max(F.size("x")).alias("_longest"))  # one row
+    filled = F.concat(F.transform("x", lambda v: F.coalesce(v.cast("double"), F.lit(0.0))), F.array_repeat(F.lit(0.0), F.col("_longest") - F.size("x")))
+    both = both.crossJoin(F.broadcast(longest)).withColumn("x", filled).drop("_longest")
     steps = F.zip_with(F.slice("x", 1, F.size("x") - 1), F.slice("x", 2, F.size("x")), lambda a, b: a * b)
     both = both.select("key", F.col("side").cast("double").alias("label"), array_to_vector(F.concat("x", F.transform("x", lambda v: v * v), steps)).alias("features")).persist()
     scores = []
@@ -148,35 +156,108 @@ def predictive(real: DataFrame, generated: DataFrame, repeats: int = 10, lags: i
 
 
 def koopman(df: DataFrame, by: list[str], t: str, x: str, dim: int) -> DataFrame:
-    """by, i, j, a: the matrix that best maps each step's vector to the next one's (least squares).
-
-    Normal equations are summed in Spark; each group's dim x dim system is solved in one task."""
+    """by, i, j, a: the matrix that best maps each step's vector to the next one's within each group (least squares)."""
     nxt = F.lead(x).over(Window.partitionBy(*by).orderBy(t))
-    pairs = df.withColumn("_y", nxt).where("_y IS NOT NULL").select(*by, F.col(x).alias("_x"), "_y")
+    return koopman_of_pairs(df.withColumn("_y", nxt).where("_y IS NOT NULL").select(*by, F.col(x).alias("_x"), "_y"), by, dim)
+
+
+def koopman_of_pairs(pairs: DataFrame, by: list[str], dim: int) -> DataFrame:
+    """koopman() of pairs (by, _x, _y)."""
+    m = operators_of(pairs, by, dim)
+    return m.select(*by, F.posexplode("a").alias("_k", "a")).select(*by, F.floor(F.col("_k") / dim).cast("int").alias("i"), (F.col("_k") % dim).alias("j"), "a")
+
+
+def cross_products(pairs: DataFrame, by: list[str], dim: int) -> DataFrame:
+    """by, s: the sums of X'X and X'Y of arrays _x and _y side by side, a dim x 2 dim matrix row by row.
+
+    Each Arrow batch adds up its groups' products; a group's sums then meet place by place."""
+    kinds = "".join(f"{k} {pairs.schema[k].dataType.simpleString()}, " for k in by)
 
     def partial(batches):
-        """Each batch's X'X (side 0) and X'Y (side 1) by group: dim^2 rows, not dim^2 for each vector."""
         for pdf in batches:
-            for key, rows in pdf.groupby(by, dropna=False) if by else [((), pdf)]:
-                u, v = (np.stack([np.asarray(a, float) for a in rows[c]]) for c in ("_x", "_y"))
-                i, j = np.meshgrid(np.arange(dim), np.arange(dim), indexing="ij")
-                for side, m in ((0, u.T @ u), (1, u.T @ v)):
-                    yield pd.DataFrame({**dict(zip(by, key if isinstance(key, tuple) else (key,))), "side": side, "i": i.ravel(), "j": j.ravel(), "s": m.ravel()})
-
-    keys = "".join(f"{k} {df.schema[k].dataType.simpleString()}, " for k in by)
-    sums = pairs.mapInPandas(partial, f"{keys}side int, i int, j int, s double").groupBy(*by, "side", "i", "j").agg(F.sum("s").alias("s"))
-
-    def solve(pdf: pd.DataFrame) -> pd.DataFrame:
-        m = [pdf[pdf.side == k].sort_values(["i", "j"]).s.to_numpy().reshape(dim, dim) for k in (0, 1)]
-        a = np.linalg.lstsq(m[0], m[1], rcond=None)[0]
-        i, j = np.meshgrid(np.arange(dim), np.arange(dim), indexing="ij")
-        out = pd.DataFrame({"i": i.ravel(), "j": j.ravel(), "a": a.ravel()})
-        for k in by:
-            out[k] = pdf[k].iloc[0]
-        return out[[*by, "i", "j", "a"]]
-
-    kinds = ", ".join(f"{k} {df.schema[k].dataType.simpleString()}" for k in by)
-    return sums.groupBy(*by).applyInPandas(solve, f"{kinds}, i int, j int, a double")
+            if not len(pdf):
+                continue
+            x, y = (np.stack([np.asarray(a, float) for a in pdf[c]]) for c in ("_x", "_y"))
+            keys = pdf[by].drop_duplicates().reset_index(drop=True) if by else pd.DataFrame(index=[0])
+            code = pdf[by].merge(keys.reset_index(), on=by, how="left")["index"].to_numpy() if by else np.zeros(len(pdf), int)
+            by_group = np.argsort(code, kind="stable")
+            cuts = np.flatnonzero(np.diff(code[by_group], prepend=-1))
+            both = np.concatenate([x, y], axis=1)
+            out = keys.iloc[code[by_group][cuts]].reset_index(drop=True)
+            out["s"] = [(x[g].T @ both[g]).ravel() for g in np.split(by_group, cuts[1:])]
+            yield out
+
+    sums = pairs.mapInPandas(partial, f"{kinds}s array<double>")
+    cells = sums.select(*by, F.posexplode("s").alias("k", "v")).groupBy(*by, "k").agg(F.sum("v").alias("v"))
+    return cells.groupBy(*by).agg(F.transform(F.sort_array(F.collect_list(F.struct("k", "v"))), lambda c: c["v"]).alias("s"))
+
+
+def operators_of(pairs: DataFrame, by: list[str], dim: int) -> DataFrame:
+    """by, a: each group's least-squares matrix, row by row; the small systems of a batch are solved at once."""
+    sums = cross_products(pairs, by, dim)
+    kinds = "".join(f"{k} {sums.schema[k].dataType.simpleString()}, " for k in by)
+
+    def solve(batches):
+        for pdf in batches:
+            if not len(pdf):
+                continue
+            both = np.stack([np.asarray(v, float) for v in pdf["s"]]).reshape(-1, dim, 2 * dim)
+            a = np.linalg.pinv(both[:, :, :dim], hermitian=True, rcond=1e-12) @ both[:, :, dim:]
+            out = pdf[by].copy()
+            out["a"] = list(a.reshape(len(pdf), -1))
+            yield out
+
+    return sums.mapInPandas(solve, f"{kinds}a array<double>")
+
+
+def eigenvalue_penalties(operators: DataFrame, by: list[str], dim: int) -> DataFrame:
+    """by, top2, top3, every: the mean squared distance to 1 of the two, the three and all largest magnitudes of each group's eigenvalues;
+    and moduli, the magnitudes in falling order. A batch of matrices (arrays a, row by row) is one call of the eigensolver."""
+    kinds = "".join(f"{k} {operators.schema[k].dataType.simpleString()}, " for k in by)
+
+    def run(batches):
+        for pdf in batches:
+            if not len(pdf):
+                continue
+            m = np.stack([np.asarray(v, float) for v in pdf["a"]]).reshape(-1, dim, dim)
+            size = -np.sort(-np.abs(np.linalg.eigvals(m)), axis=1)
+            out = pdf[by].copy()
+            for name, k in (("top2", 2), ("top3", 3), ("every", dim)):
+                out[name] = ((size[:, :k] - 1) ** 2).mean(axis=1)
+            out["moduli"] = list(size)
+            yield out
+
+    return operators.mapInPandas(run, f"{kinds}top2 double, top3 double, every double, moduli array<double>")
+
+
+def roll_out_error(paths: DataFrame, operators: DataFrame, by: list[str], t: str, x: str, dim: int, steps: int) -> DataFrame:
+    """by, error: over k = 1 .. steps, the sum of the mean squared error of each vector times the operator's k-th power against the
+    vector k steps later, divided by the Frobenius norm of these predictions.
+
+    Later vectors are leads over one sort; a row carries its predictions no further than its own expression."""
+    line = Window.partitionBy(*by).orderBy(t)
+    rows = paths.select(*by, t, F.col(x).alias("_z"), *[F.lead(x, k).over(line).alias(f"_y{k}") for k in range(1, steps + 1)]).join(operators.select(*by, "a"), by)
+    kinds = "".join(f"{k} {paths.schema[k].dataType.simpleString()}, " for k in by)
+
+    def run(batches):
+        for pdf in batches:
+            if not len(pdf):
+                continue
+            z = np.stack([np.asarray(v, float) for v in pdf["_z"]])
+            a = np.stack([np.asarray(v, float) for v in pdf["a"]]).reshape(-1, dim, dim)
+            for k in range(1, steps + 1):
+                z = np.einsum("bi,bij->bj", z, a)
+                there = pdf[f"_y{k}"].notna().to_numpy()
+                if not there.any():
+                    continue
+                y = np.stack([np.asarray(v, float) for v in pdf[f"_y{k}"][there]])
+                out = pdf[by][there].copy()
+                out["k"], out["sq"], out["norm"] = k, ((z[there] - y) ** 2).sum(1), (z[there] ** 2).sum(1)
+                yield out
+
+    parts = rows.mapInPandas(run, f"{kinds}k int, sq double, norm double")
+    each = parts.groupBy(*by, "k").agg((F.sum("sq") / (F.count("*") * dim) / F.sqrt(F.sum("norm"))).alias("e"))
+    return each.groupBy(*by).agg(F.sum("e").alias("error"))
 
 
 def tsne(df: DataFrame, ids: str, vector: str, sample: int = 1000, perplexity: float = 40.0, iterations: int = 300, seed: int = 0) -> DataFrame:

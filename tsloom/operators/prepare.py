@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tsloom.functions.hashing import order
+from tsloom.operators.sample import globally_sorted
 
 
 def indexed(df: DataFrame, series: list[str], by: list[str], name: str = "t") -> DataFrame:
@@ -44,6 +45,21 @@ def tail_split(df: DataFrame, keep: float = 0.8) -> DataFrame:
     return df.where(F.col("t") >= F.floor(F.col("n") * keep))
 
 
+def labelled_splits(df: DataFrame, look_back: int, train: float, test: float | None) -> DataFrame:
+    """df once for each split it is in (column split: train, val, test), in one pass; test None: val and test are both the rest.
+
+    The same rows as ratio_split() and same_start_split() give, without a scan for each part."""
+    t, n = F.col("t"), F.col("n")
+    a = F.floor(n * train)
+    if test is None:
+        inside = {"train": t < a, "val": t >= a - look_back, "test": t >= a - look_back}
+    else:
+        c = n - F.floor(n * test)
+        inside = {"train": t < a, "val": (t >= a - look_back) & (t < c), "test": t >= c - look_back}
+    names = F.array_compact(F.array(*[F.when(w, F.lit(k)) for k, w in inside.items()]))
+    return df.withColumn("split", F.explode(names))
+
+
 def random_split(df: DataFrame, ids: str, seed: int, part: float = 0.8) -> DataFrame:
     """df with split, train or test, by rank in a seeded order of ids (one row each).
 
@@ -96,11 +112,16 @@ def scaled_within(df: DataFrame, series: list[str], how: str, eps: float = 0.0,
     new = {
         "sample": (v - F.avg(v).over(w)) / F.stddev_samp(v).over(w),
         "minmax": (v - F.min(v).over(w)) / (F.max(v).over(w) - F.min(v).over(w) + eps),
-        "instance": (v - F.avg(v).over(w)) / F.sqrt(F.var_pop(v).over(w) + eps),
     }[how]
     return df.withColumn(value, new)
 
 
+def instance_normed(df: DataFrame, series: list[str], channel: str, eps: float = 1e-5, t: str = "t", value: str = "value") -> DataFrame:
+    """value less its mean over time, by the deviation over the channels of what is left at each step: sqrt(population variance + eps)."""
+    left = df.withColumn(value, F.col(value) - F.avg(value).over(Window.partitionBy(*series, channel)))
+    return left.withColumn(value, F.col(value) / F.sqrt(F.var_pop(value).over(Window.partitionBy(*series, t)) + eps))
+
+
 def to_signed(x: Column) -> Column:
     """[0, 1] to [-1, 1]."""
     return x * 2.0 - 1.0
@@ -149,14 +170,10 @@ def length_census(df: DataFrame, series: list[str], channel: str) -> DataFrame:
 
 
 def prefix_limit(df: DataFrame, ids: str, limit: float) -> DataFrame:
-    """The first ids in order: that many if limit > 1, else that share of them."""
-    names = df.select(ids).distinct()
-    ranked = names.withColumn("_rank", F.row_number().over(Window.orderBy(ids)))
-    if limit > 1:
-        kept = ranked.where(F.col("_rank") <= int(limit))
-    else:
-        kept = ranked.crossJoin(F.broadcast(names.agg(F.count("*").alias("_n")))).where(F.col("_rank") <= F.floor(F.col("_n") * limit))
-    return df.join(kept.select(ids), ids, "left_semi")
+    """The first ids in order: that many if limit > 1, else that share of them. Ranks come from ranges, not from one sorted task."""
+    ranked = globally_sorted(df.select(ids).distinct(), [ids], "_rank", size="_n")
+    last = F.lit(int(limit)) if limit > 1 else F.floor(F.col("_n") * limit)
+    return df.join(ranked.where(F.col("_rank") < last).select(ids), ids, "left_semi")
 
 
 def without_missing_series(df: DataFrame, series: list[str], value: str = "value") -> DataFrame:

@@ -24,20 +24,61 @@ def _placed(df: DataFrame, h: Column, ties: list[Column], name: str) -> DataFram
     return out.withColumn(name, (F.col("_o") + inner - 1).cast("long")).drop("_h", "_r", "_o")
 
 
+#: Ranges that a global order is cut into, and rows for each that are looked at to find their bounds.
+RANGES, LOOKED_AT = 64, 20
+
+
+def _range_bounds(df: DataFrame, by: list[str], ranges: int) -> list:
+    """At most ranges - 1 rows that cut the order of `by` into about equal parts: quantiles of the rows of least hash."""
+    some = df.select(*by).orderBy(F.xxhash64(*by), *by).limit(ranges * LOOKED_AT)
+    rows = some.orderBy(*by).collect()  # at most ranges * LOOKED_AT
+    return [rows[c] for c in sorted({len(rows) * k // ranges for k in range(1, ranges)} - {0})]
+
+
+def globally_sorted(df: DataFrame, by: list[str], name: str = "rank", ranges: int = RANGES, size: str | None = None) -> DataFrame:
+    """Place 0, 1, ... of every row in the order of `by` over the whole table (ascending, nulls first; rows equal in all of `by` in any order).
+
+    The order is cut into ranges at bounds taken from rows of least hash; counts of the ranges give their offsets, and each range is
+    numbered by itself. A value that many rows share is cut as well where `by` goes on behind it. size: adds the number of rows."""
+    bounds = _range_bounds(df, by, ranges)
+    kinds = [df.schema[c].dataType for c in by]
+    whole = F.struct(*by)
+    out = df.withColumn("_r", F.lit(0))
+    if bounds:
+        literal = F.array(*[F.struct(*[F.lit(v).cast(k).alias(c) for c, v, k in zip(by, r, kinds, strict=True)]) for r in bounds])
+
+        def halve(s: Column, _: Column) -> Column:  # the number of bounds at or below the row, by binary search; nulls come first in a struct's order
+            mid = F.floor((s["lo"] + s["hi"]) / 2).cast("int")
+            open_, up = s["lo"] < s["hi"], F.get(literal, mid) <= whole
+            return F.struct(F.when(open_ & up, mid + 1).otherwise(s["lo"]).alias("lo"), F.when(open_ & ~up, mid).otherwise(s["hi"]).alias("hi"))
+
+        start = F.struct(F.lit(0).alias("lo"), F.lit(len(bounds)).alias("hi"))
+        out = df.withColumn("_r", F.aggregate(F.sequence(F.lit(1), F.lit(len(bounds).bit_length())), start, halve, lambda s: s["lo"]))
+    sizes = out.groupBy("_r").agg(F.count("*").alias("_c"))
+    all_ranges = Window.orderBy("_r")  # at most `ranges` rows
+    offsets = sizes.select("_r", (F.sum("_c").over(all_ranges) - F.col("_c")).alias("_o"), F.sum("_c").over(Window.partitionBy(F.lit(0))).alias("_all"))
+    inner = F.row_number().over(Window.partitionBy("_r").orderBy(*[F.asc_nulls_first(c) for c in by]))
+    out = out.join(F.broadcast(offsets), "_r").withColumn(name, (F.col("_o") + inner - 1).cast("long"))
+    return (out.withColumn(size, F.col("_all")) if size else out).drop("_r", "_o", "_all")
+
+
 def globally_ranked(df: DataFrame, seed: int, ids: Column, name: str = "rank") -> DataFrame:
     """Rank over all rows in a seeded order."""
     return _placed(df, order(ids, seed), [ids], name)
 
 
-def shared_prefix(sides: DataFrame, side: str, ids: Column, seed: int, most: int = 1000) -> DataFrame:
+def shared_prefix(sides: DataFrame, side: str, ids: str, seed: int, most: int = 1000) -> DataFrame:
     """Of each side the rows at the same min(most, rows of the smaller side) drawn places of its order by ids, numbered by draw.
 
-    Places are ranks in a hash order of the place, so both sides share one index. Rows of a side: row_number within the side."""
-    n = sides.groupBy(side).agg(F.count("*").alias("_n")).agg(F.min("_n").alias("_least"))  # one row
-    at = F.row_number().over(Window.partitionBy(side).orderBy(ids)).cast("long") - 1
-    out = sides.withColumn("place", at).crossJoin(F.broadcast(n)).where(F.col("place") < F.col("_least"))
-    draw = F.row_number().over(Window.partitionBy(side).orderBy(order(F.col("place"), seed), "place")).cast("long") - 1
-    return out.withColumn("draw", draw).where(F.col("draw") < F.least(F.lit(most), F.col("_least"))).drop("_least")
+    Places are drawn first: the numbers below the smaller side's size whose hashes are least, ranked by hash ranges. Each side's
+    rows get their place from a global order by (side, ids), whose ranges cut a side as well; no task ranks a whole side."""
+    counts = sides.groupBy(side).agg(F.count("*").alias("_n"))  # a row for each side
+    least = counts.agg(F.min("_n")).first()[0] or 0
+    first = counts.select(side, (F.sum("_n").over(Window.orderBy(side)) - F.col("_n")).alias("_first"))
+    places = sides.sparkSession.range(least).select(F.col("id").alias("place"))
+    drawn = globally_ranked(places, seed, F.col("place"), "draw").where(F.col("draw") < min(most, least))
+    ordered = globally_sorted(sides, [side, ids], "_at").join(F.broadcast(first), side).withColumn("place", F.col("_at") - F.col("_first")).drop("_at", "_first")
+    return ordered.join(drawn, "place")
 
 
 def repeated(df: DataFrame, epochs: int, seed: int, ids: Column) -> DataFrame:
@@ -96,9 +137,9 @@ def catalogued(frames: dict[str, DataFrame], catalogue: list[str]) -> DataFrame:
 
 
 def coded(df: DataFrame, column: str, name: str = "code") -> DataFrame:
-    """Codes 0, 1, ... of a category's values in order; only the distinct values are sorted."""
-    codes = df.select(column).distinct().withColumn(name, (F.row_number().over(Window.orderBy(column)) - 1).cast("int"))
-    return df.join(codes, column)
+    """Codes 0, 1, ... of a category's values in order (distinct values and their inverse); null has none."""
+    codes = globally_sorted(df.where(F.col(column).isNotNull()).select(column).distinct(), [column], name)
+    return df.join(codes.withColumn(name, F.col(name).cast("int")), column, "left")
 
 
 def one_hot(code: Column, width: int) -> Column:

@@ -84,11 +84,43 @@ def vp_time(sigma: Column) -> Column:
     return (F.sqrt(VP_START**2 + 2 * VP_SLOPE * F.log1p(sigma * sigma)) - VP_START) / VP_SLOPE
 
 
+#: Fixed values of the improved form: bounds of the steps at low and high noise, number of its levels.
+IDDPM_LOW, IDDPM_HIGH, IDDPM_LEVELS = 0.001, 0.008, 1000
+
+
+def iddpm_levels(levels: int = IDDPM_LEVELS) -> list[float]:
+    """Noise levels 0, 1, ... of the improved form, falling to 0; each comes from the next one."""
+    bar = lambda j: math.sin(0.5 * math.pi * j / levels / (IDDPM_HIGH + 1)) ** 2
+    out = [0.0]
+    for j in range(levels, 0, -1):
+        out.append(math.sqrt((out[-1] ** 2 + 1) / max(bar(j - 1) / bar(j), IDDPM_LOW) - 1))
+    return out[::-1]
+
+
+def nearest_level(x: Column, levels: list[float]) -> Column:
+    """The index of the nearest of falling levels (of two as near the first, which is the larger), by binary search in a literal of their number."""
+    rising = F.array(*[F.lit(float(v)) for v in reversed(levels)])
+    n = len(levels)
+
+    def halve(s: Column, _: Column) -> Column:
+        mid = F.floor((s["lo"] + s["hi"]) / 2).cast("int")
+        up = F.get(rising, mid) < x
+        done = s["lo"] >= s["hi"]
+        return F.struct(F.when(done | ~up, s["lo"]).otherwise(mid + 1).alias("lo"), F.when(done | up, s["hi"]).otherwise(mid).alias("hi"))
+
+    start = F.struct(F.lit(0).alias("lo"), F.lit(n - 1).alias("hi"))
+    at = F.aggregate(F.sequence(F.lit(1), F.lit(n.bit_length())), start, halve, lambda s: s["lo"])
+    below = F.greatest(at - 1, F.lit(0))
+    return F.lit(n - 1) - F.when(F.abs(F.get(rising, below) - x) < F.abs(F.get(rising, at) - x), below).otherwise(at)
+
+
 def preconditioning(sigma: Column, data: float = 0.5, kind: str = "edm") -> dict[str, Column]:
     """c_skip, c_out, c_in, c_noise and the loss weight."""
     s2, d2 = sigma * sigma, data * data
     if kind == "ve":
         return {"c_skip": F.lit(1.0), "c_out": sigma, "c_in": F.lit(1.0), "c_noise": F.log(0.5 * sigma), "weight": 1 / s2}
+    if kind == "iddpm":
+        return {"c_skip": F.lit(1.0), "c_out": -sigma, "c_in": 1 / F.sqrt(s2 + 1), "c_noise": F.lit(IDDPM_LEVELS - 1) - nearest_level(sigma, iddpm_levels()), "weight": 1 / s2}
     if kind == "vp":
         return {"c_skip": F.lit(1.0), "c_out": -sigma, "c_in": 1 / F.sqrt(s2 + 1), "c_noise": (VP_LEVELS - 1) * vp_time(sigma), "weight": 1 / s2}
     return {"c_skip": d2 / (s2 + d2), "c_out": sigma * data / F.sqrt(s2 + d2), "c_in": 1 / F.sqrt(s2 + d2), "c_noise": F.log(sigma) / 4, "weight": (s2 + d2) / ((sigma * data) * (sigma * data))}

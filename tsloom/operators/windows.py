@@ -59,9 +59,12 @@ def tumbled(df: DataFrame, series: list[str], length: int, t: str = "t", value:
 
 
 def context_blocks(df: DataFrame, series: list[str], context: int, t: str = "t") -> DataFrame:
-    """Rows of full blocks, without each series' last full one."""
+    """Rows of the blocks of `context` steps that a table padded to the longest series is cut into, without its final block and those
+    with padding: a block is kept if the series fills it, and if it is not the last one of the longest series."""
     df = df.withColumn("_n", F.count("*").over(Window.partitionBy(*series))).withColumn("block", F.floor(F.col(t) / context))
-    return df.where(F.col("block") < F.floor(F.col("_n") / context) - 1).drop("_n")
+    longest = df.agg(F.max(F.col(t) + 1).alias("_longest"))  # one row
+    df = df.crossJoin(F.broadcast(longest))
+    return df.where(((F.col("block") + 1) * context <= F.col("_n")) & (F.col("block") < F.ceil(F.col("_longest") / context) - 1)).drop("_n", "_longest")
 
 
 def history_and_horizon(packs: DataFrame, length: int, label: int, horizon: int, name: str = "x") -> DataFrame:
@@ -89,11 +92,13 @@ def nan_padded(x: str, left: int, right: int) -> Column:
 
 
 def sections(packs: DataFrame, count: int, name: str = "x") -> DataFrame:
-    """Sections of equal length, the last ones filled up with nulls."""
-    width = F.ceil(F.size(name) / count).cast("int")
-    out = packs.withColumn("_w", width).withColumn("section", F.explode(F.sequence(F.lit(0), F.lit(count - 1))))
-    part = F.slice(F.col(name), F.col("section") * F.col("_w") + 1, F.col("_w"))
-    return out.withColumn(name, F.concat(part, F.array_repeat(F.lit(None).cast("double"), F.col("_w") - F.size(part)))).drop("_w")
+    """Even sections, the first size % count of them one longer; shorter ones are filled up with nulls to the first one's length."""
+    n = F.size(name)
+    out = packs.withColumns({"_q": F.floor(n / count).cast("int"), "_r": n % count}).withColumn("section", F.explode(F.sequence(F.lit(0), F.lit(count - 1))))
+    begin = F.col("section") * F.col("_q") + F.least("section", "_r")
+    part = F.slice(F.col(name), begin + 1, F.col("_q") + (F.col("section") < F.col("_r")).cast("int"))
+    width = F.col("_q") + (F.col("_r") > 0).cast("int")
+    return out.withColumn(name, F.concat(part, F.array_repeat(F.lit(None).cast("double"), width - F.size(part)))).drop("_q", "_r")
 
 
 def cropped(x: str, offset: Column, length: int) -> Column:
@@ -143,6 +148,30 @@ def channel_padded(frames: list[DataFrame], channels: int, prefix: str = "ch_")
     return out.withColumns({n: F.coalesce(F.col(n), F.lit(0.0)) if n in out.columns else F.lit(0.0) for n in names})
 
 
+def multiscale_pooled(df: DataFrame, series: list[str], t: str = "t", value: str = "value") -> DataFrame:
+    """series, t, p, pooled: running maxima of 2^(p + 1) + 1 points, 2^p on both sides, for each p with 2^p + 1 below the series' length.
+
+    Dyadic: a window is covered by two of the level before, 2^(p - 1) steps to each side (at the ends: by the first and the last
+    one). So each level is two lags over the same sorted rows, however wide it is; steps are 0, 1, ... without gaps."""
+    line, all_ = Window.partitionBy(*series).orderBy(t), Window.partitionBy(*series).orderBy(t).rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
+    longest = df.agg(F.max(t)).first()[0]
+    levels = max(0, ((longest or 0) - 1).bit_length())
+    out = df.select(*series, t, F.greatest(F.lag(value, 1).over(line), value, F.lead(value, 1).over(line)).alias("_p0"), F.count("*").over(all_).alias("_n"))
+    for p in range(1, levels):
+        last, half = f"_p{p - 1}", 1 << (p - 1)
+        before = F.coalesce(F.lag(last, half).over(line), F.first(last).over(all_))
+        after = F.coalesce(F.lead(last, half).over(line), F.last(last).over(all_))
+        out = out.withColumn(f"_p{p}", F.greatest(before, after))
+    each = F.array(*[F.struct(F.lit(p).alias("p"), F.col(f"_p{p}").alias("pooled")) for p in range(levels)])
+    out = out.withColumn("_e", F.explode(F.filter(each, lambda e: F.pow(F.lit(2), e["p"]) + 1 < F.col("_n")))) if levels else out.withColumn("_e", F.explode(F.array().cast("array<struct<p:int,pooled:double>>")))
+    return out.select(*series, t, "_e.p", "_e.pooled")
+
+
+def whole_pooled(df: DataFrame, series: list[str], value: str = "value") -> DataFrame:
+    """The maximum of each whole series."""
+    return df.groupBy(*series).agg(F.max(value).alias("pooled"))
+
+
 def pooled(df: DataFrame, series: list[str], k: int, t: str = "t", value: str = "value") -> DataFrame:
     """Running maximum of k points, k // 2 before; an even k leaves the last place out."""
     before = k // 2

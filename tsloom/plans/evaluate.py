@@ -26,8 +26,10 @@ class Config:
 
 
 def prepared(df: DataFrame, config: Config, train: bool = True) -> DataFrame:
-    """series_id, t, value: min-max scaled windows of the first steps; for training the seeded subset, for evaluation all."""
-    s = prepare.with_length(df, ["series_id"]).where(F.col("n") >= config.length).where(F.col("t") < config.length).select("series_id", "t", "value")
+    """series_id (series and first step), t, value: min-max scaled windows that cover each series of at least `length` steps; for training
+    the seeded subset, for evaluation all."""
+    s = windows.covering_windows(df.select("series_id", "t", "value"), ["series_id"], config.length)
+    s = s.select(F.concat_ws(":", "series_id", "start").alias("series_id"), F.col("pos").alias("t"), "value")
     s = prepare.scaled(s, prepare.stats(s, []), [], "minmax", 1e-7)
     if not train or config.subset_p is None and config.subset_n is None:
         return s

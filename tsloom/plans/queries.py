@@ -100,9 +100,19 @@ def per_sample_minmax(spark, d):
     return prepare.scaled_within(series(spark, d), KEY, "minmax", 2.220446049250313e-16).select("series_id", "t", digits(F.col("value")).alias("value"))
 
 
-@query(f"""WITH {_E} SELECT series_id, t, round((value - avg(value) OVER w) / sqrt(var_pop(value) OVER w + 1e-5), 6) + 0.0 AS value FROM e WINDOW w AS (PARTITION BY series_id)""")
+_CHANNELS = "c AS (SELECT series_id, t, unnest(['value', 'hour', 'minute']) AS channel, unnest([value, hour(ts)::DOUBLE, minute(ts)::DOUBLE]) AS value FROM e)"
+
+
+def channels(spark, d):
+    """series_id, t, channel, value: the value, the hour and the minute of each event."""
+    each = F.array(*[F.struct(F.lit(n).alias("channel"), c.cast("double").alias("value")) for n, c in (("value", F.col("value")), ("hour", F.hour("ts")), ("minute", F.minute("ts")))])
+    return series(spark, d).select("series_id", "t", F.explode(each).alias("c")).select("series_id", "t", "c.*")
+
+
+@query(f"""WITH {_E}, {_CHANNELS}, m AS (SELECT series_id, t, channel, value - avg(value) OVER (PARTITION BY series_id, channel) AS value FROM c)
+SELECT series_id, t, channel, round(value / sqrt(var_pop(value) OVER (PARTITION BY series_id, t) + 1e-5), 6) + 0.0 AS value FROM m""")
 def instance_norm(spark, d):
-    return prepare.scaled_within(series(spark, d), KEY, "instance", 1e-5).select("series_id", "t", digits(F.col("value")).alias("value"))
+    return prepare.instance_normed(channels(spark, d), KEY, "channel").select("series_id", "t", "channel", digits(F.col("value")).alias("value"))
 
 
 @query("SELECT event_id, round(value / 500 * 2 - 1, 6) + 0.0 AS signed, round(value / 500, 6) + 0.0 AS unit FROM events")
@@ -135,6 +145,10 @@ def missing_edges(spark, d):
     return prepare.missing_edges(s, KEY)
 
 
+def _labelled_rows(df: DataFrame) -> DataFrame:
+    return df.groupBy(*KEY, "split").agg(F.count("*").alias("rows"), F.min("t").alias("first"), F.max("t").alias("last"), digits(F.sum("value"), 4).alias("total"))
+
+
 def _split_rows(parts: dict[str, DataFrame], by: list[str]) -> DataFrame:
     out = None
     for name, f in parts.items():
@@ -152,12 +166,12 @@ def _splits(**where: str) -> str:
 
 @query(_splits(train="t < floor(n * 0.7)", val="t >= floor(n * 0.7) - 8 AND t < n - floor(n * 0.2)", test="t >= n - floor(n * 0.2) - 8"))
 def split_ratio_70_10_20(spark, d):
-    return _split_rows(prepare.ratio_split(series(spark, d), 8), KEY)
+    return _labelled_rows(prepare.labelled_splits(series(spark, d), 8, 0.7, 0.2))
 
 
 @query(_splits(train="t < floor(n * 0.8)", val="t >= floor(n * 0.8) - 8", test="t >= floor(n * 0.8) - 8"))
 def split_80_20_same_start(spark, d):
-    return _split_rows(prepare.same_start_split(series(spark, d), 8), KEY)
+    return _labelled_rows(prepare.labelled_splits(series(spark, d), 8, 0.8, None))
 
 
 @query(_splits(tail="t >= floor(n * 0.8)"))
@@ -252,7 +266,7 @@ def window_tsg_reverse(spark, d):
     return w.select("series_id", "start", digits(F.col("mean")).alias("mean"))
 
 
-@query(f"WITH {_E} SELECT series_id, floor(t / 16)::BIGINT AS block, count(*) AS rows, round(sum(value), 4) + 0.0 AS total FROM e WHERE floor(t / 16) < floor(n / 16) - 1 GROUP BY 1, 2")
+@query(f"WITH {_E} SELECT series_id, t // 16 AS block, count(*) AS rows, round(sum(value), 4) + 0.0 AS total FROM e, (SELECT max(n) AS longest FROM e) WHERE (t // 16 + 1) * 16 <= n AND t // 16 < ceil(longest / 16) - 1 GROUP BY 1, 2")
 def window_context_blocks(spark, d):
     return windows.context_blocks(series(spark, d), KEY, 16).groupBy("series_id", "block").agg(F.count("*").alias("rows"), digits(F.sum("value"), 4).alias("total"))
 
@@ -301,11 +315,11 @@ def centre_by_rotation(spark, d):
     return windows.unpacked(x, KEY).where("value IS NOT NULL").select("series_id", F.col("t").cast("long").alias("pos"), digits(F.col("value")).alias("value"))
 
 
-@query(f"""WITH {_E}, w AS (SELECT *, ceil(n / 4.0)::BIGINT AS w FROM e) SELECT series_id, t // w AS section, count(*) AS points, round(sum(value), 4) + 0.0 AS total FROM w GROUP BY 1, 2""")
+@query(f"""WITH {_E}, w AS (SELECT *, n // 4 AS q, n % 4 AS r FROM e), s AS (SELECT *, CASE WHEN t < r * (q + 1) THEN t // (q + 1) ELSE r + (t - r * (q + 1)) // q END AS section FROM w)
+SELECT series_id, section, count(*) AS points, q + CAST(any_value(r) > 0 AS BIGINT) AS width, round(sum(value), 4) + 0.0 AS total FROM s GROUP BY 1, 2, q""")
 def split_sections(spark, d):
-    x = windows.sections(packs(spark, d), 4)
-    v = x.select("series_id", F.col("section").cast("long").alias("section"), F.explode("x").alias("v")).where("v IS NOT NULL")
-    return v.groupBy("series_id", "section").agg(F.count("*").alias("points"), digits(F.sum("v"), 4).alias("total"))
+    x = windows.sections(packs(spark, d), 4).select("series_id", F.col("section").cast("long").alias("section"), F.size("x").cast("long").alias("width"), F.explode("x").alias("v"))
+    return x.where("v IS NOT NULL").groupBy("series_id", "section").agg(F.count("*").alias("points"), F.max("width").alias("width"), digits(F.sum("v"), 4).alias("total"))
 
 
 @query(f"WITH {_E} SELECT series_id, t, round(max(value) OVER (PARTITION BY series_id ORDER BY t ROWS BETWEEN 2 PRECEDING AND 2 FOLLOWING), 6) + 0.0 AS pooled FROM e")
@@ -334,7 +348,7 @@ r AS (SELECT s.*, n, row_number() OVER (PARTITION BY side ORDER BY md5(place ||
 SELECT side, event_id, place, draw FROM r WHERE draw < least(1000, n)""")
 def shared_prefix(spark, d):
     e = table(spark, d, "events").select((F.col("event_id") % 2).alias("side"), "event_id")
-    return sample.shared_prefix(e, "side", F.col("event_id"), 9)
+    return sample.shared_prefix(e, "side", "event_id", 9)
 
 
 @query("SELECT epoch::INT AS epoch, event_id, row_number() OVER (PARTITION BY epoch ORDER BY md5(event_id || ':' || epoch || ':3'), event_id) - 1 AS rank FROM events, (SELECT unnest(range(0, 3)) AS epoch)")
@@ -486,9 +500,9 @@ def masks(spark, d):
     return s.select("series_id", "start", "t", embed.half_mask(F.col("t"), 24).alias("half"), embed.random_mask(0.3, F.col("series_id"), F.col("t"), 4).alias("random"), embed.run_mask(F.col("t"), F.lit(5), 5).alias("run"))
 
 
-@query("SELECT id, i::INT AS i, round(CASE WHEN i < 8 THEN sin(id * exp(-ln(10000) * i / 7)) ELSE cos(id * exp(-ln(10000) * (i - 8) / 7)) END, 6) + 0.0 AS value FROM (SELECT unnest(range(0, 50)) AS id), (SELECT unnest(range(0, 16)) AS i)")
+@query(f"WITH {_E} SELECT series_id, t, i::INT AS i, round(CASE WHEN i < 8 THEN sin(t * exp(-ln(10000) * i / 7)) ELSE cos(t * exp(-ln(10000) * (i - 8) / 7)) END, 6) + 0.0 AS value FROM e, (SELECT unnest(range(0, 16)) AS i)")
 def positional_embedding(spark, d):
-    return spark.range(50).select("id", F.posexplode(embed.sinusoid(F.col("id"), 16)).alias("i", "v")).select("id", "i", digits(F.col("v")).alias("value"))
+    return series(spark, d).select("series_id", "t", F.posexplode(embed.sinusoid(F.col("t"), 16)).alias("i", "v")).select("series_id", "t", "i", digits(F.col("v")).alias("value"))
 
 
 # --- trend and season
@@ -531,14 +545,15 @@ def fourier_loss(spark, d):
     return decompose.fourier_loss(pairs, WINDOW, 24, "value", "guess").select("series_id", "start", digits(F.col("loss"), 4).alias("loss"))
 
 
-@query("SELECT channel::INT AS channel, t, round(CASE WHEN channel < 4 THEN cos(2 * pi() * channel * t / 24) ELSE sin(2 * pi() * (channel - 4) * t / 24) END, 9) + 0.0 AS value FROM (SELECT unnest(range(0, 24)) AS t), (SELECT unnest(range(0, 8)) AS channel)")
+@query(f"""WITH {_W} SELECT series_id, start, channel::INT AS channel, round(sum(value * CASE WHEN channel < 6 THEN cos(2 * pi() * (channel + 1) * t / 24) ELSE sin(2 * pi() * (channel - 6 + 1) * t / 24) END), 4) + 0.0 AS value
+FROM w, (SELECT unnest(range(0, 12)) AS channel) GROUP BY 1, 2, 3""")
 def season_basis(spark, d):
-    return decompose.season_basis(spark, 24, 8).select("channel", "t", digits(F.col("value"), 9).alias("value"))
+    return decompose.season_projection(cut(spark, d), WINDOW, 24).select("series_id", "start", "channel", digits(F.col("value"), 4).alias("value"))
 
 
-@query("SELECT t, p::INT AS p, round(pow((t + 1) / 25.0::DOUBLE, p), 9) + 0.0 AS value FROM (SELECT unnest(range(0, 24)) AS t), (SELECT unnest(range(1, 4)) AS p)")
+@query(f"WITH {_W} SELECT series_id, start, p::INT AS p, round(sum(value * pow((t + 1) / 25.0::DOUBLE, p)), 5) + 0.0 AS value FROM w, (SELECT unnest(range(1, 4)) AS p) GROUP BY 1, 2, 3")
 def trend_basis(spark, d):
-    return decompose.trend_basis(spark, 24).select("t", "p", digits(F.col("value"), 9).alias("value"))
+    return decompose.trend_projection(cut(spark, d), WINDOW, 24).select("series_id", "start", "p", digits(F.col("value"), 5).alias("value"))
 
 
 # --- schedules
@@ -546,34 +561,43 @@ def trend_basis(spark, d):
 _R = "(SELECT unnest(range(0, {0})) AS i)"
 
 
-@query(f"SELECT i AS step, round(pow(pow(80::DOUBLE, 1 / 7.0::DOUBLE) + i / 35.0::DOUBLE * (pow(0.002::DOUBLE, 1 / 7.0::DOUBLE) - pow(80::DOUBLE, 1 / 7.0::DOUBLE)), 7), 6) + 0.0 AS sigma FROM {_R.format(36)} UNION ALL SELECT 36, 0.0")
+def at_steps(spark, d, schedule_rows: DataFrame, steps: int) -> DataFrame:
+    """event_id and the schedule's columns at the step of each event, its number modulo the steps. The schedule has a row a step."""
+    e = table(spark, d, "events").select("event_id", (F.col("event_id") % steps).alias("step"))
+    return e.join(F.broadcast(schedule_rows), "step").drop("step")
+
+
+_AT = "SELECT event_id, {1} FROM events JOIN ({0}) s ON s.step = event_id % {2}"
+
+
+@query(_AT.format(f"SELECT i AS step, round(pow(pow(80::DOUBLE, 1 / 7.0::DOUBLE) + i / 35.0::DOUBLE * (pow(0.002::DOUBLE, 1 / 7.0::DOUBLE) - pow(80::DOUBLE, 1 / 7.0::DOUBLE)), 7), 6) + 0.0 AS sigma FROM {_R.format(36)} UNION ALL SELECT 36, 0.0", "sigma", 37))
 def edm_steps(spark, d):
-    return schedule.edm_steps(spark).select("step", digits(F.col("sigma")).alias("sigma"))
+    return at_steps(spark, d, schedule.edm_steps(spark), 37).select("event_id", digits(F.col("sigma")).alias("sigma"))
 
 
 _LIN = f"WITH b AS (SELECT i AS step, 0.001::DOUBLE + 0.199::DOUBLE * i / 99 AS beta FROM {_R.format(100)}), a AS (SELECT *, exp(sum(ln(1 - beta)) OVER (ORDER BY step)) AS ab FROM b), p AS (SELECT *, lag(ab, 1, 1.0::DOUBLE) OVER (ORDER BY step) AS pv FROM a)"
 _COS = f"WITH b AS (SELECT i AS step, least(greatest(1 - pow(cos(((i + 1) / 100.0::DOUBLE + 0.008) / 1.008 * pi() / 2), 2) / pow(cos((i / 100.0::DOUBLE + 0.008) / 1.008 * pi() / 2), 2), 0), 0.999) AS beta FROM {_R.format(100)}), a AS (SELECT *, exp(sum(ln(1 - beta)) OVER (ORDER BY step)) AS ab FROM b), p AS (SELECT *, lag(ab, 1, 1.0::DOUBLE) OVER (ORDER BY step) AS pv FROM a)"
 
 
-@query(f"{_LIN} SELECT step, round(beta, 9) + 0.0 AS beta FROM b")
+@query(f"{_LIN} " + _AT.format("SELECT step, round(beta, 9) + 0.0 AS beta FROM b", "beta", 100))
 def beta_linear(spark, d):
-    return schedule.linear_betas(spark, 100).select("step", digits(F.col("beta"), 9).alias("beta"))
+    return at_steps(spark, d, schedule.linear_betas(spark, 100), 100).select("event_id", digits(F.col("beta"), 9).alias("beta"))
 
 
-@query(f"{_COS} SELECT step, round(beta, 9) + 0.0 AS beta FROM b")
+@query(f"{_COS} " + _AT.format("SELECT step, round(beta, 9) + 0.0 AS beta FROM b", "beta", 100))
 def beta_cosine(spark, d):
-    return schedule.cosine_betas(spark, 100).select("step", digits(F.col("beta"), 9).alias("beta"))
+    return at_steps(spark, d, schedule.cosine_betas(spark, 100), 100).select("event_id", digits(F.col("beta"), 9).alias("beta"))
 
 
-@query(f"{_COS} SELECT step, round(ab, 9) + 0.0 AS alpha_bar, round(pv, 9) + 0.0 AS alpha_bar_prev FROM p")
+@query(f"{_COS} " + _AT.format("SELECT step, round(ab, 9) + 0.0 AS alpha_bar, round(pv, 9) + 0.0 AS alpha_bar_prev FROM p", "alpha_bar, alpha_bar_prev", 100))
 def alpha_bar(spark, d):
-    return schedule.alpha_bars(schedule.cosine_betas(spark, 100)).select("step", *[digits(F.col(c), 9).alias(c) for c in ("alpha_bar", "alpha_bar_prev")])
+    return at_steps(spark, d, schedule.alpha_bars(schedule.cosine_betas(spark, 100)), 100).select("event_id", *[digits(F.col(c), 9).alias(c) for c in ("alpha_bar", "alpha_bar_prev")])
 
 
-@query(f"{_LIN} SELECT step, round(beta * (1 - pv) / (1 - ab), 9) + 0.0 AS variance, round(beta * sqrt(pv) / (1 - ab), 9) + 0.0 AS coef_x0, round((1 - pv) * sqrt(1 - beta) / (1 - ab), 9) + 0.0 AS coef_xt, round(sqrt(1 - beta) * sqrt(1 - ab) / beta / 100, 9) + 0.0 AS loss_weight, round(ln(greatest(beta * (1 - pv) / (1 - ab), 1e-20)), 6) + 0.0 AS log_variance FROM p")
+@query(f"{_LIN} " + _AT.format("SELECT step, round(beta * (1 - pv) / (1 - ab), 9) + 0.0 AS variance, round(beta * sqrt(pv) / (1 - ab), 9) + 0.0 AS coef_x0, round((1 - pv) * sqrt(1 - beta) / (1 - ab), 9) + 0.0 AS coef_xt, round(sqrt(1 - beta) * sqrt(1 - ab) / beta / 100, 9) + 0.0 AS loss_weight, round(ln(greatest(beta * (1 - pv) / (1 - ab), 1e-20)), 6) + 0.0 AS log_variance FROM p", "variance, coef_x0, coef_xt, loss_weight, log_variance", 100))
 def posterior_coefs(spark, d):
-    p = schedule.posterior(schedule.alpha_bars(schedule.linear_betas(spark, 100)))
-    return p.select("step", *[digits(F.col(c), 9).alias(c) for c in ("variance", "coef_x0", "coef_xt", "loss_weight")], digits(F.col("log_variance")).alias("log_variance"))
+    p = at_steps(spark, d, schedule.posterior(schedule.alpha_bars(schedule.linear_betas(spark, 100))), 100)
+    return p.select("event_id", *[digits(F.col(c), 9).alias(c) for c in ("variance", "coef_x0", "coef_xt", "loss_weight")], digits(F.col("log_variance")).alias("log_variance"))
 
 
 @query("SELECT event_id, round(0.25 / (v * v + 0.25), 6) + 0.0 AS c_skip, round(v * 0.5 / sqrt(v * v + 0.25), 6) + 0.0 AS c_out, round(1 / sqrt(v * v + 0.25), 6) + 0.0 AS c_in, round(ln(v) / 4, 6) + 0.0 AS c_noise, round((v * v + 0.25) / pow(v * 0.5, 2), 6) + 0.0 AS weight FROM (SELECT event_id, value / 10 AS v FROM events)")
@@ -618,9 +642,9 @@ def ema_fold(spark, d):
     return schedule.ema(packs(spark, d), 0.99).select("series_id", digits(F.col("ema")).alias("ema"))
 
 
-@query(f"SELECT i AS step, round(CASE WHEN i < 10 THEN 0.001::DOUBLE * (i + 1) / 10 ELSE 0.00001::DOUBLE + 0.00099::DOUBLE * 0.5 * (1 + cos(pi() * (i - 10) / 90.0::DOUBLE)) END, 9) + 0.0 AS lr FROM {_R.format(100)}")
+@query(_AT.format(f"SELECT i AS step, round(CASE WHEN i < 10 THEN 0.001::DOUBLE * (i + 1) / 10 ELSE 0.00001::DOUBLE + 0.00099::DOUBLE * 0.5 * (1 + cos(pi() * (i - 10) / 90.0::DOUBLE)) END, 9) + 0.0 AS lr FROM {_R.format(100)}", "lr", 100))
 def cosine_lr(spark, d):
-    return schedule.cosine_rates(spark, 100, 10, 0.001, 0.00001).select("step", digits(F.col("lr"), 9).alias("lr"))
+    return at_steps(spark, d, schedule.cosine_rates(spark, 100, 10, 0.001, 0.00001), 100).select("event_id", digits(F.col("lr"), 9).alias("lr"))
 
 
 @query(f"""WITH RECURSIVE {_E}, r(series_id, t, best, bad, lr) AS (SELECT series_id, t, value, 0, 0.001::DOUBLE FROM e WHERE t = 0 UNION ALL
@@ -643,11 +667,12 @@ def kl_diagonal(spark, d):
     return table(spark, d, "events").select("event_id", digits(schedule.diagonal_kl(F.col("value") / 100.0, F.col("value") / 500.0, F.lit(1.0), F.lit(0.2))).alias("kl"))
 
 
-@query(f"SELECT id AS sample_id, t::INT AS t, c::INT AS channel, round((sin({_U.format("id || ':' || c || ':f'")} * 0.1 * t + {_U.format("id || ':' || c || ':p'")} * 0.1) + 1) / 2, 6) + 0.0 AS value FROM (SELECT unnest(range(0, 200)) AS id), (SELECT unnest(range(0, 24)) AS t), (SELECT unnest(range(0, 3)) AS c)")
+@query(f"SELECT id AS sample_id, t::INT AS t, c::INT AS channel, round((sin({_U.format("id || ':' || c || ':f'")} * 0.1 * t + {_U.format("id || ':' || c || ':p'")} * 0.1) + 1) / 2, 6) + 0.0 AS value FROM (SELECT DISTINCT user_id AS id FROM events), (SELECT unnest(range(0, 24)) AS t), (SELECT unnest(range(0, 3)) AS c)")
 def sine_source(spark, d):
-    from tsloom.sources.synthetic import sines
+    """A synthetic companion for each user."""
+    from tsloom.sources.synthetic import sines_of
 
-    return sines(spark, 200, 24, 3).select("sample_id", "t", "channel", digits(F.col("value")).alias("value"))
+    return sines_of(table(spark, d, "events").select("user_id").distinct(), "user_id", 24, 3).select("sample_id", "t", "channel", digits(F.col("value")).alias("value"))
 
 
 @query(f"WITH {_W}, r AS (SELECT series_id, start, t, value, row_number() OVER (PARTITION BY series_id, start ORDER BY md5(series_id || ':' || start || ':' || t || ':2'), t) AS k FROM w) SELECT series_id, start, t, CASE WHEN k > 7 THEN round(value, 6) + 0.0 END AS value FROM r")
@@ -757,8 +782,11 @@ def koopman_1d(spark, d):
 
 @query()
 def koopman_operator(spark, d):
-    e = table(spark, d, "embeddings").select(F.lit(0).alias("series_id"), F.col("vec_id").alias("t"), F.col("embedding").alias("x"))
-    return models.koopman(e, KEY, "t", "x", 64).select("series_id", "i", "j", digits(F.col("a"), 5).alias("a"))
+    """Vectors in the order of their ids as one long path: their places come from ranges, and steps are paired by place."""
+    e = sample.globally_sorted(table(spark, d, "embeddings").select("vec_id", "embedding"), ["vec_id"], "t")
+    nxt = e.select((F.col("t") - 1).alias("t"), F.col("embedding").alias("_y"))
+    pairs = e.select("t", F.col("embedding").alias("_x")).join(nxt, "t").select(F.lit(0).alias("series_id"), "_x", "_y")
+    return models.koopman_of_pairs(pairs, KEY, 64).select("series_id", "i", "j", digits(F.col("a"), 5).alias("a"))
 
 
 _Z = f"sqrt(-2 * ln(1 - {_U.format("{0} || ':' || {1} || ':5:r'")})) * cos(2 * pi() * {_U.format("{0} || ':' || {1} || ':5:a'")})"
@@ -792,8 +820,8 @@ def tsne2(spark, d):
 v AS (SELECT x.series_id, x.start, frame, k, value * (0.5 - 0.5 * cos(2 * pi() * k / 8)) AS v FROM x JOIN w ON w.series_id = x.series_id AND w.start = x.start AND w.t = least(p, 46 - p))
 SELECT series_id, start, frame::INT AS frame, f::INT AS f, round(sum(v * cos(2 * pi() * f * k / 8)), 5) + 0.0 AS re, round(sum(-v * sin(2 * pi() * f * k / 8)), 5) + 0.0 AS im FROM v, (SELECT unnest(range(0, 5)) AS f) GROUP BY 1, 2, 3, 4""")
 def stft_cells(spark, d):
-    x = windows.packed(cut(spark, d), WINDOW)
-    return x.select(*WINDOW, F.explode(embed.stft(F.col("x"), 8, 4)).alias("s")).select(*WINDOW, "s.frame", "s.f", digits(F.col("s.re"), 5).alias("re"), digits(F.col("s.im"), 5).alias("im"))
+    z = embed.stft(windows.packed(cut(spark, d), WINDOW), WINDOW, 8, 4)
+    return z.select(*WINDOW, "frame", "f", digits(F.col("re"), 5).alias("re"), digits(F.col("im"), 5).alias("im"))
 
 
 @query("SELECT o_orderkey, CASE WHEN n > 1073741824 THEN round_even(n / 1073741824.0::DOUBLE, 2)::VARCHAR || 'G' WHEN n > 1048576 THEN round_even(n / 1048576.0::DOUBLE, 2)::VARCHAR || 'M' WHEN n > 1024 THEN round_even(n / 1024.0::DOUBLE, 2)::VARCHAR || 'K' ELSE n::VARCHAR END AS short FROM (SELECT o_orderkey, floor(o_totalprice * 50)::BIGINT AS n FROM orders)")

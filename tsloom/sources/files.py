@@ -2,15 +2,14 @@
 
 from __future__ import annotations
 
-import io
 from collections.abc import Callable
 
-import numpy as np
-import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from tsloom.sources import arrays
+
 
 def _numbered(df: DataFrame, reverse: bool = False) -> DataFrame:
     """t, the row's place over all files in order of path: counts of partitions give offsets, so nothing is sorted whole."""
@@ -77,18 +76,16 @@ def stacked_items(items: DataFrame, names: list[str]) -> DataFrame:
     return rows.groupBy("t").pivot("item_id", names).agg(F.first("value"))
 
 
-def numpy_arrays(spark: SparkSession, path: str) -> DataFrame:
-    """file, t, x (array) of two-dimensional .npy files, one task each."""
-
-    def rows(batches):
-        for pdf in batches:
-            for p, data in zip(pdf.path, pdf.content, strict=True):
-                a = np.load(io.BytesIO(data), allow_pickle=False).astype(float)
-                a = a.reshape(len(a), -1)
-                yield pd.DataFrame({"file": p.rsplit("/", 1)[-1], "t": np.arange(len(a)), "x": list(a)})
-
-    files = spark.read.format("binaryFile").option("pathGlobFilter", "*.npy").load(path)
-    return files.select("path", "content").mapInPandas(rows, "file string, t long, x array<double>")
+def numpy_arrays(spark: SparkSession, path: str, rows_per_task: int = arrays.ROWS) -> DataFrame:
+    """file, t, x (array of all channels of a step) of .npy files of one rank, read in row ranges."""
+    df = arrays.read_arrays(spark, path, rows_per_task)
+    x = F.col("x")
+    kind = df.schema["x"].dataType
+    if not isinstance(kind, T.ArrayType):
+        x = F.array("x")
+    while isinstance(kind, T.ArrayType) and isinstance(kind.elementType, T.ArrayType):
+        x, kind = F.flatten(x), kind.elementType
+    return df.select("file", F.col("row").alias("t"), x.alias("x"))
 
 
 def save_frames(frames: dict[str, DataFrame], folder: str) -> None:
