@@ -4,10 +4,11 @@ Five filters are applied to documents in all 120 orders. What an order removes d
 counters of documents by part and mask of failing filters are enough for every order; the counters are kept by a stream.
 
 Filters A to D look at one text. E fails a document whose text a smaller id has too, anywhere in the table, so its verdict can
-change as files come in: all files are read as available-now micro-batches, and a state for each text holds the smallest id and where
-the documents of that id are counted. When a smaller id arrives, a document counted as first is taken out of its counter and put
-into the one with E. A stream's batch writes its changes as a file of its own, named by the batch, so that one done again after
-a failure replaces itself; the counters are the sums of changes.
+change as files come in: all files are read as available-now micro-batches, and a state keyed by the text (128 bits of its SHA-256)
+holds the smallest id and where the documents of that id are counted. When a smaller id arrives, a document counted as first is
+taken out of its counter and put into the one with E. Some hundred texts share one entry of Spark's state store, a bucket, as a call
+for each text would cost more than all else; the number of buckets grows with the rows. A stream's batch writes its changes as a
+file of its own, named by the batch, so that one done again after a failure replaces itself; the counters are the sums of changes.
 
 Before the exchange a task adds up the documents of one text, part and labels, and their smallest id: a text of a third of all rows
 costs each task a few rows. A state's size grows with the languages and labels of one id, not with the copies. Many texts call for
@@ -39,6 +40,8 @@ from tsloom.llm.common import shared_dir, stored
 FILTERS = "ABCDE"
 ORDERS = ["".join(p) for p in itertools.permutations(FILTERS)]
 LEAST_WORDS, LEAST_DISTINCT, MOST_CAPITALS = 100, 80, 10
+#: Texts that share one call of the state's function, about; their number is that of the rows divided by this.
+A_BUCKET = 512
 #: Micro-batches that the files of a run are dealt to, at most.
 BATCHES = 8
 _E = 1 << FILTERS.index("E")
@@ -58,7 +61,7 @@ def masks(docs: DataFrame) -> DataFrame:
         F.col("_t").rlike("[#$%&*|]"),
     ]
     mask = sum((F.when(f, 1 << k).otherwise(0) for k, f in enumerate(fails)), F.lit(0))
-    return d.select(F.unhex(F.sha2("_t", 256)).alias("digest"), "doc_id", "part", mask.cast("int").alias("mask"))
+    return d.select(F.substring(F.unhex(F.sha2("_t", 256)), 1, 16).alias("digest"), "doc_id", "part", mask.cast("int").alias("mask"))
 
 
 _KEYS = ["digest", "part", "mask", "good", "toxic"]
@@ -78,36 +81,42 @@ def _added_up(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 _CHANGE = "part string, mask int, good int, toxic int, delta long"
-_STATE = "least long, parts array<string>, goods array<int>, toxics array<int>, counts array<long>"
+#: Of a bucket's texts: digest, mask and smallest id; and places of the documents of that id: the text's number, part and labels, how many.
+_STATE = "digests array<binary>, masks array<int>, leasts array<long>, texts array<int>, parts array<string>, goods array<int>, toxics array<int>, counts array<long>"
 
 
 def _follow(key: tuple, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-    """Changes of the counters by new documents of one text; the state is its smallest id, and how many documents of that id are counted where."""
-    rows = [r for f in frames for r in zip(*[f[c].tolist() for c in ("part", "mask", "good", "toxic", "known", "doc_id", "at_least", "others")], strict=True)]
-    least, counted = None, Counter()
+    """Changes of the counters by new documents of a bucket's texts. The state has each text's smallest id, and how many documents of that id are counted where."""
+    texts: dict[bytes, list] = {}  # digest: mask, smallest id, {(part, good, toxic): documents}
     if state.exists:
-        least, *lists = state.get
-        counted = Counter(dict(zip(zip(*lists[:3], strict=True), lists[3], strict=True)))
-    mask = rows[0][1]  # of the text: the same in all its rows
-    ids = [r[5] for r in rows if r[4]]
+        digests, text_masks, leasts, *places = state.get
+        texts = {bytes(d): [m, i, {}] for d, m, i in zip(digests, text_masks, leasts, strict=True)}
+        by_number = list(texts.values())
+        for number, part, good, toxic, n in zip(*places, strict=True):
+            by_number[number][2][part, good, toxic] = n
     changes: Counter = Counter()
-    if ids and (least is None or min(ids) < least):
-        for (part, good, toxic), n in counted.items():  # no longer the first
-            changes[part, mask, good, toxic] -= n
-            changes[part, mask | _E, good, toxic] += n
-        least, counted = min(ids), Counter()
-    for part, _, good, toxic, known, doc_id, at_least, others in rows:
-        if not known:
-            changes[part, mask, good, toxic] += at_least
-        elif doc_id == least:
-            counted[part, good, toxic] += at_least
-            changes[part, mask, good, toxic] += at_least
-            changes[part, mask | _E, good, toxic] += others
-        else:
-            changes[part, mask | _E, good, toxic] += at_least + others
-    if ids:
-        places = list(counted)
-        state.update((int(least), [p for p, _, _ in places], [int(g) for _, g, _ in places], [int(t) for _, _, t in places], [int(counted[p]) for p in places]))
+    for frame in frames:
+        for digest, part, mask, good, toxic, known, doc_id, at_least, others in zip(*[frame[c].tolist() for c in _SUMS.names], strict=True):
+            if not known:
+                changes[part, mask, good, toxic] += at_least
+                continue
+            text = texts.get(digest)
+            if text is None:
+                text = texts[digest] = [mask, doc_id, {}]
+            elif doc_id < text[1]:
+                for (p, g, t), n in text[2].items():  # no longer the first
+                    changes[p, mask, g, t] -= n
+                    changes[p, mask | _E, g, t] += n
+                text[1:] = [doc_id, {}]
+            if doc_id == text[1]:
+                text[2][part, good, toxic] = text[2].get((part, good, toxic), 0) + at_least
+                changes[part, mask, good, toxic] += at_least
+                changes[part, mask | _E, good, toxic] += others
+            else:
+                changes[part, mask | _E, good, toxic] += at_least + others
+    if texts:
+        places = [(k, *where, n) for k, (_, _, counted) in enumerate(texts.values()) for where, n in counted.items()]
+        state.update(([*texts], [m for m, _, _ in texts.values()], [i for _, i, _ in texts.values()], *map(list, zip(*places, strict=True))))
     told = [(*where, delta) for where, delta in changes.items() if delta]
     yield pd.DataFrame(told, columns=["part", "mask", "good", "toxic", "delta"])
 
@@ -127,7 +136,8 @@ def counters(spark: SparkSession, docs_path: str, labels: DataFrame, batches: in
     told = masks(stream).join(known, "doc_id", "left")
     told = told.select("digest", "part", "mask", F.coalesce("good", F.lit(0)).alias("good"), F.coalesce("toxic", F.lit(0)).alias("toxic"), "doc_id")
     sums = told.mapInArrow(_added_up, from_arrow_schema(_SUMS))
-    changes = sums.groupBy("digest").applyInPandasWithState(_follow, _CHANGE, _STATE, "append", GroupStateTimeout.NoTimeout)
+    buckets = max(1, still.count() // A_BUCKET)  # from the files' footers
+    changes = sums.withColumn("bucket", F.pmod(F.xxhash64("digest"), F.lit(buckets))).groupBy("bucket").applyInPandasWithState(_follow, _CHANGE, _STATE, "append", GroupStateTimeout.NoTimeout)
 
     def keep(batch: DataFrame, number: int) -> None:
         batch.groupBy("part", "mask", "good", "toxic").agg(F.sum("delta").alias("delta")).write.mode("overwrite").parquet(f"{path}/changes/batch={number}")
