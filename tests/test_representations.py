@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from tsloom.operators import decompose, embed, metrics, models, prepare, represent, sample, schedule, windows
 from tsloom.plans import evaluate
 from tsloom.plans.registry import QUERIES
-from tsloom.sources import arrays, cache, synthetic
+from tsloom.sources import arrays, cache, registry, synthetic
 from tsloom.streaming.events import event_windows
 
 
@@ -347,3 +347,51 @@ def test_event_windows_do_not_depend_on_arrival(spark, tmp_path):
         assert [g[:2] for g in got] == [w[:2] for w in want] and np.allclose([g[2] for g in got], [w[2] for w in want])
     finally:
         spark.conf.unset("spark.sql.streaming.stateStore.providerClass")
+
+
+# --- small parts
+
+
+def test_presets_horizons_and_resolver(spark, tmp_path):
+    assert len(registry.PRESETS) == 17 and len(registry.HORIZONS) == 54 and registry.HORIZONS["m4_hourly"] == 48
+    lines = ["date,a,OT"] + [f"2020-01-01 00:{k // 60:02d}:{k % 60:02d},{k},{-k}" for k in range(20)]
+    (tmp_path / "x.csv").write_text("\n".join(lines))
+    df = registry.read(spark, {"data": "ETTh1", "path": str(tmp_path / "x.csv"), "features": "MS"})
+    assert set(df.columns) == {"t", "ts", "a", "OT"} and df.count() == 20
+    parts = registry.splits({"data": "custom"}, prepare.with_length(df, []), 4)
+    assert {k: v.count() for k, v in parts.items()} == {"train": 14, "val": 6, "test": 8}
+    assert set(registry.splits({"data": "stock"}, df, 4)) == {"train"}
+    with pytest.raises(KeyError, match="ETTh1"):
+        registry.read(spark, {"data": "none"})
+    made = registry.resolve({"target": "tsloom.operators.models.Jitter", "params": {"share": 0.5}})
+    assert isinstance(made, models.Jitter) and made.share == 0.5 and registry.resolve(None) is None
+    with pytest.raises(KeyError):
+        registry.resolve({"params": {}})
+
+
+def test_plateau_warms_up_and_cools_down(spark):
+    """Worked out by hand: two losses of warm-up to 1.0; then a bad one each step; patience 1, cooldown 2."""
+    x = [9.0, 9.0] + [1.0] + [2.0] * 8
+    rates = []
+    for k in range(1, len(x) + 1):
+        df = spark.createDataFrame([(x[:k],)], "x array<double>")
+        rates.append(schedule.plateau_rates(df, 0.2, 0.5, 1, warm=2, warm_top=1.0, cooldown=2).first().lr)
+    assert rates == pytest.approx([0.6, 1.0, 1.0, 1.0, 0.5, 0.5, 0.5, 0.5, 0.25, 0.25, 0.25])
+
+
+def test_mixed_trend_of_one_kernel_is_its_average(spark):
+    df = long(spark, {1: [1, 5, 2, 8, 3, 9]})
+    got = [r.trend for r in decompose.mixed_trend(df, ["series_id"], [4], [0.3], [1.0]).orderBy("t").collect()]
+    assert got == [2, 2.25, 4, 4.5, 5.5, 7.25]
+
+
+def test_moments_far_from_zero(spark):
+    x = np.random.default_rng(1).normal(size=(300, 3)) + 5
+    df = spark.createDataFrame([(k % 2, [float(u) for u in r]) for k, r in enumerate(x)], "g int, v array<double>").repartition(3)
+    means, covs = metrics.moments(df, ["g"], "v", 3)
+    for g in (0, 1):
+        assert np.allclose([r.mu for r in means.where(f"g = {g}").orderBy("i").collect()], x[g::2].mean(0))
+        got = np.array([r["cov"] for r in covs.where(f"g = {g}").orderBy("i", "j").collect()]).reshape(3, 3)
+        assert np.allclose(got, np.cov(x[g::2].T))
+    one = metrics.moments(df.limit(1), ["g"], "v", 3)[1].collect()
+    assert all(r["cov"] is None for r in one)

@@ -28,6 +28,20 @@ def decomposed(df: DataFrame, series: list[str], k: int, t: str = "t", value: st
     return moving_average(df, series, k, 1, t, value).withColumn("season", F.col(value) - F.col("trend"))
 
 
+def mixed_trend(df: DataFrame, series: list[str], kernels: list[int], slopes: list[float], intercepts: list[float], t: str = "t", value: str = "value") -> DataFrame:
+    """trend, the moving averages of several kernels weighted by the softmax of slope * value + intercept of each, and the residual season.
+
+    All averages are frames over one sort."""
+    for k in kernels:
+        df = moving_average(df, series, k, 1, t, value, f"_m{k}")
+    logits = [F.col(value) * a + b for a, b in zip(slopes, intercepts, strict=True)]
+    most = F.greatest(*logits) if len(logits) > 1 else logits[0]
+    weights = [F.exp(x - most) for x in logits]
+    total = sum(weights[1:], weights[0])
+    mixed = sum((F.col(f"_m{k}") * w for k, w in zip(kernels[1:], weights[1:], strict=True)), F.col(f"_m{kernels[0]}") * weights[0]) / total
+    return df.withColumn("trend", mixed).withColumn("season", F.col(value) - F.col("trend")).drop(*[f"_m{k}" for k in kernels])
+
+
 def block_kernel(length: int) -> int:
     """The moving block's kernel for a length."""
     return int(max(min(length / 4, 24), 4))

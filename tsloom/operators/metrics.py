@@ -9,6 +9,8 @@ from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from tsloom.operators.models import cross_products
+
 
 def channel_means(df: DataFrame, keys: list[str], value: str = "value") -> DataFrame:
     """The mean over channels of each sample and step."""
@@ -42,13 +44,20 @@ def density(df: DataFrame, side: str, points: int, bandwidth: float, lo: float,
 
 
 def moments(df: DataFrame, by: list[str], vector: str, dim: int) -> tuple[DataFrame, DataFrame]:
-    """Means (by, i, mu) and sample covariances (by, i, j, cov) of arrays.
-
-    Cross products are taken row by row, in place, and summed with partial aggregates: no join, dim^2 sums a group."""
-    cells = df.select(*by, F.posexplode(vector).alias("i", "x"), F.col(vector).alias("_v"))
-    means = cells.groupBy(*by, "i").agg(F.avg(F.col("x").cast("double")).alias("mu"))
-    pairs = cells.select(*by, "i", F.col("x").cast("double").alias("x"), F.posexplode("_v").alias("j", "y"))
-    return means, pairs.groupBy(*by, "i", "j").agg(F.covar_samp("x", F.col("y").cast("double")).alias("cov"))
+    """Means (by, i, mu) and sample covariances (by, i, j, cov) of arrays without nulls.
+
+    Each Arrow batch adds up its products of vectors that end in a 1, so sums and counts come with them: dim^2 rows a batch and
+    group go to the exchange, not dim^2 a vector."""
+    x = F.concat(F.transform(vector, lambda v: v.cast("double")), F.array(F.lit(1.0)))
+    n = dim + 1
+    sums = cross_products(df.select(*by, x.alias("_x"), F.array(F.lit(1.0)).alias("_y")), by, n, 1)
+    at = lambda i, j: F.get("s", i * (n + 1) + j)
+    size = at(F.lit(dim), F.lit(dim))
+    cells = sums.select(*by, "s", F.explode(F.sequence(F.lit(0), F.lit(dim - 1))).alias("i"))
+    means = cells.select(*by, "i", (at(F.col("i"), F.lit(dim)) / size).alias("mu"))
+    pairs = cells.select(*by, "s", "i", F.explode(F.sequence(F.lit(0), F.lit(dim - 1))).alias("j"))
+    cov = (at(F.col("i"), F.col("j")) - at(F.col("i"), F.lit(dim)) * at(F.col("j"), F.lit(dim)) / size) / F.nullif(size - 1, F.lit(0.0))
+    return means, pairs.select(*by, "i", "j", cov.alias("cov"))
 
 
 def frechet_diagonal(df: DataFrame, side: str, vector: str) -> DataFrame:
@@ -125,3 +134,11 @@ def duration_name(seconds: Column) -> Column:
     d, h, m, r = F.floor(s / 86400), F.floor(s / 3600) % 24, F.floor(s / 60) % 60, s % 60
     hours = F.when(s >= 86400, F.format_string("%dd:%02dh:%02dm:%02ds", d, h, m, r)).when(s >= 3600, F.format_string("%02dh:%02dm:%02ds", h, m, r))
     return hours.when(s >= 60, F.format_string("%02dm:%02ds", m, r)).otherwise(F.format_string("%02ds", r))
+
+
+def parameter_counts(parts: DataFrame, group: str, count: str, trainable: str) -> DataFrame:
+    """group, trainable, non_trainable, total of each group of parameters and of all of them (group "overall"), as short names."""
+    sums = parts.groupBy(F.col(group).cast("string").alias(group)).agg(F.sum(F.when(F.col(trainable), F.col(count)).otherwise(0)).alias("trainable"), F.sum(F.when(F.col(trainable), 0).otherwise(F.col(count))).alias("non_trainable"))
+    every = sums.agg(F.lit("overall").alias(group), F.coalesce(F.sum("trainable"), F.lit(0)).alias("trainable"), F.coalesce(F.sum("non_trainable"), F.lit(0)).alias("non_trainable"))
+    both = sums.union(every).withColumn("total", F.col("trainable") + F.col("non_trainable"))
+    return both.select(group, *[size_name(F.col(c)).alias(c) for c in ("trainable", "non_trainable", "total")])

@@ -167,8 +167,8 @@ def koopman_of_pairs(pairs: DataFrame, by: list[str], dim: int) -> DataFrame:
     return m.select(*by, F.posexplode("a").alias("_k", "a")).select(*by, F.floor(F.col("_k") / dim).cast("int").alias("i"), (F.col("_k") % dim).alias("j"), "a")
 
 
-def cross_products(pairs: DataFrame, by: list[str], dim: int) -> DataFrame:
-    """by, s: the sums of X'X and X'Y of arrays _x and _y side by side, a dim x 2 dim matrix row by row.
+def cross_products(pairs: DataFrame, by: list[str], dim: int, other: int | None = None) -> DataFrame:
+    """by, s: the sums of X'X and X'Y of arrays _x (dim long) and _y (as long, or `other`) side by side, a matrix row by row.
 
     Each Arrow batch adds up its groups' products; a group's sums then meet place by place."""
     kinds = "".join(f"{k} {pairs.schema[k].dataType.simpleString()}, " for k in by)

@@ -141,15 +141,28 @@ def cosine_rates(spark: SparkSession, steps: int, warm: int, top: float, low: fl
     return spark.range(steps).select(i.alias("step"), F.when(i < warm, top * (i + 1) / float(warm)).otherwise(curve).alias("lr"))
 
 
-def plateau_rates(packs: DataFrame, start: float, factor: float, patience: int, threshold: float = 1e-4, least: float = 0.0, name: str = "x") -> DataFrame:
-    """The rate after a run of losses: times factor whenever more than `patience` losses in a row bring no improvement."""
-    state = F.struct(F.lit(float("inf")).alias("best"), F.lit(0).alias("bad"), F.lit(start).alias("lr"))
+def plateau_rates(packs: DataFrame, start: float, factor: float, patience: int, threshold: float = 1e-4, least: float = 0.0, name: str = "x", warm: int = 0, warm_top: float = 0.0, cooldown: int = 0, eps: float = 1e-8) -> DataFrame:
+    """The rate after a run of losses: times factor whenever more than `patience` losses in a row bring no improvement.
+
+    The first `warm` losses raise the rate in even steps to warm_top, and are not looked at. After a cut, `cooldown` losses
+    count as no bad ones. A cut smaller than eps is left out."""
+    rise = max(0.0, warm_top - start) / warm if warm else 0.0
+    state = F.struct(F.lit(float("inf")).alias("best"), F.lit(0).alias("bad"), F.lit(0).alias("cool"), F.lit(start).alias("lr"), F.lit(0).alias("n"))
 
     def step(s, x):
+        warming = s["n"] < warm
         better = x < s["best"] * (1 - threshold)
-        bad = F.when(better, 0).otherwise(s["bad"] + 1)
+        bad = F.when(better | (s["cool"] > 0), 0).otherwise(s["bad"] + 1)
+        cool = F.greatest(s["cool"] - 1, F.lit(0))
         cut = bad > patience
-        return F.struct(F.when(better, x).otherwise(s["best"]).alias("best"), F.when(cut, 0).otherwise(bad).alias("bad"), F.when(cut, F.greatest(s["lr"] * factor, F.lit(least))).otherwise(s["lr"]).alias("lr"))
+        lower = F.greatest(s["lr"] * factor, F.lit(least))
+        return F.struct(
+            F.when(~warming & better, x).otherwise(s["best"]).alias("best"),
+            F.when(warming, s["bad"]).when(cut, 0).otherwise(bad).alias("bad"),
+            F.when(warming, s["cool"]).when(cut, cooldown).otherwise(cool).alias("cool"),
+            F.when(warming, F.greatest(s["lr"] + rise, F.lit(least))).when(cut & (s["lr"] - lower > eps), lower).otherwise(s["lr"]).alias("lr"),
+            (s["n"] + 1).alias("n"),
+        )
 
     return packs.withColumn("lr", F.aggregate(name, state, step, lambda s: s["lr"]))
 

@@ -139,8 +139,19 @@ def square_padded(df: DataFrame, side: int, keys: list[str]) -> DataFrame:
     return out.withColumns({"value": F.coalesce("value", F.lit(0.0)), "mask": (F.col("c") > F.col("_w")).cast("int")}).drop("_w")
 
 
-def channel_padded(frames: list[DataFrame], channels: int, prefix: str = "ch_") -> DataFrame:
-    """The union of wide frames, missing channels as 0."""
+def square_unpadded(image: DataFrame, rows: int, columns: int) -> DataFrame:
+    """The cells (r, c) of an image as it was before square_padded()."""
+    return image.where((F.col("r") < rows) & (F.col("c") < columns))
+
+
+def widest(frames: list[DataFrame], prefix: str = "ch_", least: int = 1) -> int:
+    """The number of channels of the widest frame, at least `least`."""
+    return max([least, *(sum(c.startswith(prefix) for c in f.columns) for f in frames)])
+
+
+def channel_padded(frames: list[DataFrame], channels: int | None = None, prefix: str = "ch_") -> DataFrame:
+    """The union of wide frames, missing channels as 0; as many as the widest frame has, or as said."""
+    channels = widest(frames, prefix) if channels is None else channels
     out = frames[0]
     for f in frames[1:]:
         out = out.unionByName(f, allowMissingColumns=True)

@@ -290,7 +290,7 @@ def pad_channels_union(spark, d):
     a = table(spark, d, "lineitem").groupBy(F.to_date("l_shipdate").alias("day")).agg(digits(F.sum("l_quantity"), 2).alias("ch_0"), digits(F.sum("l_extendedprice"), 2).alias("ch_1"))
     b = table(spark, d, "orders").groupBy(F.to_date("o_orderdate").alias("day")).agg(digits(F.sum("o_totalprice"), 2).alias("ch_0"))
     named = sample.catalogued({"lineitem": a, "orders": b}, ["lineitem", "orders"])
-    return windows.channel_padded([named], 3).select("dataset", "class_id", "day", "ch_0", "ch_1", "ch_2")
+    return windows.channel_padded([named], windows.widest([a, b], least=3)).select("dataset", "class_id", "day", "ch_0", "ch_1", "ch_2")
 
 
 _TYPES = ["click", "error", "purchase", "signup", "view"]
@@ -648,7 +648,7 @@ def cosine_lr(spark, d):
 
 
 @query(f"""WITH RECURSIVE {_E}, r(series_id, t, best, bad, lr) AS (SELECT series_id, t, value, 0, 0.001::DOUBLE FROM e WHERE t = 0 UNION ALL
-SELECT series_id, t, CASE WHEN better THEN value ELSE best END, CASE WHEN better OR bad + 1 > 3 THEN 0 ELSE bad + 1 END, CASE WHEN NOT better AND bad + 1 > 3 THEN lr * 0.5 ELSE lr END
+SELECT series_id, t, CASE WHEN better THEN value ELSE best END, CASE WHEN better OR bad + 1 > 3 THEN 0 ELSE bad + 1 END, CASE WHEN NOT better AND bad + 1 > 3 AND lr - lr * 0.5 > 1e-8::DOUBLE THEN lr * 0.5 ELSE lr END
 FROM (SELECT e.series_id, e.t, e.value, r.best, r.bad, r.lr, e.value < r.best * (1 - 0.0001::DOUBLE) AS better FROM r JOIN e ON e.series_id = r.series_id AND e.t = r.t + 1))
 SELECT r.series_id, round(lr, 9) + 0.0 AS lr FROM r JOIN e ON r.series_id = e.series_id AND r.t = e.t WHERE r.t = n - 1""")
 def plateau_lr(spark, d):

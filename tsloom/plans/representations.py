@@ -9,8 +9,8 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from tsloom.functions.hashing import digits
-from tsloom.operators import decompose, embed, models, represent, sample, schedule, windows
-from tsloom.plans.queries import _COLS, _E, _PLACES, _U, _W, KEY, WINDOW, cut, query, series
+from tsloom.operators import decompose, embed, metrics, models, represent, sample, schedule, windows
+from tsloom.plans.queries import _COLS, _E, _PLACES, _U, _W, KEY, WINDOW, cut, packs, query, series
 from tsloom.session import table
 from tsloom.sources.synthetic import cells_dropped_out
 
@@ -192,3 +192,48 @@ def pred_score_channels(spark, d):
     e = series(spark, d).select("series_id", "t", (F.hour("ts") / 23.0).alias("hour"), (F.minute("ts") / 59.0).alias("minute"), (F.col("value") / 500.0).alias("value"))
     w = windows.covering_windows(e, KEY, 24).select((F.col("series_id") % 2).alias("side"), F.concat_ws(":", "series_id", "start").alias("series_id"), F.col("pos").alias("t"), "hour", "minute", "value")
     return models.predictive(w.where("side = 1").drop("side"), w.where("side = 0").drop("side"), channels=["hour", "minute", "value"])
+
+
+# --- trends, rates and counts
+
+
+def _average(k: int) -> str:
+    after = (k - 1) // 2
+    before = k - 1 - after
+    frame = "(PARTITION BY series_id ORDER BY t"
+    return f"(sum(value) OVER {frame} ROWS BETWEEN {before} PRECEDING AND {after} FOLLOWING) + greatest(0, {before} - t) * first_value(value) OVER {frame}) + greatest(0, t + {after} - (n - 1)) * first_value(value) OVER {frame} DESC)) / {k}"
+
+
+@query(f"""WITH {_E}, m AS (SELECT series_id, t, value, {_average(4)} AS a, {_average(9)} AS b, exp(0.01::DOUBLE * value) AS wa, exp(2 - 0.01::DOUBLE * value) AS wb FROM e), x AS (SELECT *, (a * wa + b * wb) / (wa + wb) AS trend FROM m)
+SELECT series_id, t, round(trend, 6) + 0.0 AS trend, round(value - trend, 6) + 0.0 AS season FROM x""")
+def trend_mixed(spark, d):
+    m = decompose.mixed_trend(series(spark, d).select("series_id", "t", "value"), KEY, [4, 9], [0.01, -0.01], [0.0, 2.0])
+    return m.select("series_id", "t", digits(F.col("trend")).alias("trend"), digits(F.col("season")).alias("season"))
+
+
+@query(f"WITH {_W}, p(c, a, m) AS (VALUES {_PLACES}) SELECT series_id, start, c::INT AS c, r::INT AS r, round(coalesce(value, 0), 6) + 0.0 AS value FROM (SELECT DISTINCT series_id, start FROM w) k CROSS JOIN p CROSS JOIN (SELECT unnest(range(0, 8)) AS r) LEFT JOIN w USING (series_id, start) WHERE w.t = a + r OR (r >= m AND w.t = a)".replace("coalesce(value, 0)", "CASE WHEN r < m THEN value ELSE 0 END"))
+def square_unpad(spark, d):
+    """Padded to a square and back: the columns of the delay embedding, with the zero tail of the last one."""
+    cells = embed.delay_embedded(cut(spark, d), 24, 8, 5)
+    image = windows.square_unpadded(windows.square_padded(cells, 8, WINDOW), 8, len(_COLS))
+    return image.select(*WINDOW, "c", "r", digits(F.col("value")).alias("value"))
+
+
+@query(f"""WITH RECURSIVE {_E}, r(series_id, t, best, bad, cool, lr) AS (SELECT DISTINCT series_id, -1::BIGINT, 'inf'::DOUBLE, 0, 0, 0.0001::DOUBLE FROM e UNION ALL
+SELECT series_id, t, CASE WHEN NOT warming AND better THEN value ELSE best END, CASE WHEN warming THEN bad WHEN worse > 2 THEN 0 ELSE worse END, CASE WHEN warming THEN cool WHEN worse > 2 THEN 4 ELSE greatest(cool - 1, 0) END,
+  CASE WHEN warming THEN lr + (0.001::DOUBLE - 0.0001::DOUBLE) / 5 WHEN worse > 2 AND lr - greatest(lr * 0.5, 0.00002::DOUBLE) > 1e-8::DOUBLE THEN greatest(lr * 0.5, 0.00002::DOUBLE) ELSE lr END
+FROM (SELECT *, CASE WHEN better OR cool > 0 THEN 0 ELSE bad + 1 END AS worse FROM (SELECT e.series_id, e.t, e.value, r.best, r.bad, r.cool, r.lr, e.t < 5 AS warming, e.value < r.best * (1 - 0.0001::DOUBLE) AS better FROM r JOIN e ON e.series_id = r.series_id AND e.t = r.t + 1)))
+SELECT r.series_id, round(lr, 9) + 0.0 AS lr FROM r JOIN e ON r.series_id = e.series_id AND r.t = e.t WHERE r.t = n - 1""")
+def plateau_warm_lr(spark, d):
+    rates = schedule.plateau_rates(packs(spark, d), 0.0001, 0.5, 2, least=0.00002, warm=5, warm_top=0.001, cooldown=4)
+    return rates.select("series_id", digits(F.col("lr"), 9).alias("lr"))
+
+
+_SHORT = "CASE WHEN {0} > 1073741824 THEN round_even({0} / 1073741824.0::DOUBLE, 2)::VARCHAR || 'G' WHEN {0} > 1048576 THEN round_even({0} / 1048576.0::DOUBLE, 2)::VARCHAR || 'M' WHEN {0} > 1024 THEN round_even({0} / 1024.0::DOUBLE, 2)::VARCHAR || 'K' ELSE {0}::VARCHAR END"
+
+
+@query(f"""WITH p AS (SELECT p_brand AS brand, sum(p_size) FILTER (p_partkey % 3 <> 0) AS a, sum(p_size) AS c FROM part GROUP BY 1), q AS (SELECT brand, coalesce(a, 0)::BIGINT AS a, (c - coalesce(a, 0))::BIGINT AS b, c::BIGINT AS c FROM p UNION ALL SELECT 'overall', sum(coalesce(a, 0))::BIGINT, sum(c - coalesce(a, 0))::BIGINT, sum(c)::BIGINT FROM p)
+SELECT brand, {_SHORT.format("a")} AS trainable, {_SHORT.format("b")} AS non_trainable, {_SHORT.format("c")} AS total FROM q""")
+def parameter_counts(spark, d):
+    p = table(spark, d, "part").select(F.col("p_brand").alias("brand"), F.col("p_size").cast("long").alias("size"), (F.col("p_partkey") % 3 != 0).alias("trains"))
+    return metrics.parameter_counts(p, "brand", "size", "trains")

@@ -25,7 +25,7 @@ def _numbered(df: DataFrame, reverse: bool = False) -> DataFrame:
 
 
 def dated_csv(spark: SparkSession, path: str, target: str = "OT", features: str = "M", date: str = "date") -> DataFrame:
-    """t, ts, then channels with the target last (M: all, S: the target alone)."""
+    """t, ts, then channels with the target last (M and MS: all, S: the target alone)."""
     raw = spark.read.csv(path, header=True)
     names = [c for c in raw.columns if c not in (date, target)] + [target]
     names = [target] if features == "S" else names
