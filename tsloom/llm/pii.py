@@ -81,7 +81,7 @@ def base_spans(text: str) -> list[tuple[str, int, int]]:
 GENERATORS = {
     "email": re.compile(r"\b[A-Za-z0-9][\w.+-]{0,63}\s?(?:@|\(at\)|\[at\]|\{at\}| at )\s?[A-Za-z0-9-]{1,63}(?:\s?(?:\.|\(dot\)|\[dot\]| dot )\s?[A-Za-z0-9-]{1,63}){1,4}\b", re.A),
     "ip": re.compile(r"(?<![\w.])[0-9]{1,3}(?:\s?(?:\.|\[\.\]|\(dot\))\s?[0-9]{1,3}){3}(?![\w])", re.A),
-    "card": re.compile(r"(?<![0-9])[0-9]{3,6}(?:[ ._/-]{0,2}[0-9]{2,6}){2,5}(?![0-9])"),
+    "card": re.compile(r"(?<![0-9])[0-9]{3,6}(?:[ ._/-]{0,3}[0-9]{2,6}){2,5}(?![0-9])"),
     "phone": re.compile(r"(?<![\w.])(?:\+|00|\()?[0-9][0-9() ./-]{5,20}[0-9](?![\w])", re.A),
 }
 _NAMES = r"(?:pass(?:word|wd|phrase|code)?|pwd|secret|token|credentials?|auth|api[_-]?key|(?:access|private|secret|session)[_-]?key|bearer)"
@@ -93,6 +93,11 @@ SECRETS = [
     re.compile(r"://[^\s/:@]{1,64}:([^\s/@]{3,64})@"),
 ]
 _ASSIGNED = re.compile(_NAMES + r"[A-Za-z0-9_-]{0,20}[\"']?\s{0,3}(?:[:=]|:=|=>|\bis\b)\s{0,3}[\"']?$", re.I | re.A)
+#: A value set as a password, which may be any word.
+_PASSWORD = re.compile(r"(?:pass(?:word|wd|phrase|code)?|pwd)[\"']?\s{0,3}=\s{0,3}[\"']?$", re.I | re.A)
+#: Last labels of common domains.
+_TOP = frozenset("com org net edu gov mil int info io co de fr es it nl uk eu ch at be pl ru us ca au jp cn in br se no dk fi".split())
+_LAST = re.compile(r"[A-Za-z0-9-]+$", re.A)
 _PREFIXED = re.compile(r"(?:AKIA|ASIA|gh[pousr]_|glpat-|xox[abprs]-|sk[-_]|pk_live|AIza|eyJ|-----BEGIN)")
 #: Words near a span that speak for its kind, or against all kinds.
 CUES = {
@@ -103,7 +108,7 @@ CUES = {
     "secret": ("secret", "token", "key", "password", "credential", "login", "auth"),
     "": ("version", "isbn", "order", "price", "page", "total", "date", "section", "id", "commit", "checksum", "sha", "digest", "hash", "uuid", "file"),
 }
-FEATURES = ["kind", "length", "digits", "letters", "separators", "spaces", "groups", "longest_group", "shortest_group", "luhn", "octets", "plus", "parens", "at_sign", "obfuscated", "leading", "cue", "counter_cue", "word_before", "word_after", "entropy", "assigned", "prefixed", "hex"]
+FEATURES = ["kind", "length", "digits", "letters", "separators", "spaces", "groups", "longest_group", "shortest_group", "luhn", "octets", "plus", "parens", "at_sign", "obfuscated", "leading", "cue", "counter_cue", "word_before", "word_after", "entropy", "assigned", "prefixed", "hex", "top_domain", "password", "spaced_at", "dots"]
 
 
 def features(kind: str, text: str, a: int, b: int) -> list[float]:
@@ -119,6 +124,7 @@ def features(kind: str, text: str, a: int, b: int) -> list[float]:
         float(s[0] == "+" or s[:2] == "00"), float("(" in s), float("@" in s), float(bool(re.search(r"[\[({]?\b(at|dot)\b|\[\.\]", s))), float(int(s[0]) if s[0].isdigit() and s[0].isascii() else -1), cue(kind), cue(""),
         float(a > 0 and text[a - 1].isalnum()), float(b < len(text) and text[b].isalnum()),
         entropy, float(bool(_ASSIGNED.search(text[max(0, a - 2 * CONTEXT) : a]))), float(bool(_PREFIXED.match(s))), float(not set(s) - _HEX),
+        float(bool((m := _LAST.search(s)) and m[0].lower() in _TOP)), float(bool(_PASSWORD.search(text[max(0, a - CONTEXT) : a]))), float(" at " in s), float(s.count(" dot ") + s.count(".")),
     ]
 
 
@@ -147,7 +153,9 @@ def training_rows(n: int = TRAIN_SENTENCES, seed: int = SEED) -> list[tuple[str,
 
     def email() -> str:
         at, dot = rng.choice([("@", "."), (" at ", " dot "), ("[at]", "[dot]"), (" (at) ", " (dot) "), ("(at)", "."), (" @ ", ".")])
-        return f"{word()}.{num(2)}{at}{word()}{rng.randint(1, 9)}{dot}{rng.choice(['com', 'org', 'net', 'example' + dot + 'com'])}"
+        local = rng.choice([f"{word()}.{num(2)}", word(), f"{word()}_{word()}", f"{word()}.{word()}", f"{word()}{num(2)}", f"{word()}-{word()}"])
+        host = rng.choice([f"{word()}{rng.randint(1, 9)}", word(), f"{word()}-{word()}", f"{word()}{dot}{word()}"])
+        return f"{local}{at}{host}{dot}{rng.choice([*sorted(_TOP), 'com', 'org', 'net', 'com', 'org', 'net'])}"
 
     def ip() -> str:
         return rng.choice([".", "[.]", " . "]).join(str(rng.randint(1, 255)) for _ in range(4))
@@ -171,17 +179,19 @@ def training_rows(n: int = TRAIN_SENTENCES, seed: int = SEED) -> list[tuple[str,
             return "", f"-----BEGIN {head}\n" + "\n".join(mixed(64, alnum + "+/") for _ in range(rng.randint(1, 6))) + f"\n-----END {head}"
         if form == 2:
             return f"https://{word()}:", value if len(value) < 40 else value[:20]
+        if form == 3 and rng.random() < 0.5:  # any word may be a password
+            return rng.choice(["password", "passwd", "db_password", "pwd", "PASSWORD", "passphrase"]) + rng.choice(["=", " = ", "=\""]), word() + word() + rng.choice(["", word(), num(2)])
         return rng.choice(names) + rng.choice([" = ", "=", ": ", " = \"", "=\"", "\": \"", ": '", " is "]), value
 
     def harmless() -> str:
         if rng.random() < 0.5:  # what looks like a secret
             return rng.choice([
                 f"commit {mixed(40, '0123456789abcdef')}", f"sha256 {mixed(64, '0123456789abcdef')}", f"uuid {mixed(8, '0123456789abcdef')}-{mixed(4, '0123456789abcdef')}-4{mixed(3, '0123456789abcdef')}-a{mixed(3, '0123456789abcdef')}-{mixed(12, '0123456789abcdef')}",
-                f"{word()}_{word()}_{word()}_{num(2)}_{word()}", f"{word()}-{word()}-{word()}-{num(4)}", f"/{word()}/{word()}/{word()}{num(1)}/{word()}", *[rng.choice(names) + rng.choice([": ", " is ", " = ", "="]) + word() + rng.choice(["", word(), "()", "." + word()]) for _ in range(4)],
+                f"{word()}_{word()}_{word()}_{num(2)}_{word()}", f"{word()}-{word()}-{word()}-{num(4)}", f"/{word()}/{word()}/{word()}{num(1)}/{word()}", *[rng.choice([n for n in names if "pass" not in n.lower()]) + rng.choice([": ", " is ", " = ", "="]) + word() + rng.choice(["", word(), "()", "." + word()]) for _ in range(3)], rng.choice(["password", "passwd", "passphrase"]) + rng.choice([" is ", ": "]) + word() + rng.choice(["", word()]),
             ])
         return rng.choice([
             f"{rng.randint(1900, 2030)}-{rng.randint(1, 12):02d}-{rng.randint(1, 28):02d}", f"{rng.randint(1, 9)}.{rng.randint(0, 99)}.{rng.randint(0, 99)}.{rng.randint(256, 9999)}", f"{num(3)}.{num(3)}.{num(3)}", num(rng.choice([6, 8, 9, 11, 13, 16])),
-            f"{num(4)} {num(4)} {num(4)} {num(4)}", f"978-{num(1)}-{num(4)}-{num(4)}-{num(1)}", f"{num(3)} {num(3)} {num(3)}", f"{num(2)}/{num(2)}/{num(4)} {num(2)}", f"{word()} at {word()} dot {word()}", f"meet at {num(2)}.{num(2)}", f"{num(4)}-{num(4)}",
+            f"{num(4)} {num(4)} {num(4)} {num(4)}", f"978-{num(1)}-{num(4)}-{num(4)}-{num(1)}", f"{num(3)} {num(3)} {num(3)}", f"{num(2)}/{num(2)}/{num(4)} {num(2)}", f"{word()} at {word()} dot {word()}", f"{word()} at {word()} . {word()}", f"meet at {num(2)}.{num(2)}", f"{num(4)}-{num(4)}",
         ])
 
     makers = {"email": email, "ip": ip, "card": card, "phone": phone}
