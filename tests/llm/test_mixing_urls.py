@@ -60,3 +60,11 @@ def test_urls_with_clashing_columns(spark):
     rows = urlrules.judge_urls(urls, urlrules.rules_frame(spark)).collect()
     assert all(r[n] == i for r in rows for i, n in enumerate(names[:-1]))
     assert {(r.host, r.verdict) for r in rows} == {("a.example.org", "block"), ("b.com", "allow"), ("", "allow")}
+
+
+def test_rule_paths_without_a_slash_fit_nothing(spark):
+    """A host and a path that together read like a longer host."""
+    pages = spark.createDataFrame([(1, "http://www.example.org/x"), (2, "http://example.or/g/x"), (3, "http://example.org")], "page_id long, url string")
+    rules = urlrules.rules_frame(spark, [("example.or", "g/", "block"), ("example", ".org", "block"), ("example.org/x", "", "block"), ("or", "/g", "block"), ("org", "", "allow")])
+    got = {r.page_id: (r.rule, r.verdict) for r in urlrules.judge_urls(pages, rules, default="none").collect()}
+    assert got == {1: ("org", "allow"), 2: ("or/g", "block"), 3: ("org", "allow")}

@@ -6,7 +6,7 @@ candidate rules, equality of the full digests confirms them, and the longest con
 
 Nulls and odd input: a null URL, or one without "://", has an empty host and path and fits no rule. Repeated rows and
 repeated or null ids are judged row by row. An empty table gives an empty result. Input columns are kept; the four
-result columns replace input columns of the same name. Null or empty rule hosts fit nothing; of two equal rules with
+result columns replace input columns of the same name. Null or empty rule hosts fit nothing, nor do paths that do not begin with "/"; of two equal rules with
 different verdicts, block wins.
 """
 
@@ -53,8 +53,10 @@ def expressions(host: Column, path: Column, lengths: list[int]) -> Column:
 
 def judge_urls(urls: DataFrame, rules: DataFrame, url_col: str = "url", default: str = "allow") -> DataFrame:
     """urls with the columns host, path, rule (null: none fits) and verdict (default where no rule fits)."""
+    # a URL's path is empty or begins with "/", so no other rule's path fits; and the first "/" of a rule ends its host
+    fitting = F.coalesce("path", F.lit("")).rlike("^(/|$)") & ~F.contains("host", F.lit("/"))
     rules = (
-        rules.where((F.coalesce("host", F.lit("")) != "") & F.col("verdict").isNotNull())
+        rules.where((F.coalesce("host", F.lit("")) != "") & F.col("verdict").isNotNull() & fitting)
         .select(F.concat(ascii_lower(F.col("host")), F.coalesce("path", F.lit(""))).alias("rule"), F.length(F.coalesce("path", F.lit(""))).alias("n"), "verdict")
         .groupBy("rule", "n")
         .agg(F.max("verdict").alias("verdict"))
