@@ -35,7 +35,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import from_arrow_schema
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
-from tsloom.llm.common import shared_dir, stored
+from tsloom.llm.common import Tables, delete, shared_dir
 
 FILTERS = "ABCDE"
 ORDERS = ["".join(p) for p in itertools.permutations(FILTERS)]
@@ -126,7 +126,8 @@ def counters(spark: SparkSession, docs_path: str, labels: DataFrame, batches: in
     path = f"{shared_dir(spark)}/audit-{uuid.uuid4().hex}"
     still = spark.read.parquet(docs_path)
     known = labels.groupBy("doc_id").agg(F.max((F.col("quality") == 1).cast("int")).alias("good"), F.max((F.col("toxic") == 1).cast("int")).alias("toxic"))
-    known = stored(known.where("doc_id IS NOT NULL").selectExpr("CAST(doc_id AS bigint) AS doc_id", "coalesce(good, 0) AS good", "coalesce(toxic, 0) AS toxic"), "audit-labels")
+    tables = Tables(spark)
+    known = tables.store(known.where("doc_id IS NOT NULL").selectExpr("CAST(doc_id AS bigint) AS doc_id", "coalesce(good, 0) AS good", "coalesce(toxic, 0) AS toxic"), "audit-labels")
     spark.createDataFrame([], _CHANGE).write.parquet(f"{path}/changes/batch=-1")
     files = still.inputFiles()
     a_batch = max(1, math.ceil(len(files) / batches))
@@ -143,6 +144,8 @@ def counters(spark: SparkSession, docs_path: str, labels: DataFrame, batches: in
         batch.groupBy("part", "mask", "good", "toxic").agg(F.sum("delta").alias("delta")).write.mode("overwrite").parquet(f"{path}/changes/batch={number}")
 
     changes.writeStream.foreachBatch(keep).option("checkpointLocation", f"{path}/checkpoint").trigger(availableNow=True).start().awaitTermination()
+    tables.drop()
+    delete(spark, f"{path}/checkpoint")  # the state; the changes alone are read from here on
     kept = spark.read.schema(_CHANGE).parquet(f"{path}/changes")
     return kept.groupBy("part", "mask", "good", "toxic").agg(F.sum("delta").alias("n")).where("n <> 0")
 

@@ -36,6 +36,12 @@ def stored(df: DataFrame, name: str, partitions: int | None = None) -> DataFrame
     return _write(df, name, partitions)[0]
 
 
+def delete(spark: SparkSession, path: str) -> None:
+    """Deletes a folder of the shared file system, if it is there."""
+    place = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    place.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(place, True)
+
+
 class Tables:
     """Stored tables that an operator deletes when all that rests on them is stored itself."""
 
