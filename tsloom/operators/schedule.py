@@ -114,16 +114,26 @@ def nearest_level(x: Column, levels: list[float]) -> Column:
     return F.lit(n - 1) - F.when(F.abs(F.get(rising, below) - x) < F.abs(F.get(rising, at) - x), below).otherwise(at)
 
 
+def _ratio(a: Column, b: Column) -> Column:
+    """a / b for a > 0 and b >= 0: infinite where b is 0, also in ANSI mode."""
+    return F.when(b == 0, F.lit(float("inf"))).otherwise(a / b)
+
+
+def _ln(x: Column) -> Column:
+    """The logarithm as IEEE has it: of 0 minus infinity, of less NaN."""
+    return F.when(x < 0, F.lit(float("nan"))).when(x == 0, F.lit(float("-inf"))).otherwise(F.log(x))
+
+
 def preconditioning(sigma: Column, data: float = 0.5, kind: str = "edm") -> dict[str, Column]:
-    """c_skip, c_out, c_in, c_noise and the loss weight."""
+    """c_skip, c_out, c_in, c_noise and the loss weight; a level of 0 has an infinite weight."""
     s2, d2 = sigma * sigma, data * data
     if kind == "ve":
-        return {"c_skip": F.lit(1.0), "c_out": sigma, "c_in": F.lit(1.0), "c_noise": F.log(0.5 * sigma), "weight": 1 / s2}
+        return {"c_skip": F.lit(1.0), "c_out": sigma, "c_in": F.lit(1.0), "c_noise": F.log(0.5 * sigma), "weight": _ratio(F.lit(1.0), s2)}
     if kind == "iddpm":
-        return {"c_skip": F.lit(1.0), "c_out": -sigma, "c_in": 1 / F.sqrt(s2 + 1), "c_noise": F.lit(IDDPM_LEVELS - 1) - nearest_level(sigma, iddpm_levels()), "weight": 1 / s2}
+        return {"c_skip": F.lit(1.0), "c_out": -sigma, "c_in": 1 / F.sqrt(s2 + 1), "c_noise": F.lit(IDDPM_LEVELS - 1) - nearest_level(sigma, iddpm_levels()), "weight": _ratio(F.lit(1.0), s2)}
     if kind == "vp":
-        return {"c_skip": F.lit(1.0), "c_out": -sigma, "c_in": 1 / F.sqrt(s2 + 1), "c_noise": (VP_LEVELS - 1) * vp_time(sigma), "weight": 1 / s2}
-    return {"c_skip": d2 / (s2 + d2), "c_out": sigma * data / F.sqrt(s2 + d2), "c_in": 1 / F.sqrt(s2 + d2), "c_noise": F.log(sigma) / 4, "weight": (s2 + d2) / ((sigma * data) * (sigma * data))}
+        return {"c_skip": F.lit(1.0), "c_out": -sigma, "c_in": 1 / F.sqrt(s2 + 1), "c_noise": (VP_LEVELS - 1) * vp_time(sigma), "weight": _ratio(F.lit(1.0), s2)}
+    return {"c_skip": d2 / (s2 + d2), "c_out": sigma * data / F.sqrt(s2 + d2), "c_in": 1 / F.sqrt(s2 + d2), "c_noise": _ln(sigma) / 4, "weight": _ratio(s2 + d2, (sigma * data) * (sigma * data))}
 
 
 def ema(packs: DataFrame, decay: float, name: str = "x", warm: int = 0) -> DataFrame:
