@@ -20,7 +20,7 @@ def events(spark, folder, sf_dir, values, users=None):
     return str(folder)
 
 
-@pytest.mark.parametrize("name", ["edm_precond", "vp_precond"])
+@pytest.mark.parametrize("name", ["edm_precond", "ve_precond", "vp_precond"])
 def test_a_level_of_zero(spark, tmp_path, sf_dir, name):
     d = events(spark, tmp_path, sf_dir, [0.0, -0.0, 5.0, 120.25, None])
     assert oracle.compare(spark, QUERIES[name], SQL[name], d) == 5

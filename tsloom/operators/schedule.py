@@ -128,7 +128,7 @@ def preconditioning(sigma: Column, data: float = 0.5, kind: str = "edm") -> dict
     """c_skip, c_out, c_in, c_noise and the loss weight; a level of 0 has an infinite weight."""
     s2, d2 = sigma * sigma, data * data
     if kind == "ve":
-        return {"c_skip": F.lit(1.0), "c_out": sigma, "c_in": F.lit(1.0), "c_noise": F.log(0.5 * sigma), "weight": _ratio(F.lit(1.0), s2)}
+        return {"c_skip": F.lit(1.0), "c_out": sigma, "c_in": F.lit(1.0), "c_noise": _ln(0.5 * sigma), "weight": _ratio(F.lit(1.0), s2)}
     if kind == "iddpm":
         return {"c_skip": F.lit(1.0), "c_out": -sigma, "c_in": 1 / F.sqrt(s2 + 1), "c_noise": F.lit(IDDPM_LEVELS - 1) - nearest_level(sigma, iddpm_levels()), "weight": _ratio(F.lit(1.0), s2)}
     if kind == "vp":
