@@ -24,3 +24,11 @@ def events(spark, folder, sf_dir, values, users=None):
 def test_a_level_of_zero(spark, tmp_path, sf_dir, name):
     d = events(spark, tmp_path, sf_dir, [0.0, -0.0, 5.0, 120.25, None])
     assert oracle.compare(spark, QUERIES[name], SQL[name], d) == 5
+
+
+@pytest.mark.parametrize("name", ["split_ratio_70_10_20"])
+def test_a_share_that_is_a_whole_number(spark, tmp_path, sf_dir, name):
+    """0.7 * 90 is less than 63 in doubles."""
+    users = [0] * 90 + [1] * 10 + [2] * 30 + [3] * 73
+    d = events(spark, tmp_path, sf_dir, [(i * 7919) % 1009 / 3 for i in range(len(users))], users)
+    assert oracle.compare(spark, QUERIES[name], SQL[name], d) > 0

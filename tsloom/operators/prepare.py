@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from decimal import Decimal
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -18,6 +20,11 @@ def with_length(df: DataFrame, series: list[str], name: str = "n") -> DataFrame:
     return df.withColumn(name, F.count("*").over(Window.partitionBy(*series)))
 
 
+def share(n: Column, part: float) -> Column:
+    """floor(n * part) for part as it is written: 63 of 90 at 0.7, where doubles give 62.99...9."""
+    return F.floor(n.cast("long") * F.lit(Decimal(repr(part)))).cast("long")
+
+
 def ratio_split(df: DataFrame, look_back: int, train: float = 0.7, test: float = 0.2) -> dict[str, DataFrame]:
     """Train, validation and test by position (columns t, n); the later two begin look_back rows early."""
     a, c = F.floor(F.col("n") * train), F.floor(F.col("n") * test)
@@ -35,14 +42,14 @@ def calendar_split(df: DataFrame, look_back: int, per_hour: int = 1) -> dict[str
 
 def same_start_split(df: DataFrame, look_back: int, train: float = 0.8) -> dict[str, DataFrame]:
     """Train, and the rest as both validation and test."""
-    a, t = F.floor(F.col("n") * train), F.col("t")
+    a, t = share(F.col("n"), train), F.col("t")
     rest = df.where(t >= a - look_back)
     return {"train": df.where(t < a), "val": rest, "test": rest}
 
 
 def tail_split(df: DataFrame, keep: float = 0.8) -> DataFrame:
     """The last part of each series."""
-    return df.where(F.col("t") >= F.floor(F.col("n") * keep))
+    return df.where(F.col("t") >= share(F.col("n"), keep))
 
 
 def labelled_splits(df: DataFrame, look_back: int, train: float, test: float | None) -> DataFrame:
@@ -50,11 +57,11 @@ def labelled_splits(df: DataFrame, look_back: int, train: float, test: float | N
 
     The same rows as ratio_split() and same_start_split() give, without a scan for each part."""
     t, n = F.col("t"), F.col("n")
-    a = F.floor(n * train)
+    a = share(n, train)
     if test is None:
         inside = {"train": t < a, "val": t >= a - look_back, "test": t >= a - look_back}
     else:
-        c = n - F.floor(n * test)
+        c = n - share(n, test)
         inside = {"train": t < a, "val": (t >= a - look_back) & (t < c), "test": t >= c - look_back}
     names = F.array_compact(F.array(*[F.when(w, F.lit(k)) for k, w in inside.items()]))
     return df.withColumn("split", F.explode(names))
@@ -70,7 +77,7 @@ def random_split(df: DataFrame, ids: str, seed: int, part: float = 0.8) -> DataF
     ranges = ranges.select("r", (F.sum("c").over(line) - F.col("c")).alias("before"), F.sum("c").over(Window.partitionBy(F.lit(0))).alias("n"))
     ranked = df.withColumn("_h", h).join(F.broadcast(ranges.withColumnRenamed("r", "_r")), F.substring("_h", 1, 3) == F.col("_r"))
     rank = F.col("before") + F.row_number().over(Window.partitionBy("_r").orderBy("_h", ids)) - 1
-    return ranked.withColumn("split", F.when(rank < F.floor(F.col("n") * part), "train").otherwise("test")).drop("_h", "_r", "before", "n")
+    return ranked.withColumn("split", F.when(rank < share(F.col("n"), part), "train").otherwise("test")).drop("_h", "_r", "before", "n")
 
 
 def stats(df: DataFrame, by: list[str], value: str = "value") -> DataFrame:
@@ -172,7 +179,7 @@ def length_census(df: DataFrame, series: list[str], channel: str) -> DataFrame:
 def prefix_limit(df: DataFrame, ids: str, limit: float) -> DataFrame:
     """The first ids in order: that many if limit > 1, else that share of them. Ranks come from ranges, not from one sorted task."""
     ranked = globally_sorted(df.select(ids).distinct(), [ids], "_rank", size="_n")
-    last = F.lit(int(limit)) if limit > 1 else F.floor(F.col("_n") * limit)
+    last = F.lit(int(limit)) if limit > 1 else share(F.col("_n"), limit)
     return df.join(ranked.where(F.col("_rank") < last).select(ids), ids, "left_semi")
 
 

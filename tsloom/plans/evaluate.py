@@ -35,7 +35,7 @@ def prepared(df: DataFrame, config: Config, train: bool = True) -> DataFrame:
         return s
     names = sample.globally_ranked(s.select("series_id").distinct(), config.seed, F.col("series_id"))
     n = F.col("_n")
-    n = F.floor(n * config.subset_p) if config.subset_p is not None else F.lit(config.subset_n)
+    n = prepare.share(n, config.subset_p) if config.subset_p is not None else F.lit(config.subset_n)
     return s.join(sample.subset(names, n).select("series_id").distinct(), "series_id", "left_semi")
 
 
