@@ -27,7 +27,7 @@ def share(n: Column, part: float) -> Column:
 
 def ratio_split(df: DataFrame, look_back: int, train: float = 0.7, test: float = 0.2) -> dict[str, DataFrame]:
     """Train, validation and test by position (columns t, n); the later two begin look_back rows early."""
-    a, c = F.floor(F.col("n") * train), F.floor(F.col("n") * test)
+    a, c = share(F.col("n"), train), share(F.col("n"), test)
     t, n = F.col("t"), F.col("n")
     return {"train": df.where(t < a), "val": df.where((t >= a - look_back) & (t < n - c)), "test": df.where(t >= n - c - look_back)}
 
