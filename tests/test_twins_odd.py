@@ -26,7 +26,7 @@ def test_a_level_of_zero(spark, tmp_path, sf_dir, name):
     assert oracle.compare(spark, QUERIES[name], SQL[name], d) == 5
 
 
-@pytest.mark.parametrize("name", ["split_ratio_70_10_20", "std_scale_fit_train"])
+@pytest.mark.parametrize("name", ["split_ratio_70_10_20", "std_scale_fit_train", "window_slide_stats"])
 def test_a_share_that_is_a_whole_number(spark, tmp_path, sf_dir, name):
     """0.7 * 90 is less than 63 in doubles."""
     users = [0] * 90 + [1] * 10 + [2] * 30 + [3] * 73
