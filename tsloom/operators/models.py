@@ -5,10 +5,12 @@ The scores' models are fitted by Spark ML's distributed aggregation over all ser
 
 from __future__ import annotations
 
+from multiprocessing.pool import ThreadPool
 from typing import Protocol
 
 import numpy as np
 import pandas as pd
+from pyspark import inheritable_thread_target
 from pyspark.ml.classification import LogisticRegression
 from pyspark.ml.functions import array_to_vector
 from pyspark.ml.regression import LinearRegression
@@ -98,7 +100,10 @@ def real_and_generated(spark: SparkSession, d: str, length: int = 24) -> tuple[D
     steps = e.select("user_id", t.cast("long").alias("t"), (F.col("value") / 500.0).alias("value"))
     cut = covering_windows(steps, ["user_id"], length)
     real = cut.select(F.concat_ws(":", "user_id", "start").alias("series_id"), F.col("pos").alias("t"), "value")
-    return real, AutoRegression().fit(real).sample(spark, real.where("t = 0").count(), length, seed=3)
+    # as many windows as cover each user, without making them
+    lengths = e.groupBy("user_id").agg(F.count("*").alias("n")).where(F.col("n") >= length)
+    count = lengths.agg(F.sum(F.ceil(F.col("n") / length))).first()[0] or 0
+    return real, AutoRegression().fit(real).sample(spark, count, length, seed=3)
 
 
 def _packs(df: DataFrame, side: int) -> DataFrame:
@@ -107,23 +112,29 @@ def _packs(df: DataFrame, side: int) -> DataFrame:
     return each.select(F.lit(side).alias("side"), F.col("series_id").cast("string").alias("key"), "x")
 
 
-def discriminative(real: DataFrame, generated: DataFrame, repeats: int = 10, iterations: int = 50) -> DataFrame:
+def discriminative(real: DataFrame, generated: DataFrame, repeats: int = 10, iterations: int = 50, parallel: int = 4) -> DataFrame:
     """mean and std over repeats of |0.5 - accuracy| of a classifier that tells real from generated series.
 
     A logistic regression on values, squares and products of neighbours, fitted by distributed aggregation on 80 % of the
-    series, drawn by a hash for each repeat, and judged on the rest. Nulls count as 0, as do the missing steps of shorter series."""
-    both = _packs(real, 1).union(_packs(generated, 0))
-    longest = both.agg(F.max(F.size("x")).alias("_longest"))  # one row
-    filled = F.concat(F.transform("x", lambda v: F.coalesce(v.cast("double"), F.lit(0.0))), F.array_repeat(F.lit(0.0), F.col("_longest") - F.size("x")))
-    both = both.crossJoin(F.broadcast(longest)).withColumn("x", filled).drop("_longest")
+    series, drawn by a hash for each repeat, and judged on the rest; `parallel` repeats run at a time. Nulls count as 0, as do the missing steps of shorter series."""
+    packs = _packs(real, 1).union(_packs(generated, 0)).persist()
+    longest = packs.agg(F.max(F.size("x"))).first()[0] or 0
+    filled = F.concat(F.transform("x", lambda v: F.coalesce(v.cast("double"), F.lit(0.0))), F.array_repeat(F.lit(0.0), F.lit(longest) - F.size("x")))
     steps = F.zip_with(F.slice("x", 1, F.size("x") - 1), F.slice("x", 2, F.size("x")), lambda a, b: a * b)
-    both = both.select("key", F.col("side").cast("double").alias("label"), array_to_vector(F.concat("x", F.transform("x", lambda v: v * v), steps)).alias("features")).persist()
-    scores = []
-    for rep in range(repeats):
-        train = uniform(F.col("label").cast("int"), F.col("key"), rep, "part") < 0.8
+    trains = F.array(*[uniform(F.col("side"), F.col("key"), rep, "part") < 0.8 for rep in range(repeats)])
+    both = packs.withColumn("x", filled).select(F.col("side").cast("double").alias("label"), array_to_vector(F.concat("x", F.transform("x", lambda v: v * v), steps)).alias("features"), trains.alias("trains")).persist()
+    both.count()
+    packs.unpersist()
+
+    def score(rep: int) -> tuple[float]:
+        train = F.col("trains")[rep]
         model = LogisticRegression(maxIter=iterations, regParam=1e-4).fit(both.where(train))
         right = model.transform(both.where(~train)).agg(F.avg((F.col("prediction") == F.col("label")).cast("double")).alias("a")).first().a
-        scores.append((abs(0.5 - (0.5 if right is None else right)),))
+        return (abs(0.5 - (0.5 if right is None else right)),)
+
+    # a fit is many short jobs that one after the other leave cores idle
+    with ThreadPool(min(parallel, repeats)) as pool:
+        scores = pool.map(inheritable_thread_target(real.sparkSession)(score), range(repeats))
     both.unpersist()
     df = real.sparkSession.createDataFrame(scores, "score double")
     return df.agg(F.bround(F.avg("score"), 4).alias("disc_mean"), F.bround(F.stddev_pop("score"), 4).alias("disc_std"))
