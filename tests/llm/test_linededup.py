@@ -77,3 +77,28 @@ def test_query_against_brute_force_over_every_character(spark, sf_dir):
     want = brute_all(docs)
     got = {r.doc_id: r.text for r in linededup.op3_line_dedup(spark, sf_dir).collect()}
     assert got == want and any(want[i] != t for i, t in docs)
+
+
+def test_long_lines_are_listed_by_the_taken_shingles(spark):
+    """Near lines of mixed content meet, and what is taken rests on the shingle alone."""
+    rng = random.Random(4)
+    words = ["".join(rng.choice("abcdefghijklmnopqrstuvwxyzéü0123456789/-") for _ in range(rng.randint(2, 9))) for _ in range(500)]
+    lines = []
+    for _ in range(60):
+        line = list(" ".join(rng.choices(words, k=120)))
+        other = list(line)
+        for at in range(30, len(line) - 30, 60):
+            other[at] = "\U0001f600"
+        lines += ["".join(line), "".join(other)]
+    df = spark.createDataFrame(list(enumerate(lines)), "node long, norm string")
+    full = {r[0]: set(r[1]) for r in df.select("node", linededup.shingle_set(df.norm)).collect()}
+    taken = {r[0]: set(r[1]) for r in df.select("node", linededup.taken_set(df.norm)).collect()}
+    shingles = lambda x: {x[i : i + 5] for i in range(len(x) - 4)}
+    kept = lambda x: {s for s in shingles(x) if all(0x20 < ord(c) <= 0xFF for c in s[:2]) and ord(s[0]) & 1 and ord(s[1]) & 2}
+    assert all(len(full[i]) == len(shingles(x)) and len(taken[i]) == len(kept(x)) for i, x in enumerate(lines))
+    assert all(linededup.DENSE <= len(taken[i]) and 2 * len(taken[i]) < len(full[i]) for i in taken)
+    lists = {}
+    for r in linededup.signatures(df).collect():
+        lists.setdefault(r.node, set()).add(r.list)
+    assert all(len(x) <= linededup.TAKEN_BANDS + 1 for x in lists.values())
+    assert all(lists[i] & lists[i + 1] for i in range(0, len(lines), 2))

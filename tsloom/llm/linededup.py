@@ -6,7 +6,10 @@ sorted hashes are the shingles in random order, so the ROWS smallest from any po
 two lines agree in them with the probability of similarity ** ROWS. Such runs begin at each of BANDS points, evenly dealt over the
 hash's range (past the largest hash comes the smallest); a hash of each run lists the line (one-permutation hashing). Few
 shingles take shorter runs: CLASSES says which; where two classes overlap, a line is listed in both, so that any
-two lines that can be similar are in one class together. Lines that meet in a list, and whose sets are not too
+two lines that can be similar are in one class together. Of a long line, only those shingles are hashed for the lists whose first
+two characters are of two fixed classes, about one of six: whether a shingle is taken rests on the shingle alone, so
+the taken ones of two lines agree as the sets do. A line with fewer than DENSE of them is listed by its whole set, one with at least
+SPARSE by the taken ones, one between by both. Lines that meet in a list, and whose sets are not too
 different in size, are compared by the exact Jaccard similarity of their sets; links of at least `percent` are joined into
 components by distributed union-find, and of each component the first line (by document id, then place in the document) stays. A
 pair at the threshold of 0.8 meets in some list with a probability of 0.97 (60 shingles) to 0.985 (200 and more), one at 0.85
@@ -30,14 +33,20 @@ SHINGLE, BANDS = 5, 16
 #: Least and most shingles of a class, and the length of its runs. The least of each is at most 0.8 times (the most of the one before, and one).
 CLASSES = [(1, 20, 3), (17, 100, 5), (81, None, 7)]
 PERCENT = 80
-#: Bound of the lines that are broadcast as frequent ones.
-MAX_FREQUENT = 50_000
+#: Taken shingles (see above) from which a line is listed by them, and from which it is not listed by its whole set.
+SPARSE, DENSE = 30, 45
+#: As BANDS and CLASSES, for the taken ones. More bands, as their similarity strays from that of the sets.
+TAKEN_BANDS = 24
+TAKEN_CLASSES = [(1, None, 7)]
+#: Shingles whose first character's code is odd and whose second's has the bit of 2, both up to 0xFF. Matches overlap.
+_TAKEN = r"(?s)(?=([{}][{}].{{{}}}))".format(*["".join(rf"\x{c:02x}" for c in range(0x21, 0x100) if c & bit) for bit in (1, 2)], SHINGLE - 2)
 _BLANK = r"[\x20\x09-\x0D]"
+_BLANKS = " \t\n\x0b\x0c\r"
 _BYTES = 4  # of a character in UTF-32
 
 
-def normal(line: Column) -> Column:
-    low = F.lower(line)
+def normal(low: Column) -> Column:
+    """The normal form of a lower-cased line."""
     odd = F.contains(low, F.lit("  "))
     for c in "\t\x0b\x0c\r":
         odd = odd | F.contains(low, F.lit(c))
@@ -45,7 +54,7 @@ def normal(line: Column) -> Column:
 
 
 def shingle_set(norm: Column) -> Column:
-    """The sorted array of the hashes of a normal line's distinct shingles."""
+    """The array of the hashes of a normal line's distinct shingles."""
     width = SHINGLE * _BYTES
 
     def each(wide: Column) -> Column:
@@ -53,44 +62,54 @@ def shingle_set(norm: Column) -> Column:
         return F.transform(starts, lambda i: F.xxhash64(F.substring(wide, i, F.lit(width))))
 
     # as a lambda's variable, the encoded line is read once, not once for each shingle
-    return F.array_distinct(F.sort_array(F.transform(F.array(F.encode(norm, "utf-32")), each)[0]))
+    return F.array_distinct(F.transform(F.array(F.encode(norm, "utf-32")), each)[0])
+
+
+def taken_set(norm: Column) -> Column:
+    """The array of the hashes of those of a normal line's distinct shingles that stand for all of a long one."""
+    return F.array_distinct(F.transform(F.regexp_extract_all(norm, F.lit(_TAKEN), 1), lambda x: F.xxhash64(x)))
 
 
 def signatures(lines: DataFrame) -> DataFrame:
     """list, node of lines (node, norm); a list and node may repeat."""
-    longest = max(rows for _, _, rows in CLASSES)
-    # no array here is empty; the outer forms keep the optimizer from adding a filter that makes each array twice
-    sets = lines.select("node", shingle_set(F.col("norm")).alias("s"))
-    each = sets.select("node", "s", F.concat("s", F.slice("s", 1, longest - 1)).alias("round")).select("node", "s", "round", F.posexplode_outer("s").alias("i", "h"))
-    part = lambda h: F.shiftright(F.shiftright(h, 40) * BANDS, 24)  # noqa: E731  of the hash's range
+    longest = max(rows for _, _, rows in CLASSES + TAKEN_CLASSES)
+    taken = lines.select("node", "norm", taken_set(F.col("norm")).alias("taken"))
+    # the outer forms keep the optimizer from adding a filter that makes each array twice
+    kinds = F.array(F.when(F.size("taken") < DENSE, shingle_set(F.col("norm"))), F.when(F.size("taken") >= SPARSE, F.col("taken")))
+    sets = taken.select("node", F.posexplode_outer(kinds).alias("kind", "s")).where("s IS NOT NULL").select("node", "kind", F.sort_array("s").alias("s"))
+    each = sets.select("node", "kind", "s", F.concat("s", F.slice("s", 1, longest - 1)).alias("round")).select("node", "kind", "s", "round", F.posexplode_outer("s").alias("i", "h"))
+    bands = F.when(F.col("kind") == 0, BANDS).otherwise(TAKEN_BANDS)
+    part = lambda h: F.shiftright(F.shiftright(h, 40) * bands, 24)  # noqa: E731  of the hash's range
     first = each.where((F.col("i") == 0) | (part(F.col("h")) != part(F.get("s", F.col("i") - 1))))
-    runs = first.select("node", F.size("s").alias("n"), F.slice("round", F.col("i") + 1, longest).alias("run"))
-    held = F.filter(F.array(*[F.when((F.col("n") >= least) & (F.lit(most is None) | (F.col("n") <= (most or 0))), rows) for least, most, rows in CLASSES]), lambda rows: rows.isNotNull())
-    # a run no longer than the set may begin anywhere; shorter sets are taken as a whole
-    keys = F.transform(held, lambda rows: F.xxhash64(rows, F.slice("run", F.lit(1), F.least(rows, F.col("n")))))
-    return runs.select("node", keys.alias("keys")).select(F.explode_outer("keys").alias("list"), "node")
+    n = F.size("s")
+
+    def key(kind: int, least: int, most: int | None, rows: int) -> Column:
+        held = (F.col("kind") == kind) & (n >= least) & (F.lit(True) if most is None else n <= most)
+        # a run no longer than the set may begin anywhere; shorter sets are taken as a whole
+        return F.when(held, F.xxhash64(F.lit(rows), F.slice("round", F.col("i") + 1, F.least(F.lit(rows), n))))
+
+    keys = F.array(*[key(kind, *c) for kind, classes in enumerate((CLASSES, TAKEN_CLASSES)) for c in classes])
+    return first.select("node", F.explode_outer(keys).alias("list")).where("list IS NOT NULL").select("list", "node")
 
 
 def occurrences(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     """id, text_hash, pos, norm, node of each line that is not blank."""
-    rows = docs.select(F.col(id_col).alias("id"), F.xxhash64(text_col).alias("text_hash"), F.posexplode(F.split(F.col(text_col), "\n", -1)).alias("pos", "line"))
-    return rows.select("id", "text_hash", "pos", normal(F.col("line")).alias("norm")).where("norm <> ''").withColumn("node", F.xxhash64("norm"))
+    rows = docs.select(F.col(id_col).alias("id"), F.xxhash64(text_col).alias("text_hash"), F.posexplode(F.split(F.lower(text_col), "\n", -1)).alias("pos", "line"))
+    # blank lines are told by the line itself: a filter on the normal form would make it twice
+    rows = rows.where(F.btrim("line", F.lit(_BLANKS)) != "")
+    return rows.select("id", "text_hash", "pos", normal(F.col("line")).alias("norm")).withColumn("node", F.xxhash64("norm"))
 
 
-def line_components(occ: DataFrame, firsts: DataFrame, tables: Tables, percent: int = PERCENT) -> DataFrame:
-    """node, root of the distinct lines that are near some other one; a table of tables. firsts: node, first, n of each distinct line."""
-    # of a line with more than 1 / MAX_FREQUENT of all occurrences, one occurrence is listed: there are at most MAX_FREQUENT such lines
-    total = firsts.agg(F.sum("n")).first()[0] or 0
-    frequent = F.broadcast(firsts.where(F.col("n") > total / MAX_FREQUENT).select(F.col("node").alias("of"), "first"))
-    same = F.col("id").eqNullSafe(F.col("first.id")) & (F.col("pos") == F.col("first.pos")) & (F.col("text_hash") == F.col("first.text_hash"))
-    lines = occ.join(frequent, F.col("node") == F.col("of"), "left").where(F.col("of").isNull() | same).select("node", "norm")
+def line_components(lines: DataFrame, tables: Tables, percent: int = PERCENT) -> DataFrame:
+    """node, root of the distinct lines (node, norm) that are near some other one; a table of tables."""
     # dealt out once by list; the aggregate and the join below need the same columns, so both read this exchange
     listed = signatures(lines).repartition("list")
-    shared = listed.where("list IS NOT NULL").groupBy("list").agg(F.min("node").alias("lo"), F.max("node").alias("hi")).where("lo <> hi").select("list")
-    members = listed.join(shared, "list").select("list", "node").distinct()
+    shared = listed.groupBy("list").agg(F.min("node").alias("lo"), F.max("node").alias("hi")).where("lo <> hi").select("list")
+    # the shared lists are few: hashed, they spare the sorting of all
+    members = listed.join(shared.hint("shuffle_hash"), "list").select("list", "node").distinct()
     members = tables.store(members, "members")
     # lines, not their sets, go to the pairs: a set is many times as large
-    norms = occ.select("node", "norm").join(members.select("node").distinct(), "node", "left_semi").groupBy("node").agg(F.first("norm").alias("norm"))
+    norms = lines.select("node", "norm").join(members.select("node").distinct(), "node", "left_semi")
     norms = tables.store(norms.withColumn("size", F.size(shingle_set(F.col("norm")))), "line-norms")
     sized = tables.store(members.join(norms.select("node", "size"), "node").select("list", "node", "size"), "members")
     tables.drop(members)
@@ -119,10 +138,9 @@ def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     """docs with their text less the dropped lines, n_lines (not blank) and n_dropped."""
     docs = docs.drop(*[c for c in docs.columns if c.lower() in ("n_lines", "n_dropped")])
     tables = Tables(docs.sparkSession)
-    occ = occurrences(docs, id_col, text_col)
-    places = tables.store(occ.drop("norm"), "line-places")
-    firsts = tables.store(places.groupBy("node").agg(F.min(F.struct("id", "pos", "text_hash")).alias("first"), F.count("*").alias("n")), "first-places")
-    roots = line_components(occ, firsts, tables, percent)
+    places = tables.store(occurrences(docs, id_col, text_col), "line-places")
+    firsts = tables.store(places.groupBy("node").agg(F.min(F.struct("id", "pos", "text_hash")).alias("first"), F.count("*").alias("n"), F.first("norm").alias("norm")), "first-places")
+    roots = line_components(firsts, tables, percent)
     judged = firsts.join(roots, "node", "left").where("n > 1 OR root IS NOT NULL").select("node", F.coalesce("root", "node").alias("root"), "first")
     judged = tables.store(judged, "judged-lines")
     stay = judged.groupBy("root").agg(F.min("first").alias("stay"))
