@@ -12,7 +12,7 @@ the taken ones of two lines agree as the sets do. A line with fewer than DENSE o
 SPARSE by the taken ones, one between by both. Lines that meet in a list, and whose sets are not too
 different in size, are compared by the exact Jaccard similarity of their sets; links of at least `percent` are joined into
 components by distributed union-find, and of each component the first line (by document id, then place in the document) stays. A
-pair at the threshold of 0.8 meets in some list with a probability of 0.97 (60 shingles) to 0.985 (200 and more), one at 0.85
+pair at the threshold of 0.8 meets in some list of whole sets with a probability of 0.97 (60 shingles) to 0.985 (200 and more), one at 0.85
 with 0.999, as simulated.
 
 Nulls and odd input: a null text has no lines and stays null; blank lines are never dropped. Null ids come before others.
