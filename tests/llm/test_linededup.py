@@ -102,3 +102,39 @@ def test_long_lines_are_listed_by_the_taken_shingles(spark):
         lists.setdefault(r.node, set()).add(r.list)
     assert all(len(x) <= linededup.TAKEN_BANDS + 1 for x in lists.values())
     assert all(lists[i] & lists[i + 1] for i in range(0, len(lines), 2))
+
+
+def test_wordy_lines_are_listed_by_their_words(spark):
+    """Near lines of many words meet in few lists; words that say little of a line leave it to its shingles."""
+    rng = random.Random(6)
+    words = ["".join(rng.choice("abcdefghijklmnopqrstuvwxyz") for _ in range(rng.randint(2, 9))) for _ in range(500)]
+    lines = []
+    for _ in range(60):
+        line = rng.choices(words, k=60)
+        other = list(line)
+        for at in (10, 35):
+            other[at] = "another"
+        lines += [" ".join(line), " ".join(other)]
+    blob = "".join(rng.choice("abcdefghijklmnopqrstuvwxyz") for _ in range(900))
+    lines += [" ".join([*rng.sample(words, 25), blob]) for _ in range(2)]
+    df = spark.createDataFrame(list(enumerate(lines)), "node long, norm string")
+    sets = {r[0]: r[1] for r in df.select("node", linededup.word_set(df.norm)).collect()}
+    assert all(len(set(sets[i])) == len(sets[i]) == len({w for w in x.split(" ") if len(w) >= linededup.WORD}) for i, x in enumerate(lines))
+    lists = {}
+    for r in linededup.signatures(df).collect():
+        lists.setdefault(r.node, set()).add(r.list)
+    assert all(len(lists[i]) <= linededup.WORD_BANDS for i in range(120))
+    assert all(lists[i] & lists[i + 1] for i in range(0, 122, 2))
+    docs = spark.createDataFrame(list(enumerate(lines)), "doc_id long, text string")
+    assert {r.doc_id: r.text for r in linededup.dedup_lines(docs).collect()} == brute_all(list(enumerate(lines)))
+
+
+def test_texts_are_stored_once_at_a_time(spark, monkeypatch):
+    """What is kept of all lines until the end has no text."""
+    kept, gone = {}, []
+    store, drop = linededup.Tables.store, linededup.Tables.drop
+    monkeypatch.setattr(linededup.Tables, "store", lambda self, df, name, *a: kept.setdefault(id(t := store(self, df, name, *a)), (name, t)) and t)
+    monkeypatch.setattr(linededup.Tables, "drop", lambda self, *t: (gone.extend(id(x) for x in t), drop(self, *t))[1])
+    linededup.dedup_lines(spark.createDataFrame([(1, "p\nq"), (2, "q\nz")], "doc_id long, text string")).collect()
+    left = [t.columns for k, (name, t) in kept.items() if name == "line-places" and k not in gone]
+    assert left and not any("norm" in c for c in left)
