@@ -8,7 +8,7 @@ hash's range (past the largest hash comes the smallest); a hash of each run list
 shingles take shorter runs: CLASSES says which; where two classes overlap, a line is listed in both, so that any
 two lines that can be similar are in one class together. A line of many words is listed by the set of its words of WORD bytes and more
 instead, which is as similar as the shingles are where changes are spread (an altered character costs one of the words, of some
-six characters, or five shingles), more so where words change, and takes a quarter of the time. Of other long lines, only those shingles are hashed for the lists whose first
+six characters, or five shingles), more so where words change, and takes less time. Of other long lines, only those shingles are hashed for the lists whose first
 two characters are of two fixed classes, about one of six: whether a shingle is taken rests on the shingle alone, so
 the taken ones of two lines agree as the sets do. A line with fewer than DENSE of them is listed by its whole set, one with at least
 SPARSE by the taken ones, one between by both; so is one whose words are neither many nor few. Lines that meet in a list, and whose sets are not too
