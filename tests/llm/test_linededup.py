@@ -1,7 +1,7 @@
 import random
 import re
 
-from tsloom.llm import linededup
+from tsloom.llm import common, linededup
 
 
 def norm(line):
@@ -138,3 +138,39 @@ def test_texts_are_stored_once_at_a_time(spark, monkeypatch):
     linededup.dedup_lines(spark.createDataFrame([(1, "p\nq"), (2, "q\nz")], "doc_id long, text string")).collect()
     left = [t.columns for k, (name, t) in kept.items() if name == "line-places" and k not in gone]
     assert left and not any("norm" in c for c in left)
+
+
+def test_lists_of_two_lines_are_pairs_without_hubs(spark, monkeypatch):
+    """What the hubs' rounds get are longer lists alone; the pairs are few, however many lists they share."""
+    rng = random.Random(12)
+    words = ["".join(rng.choice("abcdefghijklmnopqrstuvwxyz") for _ in range(rng.randint(4, 9))) for _ in range(800)]
+    lines = []
+    for n in (2, 2, 2, 5):
+        line = rng.choices(words, k=40)
+        lines += [" ".join([*line[:k], "changed", *line[k + 1 :]]) for k in range(n)]
+    seen = {}
+    link = linededup.link_lists
+
+    def watched(members, *rest):
+        seen["nodes"] = {r.node for r in members.collect()}
+        seen["couples"] = {(r.a, r.b) for r in rest[-1].collect()}
+        return link(members, *rest)
+
+    monkeypatch.setattr(linededup, "link_lists", watched)
+    df = spark.createDataFrame(list(enumerate(lines)), "node long, norm string")
+    tables = linededup.Tables(spark)
+    roots = {r.node: r.root for r in linededup.line_components(df, tables).collect()}
+    tables.drop()
+    assert roots == {0: 0, 1: 0, 2: 2, 3: 2, 4: 4, 5: 4, **{k: 6 for k in range(6, 11)}}
+    assert seen["nodes"] == set(range(6, 11)) and {(0, 1), (2, 3), (4, 5)} <= seen["couples"]
+
+
+def test_shuffle_files_go_with_the_query_that_stores(spark, monkeypatch):
+    key, during = "spark.sql.classic.shuffleDependency.fileCleanup.enabled", []
+    before = spark.conf.get(key)
+    write = common._write
+    monkeypatch.setattr(common, "_write", lambda *a: (during.append(spark.conf.get(key)), write(*a))[1])
+    tables = linededup.Tables(spark)
+    assert tables.store(spark.range(9).groupBy("id").count(), "counts").count() == 9
+    tables.drop()
+    assert during == ["true"] and spark.conf.get(key) == before

@@ -63,13 +63,14 @@ def components(edges: DataFrame, tables: Tables) -> DataFrame:
         e = after
 
 
-def link_lists(members: DataFrame, verify: Callable[[DataFrame], DataFrame], possible: Callable[[str, str], Column], sets_of: Callable[[DataFrame], DataFrame], most_apart: Callable[[str, str], Column], tables: Tables) -> DataFrame:
+def link_lists(members: DataFrame, verify: Callable[[DataFrame], DataFrame], possible: Callable[[str, str], Column], sets_of: Callable[[DataFrame], DataFrame], most_apart: Callable[[str, str], Column], tables: Tables, couples: DataFrame | None = None) -> DataFrame:
     """node, root for all nodes that have verified links; a table of tables. members: a table of list (long), node (long) and
     columns of the node that `possible` reads, each row once; it is dropped.
 
     verify takes pairs (a < b) and returns the rows that are links. possible(x, y) is a condition on the columns x.* and y.* of
     two members that every link meets; it is part of the join, so pairs that fail it are never made. sets_of(nodes) gives node
     and values of some nodes' sets, and most_apart(x, y) how many values at most linked members x and y have in one set alone.
+    couples: pairs (a < b) to verify beside those of the lists, as lists of two nodes are.
 
     In each of HUB_ROUNDS rounds, each list that has members of several components yet compares them with two of them: in the first
     round with the one that meets most others over all its lists, as the original of a group of near copies does, and one
@@ -93,7 +94,8 @@ def link_lists(members: DataFrame, verify: Callable[[DataFrame], DataFrame], pos
         hubs = placed.groupBy("list").agg(*firsts, F.min("root").alias("r0"), F.max("root").alias("r1")).where("r0 <> r1")
         hubs = hubs.select("list", F.explode(F.array_distinct(F.array("h0.card", "h1.card"))).alias("y"))
         met = placed.select("list", F.struct("node", "root", *kept).alias("x")).join(hubs, "list").where((F.col("x.root") != F.col("y.root")) & possible("x", "y"))
-        pairs = tables.store(met.select(F.least("x.node", "y.node").alias("a"), F.greatest("x.node", "y.node").alias("b")).distinct(), "pairs")
+        pairs = met.select(F.least("x.node", "y.node").alias("a"), F.greatest("x.node", "y.node").alias("b"))
+        pairs = tables.store((pairs.union(couples.select("a", "b")) if turn == 0 and couples is not None else pairs).distinct(), "pairs")
         found = verify(pairs).select("a", "b")
         # the roots are stars, so they stand for the links before
         links = tables.store(found if roots is None else found.union(roots.where("node <> root").select(F.col("node").alias("a"), F.col("root").alias("b"))), "links")

@@ -126,7 +126,7 @@ def occurrences(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     """id, text_hash, pos, norm, node of each line that is not blank."""
     rows = docs.select(F.col(id_col).alias("id"), F.xxhash64(text_col).alias("text_hash"), F.posexplode(F.split(F.lower(text_col), "\n", -1)).alias("pos", "line"))
     # blank lines are told by the line itself: a filter on the normal form would make it twice
-    rows = rows.where(F.btrim("line", F.lit(_BLANKS)) != "")
+    rows = rows.where(F.ltrim("line", F.lit(_BLANKS)) != "")
     return rows.select("id", "text_hash", "pos", normal(F.col("line")).alias("norm")).withColumn("node", F.xxhash64("norm"))
 
 
@@ -134,23 +134,28 @@ def line_components(lines: DataFrame, tables: Tables, percent: int = PERCENT) ->
     """node, root of the distinct lines (node, norm) that are near some other one; a table of tables."""
     # dealt out once by list; the aggregate and the join below need the same columns, so both read this exchange
     listed = signatures(lines).repartition("list")
-    shared = listed.groupBy("list").agg(F.min("node").alias("lo"), F.max("node").alias("hi")).where("lo <> hi").select("list")
-    # the shared lists are few: hashed, they spare the sorting of all
-    members = listed.join(shared.hint("shuffle_hash"), "list").select("list", "node").distinct()
-    members = tables.store(members, "members")
+    lists = listed.groupBy("list").agg(F.min("node").alias("lo"), F.max("node").alias("hi"), F.count("*").alias("n")).where("lo <> hi")
+    # the shared lists are few: hashed, they spare the sorting of all. Most have two lines: such a pair is known by its lines, whatever
+    # number of lists it is in, and needs no hubs
+    shared = listed.join(lists.hint("shuffle_hash"), "list").where("n > 2 OR node = lo").select("list", "node", F.when(F.col("n") == 2, F.col("hi")).alias("other")).distinct()
+    shared = tables.store(shared, "shared")
+    members = shared.where("other IS NULL").select("list", "node")
+    couples = shared.where("other IS NOT NULL").select(F.col("node").alias("a"), F.col("other").alias("b"))
     # lines, not their sets, go to the pairs: a set is many times as large
-    # hashed, the members spare the sorting of all lines
-    norms = lines.select("node", "norm").join(members.select("node").distinct().hint("shuffle_hash"), "node", "left_semi")
-    norms = tables.store(norms.withColumn("size", F.size(shingle_set(F.col("norm")))), "line-norms")
+    # hashed, the wanted ones spare the sorting of all lines
+    wanted = shared.select(F.explode(F.array("node", "other")).alias("node"), F.col("other").isNull().alias("many")).where("node IS NOT NULL").groupBy("node").agg(F.max("many").alias("many"))
+    norms = lines.select("node", "norm").join(wanted.hint("shuffle_hash"), "node")
+    # only lists of more than two lines need their sizes
+    norms = tables.store(norms.select("node", "norm", F.when(F.col("many"), F.size(shingle_set(F.col("norm")))).alias("size")), "line-norms", None, True)
     sized = tables.store(members.join(norms.select("node", "size"), "node").select("list", "node", "size"), "members")
-    tables.drop(members)
 
     def verify(pairs: DataFrame) -> DataFrame:
-        x = norms.select(F.col("node").alias("a"), F.col("norm").alias("x"), F.col("size").alias("nx"))
-        y = norms.select(F.col("node").alias("b"), F.col("norm").alias("y"), F.col("size").alias("ny"))
-        # what both share is named once: a filter makes it anew wherever it names it
-        both = F.size(F.array_intersect(shingles(F.col("x")), shingles(F.col("y"))))
-        return pairs.join(x, "a").join(y, "b").where((100 + percent) * both >= percent * (F.col("nx") + F.col("ny"))).select("a", "b")
+        x = norms.select(F.col("node").alias("a"), F.col("norm").alias("x"))
+        y = norms.select(F.col("node").alias("b"), F.col("norm").alias("y"))
+        # as an exploded value, both sets are made once: a filter makes them anew wherever it names them
+        sets = F.explode_outer(F.array(F.struct(shingle_set(F.col("x")).alias("x"), shingle_set(F.col("y")).alias("y")))).alias("s")
+        each = pairs.join(x, "a").join(y, "b").select("a", "b", sets)
+        return each.where((100 + percent) * F.size(F.array_intersect("s.x", "s.y")) >= percent * (F.size("s.x") + F.size("s.y"))).select("a", "b")
 
     def possible(x, y):
         return 100 * F.least(f"{x}.size", f"{y}.size") >= percent * F.greatest(f"{x}.size", f"{y}.size")
@@ -161,8 +166,8 @@ def line_components(lines: DataFrame, tables: Tables, percent: int = PERCENT) ->
     def most_apart(x, y):
         return (F.col(f"{x}.size") + F.col(f"{y}.size")) * (100 - percent) / (100 + percent)
 
-    roots = link_lists(sized, verify, possible, sets_of, most_apart, tables)
-    tables.drop(norms)
+    roots = link_lists(sized, verify, possible, sets_of, most_apart, tables, couples)
+    tables.drop(norms, shared)
     return roots
 
 
@@ -170,8 +175,8 @@ def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     """docs with their text less the dropped lines, n_lines (not blank) and n_dropped."""
     docs = docs.drop(*[c for c in docs.columns if c.lower() in ("n_lines", "n_dropped")])
     tables = Tables(docs.sparkSession)
-    places = tables.store(occurrences(docs, id_col, text_col), "line-places")
-    firsts = tables.store(places.groupBy("node").agg(F.min(F.struct("id", "pos", "text_hash")).alias("first"), F.count("*").alias("n"), F.first("norm").alias("norm")), "first-places")
+    places = tables.store(occurrences(docs, id_col, text_col), "line-places", None, True)
+    firsts = tables.store(places.groupBy("node").agg(F.min(F.struct("id", "pos", "text_hash")).alias("first"), F.count("*").alias("n"), F.first("norm").alias("norm")), "first-places", None, True)
     # the lines' text is in firsts from here on
     slim = tables.store(places.drop("norm"), "line-places")
     tables.drop(places)
