@@ -38,3 +38,15 @@ def test_own_odd_values_are_not_planted_holes(spark, tmp_path, sf_dir):
     nan, inf = float("nan"), float("inf")
     d = events(spark, tmp_path, sf_dir, [nan, nan, None, inf, -inf, 1.5, -0.0, None, 1e300, inf, 3.0, None, 2.0, 4.0])
     assert oracle.compare(spark, QUERIES["nan_to_zero"], SQL["nan_to_zero"], d) == 14
+
+
+@pytest.mark.parametrize(
+    ("name", "values"),
+    [
+        ("nan_to_zero", [None, 2.0583435, 4.1578195, 8.0468555, 1e300, -8.0468555, 1.0000005, 1e-7, 1.7976931348623157e308]),
+    ],
+)
+def test_halves_of_the_last_digit(spark, tmp_path, sf_dir, name, values):
+    """The seventh digit is a 5 in decimals, not in doubles."""
+    d = events(spark, tmp_path, sf_dir, values)
+    assert oracle.compare(spark, QUERIES[name], SQL[name], d) == len(values)

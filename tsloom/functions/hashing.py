@@ -29,5 +29,7 @@ def normal(*parts: Column | str | int) -> Column:
 
 
 def digits(c: Column, n: int = 6) -> Column:
-    """Rounded, and never minus zero."""
-    return F.round(c.cast("double"), n) + F.lit(0.0)
+    """Rounded as SQL engines round doubles, and never minus zero: to whole numbers after scaling; as it is where that overflows."""
+    c, scale = c.cast("double"), F.lit(10.0**n)
+    r = F.round(c * scale, 0) / scale
+    return F.when(F.abs(r) < math.inf, r).otherwise(c) + F.lit(0.0)
