@@ -44,6 +44,7 @@ def test_own_odd_values_are_not_planted_holes(spark, tmp_path, sf_dir):
     ("name", "values"),
     [
         ("nan_to_zero", [None, 2.0583435, 4.1578195, 8.0468555, 1e300, -8.0468555, 1.0000005, 1e-7, 1.7976931348623157e308]),
+        ("ve_precond", [None, 5.093865, 6.971715, 40.393775, 0.0, 9.380856639585881e299]),
     ],
 )
 def test_halves_of_the_last_digit(spark, tmp_path, sf_dir, name, values):
