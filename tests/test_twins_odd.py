@@ -45,6 +45,7 @@ def test_own_odd_values_are_not_planted_holes(spark, tmp_path, sf_dir):
     [
         ("nan_to_zero", [None, 2.0583435, 4.1578195, 8.0468555, 1e300, -8.0468555, 1.0000005, 1e-7, 1.7976931348623157e308]),
         ("ve_precond", [None, 5.093865, 6.971715, 40.393775, 0.0, 9.380856639585881e299]),
+        ("edm_precond", [None, 0.0017157809236311465, 0.0, 120.25, -3.5]),
     ],
 )
 def test_halves_of_the_last_digit(spark, tmp_path, sf_dir, name, values):
