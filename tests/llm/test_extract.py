@@ -2,6 +2,8 @@ import html
 import random
 import re
 
+import numpy as np
+
 from tsloom.llm import extract
 
 
@@ -139,3 +141,29 @@ def test_query_against_plain_articles(spark, sf_dir):
         inner = re.search("<article>(.*?)</article>", pages[r.page_id], re.S)[1]
         want = " ".join(html.unescape(re.sub("</?b>", "", re.sub("<(?:br|/?p|/?h1)>", " ", inner))).split())
         assert (r.text, r.n_chars) == (want, len(want))
+
+
+def test_all_blocks_are_in_the_array():
+    page = "<nav><p>Home</p></nav><article><h1>One two</h1><p>a b c d e f g h i j k l m n o p q r s t u v w x y z</p><p class=t>l</p></article><p>outside</p>"
+    p = extract._Pages([page, None, page], np.array([1, 1, 2]))
+    assert p.at.tolist() == [-1, 0, 1, 2, -1] * 2 and (p.n > 0).all()
+    assert set(p.owner.tolist()) == set(range(10)) and p.total.tolist() == [p.n[1:4].sum(), 0, p.n[1:4].sum()]
+    assert not set(p.key[p.owner < 5].tolist()) & set(p.key[p.owner >= 5].tolist())  # by host
+
+
+def test_what_articles_repeat(spark, monkeypatch):
+    """Plain blocks of articles count: as part of a template, and for the loose pages of the host."""
+    text = lambda k: " ".join(f"w{k}x{j}" for j in range(80))
+    note = "Read all of our stories with an offer made for you"
+    said = "This passage stands in an article and in a loose page of the host"
+    title = "An article of this name stands here more than once"
+    inner = lambda k: f"<article><h1>{title if k < 3 else f'Title {k}'}</h1><p>{text(k)}</p><h2>More</h2><p>{said if k == 3 else text(k + 50)}</p><div>{note}</div></article>"
+    rows = [(k, "http://h.org/a", inner(k)) for k in range(8)]
+    rows += [(20, "http://copies.org/", inner(3)), (21, "http://copies.org/x", inner(3)), (22, "http://copies.org/y", inner(5)), (30, "http://h.org/l", f"<p>{text(90)}</p><p>{said}</p><p>{text(91)}</p>")]
+    df = spark.createDataFrame(rows, "page_id long, url string, html string")
+    want = {k: f"{title if k < 3 else f'Title {k}'} {text(k)} More {said if k == 3 else text(k + 50)}" for k in range(8)}
+    want |= {20: f"{want[3]} {note}", 21: f"{want[3]} {note}", 22: f"{want[5]} {note}", 30: f"{text(90)} {text(91)}"}
+    assert {r.page_id: r.text for r in extract.main_text(df).collect()} == want
+    monkeypatch.setattr(extract, "HOT", 1)  # each repeated interval in parts
+    monkeypatch.setattr(extract, "MAX_REMOVALS", 0)
+    assert {r.page_id: r.text for r in extract.main_text(df).collect()} == want
